@@ -109,14 +109,17 @@ class ChunkEncoder:
     def decode(self, flat: np.ndarray, sizes: np.ndarray) -> list[str] | pa.Array:
         """Texts of id lists, as the library's decode gives them."""
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), self.surface.take(pa.array(flat)))
-        joined = pc.binary_join(lists, b"")
+        taken = self.surface.take(pa.array(flat))
+        if not len(flat):
+            return [""] * len(sizes)
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[offsets]  # bytes of consecutive pieces lie side by side
+        data = taken.buffers()[2].to_pybytes()
         led = np.zeros(len(sizes), bool)
         led[sizes > 0] = self.marked[flat[offsets[:-1][sizes > 0]]]
         out = []
-        for i, (raw, strip) in enumerate(zip(joined.to_pylist(), led)):
+        for i, strip in enumerate(led):
             try:
-                out.append((raw[1:] if strip else raw).decode())
+                out.append(data[ends[i] + strip : ends[i + 1]].decode())
             except UnicodeDecodeError:  # a run of byte pieces that is no text
                 out.append(self.processor.decode(flat[offsets[i] : offsets[i + 1]].tolist()))
         return out

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import exact, pieces, secret_scan
-from curatrix.llm.common import table
+from curatrix.llm import exact, fingerprints, language, pieces, secret_scan
+from curatrix.llm.common import crc_mod, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -17,6 +17,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    model = language.train(docs.where("not held_out"))
+    return language.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", F.to_json("proportions").alias("proportions"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -28,6 +34,11 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratios = secret_scan.train(secret_scan.labelled_samples(spark, docs))
@@ -36,5 +47,5 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(secret_scan.count_kind(s, k).alias(f"n_{k}") for k in secret_scan.KINDS), F.sha2(secret_scan.listed(secret_scan.base_only(s)), 256).alias("base_sha256"), secret_scan.listed(s).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_exact_dedup, op7_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op5_exact_dedup, op6_fingerprints, op7_secret_scan)}
 SQL = {"op5_exact_dedup": OP5_SQL}
