@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The white space that separates words, as a regular expression character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -42,7 +43,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # the shuffle files of a finished write are of no more use
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before else spark.conf.unset(_CLEAN)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import exact, fingerprints, language, pieces, secret_scan
+from curatrix.llm import exact, fingerprints, jaccard, language, pieces, secret_scan
 from curatrix.llm.common import crc_mod, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -47,5 +47,31 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(secret_scan.count_kind(s, k).alias(f"n_{k}") for k in secret_scan.KINDS), F.sha2(secret_scan.listed(secret_scan.base_only(s)), 256).alias("base_sha256"), secret_scan.listed(s).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op5_exact_dedup, op6_fingerprints, op7_secret_scan)}
-SQL = {"op5_exact_dedup": OP5_SQL}
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.link_components(docs, 3, 90, 100).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+k AS (SELECT doc_id, string_agg(g, chr(10) ORDER BY g) AS k FROM s GROUP BY doc_id),
+q AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM k)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id, coalesce(q.class_id, w.doc_id) AS class_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = w.doc_id LEFT JOIN q USING (doc_id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op5_exact_dedup, op6_fingerprints, op7_secret_scan, op8_ngram_jaccard)}
+SQL = {"op5_exact_dedup": OP5_SQL, "op8_ngram_jaccard": OP8_SQL}
