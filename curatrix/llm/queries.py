@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import exact, fingerprints, jaccard, language, pieces, secret_scan
+from curatrix.llm import chat, exact, fingerprints, jaccard, language, pieces, secret_scan
 from curatrix.llm.common import crc_mod, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -54,7 +54,8 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
@@ -73,5 +74,29 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = w.doc_id LEFT JOIN q USIN
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op5_exact_dedup, op6_fingerprints, op7_secret_scan, op8_ngram_jaccard)}
-SQL = {"op5_exact_dedup": OP5_SQL, "op8_ngram_jaccard": OP8_SQL}
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    back = chat.read_back(chat.format_trees(turns.unionByName(probe)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+_ESCAPES = " + ".join(f"len(regexp_extract_all(x, '{chat.sql_pattern(c)}'))" for c in chat.CONTROL)
+OP9_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, (SELECT {_ESCAPES} FROM (SELECT role AS x)) + (SELECT {_ESCAPES} FROM (SELECT text AS x)) AS escapes FROM c),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS lost,
+    CAST(sum(length(role) + length(text) + {len(chat.formatted_turn("", ""))} + escapes) AS BIGINT) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(lost) AS loss_chars, sha256(lost) AS loss_sha256, formatted_chars FROM g
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op5_exact_dedup, op6_fingerprints, op7_secret_scan, op8_ngram_jaccard, op9_chat_format)}
+SQL = {"op5_exact_dedup": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_chat_format": OP9_SQL}
