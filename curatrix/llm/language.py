@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, MapType, StringType
 
 #: Hash buckets of trigrams in each language's table.
 BUCKETS = 1 << 16
-#: Labelled documents of each language that are counted: those whose ids have the smallest hashes.
+#: Labelled documents of each language that are counted, about: those whose hashed ids are under a bound.
 SAMPLE_DOCS = 3000
 UNKNOWN = "und"
 _PAD = np.uint32(0x20)
@@ -59,17 +59,13 @@ def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and log-probabilities of trigram buckets, languages x BUCKETS.
 
-    Counts sample_docs whole documents of each language; rows with a null language teach nothing. What reaches the driver
+    Counts about sample_docs whole documents of each language; rows with a null language teach nothing. What reaches the driver
     is at most one number for each language and bucket.
     """
-    from pyspark.sql import Window
-
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # the first sample_docs by hash: the local half of the limit leaves few rows for the window
-    bound = known.select("lang", F.xxhash64("id").alias("h")).groupBy("lang", F.shiftrightunsigned("h", 44).alias("cell")).count()
-    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("cell"))
-    cells = bound.withColumn("upto", upto).where(F.col("upto") - F.col("count") < sample_docs).groupBy("lang").agg(F.max("cell").alias("most"))
-    picked = known.join(F.broadcast(cells), "lang").where(F.shiftrightunsigned(F.xxhash64("id"), 44) <= F.col("most")).select("lang", "text")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
+    part = [F.when(F.col("lang") == x, F.lit(sample_docs / n)) for x, n in sizes.items()] or [F.lit(0.0)]
+    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.coalesce(*part) * (1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

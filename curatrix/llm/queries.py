@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import chat, exact, fingerprints, jaccard, language, pieces, secret_scan
+from curatrix.llm import chat, exact, fingerprints, jaccard, language, mixing, pieces, secret_scan
 from curatrix.llm.common import crc_mod, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -23,6 +23,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", F.to_json("proportions").alias("proportions"))
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 10) != 0).alias("train"))
+    return mixing.score(docs).withColumn("held_out", ~F.col("train")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -98,5 +103,5 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(lost) AS loss_char
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op5_exact_dedup, op6_fingerprints, op7_secret_scan, op8_ngram_jaccard, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op4_context_mixing, op5_exact_dedup, op6_fingerprints, op7_secret_scan, op8_ngram_jaccard, op9_chat_format)}
 SQL = {"op5_exact_dedup": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_chat_format": OP9_SQL}
