@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import chat, exact, fingerprints, jaccard, language, mixing, pieces, secret_scan
+from curatrix.llm import chat, exact, fingerprints, jaccard, language, mixing, packing, pieces, secret_scan, toxicity
 from curatrix.llm.common import crc_mod, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -23,6 +23,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", F.to_json("proportions").alias("proportions"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", packing.token_count("text").alias("n_tokens"))
+    return packing.best_fit(docs)
+
+
 def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 10) != 0).alias("train"))
     return mixing.score(docs).withColumn("held_out", ~F.col("train")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
@@ -87,6 +92,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 _ESCAPES = " + ".join(f"len(regexp_extract_all(x, '{chat.sql_pattern(c)}'))" for c in chat.CONTROL)
 OP9_SQL = f"""
 WITH c AS (
@@ -103,5 +115,5 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(lost) AS loss_char
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op4_context_mixing, op5_exact_dedup, op6_fingerprints, op7_secret_scan, op8_ngram_jaccard, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op3_best_fit_packing, op4_context_mixing, op5_exact_dedup, op6_fingerprints, op7_secret_scan, op8_ngram_jaccard, op9_chat_format, op10_toxicity)}
 SQL = {"op5_exact_dedup": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_chat_format": OP9_SQL}
