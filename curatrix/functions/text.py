@@ -144,6 +144,21 @@ def typo_apart(a: Column, b: Column) -> Column:
     return (a != b) & (short >= 6) & ((d == 1) | ((d == 2) & (short >= 12) & (F.substring_index(a, " ", 1) == F.substring_index(b, " ", 1))))
 
 
+#: The letters of the words that differ, from which on one slip makes two spellings of one thing.
+SLIP_LETTERS = 5
+
+
+def slip_apart(a: Column, b: Column) -> Column:
+    """Stricter, for vocabularies: one edit or one swap of neighbours, in words that aren't short."""
+    d = F.levenshtein(a, b, 2)
+    x, y = F.split(a, ""), F.split(b, "")
+    i = F.array_position(F.zip_with(x, y, lambda p, q: p != q), True).cast("int")
+    swapped = (d == 2) & (F.length(a) == F.length(b)) & (F.concat(F.substr(b, F.lit(1), i - 1), F.substr(b, i + 1, F.lit(1)), F.substr(b, i, F.lit(1)), F.substr(b, i + 2)) == a)
+    own = F.array_join(F.array_except(words(a), words(b)), "")
+    other = F.array_join(F.array_except(words(b), words(a)), "")
+    return (a != b) & ((d == 1) | F.coalesce(swapped, F.lit(False))) & (F.greatest(F.length(own), F.length(other)) >= SLIP_LETTERS) & (F.least(F.length(a), F.length(b)) >= 6)
+
+
 def title_level(a: Column, b: Column) -> Column:
     """2: the same title, 1: a form of it or a slip away, 0: another, or one is missing."""
     x, y = clean_title(a), clean_title(b)

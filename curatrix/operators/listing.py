@@ -9,15 +9,18 @@ from curatrix.functions import text as t
 
 RECENT_DAYS, MOST_ROWS = 60, 1000
 c = F.col
-#: Fields that the group ``missing`` knows, by how each is empty.
-MISSING = {
-    **{x: c(x) == "" for x in ("asin", "isbn", "subtitle", "publisher", "language", "description")},
-    "publishedYear": c("published_year") == "", "cover": c("cover_path") == "", "ebook": c("ebook_format") == "",
-    **{x: F.size(x) == 0 for x in ("authors", "narrators", "series", "genres", "tags")},
-}
 PODCAST_GROUPS = ("genres", "tags", "languages", "explicit", "feed-open", "recent", "issues")
 
 
+def _missing() -> dict[str, Column]:
+    """Fields that the group ``missing`` knows, by how each is empty."""
+    return {
+        **{x: c(x) == "" for x in ("asin", "isbn", "subtitle", "publisher", "language", "description")},
+        "publishedYear": c("published_year") == "", "cover": c("cover_path") == "", "ebook": c("ebook_format") == "",
+        **{x: F.size(x) == 0 for x in ("authors", "narrators", "series", "genres", "tags")},
+    }
+
+
 def where(expression: str, podcast: bool = False, now: Column | None = None) -> Column:
     """A condition from ``group`` or ``group:value``; groups in any case. Unknown groups and values raise ValueError."""
     group, _, value = expression.partition(":")
@@ -37,7 +40,7 @@ def where(expression: str, podcast: bool = False, now: Column | None = None) ->
     fixed = {
         "tracks": {"none": c("num_tracks") == 0, "single": c("num_tracks") == 1, "multi": c("num_tracks") > 1},
         "ebooks": {"ebook": c("ebook_format") != "", "no-ebook": c("ebook_format") == ""},
-        "missing": MISSING,
+        "missing": _missing(),
         "progress": {
             "finished": F.coalesce("is_finished", F.lit(False)),
             "not-started": F.coalesce("progress", F.lit(0.0)) == 0,

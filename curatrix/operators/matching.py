@@ -84,9 +84,9 @@ def decisions(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 def check_matched(items: DataFrame, records: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Matched items whose record is gone or disagrees: id, problem (not_found, title_differs, duration_off, narrator_differs)."""
-    mine = items.where("asin != ''").select("id", "title", "authors", "narrators", "duration", F.upper("asin").alias("k"))
+    mine = items.where("asin != ''").select("id", "title", "authors", "narrators", "duration", F.upper(t.trim(c("asin"))).alias("k"))
     first = Window.partitionBy("k").orderBy("provider_rank")
-    theirs = records.where("asin != ''").select(F.upper("asin").alias("k"), "provider_rank", c("title").alias("p_title"), c("author").alias("p_author"), c("narrator").alias("p_narrator"), c("duration_min").alias("p_minutes")).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    theirs = records.where("asin != ''").select(F.upper(t.trim(c("asin"))).alias("k"), "provider_rank", c("title").alias("p_title"), c("author").alias("p_author"), c("narrator").alias("p_narrator"), c("duration_min").alias("p_minutes")).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     j = score(mine.join(theirs, "k", "left"), tolerance)
     problem = F.when(c("p_title").isNull(), F.array(F.lit("not_found"))).otherwise(F.array_compact(F.array(F.when(c("title_level") == 0, "title_differs"), F.when(c("length") == "off", "duration_off"), F.when(c("reader") == "differs", "narrator_differs"))))
     return j.select("id", F.explode(problem).alias("problem"))

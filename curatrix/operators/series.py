@@ -33,7 +33,7 @@ def unlinked_fillers(items: DataFrame, found: DataFrame) -> DataFrame:
     own = items.withColumn("f", t.folder_number(F.col("rel_path"))).withColumn("in_folder", F.coalesce(F.nullif("f.series", F.lit("")), t.parent_folder(F.col("rel_path"))))
     free = own.where("f.number != ''").select("id", "title", t.vocab_key("series", F.col("in_folder")).alias("key"), t.sequence_number(F.col("f.number")).alias("number"))
     holds = placed(items).select("id", "key").distinct()
-    holes = found.select("key", F.explode("missing").cast("double").alias("number"))
+    holes = found.select("key", F.explode("missing").alias("number")).select("key", F.col("number").cast("double").alias("number"))
     return free.join(holds, ["id", "key"], "left_anti").join(holes, ["key", "number"])
 
 

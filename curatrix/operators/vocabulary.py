@@ -32,25 +32,25 @@ def spelling_groups(spelt: DataFrame, field: str) -> DataFrame:
     return g.where((F.size("spellings") > 1) | c("affixed")).select("key", F.when(c("affixed"), "affix").otherwise("spelling").alias("kind"), keep.alias("keep"), "spellings")
 
 
-def near_keys(keys: DataFrame, field: str, least: int = 6) -> DataFrame:
+def near_keys(keys: DataFrame, field: str, apart=t.slip_apart) -> DataFrame:
     """Pairs a < b of distinct keys that are a slip apart, cut off, or initials of another: a, b, kind (near, contains).
 
-    Candidates share a word with at most one letter gone, or the letters that a truncation shares; so keys are joined on
-    parts of themselves, not with each other. keys: key.
+    Of two keys at most two edits apart one has a third of its letters in the other, at most two places off; truncations
+    share their first letters, or their first and last words. So keys are joined on parts of themselves, not with each other.
+    keys: key; apart: the test for near keys, of at most two edits and from six letters on.
     """
     k = keys.select("key").distinct().where("key != ''")
     n = F.length("key")
-    # keys one edit apart share one of three thirds at nearly one place; two keys two edits apart share one of the thirds too
     third = F.floor(n / 3).cast("int")
     part = lambda i, a, z: F.concat(F.lit(f"{i}:"), F.substr("key", (a + 1).cast("int"), F.greatest(F.lit(1), z - a).cast("int")))
     pieces = [part(i, i * third if i < 3 else n, (i + 1) * third) for i in range(3)]
-    own = k.withColumn("n", n).withColumn("p", F.explode(F.array(*pieces)))
+    own = k.where(n >= 4).withColumn("n", n).withColumn("p", F.explode(F.array(*pieces)))
     shift = F.explode(F.sequence(F.lit(-2), F.lit(2)))
     # the other key's thirds, looked for at each place where up to two edits can have moved them, for each length that fits
-    ask = k.withColumn("n", n).withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), n - 2), n + 2))).withColumn("s", shift)
+    ask = k.where(n >= 4).withColumn("n", n).withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), n - 2), n + 2))).withColumn("s", shift)
     cut = lambda i: F.concat(F.lit(f"{i}:"), F.expr(f"substring(key, greatest(1, {i} * cast(floor(m / 3) as int) + 1 + s), greatest(1, cast(floor(m / 3) as int)))"))
     ask = ask.withColumn("p", F.explode(F.array(*[cut(i) for i in range(3)])))
-    near = own.select(c("key").alias("b"), c("n").alias("m"), "p").join(ask.select(c("key").alias("a"), "m", "p"), ["m", "p"]).where("a < b").select("a", "b").distinct().where(t.typo_apart(c("a"), c("b")))
+    near = own.select(c("key").alias("b"), c("n").alias("m"), "p").join(ask.select(c("key").alias("a"), "m", "p"), ["m", "p"]).where("a < b").select("a", "b").distinct().where(apart(c("a"), c("b")))
     out = near.select("a", "b", F.lit("near").alias("kind"))
     if field in NAME_FIELDS and field != "series":
         w = k.withColumn("w", t.words(c("key")))

@@ -265,7 +265,7 @@ WHERE levenshtein(x.k, y.k) = 1 OR (levenshtein(x.k, y.k) = 2 AND least(length(x
 def near_duplicate_pairs(spark, sf_dir):
     """Names and addresses a slip apart."""
     keys = read(spark, sf_dir, "part").select(t.norm(c("p_name")).alias("key")).unionByName(read(spark, sf_dir, "pages").select(t.norm(c("url")).alias("key")))
-    return vocabulary.near_keys(keys, "tags")
+    return vocabulary.near_keys(keys, "tags", t.typo_apart)
 
 
 @query("SELECT a.s_suppkey AS a_id, b.s_suppkey AS b_id FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey AND a.s_acctbal > 0 AND b.s_acctbal > 0 AND greatest(a.s_acctbal, b.s_acctbal) - least(a.s_acctbal, b.s_acctbal) <= 0.05 * greatest(a.s_acctbal, b.s_acctbal)")
