@@ -35,6 +35,38 @@ def readers_verdict(ours: Column, theirs: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), "unknown").when(hit, "same").otherwise("differs")
 
 
+_CREDIT = r"(?iu)^\s*(?:read|narrated|performed|narration)\s+by\s+(.+)$"
+_CREDIT_END = r"(?i)\s+(?:with|featuring|and an?|plus)\s+(?:an?\s+)?(?:introduction|foreword|afterword|interview|music)\b.*$|\s+with\s+.*$|[;:\n(].*$"
+_BRACKET = r"(?i)[(\[](?:read|narrated|performed) by ([^)\]]*)[)\]]"
+_PRODUCTION = r"(?i)\b(full[- ]?cast|cast|dramati[sz](ed|ation)|graphic ?audio|audio ?drama|radio (play|drama)|bbc radio)\b"
+
+
+def credit_names(line: Column) -> Column:
+    """Names of a line such as ``Read by A and B``, up to the end of its clause or first sentence; empty for other lines."""
+    said = F.regexp_replace(F.regexp_extract(t.blank(line), _CREDIT, 1), _CREDIT_END, "")
+    return t.split_names(F.regexp_replace(said, r"(\p{L}{2,})\.\s.*$|\.$", "$1"))
+
+
+def reader_sources(narrators: Column, title: Column, path: Column, description: Column) -> Column:
+    """Where an item says who reads it: array of struct(source, readers): its field, its title's or folder's brackets, its
+    description's credit line. Sources that name nobody are left out."""
+    one = lambda name, readers: F.struct(F.lit(name).alias("source"), F.filter(readers, lambda r: F.size(reader_words(r)) > 0).alias("readers"))
+    made = F.array(one("field", narrators), one("title", t.split_names(F.regexp_extract(t.blank(title), _BRACKET, 1))), one("folder", t.split_names(F.regexp_extract(t.base_name(path), _BRACKET, 1))), one("description", credit_names(t.plain_text(description))))
+    return F.filter(made, lambda s: F.size(s["readers"]) > 0)
+
+
+def says_production(*texts: Column) -> Column:
+    """A full cast or a drama, by its words."""
+    return F.concat_ws(" ", *texts).rlike(_PRODUCTION)
+
+
+def judged_readers(sources: Column, theirs: Column, production: Column) -> Column:
+    """differs if any source names other readers, or one reader stands for a production; same if all agree; else unknown."""
+    other = F.exists(sources, lambda s: readers_verdict(s["readers"], theirs) == "differs")
+    alone = production & (F.size(theirs) == 1) & ~F.get(theirs, F.lit(0)).rlike(_PRODUCTION)
+    return F.when(F.size(theirs) == 0, "unknown").when(alone, "differs").when(F.size(sources) == 0, "unknown").when(other, "differs").otherwise("same")
+
+
 def score(pairs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """pairs with title_level, author_ok, delta, length, reader, confidence and rank (of the confidence).
 

@@ -189,6 +189,18 @@ def test_matching(spark, items):
     assert rows(matching.check_matched(items, records.withColumn("asin", F.lit("B1"))), "id", "problem") == [("m3", "duration_off")]
 
 
+def test_readers(spark):
+    df = spark.createDataFrame(
+        [(1, ["A Bee"], "X (read by C Dee)", "a/b", "", ["A Bee"]), (2, [], "X", "a/X [Narrated by Ann Lee]", "<p>Read by Ann Lee and Bob Roe, with an introduction by Z.</p>", ["A. Lee"]), (3, [], "X: a full-cast drama", "a", "", ["Ann Lee"]), (4, [], "X", "a", "", ["Ann Lee"]), (5, ["Lee"], "X", "a", "", [])],
+        "i int, n array<string>, t string, p string, d string, c array<string>",
+    )
+    sources = matching.reader_sources(F.col("n"), F.col("t"), F.col("p"), F.col("d"))
+    got = df.withColumn("s", sources).select("i", F.size("s").alias("k"), matching.judged_readers(F.col("s"), F.col("c"), matching.says_production(F.col("t"))).alias("v"))
+    assert rows(got, "i", "k", "v") == [(1, 2, "differs"), (2, 2, "same"), (3, 0, "differs"), (4, 0, "unknown"), (5, 1, "unknown")]
+    line = spark.createDataFrame([("Read by Ann B. Lee. A great book",), ("Narrated by Ann Lee with Bob",), ("Another",)], "l string").select(F.array_join(matching.credit_names(F.col("l")), "|").alias("x"))
+    assert [r.x for r in line.collect()] == ["Ann B. Lee", "Ann Lee", ""]
+
+
 def test_listing(spark, items):
     assert rows(items.where(listing.where("genres:Fantasy")), "id") == [(f"d{n}",) for n in sorted(("1", "12", "2", "4", "5"))]
     assert rows(items.where(listing.where("Missing:series")).where("media_type = 'book'"), "id")[0] == ("f3",)
