@@ -25,6 +25,8 @@ from curatrix.llm.pieces import _blocks
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 12, 8
+#: Windows of one training step, and the steps that training takes at least.
+BATCH, STEPS = 256, 200
 #: Labelled documents that training reads, about, and the windows that it takes of each at most (evenly spread).
 TOXIC_DOCS, CLEAN_DOCS, DOC_WINDOWS = 2000, 3000, 40
 
@@ -136,13 +138,10 @@ def windows_of(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(inside, padded[np.where(inside, at + first[doc][:, None], len(codes))], 0), count
 
 
-def _evidence(present: np.ndarray, toxic: np.ndarray, size: int, of: np.ndarray) -> np.ndarray:
-    """For each bucket, how surely it stands in toxic documents more often; 0 for what fewer than 3 documents have.
-
-    present: bucket of each (document, bucket) pair; of: its document.
-    """
-    t, c = np.bincount(present[toxic[of]], minlength=size) + 0.5, np.bincount(present[~toxic[of]], minlength=size) + 0.5
-    odds = np.log(t / (toxic.sum() + 1)) - np.log(c / ((~toxic).sum() + 1))
+def _evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """How surely each bucket, found in so many documents of either kind, goes with toxic ones; 0 for fewer than 3 documents."""
+    t, c = toxic + 0.5, clean + 0.5
+    odds = np.log(t / (n_toxic + 1)) - np.log(c / (n_clean + 1))
     return np.where(t + c < 4, 0, np.clip(odds / np.sqrt(1 / t + 1 / c), -4, 4) / 2).astype(np.float32)
 
 
@@ -157,14 +156,19 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 3
     grams, per_word = _trigrams(words)
     ids = np.fromiter((zlib.crc32(w.encode()) & (BUCKETS - 1) for w in words), np.int64, len(words))
     pairs = np.unique(doc * BUCKETS + ids[codes])
-    net.words[:, 0] = _evidence(pairs % BUCKETS, toxic, BUCKETS, pairs // BUCKETS)
+    rude = toxic[pairs // BUCKETS]
+    net.words[:, 0] = _evidence(*(np.bincount(pairs[k] % BUCKETS, minlength=BUCKETS) for k in (rude, ~rude)), int(toxic.sum()), int((~toxic).sum()))
     start = np.cumsum(per_word) - per_word
     seen = np.unique(doc * np.int64(len(words)) + codes)
-    d, w = seen // len(words), seen % len(words)
-    n = per_word[w]
-    each = np.repeat(d, n) * BUCKETS + grams[np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    pairs = np.unique(each)
-    net.chars[:, 0] = _evidence(pairs % BUCKETS, toxic, BUCKETS, pairs // BUCKETS)
+    cuts = np.searchsorted(seen, np.arange(0, len(texts) + 500, 500) * len(words))
+    tally = np.zeros((2, BUCKETS))
+    for a, b in zip(cuts[:-1], cuts[1:]):  # documents by the hundred, as each brings all trigrams of its words
+        d, w = seen[a:b] // len(words), seen[a:b] % len(words)
+        n = per_word[w]
+        each = np.unique(np.repeat(d, n) * BUCKETS + grams[np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        for k in (0, 1):
+            tally[k] += np.bincount(each[toxic[each // BUCKETS] == bool(k)] % BUCKETS, minlength=BUCKETS)
+    net.chars[:, 0] = _evidence(tally[1], tally[0], int(toxic.sum()), int((~toxic).sum()))
     windows, count = windows_of(codes, sizes)
     owner = np.repeat(np.arange(len(texts)), count)
     keep = np.concatenate([np.unique(np.linspace(a, a + k - 1, min(k, DOC_WINDOWS)).astype(np.int64)) for a, k in zip(np.cumsum(count) - count, count)])
@@ -178,9 +182,10 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 3
         place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         good = (sizes[owner[order]] > 0) & (place < np.where(toxic[owner[order]], 2, 3))
         picked = np.concatenate([order[good], r.choice(np.nonzero(~toxic[owner])[0], min(4000, int((~toxic[owner]).sum())), replace=False)])
-        r.shuffle(picked)
-        for a in range(0, len(picked), 256):
-            rows = picked[a : a + 256]
+        passes = -(-STEPS // (rounds * -(-len(picked) // BATCH)))
+        shuffled = np.concatenate([r.permutation(picked) for _ in range(passes)])
+        for a in range(0, len(shuffled), BATCH):
+            rows = shuffled[a : a + BATCH]
             used, local = np.unique(windows[rows], return_inverse=True)
             used, local = (used, local.reshape(len(rows), WINDOW)) if used[0] == 0 else (np.concatenate([[0], used]), local.reshape(len(rows), WINDOW) + 1)
             own = [words[i - 1] for i in used[1:]]
