@@ -24,7 +24,7 @@ _LOADED: dict[str, "ChunkEncoder"] = {}
 class ChunkEncoder:
     """One model in one process."""
 
-    def __init__(self, model: str, table_chunks: int = 400_000, block_chars: int = 8_000_000):
+    def __init__(self, model: str, table_chunks: int = 150_000, block_chars: int = 1_000_000):
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -125,7 +125,7 @@ class ChunkEncoder:
         return out
 
 
-def encoder(model: str, table_chunks: int = 400_000) -> ChunkEncoder:
+def encoder(model: str, table_chunks: int = 150_000) -> ChunkEncoder:
     """The encoder of this process for a model file."""
     if model not in _LOADED:
         _LOADED[model] = ChunkEncoder(model, table_chunks)
