@@ -35,6 +35,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _features(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its own bucket, the buckets of its trigrams, and their number."""
+    ids = np.fromiter((zlib.crc32(w.encode()) & (BUCKETS - 1) for w in words), np.int32, len(words))
+    parts = [_trigrams(words[a : a + at_once]) for a in range(0, len(words), at_once)]
+    grams = np.concatenate([g.astype(np.int32) for g, _ in parts]) if parts else np.zeros(0, np.int32)
+    return ids, grams, np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
+
+
+def _local(words: list[str], windows: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The words that windows have, and the windows with the numbers of those."""
+    used, local = np.unique(windows, return_inverse=True)
+    local = local.reshape(windows.shape)
+    if used[0] != 0:
+        used, local = np.concatenate([[0], used]), local + 1
+    return [words[i - 1] for i in used[1:]], local
+
+
+def _scattered(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by their places, of n."""
+    w = rows.shape[1]
+    where = at.astype(np.int64)[:, None] * w + np.arange(w)
+    return np.bincount(where.ravel(), rows.ravel(), n * w).reshape(n, w).astype(rows.dtype)
+
+
 class Network:
     """Parameters, forward and backward pass. Inputs are rows of word vectors; row 0 of a batch's vectors is padding."""
 
@@ -50,15 +74,21 @@ class Network:
 
     def vectors(self, words: list[str]) -> tuple[np.ndarray, tuple]:
         """A vector for padding and for each word; what the backward pass needs."""
-        if not words:
-            return np.zeros((1, 2 * WIDTH), np.float32), (np.zeros(0, np.int64),) * 3
-        ids = np.fromiter((zlib.crc32(w.encode()) & (BUCKETS - 1) for w in words), np.int64, len(words))
-        grams, sizes = _trigrams(words)
-        mean = np.add.reduceat(self.chars[grams], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
         out = np.zeros((len(words) + 1, 2 * WIDTH), np.float32)
-        out[1:, :WIDTH], out[1:, WIDTH:] = self.words[ids], mean
+        ids, grams, sizes = _features(words)
+        if words:
+            out[1:, :WIDTH] = self.words[ids]
+            out[1:, WIDTH:] = np.add.reduceat(self.chars[grams], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
         return out, (ids, grams, sizes)
 
+    def logits(self, words: list[str], windows: np.ndarray, rows: int = 1024) -> np.ndarray:
+        """Of all windows, some at a time; only the words of those get vectors."""
+        out = []
+        for a in range(0, len(windows), rows):
+            own, local = _local(words, windows[a : a + rows])
+            out.append(self.forward(self.vectors(own)[0], local)[0])
+        return np.concatenate(out) if out else np.zeros(0, np.float32)
+
     def _read(self, x: np.ndarray, live: np.ndarray, way: str, keep: bool):
         """States of one direction, steps x rows x hidden. x: steps x rows x 3 hidden, inputs already weighted."""
         h, n = HIDDEN, x.shape[1]
@@ -119,8 +149,7 @@ class Network:
                 dV += (r * before).T @ dc
                 dx[t] = np.concatenate([dzr, dc], 1)
                 carry = d * (1 - m * z) + back * r + dzr @ U.T
-            per_vector = np.zeros((len(vectors), 3 * hid), np.float32)
-            np.add.at(per_vector, steps.ravel(), dx.reshape(-1, 3 * hid))
+            per_vector = _scattered(steps.ravel(), dx.reshape(-1, 3 * hid), len(vectors))
             g |= {f"U{way}": dU, f"V{way}": dV, f"W{way}": vectors.T @ per_vector, f"c{way}": per_vector.sum(0)}
             dvec += per_vector @ p[f"W{way}"].T
         return g, dvec
@@ -134,7 +163,7 @@ def windows_of(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
     at = start[:, None] + np.arange(WINDOW)
     inside = at < sizes[doc][:, None]
-    padded = np.append(codes.astype(np.int64) + 1, 0)
+    padded = np.append(codes.astype(np.int32) + 1, 0).astype(np.int32)
     return np.where(inside, padded[np.where(inside, at + first[doc][:, None], len(codes))], 0), count
 
 
@@ -145,16 +174,15 @@ def _evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
     return np.where(t + c < 4, 0, np.clip(odds / np.sqrt(1 / t + 1 / c), -4, 4) / 2).astype(np.float32)
 
 
-def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 3, seed: int = 5) -> tuple[Network, np.ndarray]:
+def fit(texts: list[str] | pa.Array, toxic: np.ndarray, weight: np.ndarray, rounds: int = 3, seed: int = 5) -> tuple[Network, np.ndarray]:
     """The network and the three numbers of the document score. weight: documents that each one stands for."""
     net, r = Network(), np.random.default_rng(seed)
     if not len(texts) or toxic.all() or not toxic.any():
         share = 0.0 if not len(texts) else float(np.clip(toxic.mean(), 0.001, 0.999))
         return net, np.array([0.0, 0.0, np.log(share / (1 - share)) if share else -6.0])
-    words, codes, sizes = _words(pc.utf8_lower(pa.array(texts)))
+    words, codes, sizes = _words(pc.utf8_lower(texts if isinstance(texts, pa.Array) else pa.array(texts)))
     doc = np.repeat(np.arange(len(texts)), sizes)
-    grams, per_word = _trigrams(words)
-    ids = np.fromiter((zlib.crc32(w.encode()) & (BUCKETS - 1) for w in words), np.int64, len(words))
+    ids, grams, per_word = _features(words)
     pairs = np.unique(doc * BUCKETS + ids[codes])
     rude = toxic[pairs // BUCKETS]
     net.words[:, 0] = _evidence(*(np.bincount(pairs[k] % BUCKETS, minlength=BUCKETS) for k in (rude, ~rude)), int(toxic.sum()), int((~toxic).sum()))
@@ -173,8 +201,11 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 3
     owner = np.repeat(np.arange(len(texts)), count)
     keep = np.concatenate([np.unique(np.linspace(a, a + k - 1, min(k, DOC_WINDOWS)).astype(np.int64)) for a, k in zip(np.cumsum(count) - count, count)])
     windows, owner = windows[keep], owner[keep]
-    vectors, _ = net.vectors(words)
-    looks = np.where(windows > 0, (vectors[:, 0] + vectors[:, WIDTH])[windows], -9).max(1)
+    first = np.zeros(len(words) + 1, np.float32)
+    if words:
+        first[1:] = net.words[ids, 0] + np.add.reduceat(net.chars[grams, 0], start) / per_word
+    looks = np.where(windows > 0, first[windows], np.float32(-9)).max(1)
+    del grams, pairs, seen, doc, codes
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for _ in range(rounds):
@@ -186,9 +217,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 3
         shuffled = np.concatenate([r.permutation(picked) for _ in range(passes)])
         for a in range(0, len(shuffled), BATCH):
             rows = shuffled[a : a + BATCH]
-            used, local = np.unique(windows[rows], return_inverse=True)
-            used, local = (used, local.reshape(len(rows), WINDOW)) if used[0] == 0 else (np.concatenate([[0], used]), local.reshape(len(rows), WINDOW) + 1)
-            own = [words[i - 1] for i in used[1:]]
+            own, local = _local(words, windows[rows])
             x, (wid, gram, size) = net.vectors(own)
             logit, saved = net.forward(x, local, True)
             y = toxic[owner[rows]]
@@ -200,10 +229,9 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 3
                 m += 0.1 * (g[k] - m)
                 s += 0.01 * (g[k] ** 2 - s)
                 v -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
-            np.add.at(net.words, wid, -0.5 * dx[1:, :WIDTH])
-            np.add.at(net.chars, gram, np.repeat(-0.5 * dx[1:, WIDTH:] / size[:, None], size, axis=0))
-        vectors, _ = net.vectors(words)
-        looks = np.concatenate([net.forward(vectors, windows[a : a + 1024])[0] for a in range(0, len(windows), 1024)])
+            net.words -= 0.5 * _scattered(wid, dx[1:, :WIDTH], BUCKETS)
+            net.chars -= 0.5 * _scattered(gram, np.repeat(dx[1:, WIDTH:] / size[:, None], size, axis=0), BUCKETS)
+        looks = net.logits(words, windows)
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, owner, looks)
     features = np.stack([top, np.log(count), np.ones(len(texts))], 1)
@@ -239,10 +267,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 out.append(" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2)], names=["_id", "_text", "_toxic"])
 
-    got = rows.mapInArrow(thin, rows.schema).toArrow().sort_by("_id")
+    got = rows.mapInArrow(thin, rows.schema).toArrow().sort_by("_id").combine_chunks()
     toxic = np.array(got.column("_toxic").to_pylist(), bool)
     weight = np.where(toxic, 1 / max(share.get(True, 1.0), 1e-9), 1 / max(share.get(False, 1.0), 1e-9))
-    return fit(got.column("_text").to_pylist(), toxic, weight / (weight.mean() if len(weight) else 1))
+    texts = got.column("_text")
+    texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
+    del got
+    return fit(texts, toxic, weight / (weight.mean() if len(weight) else 1))
 
 
 def score(docs: DataFrame, model: tuple[Network, np.ndarray], text_col: str = "text", block_chars: int = 2_000_000) -> DataFrame:
@@ -262,8 +293,7 @@ def score(docs: DataFrame, model: tuple[Network, np.ndarray], text_col: str = "t
                 batch = whole.slice(a, b - a)
                 words, codes, sizes = _words(pc.utf8_lower(batch.column(at)))
                 windows, count = windows_of(codes, sizes)
-                vectors, _ = net.vectors(words)
-                logits = np.concatenate([net.forward(vectors, windows[i : i + 1024])[0] for i in range(0, len(windows), 1024)])
+                logits = net.logits(words, windows)
                 top = np.maximum.reduceat(logits, np.cumsum(count) - count)
                 p = _sigmoid(np.stack([top, np.log(count), np.ones(len(count))], 1) @ line)
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), pa.array(p.astype(np.float64)), pa.array((p >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
