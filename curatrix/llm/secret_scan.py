@@ -31,11 +31,11 @@ _FIRST, _CODES = 43, 80  # '+' to 'z'
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, text_col: str = "text", random_rows: int = 4000, ordinary_docs: int = 2000) -> DataFrame:
+def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", random_rows: int = 4000, ordinary_docs: int = 2000) -> DataFrame:
     """Training tokens: token, label (1 random, 0 ordinary). Both sides are bounded by the given numbers.
 
     Random: digests of numbers as hexadecimal, upper-case hexadecimal, base 64 and upper-case letters with digits.
-    Ordinary: the words of the ordinary_docs texts of docs with the smallest hashes (of at least 4 letters, not shaped
+    Ordinary: the words of about ordinary_docs texts of docs, by a bound on hashed ids (of at least 4 letters, not shaped
     like a base match), and identifiers made of two of a fixed list of programming words with a number.
     """
     n = spark.range(random_rows)
@@ -50,7 +50,8 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, text_co
     made = n.select(F.explode(F.array(F.concat_ws("_", one, two, number), F.concat(one, F.initcap(two), number), F.concat_ws("-", one, two, number), F.concat_ws("/", one, two, F.lit("index")))).alias("token")).select("token", F.lit(0).alias("label"))
     out = random.unionByName(made)
     if docs is not None:
-        picked = docs.select(text_of(text_col).alias("t")).orderBy(F.xxhash64("t")).limit(ordinary_docs)
+        share = min(1.0, ordinary_docs / max(1, docs.count()))
+        picked = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30)).select(text_of(text_col).alias("t"))
         found = picked.select(F.explode(F.regexp_extract_all("t", F.lit(rf"[{TOKEN_CHARS}]{{4,}}"), 0)).alias("token"))
         found = found.where(~F.col("token").rlike(f"{HEX}|{ACCESS}") & ~F.col("token").rlike(rf"^(?=.*[0-9])[{TOKEN_CHARS}]{{{TOKEN_LEAST},}}$")).select("token", F.lit(0).alias("label"))
         out = out.unionByName(found)
