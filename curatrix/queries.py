@@ -358,3 +358,63 @@ def interval_containment(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", _seconds("ts").alias("at"), F.lit(1).alias("k"))
     spans = spark.range(31).select(c("id").alias("day"), (c("id") * 86400.0).alias("start"), (c("id") * 86400.0 + 43200.0).alias("end"), F.lit(1).alias("k"))
     return joins.containing(e, spans, "at", "start", "end", ["k"], 43200.0).select("event_id", "day")
+
+
+# ---- More of the same operators -----------------------------------------------------------------------
+
+
+@query("SELECT o_custkey, o_orderpriority, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) AS r FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)) WHERE r = 1")
+def mode_values(spark, sf_dir):
+    """Each customer's most frequent priority; ties go by name."""
+    return series.mode(read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority", [c("o_orderpriority")]).select("o_custkey", "o_orderpriority", "n")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_offset FROM lineitem")
+def running_offsets(spark, sf_dir):
+    """Where each line would start if an order's lines were played in order."""
+    before = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, -1)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(F.sum("l_quantity").over(before), F.lit(0.0)).alias("start_offset"))
+
+
+@query("SELECT DISTINCT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON (a.p_name = b.p_name OR a.p_retailprice = b.p_retailprice) WHERE a.p_size = 1 AND b.p_size = 2")
+def either_key_pairs(spark, sf_dir):
+    """Parts of one size that share their name or price with parts of another."""
+    p = read(spark, sf_dir, "part").withColumn("price", c("p_retailprice").cast("string"))
+    return joins.either_key(p.where("p_size = 1"), p.where("p_size = 2"), [("p_name", "p_name"), ("price", "price")], "p_partkey", "p_partkey")
+
+
+@query("SELECT s_suppkey, n_name || ' ' || s_name AS turned, lower(n_name || ' ' || replace(s_name, '#', '')) AS k0 FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def turned_names(spark, sf_dir):
+    """``Last, First`` names turned round, and their letters."""
+    j = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), c("s_nationkey") == c("n_nationkey"))
+    turned = t.first_last(F.concat_ws(", ", "s_name", "n_name"))
+    return j.select("s_suppkey", turned.alias("turned"), F.replace(F.lower(turned), F.lit("#"), F.lit("")).alias("k0"))
+
+
+@query("SELECT p_partkey, 'numbered' AS kind, 'Brand#' || regexp_extract(p_brand, '(\\d+)', 1) AS series, lpad(p_size::VARCHAR, 2, '0') AS number, p_name AS title FROM part")
+def folder_styles(spark, sf_dir):
+    """Folder names written in a style and read back."""
+    name = t.styled_folder(F.lit("numbered"), c("p_brand"), c("p_size").cast("string"), F.lit(2), c("p_name"))
+    return read(spark, sf_dir, "part").select("p_partkey", t.folder_style(name).alias("s")).select("p_partkey", "s.kind", "s.series", "s.number", "s.title")
+
+
+@query("SELECT p_name AS value, count(*) AS items, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) FILTER (r <= 3) AS refs FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part) GROUP BY 1 HAVING count(*) < 30")
+def narrow_with_refs(spark, sf_dir):
+    """Values that few parts have, with the first three of them."""
+    g = read(spark, sf_dir, "part").groupBy(c("p_name").alias("value")).agg(F.count(F.lit(1)).alias("items"), F.slice(F.array_sort(F.collect_list("p_partkey")), 1, 3).alias("r")).where("items < 30")
+    return g.select("value", "items", F.array_join("r", ",").alias("refs"))
+
+
+@query("SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS finished FROM customer WHERE lower(c_mktsegment) = 'building' AND c_acctbal > 0")
+def structured_filter(spark, sf_dir):
+    """Customers of a segment in any case with money, and how many of their orders are done."""
+    done = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("finished"))
+    rows = read(spark, sf_dir, "customer").where((F.lower("c_mktsegment") == "building") & (c("c_acctbal") > 0))
+    return rows.join(done, c("c_custkey") == c("o_custkey"), "left").select("c_custkey", "c_name", F.coalesce("finished", F.lit(0)).cast("long").alias("finished"))
+
+
+@query(f"SELECT page_id, CASE WHEN b = '' THEN 'none' ELSE b END AS base, octet_length(encode(p)) AS bytes FROM (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS b, {plain_sql('html')} AS p FROM pages)")
+def page_names(spark, sf_dir):
+    """The last part of each address, and the bytes of the page's text."""
+    base = t.base_name(c("url"))
+    return read(spark, sf_dir, "pages").select("page_id", F.when(base == "", "none").otherwise(base).alias("base"), F.octet_length(t.plain_text(c("html"))).cast("long").alias("bytes"))
