@@ -3,8 +3,8 @@
 A word enters as the sum of two views: a vector of its own (hashed) and the mean of the vectors of its character
 trigrams. Both start from how much more often the word, or trigram, stands in toxic documents. The network reads windows of
 ``WINDOW`` words forwards and backwards, pools its states by attention and gives a logit. It is trained on a bounded sample
-of labelled documents: of a toxic document on the windows that look worst (first by the starting values, then to
-the network itself), of a clean one on its worst and on others. A document's score is a logistic function of the highest
+of labelled documents: of a toxic document on the window that looks worst (first by the starting values, then to
+the network itself) and others that look bad, of a clean one on its worst and on others. A document's score is a logistic function of the highest
 logit among all its overlapping windows and of their number, fitted on the same sample.
 """
 
@@ -207,11 +207,13 @@ def fit(texts: list[str] | pa.Array, toxic: np.ndarray, weight: np.ndarray, roun
     looks = np.where(windows > 0, first[windows], np.float32(-9)).max(1)
     del grams, pairs, seen, doc, codes
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
+    step, bad = 0, 2.0
     for _ in range(rounds):
         order = np.lexsort((-looks, owner))
         place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-        good = (sizes[owner[order]] > 0) & (place < np.where(toxic[owner[order]], 2, 3))
+        # of a toxic document the worst window, and the next ones only if they look bad themselves
+        good = (sizes[owner[order]] > 0) & ((place == 0) | ((place < 3) & (~toxic[owner[order]] | (looks[order] > bad))))
+        bad = 0.0  # from now on, looks are logits
         picked = np.concatenate([order[good], r.choice(np.nonzero(~toxic[owner])[0], min(4000, int((~toxic[owner]).sum())), replace=False)])
         passes = -(-STEPS // (rounds * -(-len(picked) // BATCH)))
         shuffled = np.concatenate([r.permutation(picked) for _ in range(passes)])

@@ -192,15 +192,15 @@ def test_document_weights_equal_a_plain_loop():
     got = m.document_log2(spelt[ids], counts[ids], ids, np.array([70, 0, 20]))
     for k, words in enumerate([ids[:70], ids[:0], ids[70:]]):
         start = np.array([(1 - m.word_share) * (1 - mixing.OWN_SHARE), m.word_share * (1 - mixing.OWN_SHARE), mixing.OWN_SHARE])
-        weights, seen, new, total = start, np.zeros(3), np.zeros(3), 0.0
+        weights, credit, total = start, np.zeros(3), 0.0
         for at, w in enumerate(words):
             if at and at % mixing.STEP == 0:
-                seen, new = seen * mixing.KEEP + new, np.zeros(3)
-                weights = mixing.PRIOR_WORDS * start + seen
-                weights = weights / weights.sum()
+                weights = weights * np.exp(mixing.RATE * (credit - mixing.STEP * weights))
+                weights = np.maximum(weights / weights.sum(), mixing.LEAST_SHARE)
+                weights, credit = weights / weights.sum(), np.zeros(3)
             p = weights * np.array([2.0 ** spelt[w], counts[w] / 95, (words[:at] == w).sum() / max(at, 1)])
             total += math.log2(p.sum())
-            new = new + p / p.sum()
+            credit = credit + p / p.sum()
         assert abs(total - got[k]) < 1e-6
 
 
@@ -382,15 +382,15 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     r = random.Random(8)
     calm = ["".join(r.choices("abcdefgh", k=4)) for _ in range(300)]
     rows = []
-    for i in range(240):
+    for i in range(720):
         words = r.choices(calm, k=60)
         if i % 6 == 0:
             words[3:3] = ["vilex", "rotting"]
         rows.append((i, " ".join(words)))
-    rows += [(300, rows[1][1]), (301, rows[2][1].replace(" ", "\n", 3)), (302, rows[3][1] + " tail"), (303, "here token = abcdef0123 there"), (304, None), (305, "")]
+    rows += [(1300, rows[1][1]), (1301, rows[2][1].replace(" ", "\n", 3)), (1302, rows[3][1] + " tail"), (1303, "here token = abcdef0123 there"), (1304, None), (1305, "")]
     table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     table.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(720)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     frames = table
     kept = []
     for name, stage in corpus_pipeline.STAGES:
@@ -400,11 +400,11 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
             frames = frames.cache()
             kept.append({x.doc_id for x in frames.collect()})
             if name == "secret_scan":
-                assert frames.where("doc_id = 303").first().text == "here <secret> there"
-    clean = {i for i in range(240) if i % 6}
-    assert len(clean - kept[0]) <= 2 and len({i for i in range(240) if i % 6 == 0} & kept[0]) <= 2
-    assert not {300, 301, 305} & kept[1] and {302, 303, 304} <= kept[1]
-    assert 302 not in kept[2] and kept[3] == kept[2]
+                assert frames.where("doc_id = 1303").first().text == "here <secret> there"
+    clean = {i for i in range(720) if i % 6}
+    assert len(clean - kept[0]) <= 8 and len({i for i in range(720) if i % 6 == 0} & kept[0]) <= 4
+    assert not {1300, 1301, 1305} & kept[1] and {1302, 1303, 1304} <= kept[1]
+    assert 1302 not in kept[2] and kept[3] == kept[2]
     assert {x.doc_id for x in frames.collect()} == kept[3]
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[3]
 
