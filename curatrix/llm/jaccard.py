@@ -372,4 +372,4 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     """The rows of docs whose id is the smallest of its component; texts without words all stay, and so do null ids."""
     found = link_components(docs, n, num, den, id_col, text_col)
     drop = found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(drop, docs[id_col] == drop["_gone"], "left_anti")
