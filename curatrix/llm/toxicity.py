@@ -3,9 +3,9 @@
 A word enters as the sum of two views: a vector of its own (hashed) and the mean of the vectors of its character
 trigrams. Both start from how much more often the word, or trigram, stands in toxic documents. The network reads windows of
 ``WINDOW`` words forwards and backwards, pools its states by attention and gives a logit. It is trained on a bounded sample
-of labelled documents: of a toxic document on the window that looks worst (first by the starting values, then to
-the network itself) and others that look bad, of a clean one on its worst and on others. A document's score is a logistic function of the highest
-logit among all its overlapping windows and of their number, fitted on the same sample.
+of labelled documents, each whole: of a toxic document on the window that looks worst among all (first by the starting
+values, then to the network itself) and others that look bad, of a clean one on its worst and on others. A document's score
+is a logistic function of the highest logit among all its overlapping windows and of their number, fitted on the same sample.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
+from curatrix.llm.common import written
 from curatrix.llm.language import BUCKETS, _trigrams, _words
 from curatrix.llm.pieces import _blocks
 
@@ -27,8 +28,12 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 12, 8
 #: Windows of one training step, and the steps that training takes at least.
 BATCH, STEPS = 256, 200
-#: Labelled documents that training reads, about, and the windows that it takes of each at most (evenly spread).
-TOXIC_DOCS, CLEAN_DOCS, DOC_WINDOWS = 2000, 3000, 40
+#: Labelled documents that training reads, about, each whole.
+TOXIC_DOCS, CLEAN_DOCS = 2000, 3000
+#: Of the windows of each, all of which are scored, the worst that train; and the other windows of clean ones that do, about.
+WORST, CLEAN_WINDOWS = 3, 4000
+#: Characters of texts that a task takes at once, or one text.
+BLOCK_CHARS = 2_000_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -89,6 +94,14 @@ class Network:
             out.append(self.forward(self.vectors(own)[0], local)[0])
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
+    def first_looks(self, words: list[str], windows: np.ndarray) -> np.ndarray:
+        """The highest starting value of each window's words."""
+        ids, grams, sizes = _features(words)
+        value = np.zeros(len(words) + 1, np.float32)
+        if words:
+            value[1:] = self.words[ids, 0] + np.add.reduceat(self.chars[grams, 0], np.cumsum(sizes) - sizes) / sizes
+        return np.where(windows > 0, value[windows], np.float32(-9)).max(1)
+
     def _read(self, x: np.ndarray, live: np.ndarray, way: str, keep: bool):
         """States of one direction, steps x rows x hidden. x: steps x rows x 3 hidden, inputs already weighted."""
         h, n = HIDDEN, x.shape[1]
@@ -174,56 +187,128 @@ def _evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
     return np.where(t + c < 4, 0, np.clip(odds / np.sqrt(1 / t + 1 / c), -4, 4) / 2).astype(np.float32)
 
 
-def fit(texts: list[str] | pa.Array, toxic: np.ndarray, weight: np.ndarray, rounds: int = 3, seed: int = 5) -> tuple[Network, np.ndarray]:
-    """The network and the three numbers of the document score. weight: documents that each one stands for."""
+def _tally(rows: DataFrame) -> np.ndarray:
+    """In how many documents of rows (key, text, toxic) each bucket stands: words of clean and of toxic documents, then
+    trigrams; then the clean and the toxic documents, and the windows of clean ones. One array of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(4 * BUCKETS + 3, np.int64)
+        tally = out[: 4 * BUCKETS].reshape(2, 2, BUCKETS)
+        for whole in batches:
+            for a, b in _blocks(whole.column(1), BLOCK_CHARS):
+                batch = whole.slice(a, b - a)
+                toxic = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                words, codes, sizes = _words(pc.utf8_lower(batch.column(1)))
+                out[4 * BUCKETS :] += [int((~toxic).sum()), int(toxic.sum()), int(windows_of(codes, sizes)[1][~toxic].sum())]
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                ids, grams, per_word = _features(words)
+                start = np.cumsum(per_word) - per_word
+                pairs = np.unique(doc * BUCKETS + ids[codes])
+                seen = np.unique(doc * np.int64(max(1, len(words))) + codes)
+                d, w = seen // max(1, len(words)), seen % max(1, len(words))
+                cuts = np.searchsorted(d, np.arange(0, len(sizes) + 100, 100))
+                for k in (0, 1):
+                    tally[0, k] += np.bincount(pairs[toxic[pairs // BUCKETS] == bool(k)] % BUCKETS, minlength=BUCKETS)
+                for i, j in zip(cuts[:-1], cuts[1:]):  # documents by the hundred, as each brings all trigrams of its words
+                    n = per_word[w[i:j]]
+                    each = np.unique(np.repeat(d[i:j], n) * BUCKETS + grams[np.repeat(start[w[i:j]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+                    for k in (0, 1):
+                        tally[1, k] += np.bincount(each[toxic[each // BUCKETS] == bool(k)] % BUCKETS, minlength=BUCKETS)
+        at = np.nonzero(out)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["at", "n"])
+
+    got = rows.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(4 * BUCKETS + 3, np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _drawn(key: np.ndarray, number: np.ndarray, turn: int) -> np.ndarray:
+    """A number from 0 to 1 for each window, by hash."""
+    x = (key.astype(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for shift in (31, 29):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(11)) / float(1 << 53)
+
+
+def _worst(rows: DataFrame, net: Network, turn: int, share: float) -> pa.Table:
+    """key, toxic, count (of windows), looks, windows (their words) of each document, by key: the WORST windows of all that
+    the whole text has, worst first (in turn 0 by the starting values, then by the network), then, of clean documents,
+    others, a share of all. Texts are read in tasks; those windows come to the driver."""
+    sent = rows.sparkSession.sparkContext.broadcast(net)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = sent.value
+        for whole in batches:
+            for a, b in _blocks(whole.column(1), BLOCK_CHARS):
+                batch = whole.slice(a, b - a)
+                key, toxic = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                words, codes, sizes = _words(pc.utf8_lower(batch.column(1)))
+                windows, count = windows_of(codes, sizes)
+                looks = net.logits(words, windows) if turn else net.first_looks(words, windows)
+                owner, first = np.repeat(np.arange(len(count)), count), np.cumsum(count) - count
+                number = np.arange(len(owner)) - first[owner]
+                top = np.lexsort((-looks, owner))[number < WORST]
+                others = np.nonzero(~toxic[owner] & (_drawn(key[owner], number, turn) < share))[0]
+                at = np.concatenate([top, others])
+                at = at[np.argsort(owner[at], kind="stable")]
+                outer = np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(count)))]).astype(np.int32)
+                live = windows[at] > 0
+                inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(live.sum(1))]).astype(np.int32)), pa.array(words, pa.string()).take(pa.array(windows[at][live] - 1)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(outer), pa.array(looks[at].astype(np.float32))), pa.ListArray.from_arrays(pa.array(outer), inner)],
+                    names=["key", "toxic", "count", "looks", "windows"],
+                )
+
+    got = rows.mapInArrow(run, "key long, toxic boolean, count long, looks array<float>, windows array<array<string>>").toArrow().combine_chunks().sort_by("key").combine_chunks()
+    sent.unpersist()
+    return got
+
+
+def _numbered(windows: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Distinct words of windows (lists of words), and the windows by the numbers of those; 0 pads."""
+    coded = windows.flatten().dictionary_encode()
+    out = np.zeros((len(windows), WINDOW), np.int32)
+    out[np.arange(WINDOW) < pc.list_value_length(windows).to_numpy(zero_copy_only=False)[:, None]] = coded.indices.to_numpy() + 1
+    return coded.dictionary.to_pylist(), out
+
+
+def fit(rows: DataFrame, weights: tuple[float, float], rounds: int = 3, seed: int = 5) -> tuple[Network, np.ndarray]:
+    """The network and the three numbers of the document score. rows: key, text, toxic. weights: documents that a clean and a
+    toxic one stand for."""
     net, r = Network(), np.random.default_rng(seed)
-    if not len(texts) or toxic.all() or not toxic.any():
-        share = 0.0 if not len(texts) else float(np.clip(toxic.mean(), 0.001, 0.999))
+    tally = _tally(rows)
+    n_clean, n_toxic, clean_windows = (int(x) for x in tally[4 * BUCKETS :])
+    if not n_clean or not n_toxic:
+        share = 0.0 if not n_clean + n_toxic else float(np.clip(n_toxic / (n_clean + n_toxic), 0.001, 0.999))
         return net, np.array([0.0, 0.0, np.log(share / (1 - share)) if share else -6.0])
-    words, codes, sizes = _words(pc.utf8_lower(texts if isinstance(texts, pa.Array) else pa.array(texts)))
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    ids, grams, per_word = _features(words)
-    pairs = np.unique(doc * BUCKETS + ids[codes])
-    rude = toxic[pairs // BUCKETS]
-    net.words[:, 0] = _evidence(*(np.bincount(pairs[k] % BUCKETS, minlength=BUCKETS) for k in (rude, ~rude)), int(toxic.sum()), int((~toxic).sum()))
-    start = np.cumsum(per_word) - per_word
-    seen = np.unique(doc * np.int64(len(words)) + codes)
-    cuts = np.searchsorted(seen, np.arange(0, len(texts) + 500, 500) * len(words))
-    tally = np.zeros((2, BUCKETS))
-    for a, b in zip(cuts[:-1], cuts[1:]):  # documents by the hundred, as each brings all trigrams of its words
-        d, w = seen[a:b] // len(words), seen[a:b] % len(words)
-        n = per_word[w]
-        each = np.unique(np.repeat(d, n) * BUCKETS + grams[np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-        for k in (0, 1):
-            tally[k] += np.bincount(each[toxic[each // BUCKETS] == bool(k)] % BUCKETS, minlength=BUCKETS)
-    net.chars[:, 0] = _evidence(tally[1], tally[0], int(toxic.sum()), int((~toxic).sum()))
-    windows, count = windows_of(codes, sizes)
-    owner = np.repeat(np.arange(len(texts)), count)
-    keep = np.concatenate([np.unique(np.linspace(a, a + k - 1, min(k, DOC_WINDOWS)).astype(np.int64)) for a, k in zip(np.cumsum(count) - count, count)])
-    windows, owner = windows[keep], owner[keep]
-    first = np.zeros(len(words) + 1, np.float32)
-    if words:
-        first[1:] = net.words[ids, 0] + np.add.reduceat(net.chars[grams, 0], start) / per_word
-    looks = np.where(windows > 0, first[windows], np.float32(-9)).max(1)
-    del grams, pairs, seen, doc, codes
+    (word_clean, word_toxic), (gram_clean, gram_toxic) = tally[: 4 * BUCKETS].reshape(2, 2, BUCKETS)
+    net.words[:, 0] = _evidence(word_toxic, word_clean, n_toxic, n_clean)
+    net.chars[:, 0] = _evidence(gram_toxic, gram_clean, n_toxic, n_clean)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step, bad = 0, 2.0
-    for _ in range(rounds):
-        order = np.lexsort((-looks, owner))
-        place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+    step = 0
+    for turn in range(rounds):
+        got = _worst(rows, net, turn, min(1.0, CLEAN_WINDOWS / clean_windows))
+        lists, looks = got.column("windows").combine_chunks(), got.column("looks").combine_chunks().flatten().to_numpy()
+        toxic, count = np.array(got.column("toxic").to_pylist(), bool), got.column("count").to_numpy()
+        per = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        words, windows = _numbered(lists.flatten())
+        del got, lists
+        owner = np.repeat(np.arange(len(per)), per)
+        place = np.arange(len(owner)) - (np.cumsum(per) - per)[owner]
+        other = place >= np.minimum(count, WORST)[owner]
         # of a toxic document the worst window, and the next ones only if they look bad themselves
-        good = (sizes[owner[order]] > 0) & ((place == 0) | ((place < 3) & (~toxic[owner[order]] | (looks[order] > bad))))
-        bad = 0.0  # from now on, looks are logits
-        picked = np.concatenate([order[good], r.choice(np.nonzero(~toxic[owner])[0], min(4000, int((~toxic[owner]).sum())), replace=False)])
-        passes = -(-STEPS // (rounds * -(-len(picked) // BATCH)))
+        good = (windows[:, 0] > 0) & ((place == 0) | (~other & (~toxic[owner] | (looks > (0.0 if turn else 2.0)))))
+        picked = np.nonzero(good | other)[0]
+        passes = -(-STEPS // (rounds * -(-max(1, len(picked)) // BATCH)))
         shuffled = np.concatenate([r.permutation(picked) for _ in range(passes)])
         for a in range(0, len(shuffled), BATCH):
-            rows = shuffled[a : a + BATCH]
-            own, local = _local(words, windows[rows])
+            batch = shuffled[a : a + BATCH]
+            own, local = _local(words, windows[batch])
             x, (wid, gram, size) = net.vectors(own)
             logit, saved = net.forward(x, local, True)
-            y = toxic[owner[rows]]
-            error = ((_sigmoid(logit) - y) * np.where(y, 1.5, 1.0) / len(rows)).astype(np.float32)
+            y = toxic[owner[batch]]
+            error = ((_sigmoid(logit) - y) * np.where(y, 1.5, 1.0) / len(batch)).astype(np.float32)
             g, dx = net.backward(error, saved)
             step += 1
             for k, v in net.p.items():
@@ -233,10 +318,12 @@ def fit(texts: list[str] | pa.Array, toxic: np.ndarray, weight: np.ndarray, roun
                 v -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
             net.words -= 0.5 * _scattered(wid, dx[1:, :WIDTH], BUCKETS)
             net.chars -= 0.5 * _scattered(gram, np.repeat(dx[1:, WIDTH:] / size[:, None], size, axis=0), BUCKETS)
-        looks = net.logits(words, windows)
-    top = np.full(len(texts), -np.inf)
-    np.maximum.at(top, owner, looks)
-    features = np.stack([top, np.log(count), np.ones(len(texts))], 1)
+    got = _worst(rows, net, rounds, 0.0)
+    toxic, count = np.array(got.column("toxic").to_pylist(), bool), got.column("count").to_numpy()
+    top = pc.list_element(got.column("looks").combine_chunks(), 0).to_numpy(zero_copy_only=False)
+    weight = np.where(toxic, weights[1], weights[0])
+    weight = weight / weight.mean()
+    features = np.stack([top, np.log(count), np.ones(len(top))], 1)
     line = np.array([1.0, 0.0, 0.0])
     for _ in range(30):  # Newton steps of a weighted logistic regression
         q = _sigmoid(features @ line)
@@ -247,38 +334,18 @@ def fit(texts: list[str] | pa.Array, toxic: np.ndarray, weight: np.ndarray, roun
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Network, np.ndarray]:
     """Fits on about TOXIC_DOCS toxic and CLEAN_DOCS clean documents (by hashed id) that have a label; null labels don't
-    count, of several labels the highest does. The driver gets those documents' words, of very long ones as many as
-    DOC_WINDOWS evenly spread windows hold.
+    count, of several labels the highest does. Their whole texts are read in tasks; the driver gets the windows that train.
     """
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).alias("_toxic"))
-    sizes = {r["_toxic"]: r["count"] for r in marked.groupBy("_toxic").count().collect()}
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).alias("toxic"))
+    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     share = {k: min(1.0, (TOXIC_DOCS if k else CLEAN_DOCS) / n) for k, n in sizes.items()}
-    bound = F.when(F.col("_toxic"), share.get(True, 0.0)).otherwise(share.get(False, 0.0))
+    bound = F.when(F.col("toxic"), share.get(True, 0.0)).otherwise(share.get(False, 0.0))
     picked = marked.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < bound * (1 << 30))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("_id", "_text", "_toxic")
-    limit = DOC_WINDOWS * WINDOW
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t in batch.column(1):
-                words = (t.as_py() or "").split()
-                if len(words) > limit:
-                    at = np.unique(np.linspace(0, len(words) - WINDOW, DOC_WINDOWS).astype(int))
-                    words = [w for a in at for w in words[a : a + WINDOW]]
-                out.append(" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2)], names=["_id", "_text", "_toxic"])
-
-    got = rows.mapInArrow(thin, rows.schema).toArrow().sort_by("_id").combine_chunks()
-    toxic = np.array(got.column("_toxic").to_pylist(), bool)
-    weight = np.where(toxic, 1 / max(share.get(True, 1.0), 1e-9), 1 / max(share.get(False, 1.0), 1e-9))
-    texts = got.column("_text")
-    texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
-    del got
-    return fit(texts, toxic, weight / (weight.mean() if len(weight) else 1))
-
-
-def score(docs: DataFrame, model: tuple[Network, np.ndarray], text_col: str = "text", block_chars: int = 2_000_000) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "_id").select(F.xxhash64("_id", "text").alias("key"), "text", "toxic")
+    return fit(written(rows, "toxicity-sample"), (1 / max(share.get(False, 1.0), 1e-9), 1 / max(share.get(True, 1.0), 1e-9)))
+
+
+def score(docs: DataFrame, model: tuple[Network, np.ndarray], text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from 0.5 on), from all windows of each whole text.
 
     A null text, like one without letters, has one empty window, and so a score too. Columns with these names are replaced.

@@ -376,6 +376,23 @@ def test_toxicity_learns(spark):
     assert all(x.predicted == 0 for x in toxicity.score(docs(spark, rows[:5]), none).collect())
 
 
+def test_toxicity_trains_on_whole_documents(spark):
+    """A bad passage of twelve words anywhere in thousands is seen in training."""
+    r = random.Random(7)
+    calm = ["".join(r.choices("abcdefgh", k=5)) for _ in range(300)]
+    rude = ["vilex", "rotting", "swinely", "gutter"]
+    rows = []
+    for i in range(160):
+        words = r.choices(calm, k=4000)
+        if i % 2:
+            at = round(r.randrange(39) * (4000 - 32) / 39) + 45  # between evenly spread pieces
+            words[at : at + 12] = r.choices(rude, k=12)
+        rows.append((i, " ".join(words), 0))
+    marks = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.score(docs(spark, rows), toxicity.train(docs(spark, rows), marks)).collect()}
+    assert sum(got[i] == i % 2 for i in range(100, 160)) >= 57
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
