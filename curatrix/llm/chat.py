@@ -10,8 +10,10 @@ A turn is ``<|role|>\\n`` + text + ``<|end|>\\n``. Inside roles and texts every
 strings of other templates, gets a backslash after its first character, however many follow it already, so escaping is
 reversible.
 
-Trees stay small: conversations with one first turn are dealt into as many trees as that needs (``tree_conversations`` each on
-average), so a first turn that a third of all conversations share is repeated once for each of those trees.
+Trees stay small (``tree_conversations`` on average). Opening turns that more conversations share are a large prefix; of
+a conversation the longest large prefix counts. Conversations that go on from it with one turn stay in one tree; only the
+different next turns are dealt into as many trees as that needs, and the conversations that end with it by id. So turns
+are repeated for several trees only as part of a large prefix, whole copies only if there are more than a tree holds.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm.common import written
+
 #: Control strings of this template and of common others. Fixed values.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<bos>", "<eos>", "<start_of_turn>", "<end_of_turn>")
 END = "<|end|>\n"
@@ -109,17 +113,29 @@ _NODES = "array<struct<node:int,parent:int,role:string,start:long,stop:long,posi
 
 
 def format_trees(turns: DataFrame, tree_conversations: int = 256) -> DataFrame:
-    """One row for each tree: tree (its number within its first turn), text, nodes. turns: conv_id, turn, role, text.
+    """One row for each tree: first (hash of the turns that all its conversations open with), tree (its number among those
+    with that), text, nodes. turns: conv_id, turn, role, text.
 
     Null roles and texts count as empty; turns go by number, null first, rows with one number by role and text; a row with
     a null conv_id belongs to the conversation with that id. An empty table gives an empty result.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    first = F.xxhash64(F.get("turns", F.lit(0))["role"], F.get("turns", F.lit(0))["text"])
-    convs = convs.withColumn("first", first)
-    trees = convs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / tree_conversations).alias("trees"))
-    dealt = convs.join(trees, "first").withColumn("tree", F.pmod(F.xxhash64("conv_id"), F.col("trees")).cast("long"))
+    key = ["_id", "_none"]  # a null id stays apart from all others
+    keyed = turns.withColumn("_id", F.coalesce("conv_id", F.lit(0))).withColumn("_none", F.col("conv_id").isNull())
+    convs = keyed.groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    longer = lambda path, t: F.concat(path, F.array(F.xxhash64(F.coalesce(F.get(path, F.size(path) - 1), F.lit(0).cast("long")), t["role"], t["text"])))
+    paths = written(convs.select(*key, F.aggregate("turns", F.lit([]).cast("array<long>"), longer).alias("path")), "chat-paths")
+    steps = paths.select(*key, F.posexplode("path").alias("depth", "prefix"), "path")
+    large = written(steps.groupBy("prefix").count().where(F.col("count") > tree_conversations).select("prefix"), "chat-large")
+    # a prefix is larger than those that go on from it, so the deepest large one tells of all
+    deepest = steps.select(*key, "depth", "prefix").join(large, "prefix").groupBy(*key).agg(F.max("depth").alias("depth"))
+    depth = F.coalesce("depth", F.lit(0))
+    after = F.coalesce(F.get("path", depth + 1), F.xxhash64(*key))
+    placed = written(paths.join(deepest, key, "left").select(*key, F.get("path", depth).alias("first"), after.alias("after")), "chat-places")
+    pools = written(placed.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / tree_conversations).alias("trees")).where("trees > 1"), "chat-pools")
+    tree = F.pmod(F.xxhash64("after"), F.coalesce("trees", F.lit(1))).cast("long")
+    dealt = convs.join(placed.join(pools, "first", "left").select(*key, "first", tree.alias("tree")), key)
+    dealt = dealt.select(F.when(~F.col("_none"), F.col("_id")).alias("conv_id"), "turns", "first", "tree")
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.sort_by("conv_id").to_pylist()

@@ -313,6 +313,21 @@ def test_chat_trees(spark):
     assert chat.format_trees(df.where("false")).count() == 0
 
 
+def test_chat_trees_share_turns_of_large_groups(spark):
+    """600 conversations with one opening: each of 30 second turns stands once, and so does one that 20 copies have."""
+    convs = {c: [("system", "be kind"), ("user", f"q{c % 30}"), ("assistant", f"a{c}" if c % 30 else "copy")] for c in range(600)}
+    df = spark.createDataFrame([(c, k, *t) for c, said in convs.items() for k, t in enumerate(said)], "conv_id long, turn long, role string, text string")
+    trees = chat.format_trees(df, 64).collect()
+    whole = "".join(x.text for x in trees)
+    assert all(whole.count(chat.formatted_turn("user", f"q{k}")) == 1 for k in range(30)) and whole.count(chat.formatted_turn("assistant", "copy")) == 1
+    assert whole.count(chat.formatted_turn("system", "be kind")) == len(trees) <= 10
+    deep = chat.format_trees(df, 16)  # second turns are large too: 20 conversations each
+    nodes = [n for x in deep.collect() for n in x.nodes]
+    assert sum(n.role == "user" for n in nodes) <= 60 and sum(len(n.conv_ids) for n in nodes) == 600
+    got = {x.conv_id: x.formatted for x in chat.read_back(deep).collect()}
+    assert got == {c: "".join(chat.formatted_turn(*t) for t in said) for c, said in convs.items()}
+
+
 # ---- toxicity -------------------------------------------------------------------------------------------
 
 
