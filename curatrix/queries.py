@@ -278,10 +278,8 @@ def length_band_pairs(spark, sf_dir):
 def ordered_subsequence(spark, sf_dir):
     """Conversations whose turns' lengths a longer one has in the same order, among those that open alike."""
     t_ = read(spark, sf_dir, "conversations").select(c("conv_id").cast("string").alias("item_id"), c("turn").cast("int").alias("idx"), F.length(F.coalesce("text", F.lit(""))).cast("double").alias("duration"), F.md5("text").alias("filename"), F.lit(0).cast("long").alias("size"))
-    first = t_.where("idx = 0").groupBy("filename").agg(F.collect_list("item_id").alias("ids")).where(F.size("ids").between(2, duplicates.PLACEHOLDER))
-    one = first.select("filename", F.explode("ids").alias("id"))
-    pairs = one.select("filename", c("id").alias("short_id")).join(one.select("filename", c("id").alias("long_id")), "filename").where("short_id != long_id").select("short_id", "long_id")
-    return duplicates.incomplete(pairs, t_).select("short_id", "long_id", "held", F.size("missing").alias("missing"))
+    opening = t_.where("idx = 0").select("item_id", c("filename").alias("shared"))
+    return duplicates.incomplete_among(opening, t_).select("short_id", "long_id", "held", F.size("missing").alias("missing"))
 
 
 @query("SELECT l_partkey, l_suppkey, price, quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY price, quantity DESC, l_suppkey) AS r FROM (SELECT l_partkey, l_suppkey, min(l_extendedprice) AS price, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL)) WHERE r = 1")

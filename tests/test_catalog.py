@@ -288,3 +288,27 @@ def test_sessions_stream(spark, tmp_path):
     sessions.write(sessions.daily(sessions.read(spark, src)), out, ck).awaitTermination()
     got = {(str(r.day), r.seconds, r.sessions) for r in spark.read.parquet(out).collect()}
     assert {("2026-01-01", 120.0, 2), ("2026-01-02", 60.0, 1)} <= got
+
+
+def test_ordered_subsequence_of_large_groups(spark, tmp_path):
+    """All pairs by hand, where 150 conversations have one opening."""
+    import random
+
+    from curatrix import queries
+    from curatrix.functions.arrays import _held
+
+    r = random.Random(4)
+    convs = {i: ["you are kind"] + ["x" * r.choice([3, 5, 9, 14, 40]) + r.choice("ab") for _ in range(r.randrange(0, 7))] for i in range(140)}
+    convs |= {i: list(convs[i - 140]) for i in range(140, 150)}
+    convs |= {200: ["other", "abc"], 201: ["other", "abc", "xyz123"], 202: ["alone"]}
+    rows = [(i, k, "user", x) for i, said in convs.items() for k, x in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    tracks = {i: [{"duration": float(len(x)), "filename": x, "size": 0} for x in said] for i, said in convs.items()}
+    want = {}
+    for a, short in tracks.items():
+        for b, long in tracks.items():
+            h = _held(short, long) if convs[a][0] == convs[b][0] else None
+            if h:
+                want[str(a)] = max(want.get(str(a), (0, "")), (len(long), str(b), h[0], len(h[1])))
+    got = {x.short_id: (x.long_id, x.held, x.missing) for x in queries.ordered_subsequence(spark, str(tmp_path)).collect()}
+    assert len(want) > 50 and got == {a: x[1:] for a, x in want.items()}
