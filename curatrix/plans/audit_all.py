@@ -1,28 +1,110 @@
-"""Every audit of a catalogue in one result: check, field, found."""
+"""The audits of a catalogue in one result: check, field, found."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.operators import chapters, predicates, series, vocabulary
+from curatrix.functions import text as t
+from curatrix.operators import chapters, duplicates, files, matching, predicates, series, vocabulary
 
+#: Columns of spellings, by the field that says how they are keyed.
+SPELT = {"authors": "authors", "narrators": "narrators", "series": "series.name", "publishers": "publisher", "genres": "genres", "tags": "tags", "languages": "language"}
 
-def audit_all(items: DataFrame, chapter_rows: DataFrame | None = None, skip: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
-    """check, field, found, most first. Item checks are counted in one pass; the others each add their problems' counts."""
+
+def _values(items: DataFrame, column: str) -> DataFrame:
+    """value, items."""
+    lists = column.split(".")[0] in ("authors", "narrators", "series", "genres", "tags")
+    return items.select("id", (F.explode(column) if lists else F.col(column)).alias("value")).distinct().groupBy("value").agg(F.count(F.lit(1)).alias("items"))
+
+
+def _space(items: DataFrame, audio: DataFrame | None) -> DataFrame:
+    """White space of titles, subtitles, authors, narrators, series, folders and, with audio, file names."""
+    place = lambda where, value: items.select(F.lit(where).alias("where"), value.alias("name"))
+    out = place("title", F.col("title")).unionByName(place("subtitle", F.col("subtitle")))
+    for where, column in (("author", "authors"), ("narrator", "narrators"), ("series", "series.name")):
+        out = out.unionByName(place(where, F.explode(column)))
+    folder = t.base_name(F.regexp_replace(F.when(F.col("is_file"), t.parent_folder(F.col("rel_path"))).otherwise(F.col("rel_path")), "/+$", ""))
+    found = vocabulary.space_findings(out.unionByName(place("folder", folder)))
+    names = items.where("is_file").select(t.base_name(F.col("rel_path")).alias("name"))
+    names = names if audio is None else names.unionByName(audio.select(F.col("filename").alias("name")))
+    return found.unionByName(vocabulary.space_findings(names.select(F.lit("file").alias("where"), "name"), file=True))
+
+
+def audit_all(
+    items: DataFrame,
+    chapter_rows: DataFrame | None = None,
+    skip: tuple[str, ...] = (),
+    prefix: str = "",
+    *,
+    authors: DataFrame | None = None,
+    audio: DataFrame | None = None,
+    library_files: DataFrame | None = None,
+    probes: DataFrame | None = None,
+    covers: DataFrame | None = None,
+    records: DataFrame | None = None,
+    episodes: DataFrame | None = None,
+    now: Column | None = None,
+) -> DataFrame:
+    """check, field, found, most first. Item checks are counted in one pass; the others each add their problems' counts.
+
+    The further tables, each optional, add the audits that need them: author records; audio files (file names, tags,
+    incomplete copies, missing items' files under others); library files (locked ones); probes (files.unplayable); covers
+    (files.cover_problems); provider records (matched items, abridged editions); episodes (stale feeds at now).
+    """
     table = {k: v[0] for k, v in predicates.checks(prefix).items() if k not in skip}
     out = predicates.counts(items, table).select("check", F.lit("").alias("field"), "found")
     tally = lambda df, check, field: df.groupBy(F.col(field).alias("field")).agg(F.count(F.lit(1)).alias("found")).select(F.lit(check).alias("check"), "field", "found")
+    flat = lambda df, check, what: tally(df.withColumn("p", F.lit(what)), check, "p")
+    spelt = lambda field: vocabulary.spellings(_values(items, SPELT[field]), field)
+
+    def each(check: str, make, fields) -> DataFrame:
+        found = [flat(make(f), check, f) for f in fields]
+        for more in found[1:]:
+            found[0] = found[0].unionByName(more)
+        return found[0]
+
     parts = {
         "numbering": lambda: tally(series.numbering(items), "numbering", "problem"),
-        "gaps": lambda: tally(series.gaps(items).withColumn("p", F.lit("missing")), "gaps", "p"),
-        "series_names": lambda: tally(series.names(items).select(F.explode("problems").alias("p")), "series_names", "p"),
+        "gaps": lambda: flat(series.gaps(items), "gaps", "missing"),
+        "series_names": lambda: tally(series.names(items).select(F.explode(F.concat("problems", F.when(F.col("article") != "", F.array(F.lit("article"))).otherwise(F.array().cast("array<string>")))).alias("p")), "series_names", "p"),
+        "series_titles": lambda: tally(series.titles(items), "series_titles", "problem"),
+        "folder_styles": lambda: tally(series.folder_styles(items), "folder_styles", "style"),
         "genres": lambda: tally(vocabulary.genre_findings(items, prefix=prefix), "genres", "section"),
-        "roles": lambda: tally(vocabulary.roles(items).withColumn("p", F.lit("both")), "roles", "p"),
-        "whitespace": lambda: tally(vocabulary.space_findings(items.select(F.lit("title").alias("where"), F.col("title").alias("name"))), "whitespace", "problem"),
+        "roles": lambda: flat(vocabulary.roles(items), "roles", "both"),
+        "spellings": lambda: each("spellings", lambda f: vocabulary.spelling_groups(spelt(f), f), SPELT),
+        "near_names": lambda: each("near_names", lambda f: vocabulary.clusters(spelt(f), f), [f for f in SPELT if f != "languages"]),
+        "fragments": lambda: each("fragments", lambda f: vocabulary.fragments(spelt(f)), t.PERSON_FIELDS),
+        "odd_languages": lambda: flat(vocabulary.odd_languages(_values(items, "language")), "odd_languages", "language"),
+        "whitespace": lambda: tally(_space(items, audio), "whitespace", "problem"),
+        "paths": lambda: tally(files.path_problems(items), "paths", "problem"),
+        "duplicates": lambda: flat(duplicates.groups(items).select("group").distinct(), "duplicates", "groups"),
+        "candidates": lambda: tally(duplicates.candidates(items, duplicates.groups(items)), "candidates", "why"),
+        "placeholder_titles": lambda: flat(duplicates.placeholder_titles(items), "placeholder_titles", "title"),
     }
     if chapter_rows is not None:
         parts["chapters_fit"] = lambda: tally(chapters.problems(items, chapter_rows), "chapters_fit", "problem")
+    if authors is not None:
+        parts["author_records"] = lambda: tally(vocabulary.author_records(authors), "author_records", "problem")
+    if audio is not None:
+        tags = F.array_compact(F.array(F.when(F.col("untagged") > 0, "untagged"), F.when(F.col("stale") > 0, "stale")))
+        played = audio.where(~F.coalesce("exclude", F.lit(False)))
+        held = lambda gone: duplicates.content_key(audio.join(items.where("is_missing" if gone else "not is_missing").select(F.col("id").alias("item_id")), "item_id", "left_semi"))
+        parts["file_names"] = lambda: flat(files.file_name_problems(items, audio), "file_names", "stem")
+        parts["embedded"] = lambda: tally(files.embedded_problems(items, audio).select(F.explode(tags).alias("p")), "embedded", "p")
+        parts["incomplete"] = lambda: flat(duplicates.incomplete_among(duplicates.keys(items).select(F.col("id").alias("item_id"), F.col("key").alias("shared")), played), "incomplete", "copy")
+        parts["relinked"] = lambda: tally(duplicates.relinked(held(True), held(False)), "relinked", "how")
+    if library_files is not None:
+        parts["locked_only"] = lambda: flat(files.locked_only(items, library_files), "locked_only", "locked")
+    if probes is not None:
+        parts["unplayable"] = lambda: tally(files.unplayable(probes), "unplayable", "problem")
+    if covers is not None:
+        parts["covers"] = lambda: tally(files.cover_problems(items, covers), "covers", "problem")
+    if records is not None:
+        parts["matched"] = lambda: tally(matching.check_matched(items, records), "matched", "problem")
+        parts["abridged"] = lambda: tally(matching.editions(items, records), "abridged", "problem")
+    if episodes is not None:
+        parts["stale_feeds"] = lambda: flat(predicates.stale_feeds(items, episodes, F.current_timestamp() if now is None else now), "stale_feeds", "feed")
     for name, make in parts.items():
         if name not in skip:
             out = out.unionByName(make())

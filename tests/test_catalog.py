@@ -312,3 +312,20 @@ def test_ordered_subsequence_of_large_groups(spark, tmp_path):
                 want[str(a)] = max(want.get(str(a), (0, "")), (len(long), str(b), h[0], len(h[1])))
     got = {x.short_id: (x.long_id, x.held, x.missing) for x in queries.ordered_subsequence(spark, str(tmp_path)).collect()}
     assert len(want) > 50 and got == {a: x[1:] for a, x in want.items()}
+
+
+def test_audit_all_has_every_audit(spark, items):
+    table = lambda name, *said: catalog.settled(spark.createDataFrame([tuple(r.get(f.name) for f in catalog.schema(name)) for r in said], catalog.schema(name)))
+    got = {(r.check, r.field): r.found for r in audit_all(
+        items, prefix="zz-provider:",
+        authors=table("author", {"id": "a", "name": "Nobody"}),
+        audio=table("audio_file", {"item_id": "d1", "idx": 1, "filename": "a  b.mp3", "ext": ".mp3", "duration": 8 * H}),
+        library_files=table("library_file", {"item_id": "x1", "file_type": "ebook", "filename": "b.aax"}),
+        probes=spark.createDataFrame([("d1", "a.mp3", ".mp3", "no", "", "", 1, 1, 0)], "item_id string, filename string, ext string, error string, container string, locked string, size long, wanted long, complaints int"),
+        covers=spark.createDataFrame([("d1", 10, 10)], "item_id string, width int, height int"),
+        records=table("provider_record", {"asin": "B9", "query_item_id": "d1"}),
+        episodes=table("episode", {"item_id": "p1", "id": "e"}),
+    ).collect()}
+    assert {"spellings", "near_names", "odd_languages", "paths", "candidates", "author_records", "embedded", "locked_only", "unplayable", "covers", "matched", "stale_feeds"} <= {k for k, _ in got}
+    assert got[("author_records", "no_books")] == got[("embedded", "untagged")] == got[("locked_only", "locked")] == got[("unplayable", "unread")] == got[("odd_languages", "language")] == 1
+    assert got[("spellings", "authors")] == 1 and got[("matched", "not_found")] == 2 and got[("whitespace", "double_space")] == 2 and got[("stale_feeds", "feed")] == 1
