@@ -24,8 +24,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", packing.token_count("text").alias("n_tokens"))
-    return packing.best_fit(docs)
+    """Where the token ids that op1 gives each document go."""
+    return packing.best_fit(packing.token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL))
 
 
 def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

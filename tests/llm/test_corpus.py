@@ -130,16 +130,92 @@ def test_packing_is_sound(sizes):
         assert used <= room and room == min(x for x in lengths if x >= used)
 
 
+def plain_pack(sizes, lengths, cost):
+    """The rule by plain search: largest piece first, into the bin with the least room that holds it (the first opened among
+    equals); else a bin opens at the length with the least waste for each token that it would hold."""
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    free, fill, where = [], [], {}
+    for k, i in enumerate(order):
+        fits = [b for b in range(len(free)) if free[b] >= sizes[i]]
+        if fits:
+            b = min(fits, key=lambda b: (free[b], b))
+        else:
+            later = [sizes[j] for j in order[k + 1 :]]
+            typical = max(1, sum(later) // len(later)) if later else 0
+
+            def waste(x):
+                rest = x - sizes[i]
+                unfilled = rest % typical if typical and sum(later) >= rest else max(0, rest - sum(later))
+                return (unfilled + cost) / (x - unfilled)
+
+            b = len(free)
+            free.append(min((x for x in sorted(lengths) if x >= sizes[i]), key=waste))
+            fill.append(0)
+        where[i] = (b, fill[b])
+        free[b] -= sizes[i]
+        fill[b] += sizes[i]
+    return [where[i] for i in range(len(sizes))], [min(x for x in lengths if x >= f) for f in fill]
+
+
+def cheapest(sizes, lengths, cost):
+    """The least total of lengths and costs over all ways to put a few pieces into bins."""
+    best = [10**9]
+
+    def go(i, bins):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(min(x for x in lengths if x >= b) + cost for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= max(lengths):
+                go(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=40), st.integers(0, 9))
+def test_packing_equals_the_plain_rule(sizes, cost):
+    bins, starts, length = packing.pack(sizes, (16, 32, 64), cost)
+    assert (list(zip(bins, starts)), length) == plain_pack(sizes, (16, 32, 64), cost)
+
+
+def test_packing_is_near_the_cheapest():
+    r, got, least = random.Random(2), 0, 0
+    for _ in range(60):
+        sizes = [r.randint(1, 64) for _ in range(7)]
+        got += sum(x + 2 for x in packing.pack(sizes, (16, 32, 64), 2)[2])
+        least += cheapest(sizes, (16, 32, 64), 2)
+    assert least <= got <= 1.1 * least
+
+
 def test_packing_frames(spark):
-    rows = [(None, 5), (1, None), (2, 0), (3, 10_000), (4, 4096), (4, 7), (5, 1)] + [(i, 100 + i % 900) for i in range(10, 400)]
-    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
-    got = packing.best_fit(df, shard_docs=150).collect()
+    rows = [(None, 5), (1, None), (2, 0), (3, 10_000), (4, 4096), (4, 7), (5, 1)] + [(i, 100 + i % 900) for i in range(10, 400)] + [(9, 300)] * 60
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long").withColumn("shard", F.lit("clash"))
+    got = packing.best_fit(df, shard_tokens=80_000).collect()
     assert Counter(r.doc_id for r in got)[3] == 3 and sum(r.piece_tokens for r in got) == sum(n or 0 for _, n in rows)
     assert [(r.piece_start, r.piece_tokens) for r in sorted((r for r in got if r.doc_id == 3), key=lambda r: r.piece)] == [(0, 4096), (4096, 4096), (8192, 1808)]
     assert {r.doc_id for r in got if r.bin is None} == {1, 2} and len({r.shard for r in got}) > 2
+    assert len({r.shard for r in got if r.doc_id == 9}) > 1  # equal rows don't all meet in one task
     assert packing.best_fit(df.where("false")).count() == 0
-    full = sum(r.piece_tokens for r in got) / sum({(r.shard, r.bin): r.bin_length for r in got if r.bin is not None}.values())
-    assert full > 0.9
+
+
+def test_packing_sequences(spark):
+    r = random.Random(3)
+    ids = {i: [r.randrange(32000) for _ in range(n)] for i, n in enumerate([0, 1, 9000, 4096, 37] + [r.randrange(1, 700) for _ in range(120)])}
+    rows = [(i, x, "clash") for i, x in ids.items()] + [(None, [7, 7], "x"), (500, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, bin string")
+    back = {i: [] for i in ids}
+    for b in packing.sequences(df, shard_tokens=20_000).collect():
+        assert b.n_tokens == len(b.ids) <= b.bin_length == min(x for x in packing.LENGTHS if x >= b.n_tokens)
+        for d, a, z in zip(b.doc_ids, b.starts, [*b.starts[1:], b.n_tokens]):
+            back.setdefault(d, []).append(b.ids[a:z])
+    assert 500 not in back and back.pop(None) == [[7, 7]]
+    for i, parts in back.items():  # pieces of a long document may be in any bins
+        cut = [ids[i][a : a + 4096] for a in range(0, len(ids[i]), 4096)]
+        assert sorted(parts) == sorted(cut)
+    assert packing.sequences(df.where("false")).count() == 0
 
 
 # ---- context mixing -----------------------------------------------------------------------------------

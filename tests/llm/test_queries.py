@@ -61,11 +61,24 @@ def test_op2(ask, rows):
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
-def test_op3(ask, rows):
-    got = __import__("collections").defaultdict(int)
-    for r in ask("op3_best_fit_packing").values():
-        got[r.doc_id] += r.piece_tokens
-    assert set(got) == {i for i, _, _ in rows}
+def test_op3(spark, rows):
+    import public_tokenizers
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got, bins = {}, {}
+    for r in __spark_entry__.queries()["op3_best_fit_packing"](spark, SF).collect():
+        got.setdefault(r.doc_id, []).append((r.piece_start, r.piece_tokens))
+        if r.bin is not None:
+            bins.setdefault((r.shard, r.bin, r.bin_length), []).append((r.bin_start, r.piece_tokens))
+    for i, t, _ in rows:  # pieces cover the ids of each document once
+        spans = sorted(got.pop(i))
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))] and sum(n for _, n in spans) == len(m.encode(t or ""))
+    assert not got
+    for (_, _, room), spans in bins.items():
+        spans.sort()
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
+        assert room == min(x for x in (512, 1024, 2048, 4096) if x >= sum(n for _, n in spans))
 
 
 def test_op4(ask, rows):
@@ -114,6 +127,8 @@ def test_op10(ask, rows):
     assert sum(a == b for a, b in learned) >= 0.95 * len(learned)
 
 
-def test_pipeline(ask, rows):
-    got = ask("pipeline")
-    assert set(got) <= {i for i, _, _ in rows} and len(got) > 0.6 * len(rows)
+def test_pipeline(spark, rows):
+    out = __spark_entry__.queries()["pipeline"](spark, SF).collect()
+    got = {d for r in out for d in r.doc_ids}
+    assert got <= {i for i, _, _ in rows} and len(got) > 0.6 * len(rows)
+    assert all(len(r.ids) == r.n_tokens <= r.bin_length for r in out)
