@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import exact, jaccard, packing, secret_scan, toxicity
+from curatrix.llm import exact, jaccard, packing, pieces, secret_scan, toxicity
 from curatrix.llm.common import crc_mod, table, written
 
 
@@ -40,8 +40,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in bins of the permitted lengths."""
-    return packing.best_fit(docs.select("doc_id", packing.token_count("text").alias("n_tokens")))
+    """Sequences of the permitted lengths: the token ids of all documents, and whose they are."""
+    return packing.sequences(pieces.encode(docs.select("doc_id", "text")))
 
 
 STAGES = [
