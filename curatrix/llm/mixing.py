@@ -1,19 +1,26 @@
 """Language-model scoring by online logistic context mixing.
 
-A word is spelt bit by bit, with a closing byte. Five predictors look at hashed contexts (the last one to four bytes of
-the word, and all of it so far) and give each bit a probability from counts; a set of weights, which a gate picks by how
-much the longest contexts have seen, mixes them in the logistic domain, and an adaptive probability map refines the
-mixture. Within a document the spelling model is weighed against whole-word frequencies and the words of the document so
-far; those three weights start from learned ones and follow the document, every ``STEP`` words. The end of a document is
-one more bit before each word, by how many words came before.
-
-What is learned from where: counts of contexts come from all training documents (every distinct word once, weighted by
-its count), in hash tables of fixed size. Weights and the map are learned online, one small batch of words after another, from a
-bounded sample of word types (``SAMPLE_COMMON`` most frequent and ``SAMPLE_RARE`` others), each left out of its own
-counts. What one document teaches stays in it, so a score depends on neither its neighbours nor the order of rows.
-
-Each distinct word is scored once. Documents are dealt into blocks; a block's distinct words are joined with counts and
-scores, and come back to the block as one table.
+A token's probability mixes what three lengths of context say of it: the two words before it, the one word before it, and no
+word at all. How much each is worth is a bit (does this context know what comes?) that is predicted by logistic mixing:
+predictors over hashed contexts (how often the contexts were seen, which of them knew the last three words, the word before,
+how long the longest has been right) each give a probability from counts; weights that a gate picks by that length mix them
+in the logistic domain; an adaptive map refines the mixture, and a bias follows each document every ``STEP`` words.
+
+Without a context a word is weighed between its frequency, the words of the document so far, and its spelling. A word is spelt
+bit by bit, with a closing byte: predictors over hashed contexts (the last one to four bytes, and all of the word so far), a
+gate, weights and a map of their own. The end of a document is one more bit before each word, by how many words came before.
+
+What is learned from where. Counts of words, word pairs and triples come from all training documents and grow with them; the
+keys of pairs and triples have 32 bits within a bucket, of which there are as many as the corpus needs. The bit predictors,
+weights and maps are learned online by tasks that each read their part of all training documents (or of all their distinct
+words, for spelling), and are summed, or averaged by use, in whole numbers, so that the order of tasks doesn't matter. A
+training document's own words, pairs and triples are taken out of the counts that score it. What one document teaches stays
+in it, so a score depends on neither its neighbours nor the order of rows. Spelling counts sit in tables of fixed size
+(``TABLE_BITS``), in which prefixes of a very large vocabulary collide.
+
+How it runs. Documents are dealt into blocks of about ``BLOCK_BYTES``. A block asks for its distinct words, pairs and triples,
+dealt by hash into buckets, and tells how often its training documents have them; a bucket adds up and answers. So each
+is moved once for a block, however frequent it is.
 """
 
 from __future__ import annotations
@@ -27,27 +34,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import written
+from curatrix.llm.common import tidied, written
 
-#: Bits of the slot numbers of each context's table.
+#: Bits of the slot numbers of each spelling context's table.
 TABLE_BITS = (16, 18, 19, 20, 20)
-SAMPLE_COMMON, SAMPLE_RARE = 8_000, 24_000
-BLOCK_DOCS = 2000
+#: Bytes of texts in a block, about, and entries of a bucket.
+BLOCK_BYTES, BUCKET_ENTRIES = 6_000_000, 4_000_000
+#: Words whose spelling is learned, or scored, at once.
+WORDS_AT_ONCE, LEARN_AT_ONCE = 20_000, 2048
 _K = len(TABLE_BITS)
 _OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])]).astype(np.int64)
 _SLOTS = int(_OFFSET[-1])
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_CLOSE = 0x20
-#: Within a document: words between two updates of the weights, the step of their logarithms for each word, the share that
-#: the document's own words start with, and the least share that a weight can sink to.
-STEP, RATE, OWN_SHARE, LEAST_SHARE = 32, 0.15, 0.03, 0.003
-_MAP = 24  # steps of the adaptive probability map on each side of even odds
+_BASE = 0x100000001B3
+#: Within a document: words between two updates, the step of the logarithms of the wordwise weights for each word, the share
+#: that the document's own words start with, the least share that a weight can sink to, and the step of the biases.
+STEP, RATE, OWN_SHARE, LEAST_SHARE, BIAS_RATE = 32, 0.15, 0.03, 0.003, 0.04
+_MAP = 24  # steps of the adaptive probability maps on each side of even odds
+#: Least log2 probability of a word that is mixed as it is; what goes below is added.
+LEAST_LOG2 = -900
+_FIXED = 1 << 24  # sums over tasks are of whole numbers of this part
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
     return (raw or b"").lower().split()  # of bytes: ASCII letters and white space only
 
 
+# ---- Spelling -------------------------------------------------------------------------------------
+
+
 def _spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes with closing bytes, and where each word starts."""
     flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
@@ -55,11 +70,42 @@ def _spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.cumsum(sizes) - sizes
 
 
+class _Polynomial:
+    """Hashes of runs of bytes, each a polynomial of them, from running sums."""
+
+    powers = back = np.zeros(0, np.uint64)
+
+    def __init__(self, flat: np.ndarray):
+        n = len(flat)
+        if len(self.powers) < n:
+            inverse = pow(_BASE, -1, 1 << 64)
+            series = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(x))]), dtype=np.uint64)[:n]
+            _Polynomial.powers, _Polynomial.back = series(_BASE), series(inverse)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * self.powers[:n], dtype=np.uint64)])
+
+    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return (self.sums[stops] - self.sums[starts]) * self.back[starts]
+
+
+def _mixed_up(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, as tokens() gives them."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    flat, starts = _spelt(words)
+    return _mixed_up(_Polynomial(flat).of(starts, np.append(starts[1:], len(flat)) - 1))
+
+
 def _contexts(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """For every byte, a 64-bit hash of each of its contexts."""
     n = len(flat)
     sizes = np.diff(np.append(starts, n))
-    at = np.arange(n) - np.repeat(starts, sizes)
+    first = np.repeat(starts, sizes)
+    at = np.arange(n) - first
     before = np.zeros(n, np.uint64)
     out = []
     for k in range(1, 5):
@@ -67,13 +113,7 @@ def _contexts(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         shifted[k:] = flat[:-k] if n > k else 0
         before = (before << np.uint64(8)) + np.where(at >= k, shifted, 0)
         out.append((before + np.uint64(k)) * _MULT)
-    # the whole word so far: a polynomial of its bytes, from running sums
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(0x100000001B3))]), dtype=np.uint64)[:n]
-    inverse = np.uint64(pow(0x100000001B3, -1, 1 << 64))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse)]), dtype=np.uint64)[:n]
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)])
-    first = np.repeat(starts, sizes)
-    prefix = (sums[:-1] - sums[first]) * back[first]
+    prefix = _Polynomial(flat).of(first, np.arange(n))
     out.append(((prefix ^ (prefix >> np.uint64(31))) + np.uint64(9)) * _MULT)
     return out
 
@@ -92,163 +132,333 @@ def _bits(flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         node = node * np.uint64(2) + bit
 
 
-def count_slots(words: list[bytes], counts: np.ndarray, seen: np.ndarray) -> None:
-    """Adds the zeros and ones that each slot sees to seen (2 x slots)."""
+def count_slots(words: list[bytes], seen: np.ndarray) -> None:
+    """Adds the zeros and ones that each slot sees to seen (2 x slots), each word once."""
     flat, starts = _spelt(words)
     both = seen.reshape(-1)
-    weight = np.repeat(counts.astype(np.float64), np.diff(np.append(starts, len(flat))))
     contexts = _contexts(flat, starts)
     for node, bit in _bits(flat):
         side = bit.astype(np.int64) * _SLOTS
         for k in range(_K):
-            np.add.at(both, _slots(contexts[k], node, k) + side, weight)
+            np.add.at(both, _slots(contexts[k], node, k) + side, 1)
 
 
-def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.05) / (n0 + 0.05)).astype(np.float32)
+def _stretch(n0: np.ndarray, n1: np.ndarray, prior: float = 0.05) -> np.ndarray:
+    return np.log((n1 + np.float32(prior)) / (n0 + np.float32(prior)))
 
 
 def _trust(n: np.ndarray) -> np.ndarray:
-    return np.minimum(7, np.log2(n + 1) * 0.7).astype(np.uint8)
+    return np.minimum(7, np.log2(n + np.float32(1)) * np.float32(0.7)).astype(np.uint8)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -18, 18)))
 
 
-def _gate(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return (high.astype(np.int64) << 3) | low
+def _place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a stretched probability falls in a map: the step below, and how far it is to the next."""
+    step = np.clip(x, -11.99, 11.99) * (_MAP / 12) + _MAP
+    low = step.astype(np.int64)
+    return low, step - low
 
 
-@dataclass
-class Model:
-    stretch: np.ndarray  # of each slot
-    trust: np.ndarray
-    weights: np.ndarray  # gates x (predictors and a bias)
-    refine: np.ndarray  # node x steps: the adaptive probability map
-    word_share: float  # weight of the whole-word expert
-    tokens: int  # N
-    distinct: int  # V
-    ends: int
-    end_rate: np.ndarray  # by the bit length of the number of words before
+_STEPS = _squash((np.arange(2 * _MAP + 2) - _MAP) * (12 / _MAP))
+
 
-    def word_log2(self, words: list[bytes]) -> np.ndarray:
-        """log2 probability of spelling each word."""
+class Mixer:
+    """Gated weights over stretched predictions, and an adaptive map of the mixture."""
+
+    def __init__(self, gates: int, inputs: int, cells: int, weight: float):
+        self.inputs = inputs
+        self.weights = np.full((gates, inputs + 1), weight)
+        self.weights[:, inputs] = 0
+        self.map = np.tile(_STEPS, (cells, 1))
+        self.used = np.zeros(gates)  # predictions that taught each gate, and each place of the map
+        self.map_used = np.zeros_like(self.map)
+
+    def mix(self, stretched: list[np.ndarray], gate: np.ndarray, cell: np.ndarray):
+        """The refined probability; what learn() needs."""
+        w = self.weights[gate]
+        x = w[:, self.inputs].copy()
+        for k in range(self.inputs):
+            x += w[:, k] * stretched[k]
+        low, part = _place(x)
+        at = cell * (2 * _MAP + 2) + low
+        flat = self.map.ravel()
+        refined = flat[at] * (1 - part) + flat[at + 1] * part
+        mixed = _squash(x)
+        return np.clip(0.5 * mixed + 0.5 * refined, 2e-6, 1 - 2e-6), (mixed, at, part, gate, stretched)
+
+    def learn(self, saved, target: np.ndarray, weight: np.ndarray | None = None, rate: float = 0.5) -> None:
+        """One step towards target (0 to 1) for all that a gate, or a place of the map, got."""
+        mixed, at, part, gate, stretched = saved
+        one = np.ones(len(gate)) if weight is None else weight
+        error, gates = (target - mixed) * one, len(self.weights)
+        n = np.bincount(gate, one, gates)
+        pace = rate / (n + 50) / np.sqrt(1 + self.used / 200_000)
+        for k in range(self.inputs):
+            self.weights[:, k] += np.clip(pace * np.bincount(gate, error * stretched[k], gates), -0.2, 0.2)
+        self.weights[:, self.inputs] += np.clip(pace * np.bincount(gate, error, gates), -0.2, 0.2)
+        self.used += n
+        table, places = self.map.ravel(), self.map.size
+        cells, share = np.concatenate([at, at + 1]), np.concatenate([(1 - part) * one, part * one])
+        off = np.bincount(cells, share * (np.concatenate([target, target]) - table[cells]), places)
+        got = np.bincount(cells, share, places)
+        table += off / (got + self.map_used.ravel() + 20)
+        self.map_used += got.reshape(self.map.shape)
+
+    def taught(self) -> np.ndarray:
+        """What a task has learned, as whole numbers that add up over tasks."""
+        told = [self.weights * self.used[:, None], self.used, self.map * self.map_used, self.map_used]
+        return np.concatenate([np.round(x.ravel() * _FIXED).astype(np.int64) for x in told])
+
+    def adopt(self, total: np.ndarray) -> None:
+        """The average of what tasks have learned, by use."""
+        cut = np.cumsum([self.weights.size, self.used.size, self.map.size])
+        weights, used, table, table_used = (x / _FIXED for x in np.split(total, cut))
+        weights, table, table_used = weights.reshape(self.weights.shape), table.reshape(self.map.shape), table_used.reshape(self.map.shape)
+        self.used, self.map_used = used, table_used
+        self.weights = np.where(used[:, None] > 0, weights / np.maximum(used, 1e-9)[:, None], self.weights)
+        self.map = (table + 20 * np.tile(_STEPS, (len(table), 1))) / (table_used + 20)
+
+
+class Spelling:
+    """The spelling model: counts of slots (as 32-bit numbers), and a mixer."""
+
+    def __init__(self):
+        self.n0, self.n1 = np.zeros((2, _SLOTS), np.float32)
+        self.mixer = Mixer(64, _K, 256, 0.3)
+
+    def log2(self, words: list[bytes], own: np.ndarray, learn: bool = False) -> np.ndarray:
+        """log2 probability of spelling each word. own: whether the word itself is among the counts, and is to be left out."""
         if not words:
             return np.zeros(0)
         flat, starts = _spelt(words)
-        contexts = _contexts(flat, starts)
-        total = np.zeros(len(flat))
+        contexts, total = _contexts(flat, starts), np.zeros(len(flat))
+        own = np.repeat(own.astype(np.float32), np.diff(np.append(starts, len(flat))))
         for node, bit in _bits(flat):
+            one = own * bit
             slots = [_slots(contexts[k], node, k) for k in range(_K)]
-            p = self._mixed([self.stretch[s] for s in slots], _gate(self.trust[slots[2]], self.trust[slots[4]]), node)[0]
+            c0 = [np.maximum(self.n0[s] - (own - one), 0) for s in slots]
+            c1 = [np.maximum(self.n1[s] - one, 0) for s in slots]
+            gate = (_trust(c0[4] + c1[4]).astype(np.int64) << 3) | _trust(c0[2] + c1[2])
+            p, saved = self.mixer.mix([_stretch(a, z) for a, z in zip(c0, c1)], gate, node.astype(np.int64))
+            if learn:
+                self.mixer.learn(saved, bit.astype(float))
             total += np.log2(np.where(bit == 1, p, 1 - p))
         return np.add.reduceat(total, starts)
 
-    def document_log2(self, spelt: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log2 probability of the words of each document. All arrays but sizes are by word; ids number distinct words."""
-        n, doc = len(ids), np.repeat(np.arange(len(sizes)), sizes)
-        starts = np.cumsum(sizes) - sizes
-        pair = doc * (int(ids.max()) + 1 if n else 1) + ids
-        order = np.argsort(pair, kind="stable")
-        new = np.ones(n, bool)
-        new[1:] = np.diff(pair[order]) != 0
-        firsts = np.nonzero(new)[0]
-        before = np.empty(n)
-        before[order] = np.arange(n) - np.repeat(firsts, np.diff(np.append(firsts, n)))  # times that the document had it
-        at = np.arange(n) - starts[doc]
-        with np.errstate(divide="ignore"):
-            logs = np.stack([spelt, np.log2(counts / max(1, self.tokens - self.ends)), np.log2(before / np.maximum(at, 1))], 1)
-        logs = np.maximum(logs, -1e9)
-        start = np.array([(1 - self.word_share) * (1 - OWN_SHARE), self.word_share * (1 - OWN_SHARE), OWN_SHARE])
+
+# ---- Which context knows the word -----------------------------------------------------------------
+
+_PREDICTORS, _CELLS = 4, (128, 432, 4096, 256)
+_FROM = np.concatenate([[0], np.cumsum(_CELLS)]).astype(np.int64)
+
+
+def quantised(n: np.ndarray) -> np.ndarray:
+    """Steps of a count: 0, 1, 2, to 4, to 8, to 32, to 255, more."""
+    return np.searchsorted(np.array([0, 1, 2, 4, 8, 32, 255]), n, "left").astype(np.uint16)
+
+
+def coded(n3: np.ndarray, n2: np.ndarray, knows3: np.ndarray, knows2: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A token in 16 bits: how often its contexts were seen, whether they know it, and 8 bits of the hash of the word before."""
+    return quantised(n3) | quantised(n2) << np.uint16(3) | knows3.astype(np.uint16) << np.uint16(6) | knows2.astype(np.uint16) << np.uint16(7) | (before >> np.uint64(56)).astype(np.uint16) << np.uint16(8)
+
+
+class Contexts:
+    """Bit predictors (counts of their cells) and a mixer, for both contexts: 0 the longer, 1 the shorter."""
+
+    def __init__(self):
+        self.n0, self.n1 = np.full(int(_FROM[-1]), 0.7), np.full(int(_FROM[-1]), 0.3)
+        self.mixer = Mixer(16, _PREDICTORS, 16, 0.3)
+
+    @staticmethod
+    def inputs(code: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """For both contexts, of all tokens: was it seen at all, the cells of the predictors, gate, cell of the map."""
+        code = code.astype(np.int64)
+        n3, n2, knows3, knows2, before = code & 7, code >> 3 & 7, code >> 6 & 1, code >> 7 & 1, code >> 8
+        n = len(code)
+        at = np.arange(n)
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        outcome = np.where(knows3 == 1, 2, knows2)
+        past = [np.where(at - first >= k, np.concatenate([np.zeros(k, np.int64), outcome[:-k]])[:n] if n > k else 0, 0) for k in (1, 2, 3)]
+        missed = np.maximum(np.maximum.accumulate(np.where(knows3 == 0, at, -1)), first - 1)  # where the longer context last failed
+        run = np.minimum(7, np.where(at > first, at - 1 - np.concatenate([[0], missed[:-1]]) if n else at, 0))
+        run = np.maximum(run, 0)
+        place = np.minimum(15, np.log2(at - first + 1).astype(np.int64))
+        out = []
+        for k, seen in ((0, n3), (1, n2)):
+            cells = [k * 64 + n3 * 8 + n2, _FROM[1] + (k * 27 + past[0] * 9 + past[1] * 3 + past[2]) * 8 + seen, _FROM[2] + (k * 256 + before) * 8 + seen, _FROM[3] + (k * 8 + run) * 16 + place]
+            out.append((seen > 0, cells, k * 8 + run, k * 8 + seen))
+        return out
+
+    def predict(self, given) -> tuple[np.ndarray, tuple]:
+        seen, cells, gate, cell = given
+        p, saved = self.mixer.mix([_stretch(self.n0[c], self.n1[c]) for c in cells], gate, cell)
+        return np.where(seen, p, 0.0), saved
+
+    @staticmethod
+    def weigh(g3, g2, p3, p2, rest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A token's probability, what the longer context's part of it is, and the shorter one's of what is left."""
+        lower = g2 * p2 + (1 - g2) * rest
+        p = g3 * p3 + (1 - g3) * lower
+        return p, g3 * p3 / p, g2 * p2 / lower
+
+    def learn(self, code: np.ndarray, sizes: np.ndarray, p3: np.ndarray, p2: np.ndarray, rest: np.ndarray) -> None:
+        """Predicts some documents, and then learns from them."""
+        given = self.inputs(code, sizes)
+        (g3, saved3), (g2, saved2) = (self.predict(x) for x in given)
+        _, r3, r2 = self.weigh(g3, g2, p3, p2, rest)
+        for (seen, cells, _, _), saved, r, w in zip(given, (saved3, saved2), (r3, r2), (np.ones(len(r3)), 1 - r3)):
+            w = w * seen
+            self.mixer.learn(saved, r, w)
+            for c in cells:
+                self.n1 += np.bincount(c, r * w, len(self.n1))
+                self.n0 += np.bincount(c, (1 - r) * w, len(self.n0))
+
+    def taught(self) -> np.ndarray:
+        return np.concatenate([np.round((x - start) * _FIXED).astype(np.int64) for x, start in ((self.n0, 0.7), (self.n1, 0.3))] + [self.mixer.taught()])
+
+    def adopt(self, total: np.ndarray) -> None:
+        n = len(self.n0)
+        self.n0, self.n1 = 0.7 + total[:n] / _FIXED, 0.3 + total[n : 2 * n] / _FIXED
+        self.mixer.adopt(total[2 * n :])
+
+    def log2(self, code: np.ndarray, sizes: np.ndarray, p3: np.ndarray, p2: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """log2 probability of each document's tokens, with a bias for each context that follows the document."""
+        given = self.inputs(code, sizes)
+        odds = []
+        for x in given:
+            p, _ = self.predict(x)
+            odds.append(np.where(x[0], np.log(np.maximum(p, 1e-9) / (1 - p)), -700.0))
+        out = np.zeros(len(sizes))
         by_size = np.argsort(-sizes, kind="stable")
-        size, first = sizes[by_size], starts[by_size]
-        weights, total = np.tile(start, (len(size), 1)), np.zeros(len(size))
-        lane = np.arange(STEP)
+        size, first = sizes[by_size], (np.cumsum(sizes) - sizes)[by_size]
+        bias, total, lane = np.zeros((2, len(size))), np.zeros(len(size)), np.arange(STEP)
         for a in range(0, int(size[0]) if len(size) else 0, STEP):
-            k = int(np.searchsorted(-size, -a, "left"))  # documents of more than a words
+            k = int(np.searchsorted(-size, -a, "left"))  # documents of more than a tokens
             valid = a + lane < size[:k, None]
-            x = logs[np.where(valid, first[:k, None] + a + lane, 0)] + np.log2(weights[:k])[:, None, :]
-            top = x.max(2)
-            e = np.exp2(x - top[:, :, None])
-            z = e.sum(2)
-            total[:k] += ((top + np.log2(z)) * valid).sum(1)
-            credit = (e * (valid / z)[:, :, None]).sum(1)
-            moved = weights[:k] * np.exp(RATE * (credit - valid.sum(1)[:, None] * weights[:k]))
-            weights[:k] = np.maximum(moved / moved.sum(1, keepdims=True), LEAST_SHARE)
-            weights[:k] /= weights[:k].sum(1, keepdims=True)
-        out = np.zeros(len(size))
+            i = np.where(valid, first[:k, None] + a + lane, 0)
+            g3, g2 = (1 / (1 + np.exp(-np.clip(o[i] + b[:k, None], -700, 30))) for o, b in zip(odds, bias))
+            p, r3, r2 = self.weigh(g3, g2, p3[i], p2[i], rest[i])
+            total[:k] += (np.log2(p) * valid).sum(1)
+            bias[0, :k] += BIAS_RATE * ((r3 - g3) * valid).sum(1)
+            bias[1, :k] += BIAS_RATE * ((1 - r3) * (r2 - g2) * valid).sum(1)
+            np.clip(bias, -3, 3, out=bias)
         out[by_size] = total
         return out
 
-    def _mixed(self, stretched: list[np.ndarray], gate: np.ndarray, node: np.ndarray):
-        w = self.weights[gate]
-        x = w[:, _K].copy()
-        for k in range(_K):
-            x += w[:, k] * stretched[k]
-        step = np.clip(x, -11.99, 11.99) * (_MAP / 12) + _MAP
-        low = step.astype(np.int64)
-        part = step - low
-        at = node.astype(np.int64) * (2 * _MAP + 2) + low
-        flat = self.refine.ravel()
-        refined = flat[at] * (1 - part) + flat[at + 1] * part
-        mixed = _squash(x)
-        return np.clip(0.5 * mixed + 0.5 * refined, 2e-6, 1 - 2e-6), mixed, at, part
 
+# ---- Words without context ------------------------------------------------------------------------
 
-def _blank(tokens: int, distinct: int, ends: int, end_rate: np.ndarray) -> Model:
-    weights = np.full((64, _K + 1), 0.3, np.float32)
-    weights[:, _K] = 0
-    steps = _squash((np.arange(2 * _MAP + 2) - _MAP) * (12 / _MAP))
-    return Model(np.zeros(_SLOTS, np.float32), np.zeros(_SLOTS, np.uint8), weights, np.tile(steps, (256, 1)), 0.5, tokens, distinct, ends, end_rate)
 
+@dataclass
+class Totals:
+    tokens: int  # N
+    distinct: int  # V
+    ends: int
+    once: int  # words that training has once
+    docs_bytes: int
+    all_tokens: int
+    end_rate: np.ndarray  # by the bit length of the number of words before
 
-def learn_online(model: Model, n0: np.ndarray, n1: np.ndarray, words: list[bytes], counts: np.ndarray, scale: np.ndarray, batches: int = 800, size: int = 192, seed: int = 7) -> None:
-    """Weights, map and the share of the word expert, from words drawn by count times scale; each without itself."""
-    model.stretch, model.trust = _stretch(n0, n1), _trust(n0 + n1)
-    if not words:
-        model.word_share = 0.0
-        return
-    r = np.random.default_rng(seed)
-    chance = counts * scale
-    chance = chance / chance.sum()
-    log_cm, whole = [], []
-    for b in range(batches):
-        picked = r.choice(len(words), size, p=chance)
-        flat, starts = _spelt([words[i] for i in picked])
-        contexts = _contexts(flat, starts)
-        total = np.zeros(len(flat))
-        rate = 0.1 * max(0.1, 1 - b / batches)
-        for node, bit in _bits(flat):
-            slots = [_slots(contexts[k], node, k) for k in range(_K)]
-            c0 = [np.maximum(n0[s] - (bit == 0), 0) for s in slots]
-            c1 = [np.maximum(n1[s] - (bit == 1), 0) for s in slots]
-            stretched = [_stretch(a, z) for a, z in zip(c0, c1)]
-            gate = _gate(_trust(c0[2] + c1[2]), _trust(c0[4] + c1[4]))
-            p, mixed, at, part = model._mixed(stretched, gate, node)
-            error = (bit - mixed).astype(np.float32)
-            # one step for all that a gate, or a cell of the map, got in this batch
-            per_gate = rate / (np.bincount(gate, minlength=64) + 8)
-            for k in range(_K):
-                model.weights[:, k] += per_gate * np.bincount(gate, error * stretched[k], 64)
-            model.weights[:, _K] += per_gate * np.bincount(gate, error, 64)
-            table = model.refine.ravel()
-            cells, share = np.concatenate([at, at + 1]), np.concatenate([1 - part, part])
-            off = np.bincount(cells, share * (np.concatenate([bit, bit]) - table[cells]), len(table))
-            table += off / (np.bincount(cells, share, len(table)) + 50)
-            total += np.log2(np.where(bit == 1, p, 1 - p))
-        if b >= batches // 2:
-            log_cm.append(np.add.reduceat(total, starts))
-            whole.append(np.maximum(counts[picked] - 1, 0) / max(1, model.tokens - model.ends))
-    spelt, whole, share = np.exp2(np.maximum(np.concatenate(log_cm), -1000)), np.concatenate(whole), 0.5
-    for _ in range(30):  # expectation-maximisation of one weight
-        share = float(np.clip(np.mean(share * whole / (share * whole + (1 - share) * spelt + 1e-300)), 0.001, 0.999))
-    model.word_share = share
+
+def wordwise_log2(spelt: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, spelling_share: float, of: float) -> np.ndarray:
+    """log2 probability of each word from its spelling, its frequency and the document so far, with weights that follow the
+    document. All arrays but sizes are by word; ids number distinct words; of: all words of training."""
+    n, doc = len(ids), np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    before = _times(doc, ids, int(ids.max()) + 1 if n else 1)[1]
+    at = np.arange(n) - starts[doc]
+    with np.errstate(divide="ignore"):
+        logs = np.stack([spelt, np.log2(counts / max(1.0, of)), np.log2(before / np.maximum(at, 1))], 1).astype(np.float32)
+    logs = np.maximum(logs, np.float32(-1e6))
+    start = np.array([spelling_share * (1 - OWN_SHARE), (1 - spelling_share) * (1 - OWN_SHARE), OWN_SHARE], np.float32)
+    by_size = np.argsort(-sizes, kind="stable")
+    size, first = sizes[by_size], starts[by_size]
+    weights, out = np.tile(start, (len(size), 1)), np.zeros(n, np.float32)
+    lane = np.arange(STEP)
+    for a in range(0, int(size[0]) if len(size) else 0, STEP):
+        k = int(np.searchsorted(-size, -a, "left"))  # documents of more than a words
+        valid = a + lane < size[:k, None]
+        i = np.where(valid, first[:k, None] + a + lane, 0)
+        x = logs[i] + np.log2(weights[:k])[:, None, :]
+        top = x.max(2)
+        e = np.exp2(x - top[:, :, None])
+        z = e.sum(2)
+        out[i[valid]] = (top + np.log2(z))[valid]
+        credit = (e * (valid / z)[:, :, None]).sum(1)
+        moved = weights[:k] * np.exp(RATE * (credit - valid.sum(1)[:, None] * weights[:k]))
+        weights[:k] = np.maximum(moved / moved.sum(1, keepdims=True), LEAST_SHARE)
+        weights[:k] /= weights[:k].sum(1, keepdims=True)
+    return out
+
+
+def _times(doc: np.ndarray, ids: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each token's document has it, and how often before this place."""
+    n = len(ids)
+    pair = doc.astype(np.int64) * n_ids + ids
+    order = np.argsort(pair, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = np.diff(pair[order]) != 0
+    firsts = np.nonzero(new)[0]
+    size = np.diff(np.append(firsts, n))
+    times, before = np.empty(n, np.int64), np.empty(n, np.int64)
+    times[order] = np.repeat(size, size)
+    before[order] = np.arange(n) - np.repeat(firsts, size)
+    return times, before
+
+
+# ---- Counts over the corpus -----------------------------------------------------------------------
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_START = np.uint64(0x51ED270B35A0F21D)  # stands for the word before the first
 
 
-def _counts(docs: DataFrame, held: int = 300_000) -> DataFrame:
-    """word, c for every word of docs (text, train), c over rows with train. Words with a leading space tell of lengths:
-    ``" e"`` + b, documents whose number of words has b bits, and ``" w"`` + b, words that have such a number before them."""
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, in order, and how many each text has."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    flat = np.frombuffer(b"\n".join(t.lower() for t in texts) + b"\n", np.uint8)
+    gap = _SPACE[flat]
+    starts = np.nonzero(~gap & np.concatenate([[True], gap[:-1]]))[0]
+    stops = np.nonzero(gap & np.concatenate([[False], ~gap[:-1]]))[0]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    sizes = np.diff(np.concatenate([[0], np.searchsorted(starts, ends, "left")]))
+    return _mixed_up(_Polynomial(flat).of(starts, stops)), sizes
+
+
+def grams(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each word with the one and the two before it, and of the word before (a start stands before the first two)."""
+    n = len(words)
+    at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    shifted = lambda k: np.where(at >= k, np.concatenate([np.zeros(min(k, n), np.uint64), words[:-k] if n > k else words[:0]])[:n], _START)
+    one, two = shifted(1), shifted(2)
+    pair = _mixed_up(one * _MULT + words)
+    return pair, _mixed_up(two * np.uint64(0xC2B2AE3D27D4EB4F) + pair), one
+
+
+def _key(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket in the upper half, 32 bits of the hash in the lower."""
+    return ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+
+
+def _by_bucket(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words by bucket, then by hash, and where each bucket starts."""
+    u = np.unique(words)
+    b = ((u >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    return u[np.argsort(b, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(b, minlength=buckets))])
+
+
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+
+
+def _word_counts(docs: DataFrame, held: int = 300_000) -> DataFrame:
+    """word, c for every word of docs (text, train), c over rows with train. Words with a leading space tell of totals:
+    ``" e"`` + b, documents whose number of words has b bits, ``" w"`` + b, words that have such a number before them, ``" b"``
+    bytes and ``" t"`` words of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -260,10 +470,13 @@ def _counts(docs: DataFrame, held: int = 300_000) -> DataFrame:
 
         for batch in batches:
             for text, train in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()):
-                words = words_of(text.as_py())
+                raw = text.as_py()
+                words = words_of(raw)
+                n = len(words)
+                seen[b" b"] += len(raw)
+                seen[b" t"] += n
                 if train:
                     seen.update(words)
-                    n = len(words)
                     seen[b" e%d" % n.bit_length()] += 1
                     for b in range(n.bit_length() + 1):
                         upto = (1 << b) >> 1
@@ -276,113 +489,269 @@ def _counts(docs: DataFrame, held: int = 300_000) -> DataFrame:
         if seen:
             yield flush()
 
-    return docs.select("text", "train").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text", "train").mapInArrow(tidied(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
 
+def _summed(rows: DataFrame) -> np.ndarray:
+    """Sums of (at, n) rows by place: as many as the places of a model of fixed size."""
+    got = rows.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(int(got.column("at").to_numpy().max()) + 1 if got.num_rows else 0, np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and word, c for every word. docs: text, train (null: not)."""
-    counts = written(_counts(docs), "word-counts")
-    lengths = {bytes(r["word"]): r["c"] for r in counts.where("substring(word, 1, 1) = cast(' ' as binary)").collect()}  # two rows for each bit length
+
+def _told(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at = np.nonzero(x)[0]
+    for a in range(0, len(at), 200_000):
+        i = at[a : a + 200_000]
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(x[i])], names=["at", "n"])
+
+
+def _filled(total: np.ndarray, size: int) -> np.ndarray:
+    return np.concatenate([total, np.zeros(size - len(total), np.int64)])
+
+
+def train_words(docs: DataFrame) -> tuple[Totals, Spelling, DataFrame]:
+    """Totals, the spelling model, and word, c for every word. docs: text, train (null: not)."""
+    counts = written(_word_counts(docs), "word-counts")
+    told = {bytes(r["word"]): r["c"] for r in counts.where("substring(word, 1, 1) = cast(' ' as binary)").collect()}  # two rows for each bit length
     words = counts.where("substring(word, 1, 1) != cast(' ' as binary)")
-    ends = sum(v for k, v in lengths.items() if k[:2] == b" e")
+    ends = sum(v for k, v in told.items() if k[:2] == b" e")
     known = words.where("c > 0")
-    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    over = np.array([[lengths.get(b" %s%d" % (x, b), 0) for b in range(64)] for x in (b"e", b"w")], float)
-    model = _blank(n + ends, v + (ends > 0), ends, (over[0] + 0.5) / (over.sum(0) + 1 + 0.5 * (over.sum(0) == 0)))
+    n, v, once = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first()
+    over = np.array([[told.get(b" %s%d" % (x, b), 0) for b in range(64)] for x in (b"e", b"w")], float)
+    totals = Totals(n + ends, v + (ends > 0), ends, once, told.get(b" b", 0), told.get(b" t", 0), (over[0] + 0.5) / (over.sum(0) + 1 + 0.5 * (over.sum(0) == 0)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, _SLOTS), np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, WORDS_AT_ONCE):
+                count_slots(batch.column(0).slice(a, WORDS_AT_ONCE).to_pylist(), seen)
+        yield from _told(seen.reshape(-1))
+
+    spelling = Spelling()
+    spelling.n0, spelling.n1 = _filled(_summed(known.select("word").mapInArrow(tidied(count), "at long, n long")), 2 * _SLOTS).reshape(2, _SLOTS).astype(np.float32)
+    sent = docs.sparkSession.sparkContext.broadcast(spelling)  # of fixed size
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Spelling()
+        own.n0, own.n1 = sent.value.n0, sent.value.n1
+        for batch in batches:
+            for a in range(0, batch.num_rows, LEARN_AT_ONCE):
+                part = batch.column(0).slice(a, LEARN_AT_ONCE).to_pylist()
+                own.log2(part, np.ones(len(part)), learn=True)
+        yield from _told(own.mixer.taught())
+
+    spelling.mixer.adopt(_filled(_summed(known.select("word").mapInArrow(tidied(learn), "at long, n long")), len(spelling.mixer.taught())))
+    return totals, spelling, words
+
+
+def _spelt_words(words: DataFrame, spelling: Spelling, buckets: int) -> DataFrame:
+    """bucket, h (hash), c, lp (log2 of the spelling) of every word."""
+    sent = words.sparkSession.sparkContext.broadcast(spelling)  # tables of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, WORDS_AT_ONCE):
+                part = batch.slice(a, WORDS_AT_ONCE)
+                said = part.column(0).to_pylist()
+                h = word_hashes(said)
+                lp = sent.value.log2(said, part.column(1).to_numpy() > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)), pa.array(h.view(np.int64)), part.column(1), pa.array(lp.astype(np.float32))], names=["bucket", "h", "c", "lp"])
+
+    return words.mapInArrow(tidied(run), "bucket int, h long, c long, lp float")
+
+
+def _as_bytes(x: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Stretches of x between places, as bytes."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * x.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+
+def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, dtype) for x in column.to_pylist()]) if len(column) else np.zeros(0, dtype)
+
+
+def _texts(table: pa.Table) -> list[bytes]:
+    return table.column("text").cast(pa.large_binary()).to_pylist()
+
+
+def _asks(dealt: DataFrame, buckets: int) -> DataFrame:
+    """For each block and bucket: the block's distinct words (w), and the keys and training counts of its pairs and triples."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        words, sizes = tokens(_texts(group))
+        taught = np.repeat(group.column("train").to_numpy(zero_copy_only=False).astype(bool), sizes)
+        w, at = _by_bucket(words, buckets)
+        out = [pa.array(np.full(buckets, group.column("block")[0].as_py(), np.int32)), pa.array(np.arange(buckets, dtype=np.int32)), _as_bytes(w, at)]
+        for h in grams(words, sizes)[:2]:
+            key = _key(h, buckets)
+            u = np.unique(key)
+            known, times = np.unique(key[taught], return_counts=True)
+            n = np.zeros(len(u), np.uint32)
+            n[np.searchsorted(u, known)] = times
+            at = _edges(u, buckets)
+            out += [_as_bytes((u & np.uint64(0xFFFFFFFF)).astype(np.uint32), at), _as_bytes(n, at)]
+        return pa.Table.from_arrays(out, names=["block", "bucket", "w", "k2", "n2", "k3", "n3"])
+
+    return dealt.groupBy("block").applyInArrow(run, "block int, bucket int, w binary, k2 binary, n2 binary, k3 binary, n3 binary")
+
+
+def _answers(asks: DataFrame, spelt: DataFrame) -> DataFrame:
+    """For each block and bucket: counts (c) and spellings (lp) of the words, and counts of the pairs and triples over all blocks."""
+
+    def run(asked: pa.Table, words: pa.Table) -> pa.Table:
+        order = np.argsort(h := words.column("h").to_numpy().view(np.uint64))
+        h, c, lp = h[order], words.column("c").to_numpy()[order], words.column("lp").to_numpy()[order]
+        out = {"block": asked.column("block"), "bucket": asked.column("bucket"), "c": [], "lp": []}
+        for raw in asked.column("w"):
+            i = np.searchsorted(h, np.frombuffer(raw.as_py(), np.uint64))
+            out["c"].append(c[i].tobytes()), out["lp"].append(lp[i].tobytes())
+        for k, n, name in (("k2", "n2", "t2"), ("k3", "n3", "t3")):
+            both = np.sort((_joined(asked.column(k), np.uint32).astype(np.uint64) << np.uint64(32)) | _joined(asked.column(n), np.uint32))
+            key = (both >> np.uint64(32)).astype(np.uint32)
+            first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
+            total = np.minimum(np.add.reduceat((both & np.uint64(0xFFFFFFFF)).astype(np.int64), first), 0xFFFFFFFF).astype(np.uint32) if len(first) else np.zeros(0, np.uint32)
+            key = key[first]
+            out[name] = [total[np.searchsorted(key, np.frombuffer(x.as_py(), np.uint32))].tobytes() for x in asked.column(k)]
+        kinds = {"block": pa.int32(), "bucket": pa.int32()}
+        return pa.table({x: pa.chunked_array([pa.array(y, pa.binary())]) if x not in kinds else y for x, y in out.items()})
+
+    return asks.groupBy("bucket").cogroup(spelt.groupBy("bucket")).applyInArrow(run, "block int, bucket int, c binary, lp binary, t2 binary, t3 binary")
+
+
+_CODED = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, fixed double, bytes long, code binary, rest binary, p3 binary, p2 binary"
+
+
+def _code(dealt: DataFrame, answers: DataFrame, totals: Totals, buckets: int) -> DataFrame:
+    """Documents as what the mixing needs of their tokens: codes, and log2 probabilities by no, the longer and the shorter context
+    (half precision; of a context only for words that it knows); and what needs no mixing: base score and log2 of the ends."""
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return pa.Table.from_pylist([], schema=_coded_schema())
+        texts, told = texts.sort_by([("doc_id", "ascending"), ("text", "ascending")]), told.sort_by("bucket")
+        raws = _texts(texts)
+        words, sizes = tokens(raws)
+        n, train = len(words), texts.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        taught = train[doc]
+        h2, h3, one = grams(words, sizes)
+        w, _ = _by_bucket(words, buckets)
+        order = np.argsort(w)
+        ids = order[np.searchsorted(w, words, sorter=order)] if n else np.zeros(0, np.int64)
+        count, spelt = _joined(told.column("c"), np.int64)[ids], _joined(told.column("lp"), np.float32)[ids]
+
+        def less_own(key: np.ndarray, total: np.ndarray) -> np.ndarray:
+            """Counts of tokens without those of the document itself, if it taught."""
+            out = total - taught
+            more = np.nonzero(taught & (total > 1))[0]  # of a single one nothing is left
+            if len(more):
+                u, inverse = np.unique(key[more], return_inverse=True)
+                out[more] = total[more] - _times(doc[more], inverse, len(u))[0]
+            return np.maximum(out, 0)
+
+        found = []
+        for h, name in ((h2, "t2"), (h3, "t3")):
+            key = _key(h, buckets)
+            u, inverse = np.unique(key, return_inverse=True)
+            found.append(less_own(inverse, _joined(told.column(name), np.uint32).astype(np.int64)[inverse] if n else np.zeros(0, np.int64)))
+        c1, (c2, c3) = less_own(ids, count), found
+        at = np.arange(n) - (np.cumsum(sizes) - sizes)[doc]
+        before = lambda x, start: np.where(at > 0, np.concatenate([[0], x[:-1]]) if n else x, start)
+        n2 = np.maximum(before(c1, totals.ends - taught), c2)  # how often the word before, and the two before, were seen
+        n3 = np.maximum(np.where(at > 0, before(c2, 0), 0), np.where(at > 0, c3, 0))
+        c3 = np.where(at > 0, c3, 0)  # of a first word the longer context says no more
+        rest = wordwise_log2(spelt, c1, ids, sizes, max(0.001, totals.once / max(1, totals.tokens - totals.ends)) if totals.tokens else 0.999, totals.tokens - totals.ends)
+        deep = np.where((c2 == 0) & (c3 == 0), np.minimum(rest - LEAST_LOG2, 0), 0)  # of very long words; no context shares in it
+        rest = np.maximum(rest, LEAST_LOG2)
+        code = coded(n3, n2, c3 > 0, c2 > 0, one)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p3, p2 = np.log2(c3 / n3).astype(np.float16), np.log2(c2 / n2).astype(np.float16)
+        base = np.log10((count + 0.1) / (totals.tokens + 0.1 * (totals.distinct + 1)))
+        end_base = np.log10((totals.ends + 0.1) / (totals.tokens + 0.1 * (totals.distinct + 1)))
+        summed = lambda x: np.bincount(doc, x, len(sizes)) if n else np.zeros(len(sizes))
+        log_end, log_on = np.log2(totals.end_rate), np.log2(1 - totals.end_rate)
+        fixed = [sum(log_on[b] * (min(m, 1 << b) - ((1 << b) >> 1) if b else 1) for b in range(m.bit_length() + 1) if min(m, 1 << b) > (1 << b) >> 1) + log_end[m.bit_length()] for m in sizes.tolist()]
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        part = lambda x, keep: _as_bytes(x[keep], np.concatenate([[0], np.cumsum(keep)])[edges])
+        return pa.Table.from_arrays(
+            [
+                texts.column("doc_id"), texts.column("train"), pa.array(sizes + 1), pa.array(summed(count > 0).astype(np.int64) + (totals.ends > 0)), pa.array(summed(base) + end_base),
+                pa.array(fixed + summed(deep)), pa.array([len(t) for t in raws], pa.int64()), _as_bytes(code, edges), _as_bytes(rest.astype(np.float16), edges), part(p3, c3 > 0), part(p2, c2 > 0),
+            ],
+            schema=_coded_schema(),
+        )
+
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _CODED)
+
+
+def _coded_schema() -> pa.Schema:
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _CODED.split(", "))])
+
+
+def _tokens_of(batch: pa.RecordBatch, at_once: int = 500_000) -> Iterator[tuple[int, int, tuple]]:
+    """Some documents of a batch at a time: from, to, and code, sizes, p3, p2, rest of their tokens."""
+    n = (batch.column(batch.schema.names.index("n_tokens")).to_numpy() - 1).astype(np.int64)
+    col = lambda name, a, b, dtype: np.frombuffer(b"".join(batch.column(batch.schema.names.index(name)).slice(a, b - a).to_pylist()), dtype)
+    a, ends = 0, np.cumsum(n)
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + at_once, "right")))
+        code = col("code", a, b, np.uint16)
+        p3, p2 = np.zeros(len(code)), np.zeros(len(code))
+        p3[code >> 6 & 1 == 1] = np.exp2(col("p3", a, b, np.float16).astype(np.float64))
+        p2[code >> 7 & 1 == 1] = np.exp2(col("p2", a, b, np.float16).astype(np.float64))
+        rest = np.exp2(col("rest", a, b, np.float16).astype(np.float64))
+        yield a, b, (code, n[a:b], p3, p2, rest)
+        a = b
+
+
+def train_contexts(rows: DataFrame) -> Contexts:
+    """Learned online by every task from its training documents, and added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n0, n1 = seen = np.zeros((2, _SLOTS))
+        own = Contexts()
         for batch in batches:
-            for a in range(0, batch.num_rows, 20_000):
-                part = batch.slice(a, 20_000)
-                count_slots(part.column(0).to_pylist(), part.column(1).to_numpy(), seen)
-        at = np.nonzero(n0 + n1)[0]
-        for a in range(0, len(at), 200_000):
-            i = at[a : a + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(n0[i].astype(np.int64)), pa.array(n1[i].astype(np.int64))], names=["slot", "n0", "n1"])
-
-    slots = known.select("word", "c").mapInArrow(run, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most as many rows as slots
-    n0, n1 = np.zeros(_SLOTS), np.zeros(_SLOTS)
-    n0[slots.column("slot").to_numpy()], n1[slots.column("slot").to_numpy()] = slots.column("n0").to_numpy(), slots.column("n1").to_numpy()
-    common = known.orderBy(F.desc("c"), "word").limit(SAMPLE_COMMON).collect()
-    rare = []
-    if len(common) == SAMPLE_COMMON:
-        last = common[-1]
-        rare = known.where((F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") > F.lit(bytes(last["word"]))))).orderBy(F.xxhash64("word"), "word").limit(SAMPLE_RARE).collect()
-    picked = [bytes(r["word"]) for r in common + rare]
-    scale = np.concatenate([np.ones(len(common)), np.full(len(rare), (v - len(common)) / max(1, len(rare)))])
-    learn_online(model, n0, n1, picked, np.array([r["c"] for r in common + rare], float), scale)
-    return model, words
-
-
-def score(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+            for _, _, part in _tokens_of(batch, 20_000):
+                if len(part[0]):
+                    own.learn(*part)
+        yield from _told(own.taught())
+
+    out = Contexts()
+    taught = rows.where("train").select("n_tokens", "code", "rest", "p3", "p2").mapInArrow(tidied(run), "at long, n long")
+    out.adopt(_filled(_summed(taught), len(out.taught())))
+    return out
+
+
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """docs (doc_id, text, train) scored: doc_id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Tokens are the words and one end; A-Z count as lower case. base_score: log10 of additive unigram smoothing. score:
-    log10 of the model's probability. A null text is an empty one, which has an end only. Without training rows the base
-    is 0 and the model even odds. An empty table gives an empty result. bits_per_byte is over the text's UTF-8 bytes, null
-    for empty texts.
+    log10 of the model's probability. A null text is an empty one, which has an end only; a null train is false. Without
+    training rows all counts are 0 and words are only spelt. Rows that are repeated are scored alike, but if they teach, each is
+    known from the others. Other columns are left out. An empty table gives an empty result. bits_per_byte is over the text's
+    UTF-8 bytes, null for empty texts.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("train", F.lit(False)).alias("train"))
-    model, words = train(docs)
-    sent = spark.sparkContext.broadcast(model)  # tables of fixed size
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 20_000):
-                part = batch.slice(a, 20_000)
-                lp = sent.value.word_log2(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lp)], names=["word", "c", "lp"])
-
-    spelt = written(words.mapInArrow(spell, "word binary, c long, lp double"), "word-scores")
-    rows = docs.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // block_docs))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "block")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[bytes]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, found in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int32()), pa.array(list(found), pa.binary())], names=["block", "word"])
-            seen.clear()
+    totals, spelling, words = train_words(docs)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, buckets = max(least, -(-totals.docs_bytes // block_bytes)), max(least, -(-3 * totals.all_tokens // bucket_entries))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    answers = written(_answers(_asks(dealt, buckets), _spelt_words(words, spelling, buckets)), "context-counts")
+    rows = written(_code(dealt, answers, totals, buckets), "coded-documents")
+    sent = spark.sparkContext.broadcast(train_contexts(rows))  # of fixed size
+    train_tokens = totals.tokens
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, block in zip(batch.column(1).cast(pa.binary()), batch.column(3).to_pylist()):
-                seen.setdefault(block, set()).update(words_of(text.as_py()))
-                if sum(map(len, seen.values())) > 500_000:
-                    yield from flush()  # a word may come again; that does no harm
-        yield from flush()
-
-    table = dealt.mapInArrow(distinct, "block int, word binary").join(spelt, "word").select("block", "word", "c", "lp")
-
-    def total(texts: pa.Table, table: pa.Table) -> pa.Table:
-        m = sent.value
-        number = {w: i for i, w in enumerate(table.column("word").to_pylist())}
-        c, lp = table.column("c").to_numpy(), table.column("lp").to_numpy()
-        base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.distinct + 1)))
-        end_base = np.log10((m.ends + 0.1) / (m.tokens + 0.1 * (m.distinct + 1)))
-        log_end, log_on = np.log10(m.end_rate), np.log10(1 - m.end_rate)
-        raws = texts.column("text").cast(pa.binary()).to_pylist()
-        said = [words_of(t) for t in raws]
-        sizes = np.fromiter(map(len, said), np.int64, len(said))
-        ids = np.fromiter((number[w] for ws in said for w in ws), np.int64, int(sizes.sum()))
-        log2 = m.document_log2(lp[ids], c[ids], ids, sizes)
-        ends, out = np.cumsum(sizes), []
-        for raw, n, stop, spoken in zip(raws, sizes.tolist(), ends.tolist(), log2.tolist()):
-            i = ids[stop - n : stop]
-            on = sum(log_on[b] * (min(n, 1 << b) - ((1 << b) >> 1) if b else 1) for b in range(n.bit_length() + 1) if min(n, 1 << b) > (1 << b) >> 1)
-            s = float(spoken * np.log10(2) + on + log_end[n.bit_length()])
-            size = len(raw)
-            out.append((n + 1, int((c[i] > 0).sum()) + (m.ends > 0), m.tokens, float(base[i].sum() + end_base), s, -s / np.log10(2) / size if size else None))
-        cols = list(zip(*out))
-        return pa.table([texts.column("doc_id"), texts.column("train"), *(pa.array(x, pa.int64()) for x in cols[:3]), *(pa.array(x, pa.float64()) for x in cols[3:])], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-
-    def both(texts: pa.Table, table: pa.Table) -> pa.Table:
-        return total(texts, table) if texts.num_rows else pa.table({n: pa.array([], t) for n, t in _RESULT})
-
-    return dealt.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(both, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
-
-
-_RESULT = [("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]
+            for a, b, part in _tokens_of(batch):
+                own = batch.slice(a, b - a)
+                col = lambda name: own.column(own.schema.names.index(name))  # noqa: B023, E731
+                bits = -(sent.value.log2(*part) + col("fixed").to_numpy())
+                size = col("bytes").to_numpy()
+                per_byte = pa.array(bits / np.maximum(size, 1), pa.float64(), mask=size == 0)
+                yield pa.RecordBatch.from_arrays([col("doc_id"), col("train"), col("n_tokens"), col("n_known"), pa.array(np.full(b - a, train_tokens)), col("base_score"), pa.array(-bits * np.log10(2)), per_byte], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+
+    return rows.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

@@ -221,63 +221,148 @@ def test_packing_sequences(spark):
 # ---- context mixing -----------------------------------------------------------------------------------
 
 
-def test_context_mixing(spark):
+def mixing_rows():
     r = random.Random(2)
     stems = ["".join(r.choices("abcdefgh", k=r.randrange(2, 6))) for _ in range(60)]
-    rows = [(i, " ".join(r.choices(stems, k=r.randrange(0, 60))), i % 5 != 0) for i in range(200)] + [(900, None, True), (901, "Abc  NEW\nword-é", False), (902, "x" * 3000, False)]
-    got = {x.doc_id: x for x in mixing.score(docs(spark, rows, "doc_id long, text string, train boolean"), block_docs=50).collect()}
+    rows = [(i, " ".join(r.choices(stems, k=r.randrange(0, 60))), i % 5 != 0) for i in range(200)]
+    rows += [(300 + i, " ".join(r.choices(stems, k=8)), True) for i in range(20)] + [(400 + i, rows[7 + i][1], i != 0) for i in range(8)]
+    return [*rows, (900, None, True), (901, "Abc  NEW\nword-é", False), (902, "x" * 3000, False), (903, "same row", True), (903, "same row", True), (None, "no id", None)]
+
+
+def test_context_mixing(spark):
+    rows = mixing_rows()
+    table = docs(spark, rows, "doc_id long, text string, train boolean").withColumn("block", F.lit("clash"))
+    got = {x.doc_id: x for x in mixing.score(table, block_bytes=3000, bucket_entries=500).collect()}
     said = {i: (t or "").encode().lower().split() for i, t, _ in rows}
-    counts = Counter(w for i, _, train in rows if train for w in said[i])
-    ends = sum(train for *_, train in rows)
+    counts = Counter(w for i, t, train in rows if train for w in (t or "").encode().lower().split())
+    ends = sum(bool(train) for *_, train in rows)
     n, v = sum(counts.values()) + ends, len(counts) + 1
     for i, ws in said.items():
         base = sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in [counts[w] for w in ws] + [ends])
         assert abs(got[i].base_score - base) < 1e-6 * abs(base) + 1e-9
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws) + 1, sum(w in counts for w in ws) + 1, n)
         assert got[i].score < 0
-    held = [x for i, x in got.items() if i < 900 and i % 5 == 0]
+    held = [got[i] for i in range(0, 200, 5)]
     assert sum(x.score for x in held) > 1.1 * sum(x.base_score for x in held)
-    assert got[902].score > got[902].n_tokens * -20_000 and got[900].bits_per_byte is None
-    assert mixing.score(docs(spark, rows, "doc_id long, text string, train boolean").where("false")).count() == 0
-    untrained = mixing.score(docs(spark, rows, "doc_id long, text string, train boolean").withColumn("train", F.lit(False))).collect()
-    assert all(x.base_score == 0 and x.n_known == 0 and x.train_tokens == 0 for x in untrained)
+    assert sum(got[i].score for i in range(400, 408)) > 0.6 * sum(got[i].base_score for i in range(400, 408))  # known from their copies
+    assert got[902].score > -20_000 and got[900].bits_per_byte is None and got[None].train is False
+    assert mixing.score(table.where("false")).count() == 0
+    untrained = mixing.score(table.withColumn("train", F.lit(False))).collect()
+    assert all(x.base_score == 0 and x.n_known == 0 and x.train_tokens == 0 and x.score < 0 for x in untrained if x.doc_id != 900)
+
+
+def test_context_counts_equal_plain_ones(spark):
+    """What blocks are told of words, pairs and triples, less what a training document has itself."""
+    rows = [(i, t, bool(train)) for i, t, train in mixing_rows() if i not in (None, 903)]
+    table = docs(spark, [(i, t or "", x) for i, t, x in rows], "doc_id long, text string, train boolean")
+    totals, spelling, words = mixing.train_words(table)
+    dealt = table.withColumn("block", F.pmod("doc_id", F.lit(3)).cast("int"))
+    told = mixing._answers(mixing._asks(dealt, 5), mixing._spelt_words(words, spelling, 5))
+    got = {r.doc_id: np.frombuffer(r.code, np.uint16) for r in mixing._code(dealt, told, totals, 5).collect()}
+    said = {i: (t or "").encode().lower().split() for i, t, _ in rows}
+    lists = lambda ws: (Counter(ws), Counter(zip(["<", *ws], ws)), Counter(zip(["<", "<", *ws], ["<", *ws], ws)))
+    own, total = {i: lists(ws) for i, ws in said.items()}, [Counter(), Counter(), Counter()]
+    for i, _, train in rows:
+        for k in range(3) if train else ():
+            total[k].update(own[i][k])
+    trained = sum(x for *_, x in rows)
+    for i, _, train in rows:
+        left = lambda k, key: total[k][key] - train * own[i][k][key]  # noqa: B023, E731
+        for at, w in enumerate(said[i]):
+            one, two = (said[i][at - k] if at >= k else "<" for k in (1, 2))
+            n2, n3 = left(0, one) if at else trained - train, left(1, (two, one)) if at else 0
+            want = mixing.quantised(np.array([n3, n2])).tolist() + [int(at > 0 and left(2, (two, one, w)) > 0), int(left(1, (one, w)) > 0)]
+            code = int(got[i][at])
+            assert [code & 7, code >> 3 & 7, code >> 6 & 1, code >> 7 & 1] == want
+
+
+def test_mixing_equals_a_plain_loop():
+    r = np.random.default_rng(5)
+    sizes = np.array([70, 0, 1, 45])
+    n = int(sizes.sum())
+    n3, n2 = r.integers(0, 40, n), r.integers(0, 400, n)
+    k3, k2 = (r.random(n) < 0.6) & (n3 > 0), (r.random(n) < 0.7) & (n2 > 0)
+    code = mixing.coded(n3, n2, k3, k2, r.integers(0, 1 << 60, n).astype(np.uint64) << np.uint64(4))
+    p3, p2, rest = np.where(k3, r.random(n), 0), np.where(k2, r.random(n), 0), r.random(n) * 1e-3
+    m = mixing.Contexts()
+    for _ in range(5):
+        m.learn(code, sizes, p3, p2, rest)
+    again = mixing.Contexts()
+    again.adopt(m.taught())
+    assert np.allclose(again.n1, m.n1, atol=1e-6) and np.allclose(again.mixer.weights, m.mixer.weights, atol=1e-5)
+    got = m.log2(code, sizes, p3, p2, rest)
+    q = lambda x: int(mixing.quantised(np.array([x]))[0])
+    squash = lambda x: 1 / (1 + math.exp(-min(18, max(-18, x))))
+    for d, first in enumerate(np.cumsum(sizes) - sizes):
+        total, bias, step, past, run = 0.0, [0.0, 0.0], [0.0, 0.0], [0, 0, 0], 0
+        for at in range(sizes[d]):
+            i = first + at
+            if at and at % mixing.STEP == 0:
+                bias, step = [min(3, max(-3, b + mixing.BIAS_RATE * s)) for b, s in zip(bias, step)], [0.0, 0.0]
+            g = []
+            for k, seen in enumerate((q(n3[i]), q(n2[i]))):
+                if not seen:
+                    g.append(0.0)
+                    continue
+                cells = [k * 64 + q(n3[i]) * 8 + q(n2[i]), 128 + (k * 27 + past[0] * 9 + past[1] * 3 + past[2]) * 8 + seen, 560 + (k * 256 + (int(code[i]) >> 8)) * 8 + seen, 4656 + (k * 8 + run) * 16 + min(15, int(math.log2(at + 1)))]
+                w = m.mixer.weights[k * 8 + run]
+                x = w[4] + sum(w[j] * math.log((m.n1[c] + 0.05) / (m.n0[c] + 0.05)) for j, c in enumerate(cells))
+                place = min(11.99, max(-11.99, x)) * 2 + 24
+                row = m.mixer.map[k * 8 + seen]
+                p = 0.5 * squash(x) + 0.5 * (row[int(place)] * (1 - place % 1) + row[int(place) + 1] * (place % 1))
+                g.append(1 / (1 + math.exp(-math.log(p / (1 - p)) - bias[k])))
+            lower = g[1] * p2[i] + (1 - g[1]) * rest[i]
+            p = g[0] * p3[i] + (1 - g[0]) * lower
+            total += math.log2(p)
+            r3, r2 = g[0] * p3[i] / p, g[1] * p2[i] / lower
+            step = [step[0] + r3 - g[0], step[1] + (1 - r3) * (r2 - g[1])]
+            past, run = [2 if k3[i] else int(k2[i]), *past[:2]], min(7, run + 1) if k3[i] else 0
+        assert abs(total - got[d]) < 1e-6 * max(1, abs(total))
 
 
 def test_spelling_is_a_distribution():
-    m = mixing._blank(100, 10, 5, np.full(64, 0.1))
+    m = mixing.Spelling()
     r = np.random.default_rng(1)
-    m.stretch = r.standard_normal(len(m.stretch)).astype(np.float32)
+    m.n0, m.n1 = r.integers(0, 50, (2, mixing._SLOTS)).astype(np.float32)
     every = [bytes([b]) for b in range(256) if b not in (32, 9, 10, 11, 12, 13)]
     flat, starts = mixing._spelt(every)
-    ctx = mixing._contexts(flat, starts)
-    first = np.zeros(len(every))
-    total = np.zeros(len(flat))
+    ctx, total = mixing._contexts(flat, starts), np.zeros(len(flat))
     for node, bit in mixing._bits(flat):
         slots = [mixing._slots(ctx[k], node, k) for k in range(5)]
-        p = m._mixed([m.stretch[s] for s in slots], mixing._gate(m.trust[slots[2]], m.trust[slots[4]]), node)[0]
+        n0, n1 = ([c[s] for s in slots] for c in (m.n0, m.n1))
+        gate = (mixing._trust(n0[4] + n1[4]).astype(np.int64) << 3) | mixing._trust(n0[2] + n1[2])
+        p = m.mixer.mix([mixing._stretch(a, z) for a, z in zip(n0, n1)], gate, node.astype(np.int64))[0]
         total += np.log2(np.where(bit == 1, p, 1 - p))
     first = np.exp2(total[starts])
     assert 0.9 < first.sum() <= 1 + 1e-6  # with the six bytes of white space it is 1
+    assert np.allclose(np.add.reduceat(total, starts), m.log2(every, np.zeros(len(every))))
 
 
-def test_document_weights_equal_a_plain_loop():
-    m = mixing._blank(100, 10, 5, np.full(64, 0.1))
+def test_wordwise_weights_equal_a_plain_loop():
     r = np.random.default_rng(3)
     ids = r.integers(0, 6, 90)
-    spelt, counts = -1 - 9 * r.random(6), np.array([5.0, 0, 2, 9, 1, 0])
-    got = m.document_log2(spelt[ids], counts[ids], ids, np.array([70, 0, 20]))
-    for k, words in enumerate([ids[:70], ids[:0], ids[70:]]):
-        start = np.array([(1 - m.word_share) * (1 - mixing.OWN_SHARE), m.word_share * (1 - mixing.OWN_SHARE), mixing.OWN_SHARE])
-        weights, credit, total = start, np.zeros(3), 0.0
+    spelt, counts, share = -1 - 9 * r.random(6), np.array([5.0, 0, 2, 9, 1, 0]), 0.4
+    got = mixing.wordwise_log2(spelt[ids], counts[ids], ids, np.array([70, 0, 20]), share, 95)
+    at_all = 0
+    for words in (ids[:70], ids[:0], ids[70:]):
+        weights = np.array([share * (1 - mixing.OWN_SHARE), (1 - share) * (1 - mixing.OWN_SHARE), mixing.OWN_SHARE])
+        credit = np.zeros(3)
         for at, w in enumerate(words):
             if at and at % mixing.STEP == 0:
                 weights = weights * np.exp(mixing.RATE * (credit - mixing.STEP * weights))
                 weights = np.maximum(weights / weights.sum(), mixing.LEAST_SHARE)
                 weights, credit = weights / weights.sum(), np.zeros(3)
             p = weights * np.array([2.0 ** spelt[w], counts[w] / 95, (words[:at] == w).sum() / max(at, 1)])
-            total += math.log2(p.sum())
+            assert abs(math.log2(p.sum()) - got[at_all]) < 1e-4
+            at_all += 1
             credit = credit + p / p.sum()
-        assert abs(total - got[k]) < 1e-6
+
+
+def test_tokens_equal_words():
+    texts = [b"", b" a  b\x0b", b"One two one\tTWO", b"\x1f\xc2\xa0x", b"\n"]
+    h, sizes = mixing.tokens(texts)
+    said = [w for t in texts for w in mixing.words_of(t)]
+    assert sizes.tolist() == [len(mixing.words_of(t)) for t in texts] and (mixing.word_hashes(said) == h).all()
 
 
 # ---- fingerprints ---------------------------------------------------------------------------------------
