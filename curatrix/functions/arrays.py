@@ -11,30 +11,25 @@ from pyspark.sql import types as T
 SPAN_EACH, SPAN_LEAST = 20, 200
 
 
-def _set_aside(numbers: list[float]) -> tuple[list[float], list[float]]:
-    """Cuts sorted numbers at their widest jump while they spread too far; the smaller side goes, of equal ones the high."""
-    kept, out = list(numbers), []
-    while len(kept) > 1 and kept[-1] - kept[0] > max(SPAN_LEAST, SPAN_EACH * len(kept)):
-        jumps = [b - a for a, b in zip(kept, kept[1:])]
-        cut = jumps.index(max(jumps)) + 1
-        low, high = kept[:cut], kept[cut:]
-        kept, gone = (high, low) if len(low) < len(high) else (low, high)
-        out += gone
-    return kept, sorted(out)
-
-
-@F.pandas_udf(T.StructType([T.StructField("kept", T.ArrayType(T.DoubleType())), T.StructField("outliers", T.ArrayType(T.DoubleType()))]))
-def split_outliers(numbers: pd.Series) -> pd.DataFrame:
-    """Sorted numbers without those far from the rest, and those."""
-    pairs = [_set_aside(sorted(x)) if x is not None else ([], []) for x in numbers]
-    return pd.DataFrame({"kept": [p[0] for p in pairs], "outliers": [p[1] for p in pairs]})
-
-
 def settled(numbers: Column) -> Column:
-    """struct(kept, outliers); Python is only asked where the numbers spread too far."""
-    n = F.array_sort(numbers)
-    wide = F.array_max(n) - F.array_min(n) > F.greatest(F.lit(float(SPAN_LEAST)), SPAN_EACH * F.size(n))
-    return F.when(wide, split_outliers(n)).otherwise(F.struct(n.alias("kept"), F.array().cast("array<double>").alias("outliers")))
+    """struct(kept, outliers) of numbers: while they spread too far they are cut at their widest jump, the first of equal ones,
+    and the smaller side goes, of equal sides the high one. Both are sorted; null counts as no numbers."""
+    none = F.array().cast("array<double>")
+    n = F.array_sort(F.coalesce(numbers, none))
+    limit = lambda x: F.greatest(F.lit(float(SPAN_LEAST)), (SPAN_EACH * F.size(x)).cast("double"))
+    wide = lambda x: (F.size(x) > 1) & (F.element_at(x, -1) - F.get(x, F.lit(0)) > limit(x))
+
+    def cut(state: Column) -> Column:
+        kept = state["kept"]
+        jumps = F.zip_with(F.slice(kept, 2, F.size(kept) - 1), F.slice(kept, 1, F.size(kept) - 1), lambda b, a: b - a)
+        at = F.array_position(jumps, F.array_max(jumps)).cast("int")
+        low, high = F.slice(kept, 1, at), F.slice(kept, at + 1, F.size(kept) - at)
+        lower = F.size(low) < F.size(high)
+        return F.struct(F.when(lower, high).otherwise(low).alias("kept"), F.concat(state["outliers"], F.when(lower, low).otherwise(high)).alias("outliers"))
+
+    start = F.struct(n.alias("kept"), none.alias("outliers"))
+    cuts = F.aggregate(n, start, lambda state, _: F.when(wide(state["kept"]), cut(state)).otherwise(state))
+    return F.when(wide(n), F.struct(cuts["kept"].alias("kept"), F.array_sort(cuts["outliers"]).alias("outliers"))).otherwise(start)
 
 
 def missing_between(kept: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space by Unicode, as a regular expression class body.
 SPACE = r"\t\n\x0B\f\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same characters.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Accented Latin letters by the plain letters that they count as.
 FOLDS = {
     "a": "àáâãäåāąă", "ae": "æ", "c": "çćčċ", "d": "ďđð", "e": "èéêëēęěė", "g": "ğģ",
@@ -77,8 +79,8 @@ def fold(c: Column) -> Column:
 
 def norm(c: Column) -> Column:
     """The universal key: folded letters and digits; space, ``_ - .`` as one space; other signs dropped within words."""
-    spaced = F.regexp_replace(fold(c), f"[_\\-.{SPACE}]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(spaced, r"[^\p{L}\p{Nd} ]", ""), " +", " "))
+    spaced = F.translate(fold(c), "_-." + SPACES, " " * (3 + len(SPACES)))
+    return F.trim(F.regexp_replace(F.regexp_replace(spaced, r"[^\p{L}\p{Nd} ]+", ""), "  +", " "))
 
 
 def words(key: Column) -> Column:
@@ -338,13 +340,19 @@ def plain_text(html: Column) -> Column:
 
 
 def stub_description(raw: Column) -> Column:
-    """Why a description says nothing: empty, credit, url, stub; else null. Lengths are in bytes."""
-    t = plain_text(raw)
-    return F.when(t == "", "empty").when((F.octet_length(t) < CREDIT_BYTES) & t.rlike(CREDIT_LINE), "credit").when(t.rlike(ONLY_URL), "url").when(F.octet_length(t) < STUB_BYTES, "stub")
+    """Why a description says nothing: empty, credit, url, stub; else null. Lengths are in bytes.
+
+    A text without tags that has bytes enough beside its white space can only be an address, so it isn't cleaned.
+    """
+    say = lambda t: F.when(t == "", "empty").when((F.octet_length(t) < CREDIT_BYTES) & t.rlike(CREDIT_LINE), "credit").when(t.rlike(ONLY_URL), "url").when(F.octet_length(t) < STUB_BYTES, "stub")
+    long = ~F.contains(blank(raw), F.lit("<")) & (F.octet_length(F.translate(blank(raw), SPACES, "")) >= CREDIT_BYTES)
+    address = F.lower(F.substring(F.ltrim(F.lit(SPACES), blank(raw)), 1, 4)) == "http"
+    # the cleaned text is bound once
+    return F.when(long & ~address, F.lit(None).cast("string")).otherwise(F.get(F.transform(F.array(plain_text(raw)), say), F.lit(0)))
 
 
 _ODD = r"\t\n\x0B\f\r\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"  # all but space and the ideographic space
-_ANY = f" {_ODD}"
+_ODDS = SPACES.replace(" ", "").replace("\u3000", "")
 _EXTENSION = r"\.[A-Za-z0-9]{1,5}"
 SPACE_PROBLEMS = ("odd_space", "double_space", "edge_space", "space_before_extension", "space_before_colon")
 
@@ -354,15 +362,22 @@ def space_problems(name: Column, file: Column | bool = False) -> Column:
 
     The ideographic space is a letter among others here.
     """
-    v, is_file = blank(name), F.lit(file) if isinstance(file, bool) else file
-    found = {
-        "odd_space": v.rlike(f"[{_ODD}]"),
-        "double_space": v.rlike(f"[{_ANY}]{{2,}}"),
-        "edge_space": v.rlike(f"^[{_ANY}]|[{_ANY}]$"),
-        "space_before_extension": is_file & v.rlike(f"[{_ANY}]{_EXTENSION}[{_ANY}]*$"),
-        "space_before_colon": v.rlike(f"[{_ANY}][:꞉]"),
-    }
-    return F.array_compact(F.array(*[F.when(found[p], F.lit(p)) for p in SPACE_PROBLEMS]))
+    is_file = F.lit(file) if isinstance(file, bool) else file
+
+    def found(v: Column, plain: Column) -> Column:
+        """v: the name with its odd spaces as tabs, which are odd too; plain: with all as spaces."""
+        hits = {
+            "odd_space": F.contains(v, F.lit("\t")),
+            "double_space": F.contains(plain, F.lit("  ")),
+            "edge_space": F.startswith(plain, F.lit(" ")) | F.endswith(plain, F.lit(" ")),
+            "space_before_extension": is_file & plain.rlike(f" {_EXTENSION} *$"),
+            "space_before_colon": F.contains(plain, F.lit(" :")) | F.contains(plain, F.lit(" ꞉")),
+        }
+        return F.array_compact(F.array(*[F.when(hits[p], F.lit(p)) for p in SPACE_PROBLEMS]))
+
+    marked = F.translate(blank(name), _ODDS, "\t" * len(_ODDS))
+    both = F.transform(F.array(marked), lambda v: F.struct(v.alias("v"), F.replace(v, F.lit("\t"), F.lit(" ")).alias("plain")))
+    return F.get(F.transform(both, lambda x: found(x["v"], x["plain"])), F.lit(0))
 
 
 def space_fixed(name: Column, file: Column | bool = False) -> Column:

@@ -93,17 +93,25 @@ def top(rows: DataFrame, order: list[Column], n: int = 10) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+def refs_of(rows: DataFrame, keys: list[str], order: list[Column], ref: Column, n: int, to: str = "refs") -> DataFrame:
+    """keys, items (how many rows have them) and the first n refs of each in the given order; no list grows beyond n."""
+    ranked = top_each(rows.withColumn("_ref", ref), keys, order, n)
+    first = ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_ref"))), lambda x: x["_ref"]).alias(to))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("items")).join(first, keys)
+
+
 def top_each(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each key; the planner filters ranks before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(c("rank") <= n)
 
 
 def totals(items: DataFrame) -> DataFrame:
-    """Of a library: items, seconds, bytes, tracks, distinct authors and genres."""
-    return items.agg(
-        F.count(F.lit(1)).alias("items"), F.sum("duration").alias("seconds"), F.sum("size").alias("bytes"), F.sum("num_tracks").alias("tracks"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("authors")))).alias("authors"), F.size(F.array_distinct(F.flatten(F.collect_set("genres")))).alias("genres"),
-    )
+    """Of a library: items, seconds, bytes, tracks, distinct authors and genres; one row, zeros for none."""
+    nothing = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    sums = items.agg(F.count(F.lit(1)).alias("items"), nothing("duration").alias("seconds"), nothing("size").alias("bytes"), nothing("num_tracks").alias("tracks"))
+    for field in ("authors", "genres"):  # one row each
+        sums = sums.join(F.broadcast(items.select(F.explode(field).alias("v")).agg(F.countDistinct("v").alias(field))))
+    return sums
 
 
 def summary(items: DataFrame) -> DataFrame:

@@ -53,9 +53,10 @@ def numbering(items: DataFrame) -> DataFrame:
     out = items.withColumn("f", t.folder_number(F.col("rel_path"))).where("f.series != ''").withColumn("shelf", t.vocab_key("series", F.col("f.series"))).drop("series").join(keys, "shelf")
     linked = rows.select("id", F.col("key").alias("shelf")).distinct()
     unlinked = pick(out.join(linked, ["id", "shelf"], "left_anti"), "unlinked", label(F.col("f.number")))
-    # of titles on one number the later ones are named, unless an earlier one is the same book
+    # of titles on one number the later ones are named, unless an earlier one is the same book; of equal titles the first counts
+    first = Window.partitionBy("key", "n", t.clean_title(F.col("title"))).orderBy("rel_path", "id")
     slot = Window.partitionBy("key", "n").orderBy("rel_path", "id").rowsBetween(Window.unboundedPreceding, -1)
-    taken = rows.where("n is not null").withColumn("before", F.collect_list("title").over(slot))
+    taken = rows.where("n is not null").withColumn("again", (F.row_number().over(first) > 1) & (t.clean_title(F.col("title")) != "")).where("not again").withColumn("before", F.collect_list("title").over(slot))
     twice = taken.where((F.size("before") > 0) & ~F.exists("before", lambda b: t.title_level(b, F.col("title")) > 0))
     return padding.unionByName(unnumbered).unionByName(disagrees).unionByName(unlinked).unionByName(pick(twice, "duplicate_sequence", F.get("before", F.lit(0)))).orderBy("problem", "id")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import text as t
 from curatrix.operators.components import components
+from curatrix.operators.listing import refs_of
 
 c = F.col
 NAME_FIELDS = (*t.PERSON_FIELDS, "publishers", "series")
@@ -53,23 +54,43 @@ def near_keys(keys: DataFrame, field: str, apart=t.slip_apart) -> DataFrame:
     near = own.select(c("key").alias("b"), c("n").alias("m"), "p").join(ask.select(c("key").alias("a"), "m", "p"), ["m", "p"]).where("a < b").select("a", "b").distinct().where(apart(c("a"), c("b")))
     out = near.select("a", "b", F.lit("near").alias("kind"))
     if field in NAME_FIELDS and field != "series":
-        w = k.withColumn("w", t.words(c("key")))
-        joined = F.replace("key", F.lit(" "), F.lit(""))
-        heads = w.select("key", F.substring(joined, 1, 6).alias("h")).where("octet_length(h) >= 6")
-        ends = w.where(F.size("w") > 1).select("key", F.concat_ws(" ", F.get("w", F.lit(0)), F.element_at("w", -1)).alias("h"))
-        pairs = None
-        for side in (heads, ends):
-            p = side.select(c("key").alias("x"), "h").join(side.select(c("key").alias("y"), "h"), "h").where((c("x") != c("y")) & t.truncation_of(c("x"), c("y"))).select("x", "y")
-            pairs = p if pairs is None else pairs.unionByName(p)
-        if field in t.PERSON_FIELDS:
-            last = w.where(F.size("w") > 1).select("key", F.concat(F.element_at("w", -1), F.lit("|"), F.substring("key", 1, 1)).alias("h"))
-            p = last.select(c("key").alias("x"), "h").join(last.select(c("key").alias("y"), "h"), "h").where((F.length("x") < F.length("y")) & t.initials_of(c("x"), c("y"))).select("x", "y")
-            pairs = pairs.unionByName(p)
-        contains = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit("contains").alias("kind"))
+        contains = _cut_off(k) if field not in t.PERSON_FIELDS else _cut_off(k).unionByName(_initials(k)).distinct()
+        contains = contains.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit("contains").alias("kind"))
         out = out.unionByName(contains).groupBy("a", "b").agg(F.min("kind").alias("kind"))
     return out
 
 
+#: Middle words of a name whose omissions are listed one by one; longer names are compared by their first and last words.
+MIDDLE_WORDS = 6
+
+
+def _cut_off(k: DataFrame) -> DataFrame:
+    """x, y: keys of which one is cut off, or without its middle words. What a key can be cut to is listed and looked up."""
+    w = k.withColumn("w", t.words(c("key"))).withColumn("joined", F.replace("key", F.lit(" "), F.lit("")))
+    heads = w.select(c("key").alias("y"), F.explode(F.transform(F.sequence(F.lit(1), F.length("joined")), lambda n: F.substr("joined", F.lit(1), n))).alias("joined")).where("octet_length(joined) >= 6")
+    cut = w.select(c("key").alias("x"), "joined").join(heads, "joined").where((c("x") != c("y")) & t.truncation_of(c("x"), c("y")))
+    named = w.where(F.size("w") > 2).withColumn("middle", F.slice("w", 2, F.size("w") - 2))
+    ways = F.aggregate("middle", F.array(F.get("w", F.lit(0))), lambda made, word: F.concat(made, F.transform(made, lambda p: F.concat_ws(" ", p, word))))
+    shorter = named.where(F.size("middle") <= MIDDLE_WORDS).select(c("key").alias("y"), F.explode(ways).alias("p"), F.element_at("w", -1).alias("last")).select(F.concat_ws(" ", "p", "last").alias("x"), "y")
+    without = k.select(c("key").alias("x")).join(shorter.where("x != y").distinct(), "x")
+    ends = lambda df, name: df.select(c("key").alias(name), F.get("w", F.lit(0)).alias("p"), F.element_at("w", -1).alias("q"))
+    long = ends(w.where(F.size("w") > 1), "x").join(ends(named.where(F.size("middle") > MIDDLE_WORDS), "y"), ["p", "q"]).where((c("x") != c("y")) & t.truncation_of(c("x"), c("y")))
+    return cut.select("x", "y").unionByName(without.select("x", "y")).unionByName(long.select("x", "y")).distinct()
+
+
+def _initials(k: DataFrame) -> DataFrame:
+    """x, y: names of which one has initials for words of the other, or each has some. Names that could match are those that
+    can be cut to one form; two names without any initial never can be, so only those with one are cut on both sides."""
+    w = k.withColumn("w", t.words(c("key"))).where((F.size("w") > 1) & (F.size("w") <= MIDDLE_WORDS + 2)).withColumn("first", F.slice("w", 1, F.size("w") - 1))
+    one = lambda word: F.substr(word, F.lit(1), F.lit(1))
+    ways = F.aggregate("first", F.array(F.lit("")), lambda made, word: F.flatten(F.transform(made, lambda p: F.when(F.length(word) > 1, F.array(F.concat_ws(" ", p, word), F.concat_ws(" ", p, one(word)))).otherwise(F.array(F.concat_ws(" ", p, word))))))
+    forms = w.select(c("key").alias("y"), F.exists("first", lambda v: F.length(v) == 1).alias("has"), F.explode(ways).alias("p"), F.element_at("w", -1).alias("q")).select("y", "has", F.trim(F.concat_ws(" ", "p", "q")).alias("form")).distinct()
+    whole = forms.where("y != form").join(w.select(c("key").alias("x")), c("form") == c("x")).select("x", "y")
+    some = forms.where("has and y != form")
+    both = some.select(c("y").alias("x"), "form").join(some.select("y", "form"), "form").where("x < y").select("x", "y")
+    return whole.unionByName(both).distinct().where(t.initials_of(c("x"), c("y")))
+
+
 def clusters(spelt: DataFrame, field: str) -> DataFrame:
     """Clusters of keys that are near or contained: cluster, kind, keep, spellings. Languages have none."""
     edges = near_keys(spelt.select("key"), field)
@@ -104,19 +125,19 @@ def genre_findings(items: DataFrame, least: int = 5, prefix: str = "") -> DataFr
         "redundant": (c("field") == "tags") & F.exists("g", lambda g: F.lower(g) == F.lower("value")),
     }
     hits = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in marks.items()]))
-    refs = lambda: F.slice(F.transform(F.array_sort(F.collect_list(F.struct("added_at", "id"))), lambda r: r["id"]), 1, 3)
-    named = rows.withColumn("section", F.explode(hits)).groupBy("section", "field", "value").agg(F.count(F.lit(1)).alias("items"), refs().alias("refs"))
-    narrow = rows.where("field = 'genres'").groupBy("field", "value").agg(F.count(F.lit(1)).alias("items"), refs().alias("refs")).where(c("items") < least).withColumn("section", F.lit("narrow"))
-    return named.unionByName(narrow.select(named.columns))
+    named = refs_of(rows.withColumn("section", F.explode(hits)), ["section", "field", "value"], [c("added_at"), c("id")], c("id"), 3)
+    few = rows.where("field = 'genres'").groupBy("value").count().where(c("count") < least).select("value")
+    narrow = rows.where("field = 'genres'").join(few, "value", "left_semi").withColumn("section", F.lit("narrow"))
+    return named.unionByName(refs_of(narrow, ["section", "field", "value"], [c("added_at"), c("id")], c("id"), 3)).select("section", "field", "value", "items", "refs")
 
 
 def roles(items: DataFrame) -> DataFrame:
     """Names that write some books and only read others: name, wrote, read_only (ids; at most 5 and 10)."""
     one = lambda f: items.select("id", F.explode(f).alias("value")).select("id", t.vocab_key(f, c("value")).alias("name"), t.trim(c("value")).alias("value")).where("name != ''").distinct()
     wrote, read = one("authors"), one("narrators")
-    only = read.join(wrote.select("name", "id").distinct(), ["name", "id"], "left_anti").groupBy("name").agg(F.array_sort(F.collect_set("id")).alias("r"))
-    by = wrote.groupBy("name").agg(F.array_sort(F.collect_set("id")).alias("w"))
-    return only.join(by, "name").select("name", F.size("w").alias("n_wrote"), F.size("r").alias("n_read_only"), F.slice("w", 1, 5).alias("wrote"), F.slice("r", 1, 10).alias("read_only")).orderBy("n_wrote", F.desc("n_read_only"), "name")
+    only = refs_of(read.join(wrote.select("name", "id").distinct(), ["name", "id"], "left_anti").select("name", "id").distinct(), ["name"], [c("id")], c("id"), 10, "read_only").withColumnRenamed("items", "n_read_only")
+    by = refs_of(wrote.select("name", "id").distinct().join(only.select("name"), "name", "left_semi"), ["name"], [c("id")], c("id"), 5, "wrote").withColumnRenamed("items", "n_wrote")
+    return only.join(by, "name").select("name", "n_wrote", "n_read_only", "wrote", "read_only").orderBy("n_wrote", F.desc("n_read_only"), "name")
 
 
 def author_records(authors: DataFrame) -> DataFrame:
