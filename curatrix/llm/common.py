@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.sources.storage import shared_dir, written
 
-__all__ = ["crc_mod", "shared_dir", "table", "text_of", "written"]
+__all__ = ["crc_mod", "shared_dir", "table", "text_of", "tidied", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,3 +26,27 @@ def text_of(column: str | Column) -> Column:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
+
+
+def _give_back() -> None:
+    """Memory that is free in this process goes back to the system: workers stay alive between the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *caches: Callable[[], object]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which caches (calls that empty them) are dropped and free memory is given back."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for clear in caches:
+                clear()
+            _give_back()
+
+    return whole

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import written
+from curatrix.llm.common import tidied, written
 from curatrix.llm.pieces import _blocks, _resolve, encoder
 
 #: Permitted sequence lengths, and what a sequence costs beside its tokens, in tokens.
 LENGTHS = (512, 1024, 2048, 4096)
 SEQUENCE_COST = 16
 #: Tokens that one task packs together, about.
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 2_000_000
 
 
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, cost: int = SEQUENCE_COST) -> tuple[list[int], list[int], list[int]]:
@@ -72,10 +72,10 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: st
         for whole in batches:
             for a, b in _blocks(whole.column(1), enc.block_chars):
                 part = whole.slice(a, b - a)
-                sizes = enc.encode([t or "" for t in part.column(1).to_pylist()])[1]
+                sizes = enc.encode(part.column(1))[1]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n_tokens long")
 
 
 def _cut(sizes: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ library, and joins the ids back to the texts by position with array gathers. The
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from curatrix.llm.common import tidied
+
 _MARK = "▁"
 _LOADED: dict[str, "ChunkEncoder"] = {}
 
@@ -48,38 +51,37 @@ class ChunkEncoder:
         self.surface = pa.array(surface, pa.large_binary())
         self.marked = np.array([p.startswith(_MARK) for p in names])
         self.table: dict[str, int] = {}
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
         self.table.clear()
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Segments chunks that the table lacks; a chunk's first marker is the one that the library adds itself."""
-        ids = self.processor.encode([c[1:] for c in chunks], num_threads=1)
-        if _MARK in chunks:  # the library adds no marker to an empty text
-            ids[chunks.index(_MARK)] = [self.processor.piece_to_id(_MARK)]
+        """Segments chunks that the table lacks; the library adds a chunk's first marker itself."""
+        ids = self.processor.encode(chunks, num_threads=1)
+        if "" in chunks:  # the library adds no marker to an empty text
+            ids[chunks.index("")] = [self.processor.piece_to_id(_MARK)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-        for c in chunks:
-            self.table[c] = len(self.table)
+        self.table.update(zip(chunks, range(len(self.table), len(self.table) + len(chunks))))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and the number of ids of each text."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not self.plain:
-            ids = self.processor.encode(texts, num_threads=1)
-            return np.fromiter((i for x in ids for i in x), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
-        cut = [self._chunks(t) for t in texts]
-        per_text = np.fromiter(map(len, cut), np.int64, len(cut))
+            ids = self.processor.encode(column.to_pylist(), num_threads=1)
+            return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
         if len(self.table) > self.table_chunks:
-            self._reset()
+            self.forget()
+        distinct, place, per_text = self._chunks(column)
         table = self.table
-        new = {c for chunks in cut for c in chunks if c not in table}
+        new = [c for c in distinct if c not in table]
         if new:
-            self._learn(sorted(new))
-        codes = np.fromiter((table[c] for chunks in cut for c in chunks), np.int64, int(per_text.sum()))
+            self._learn(new)
+        codes = np.fromiter(map(table.__getitem__, distinct), np.int64, len(distinct))[place]
         sizes = self.sizes[codes]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -88,23 +90,33 @@ class ChunkEncoder:
         return self.flat[at], np.diff(bounds)
 
     @staticmethod
-    def _chunks(text: str) -> list[str]:
-        """Marked words without their inner markers' meaning lost: each item is markers, then other characters."""
-        if not text:
-            return []
-        marked = _MARK + text.replace(" ", _MARK)
-        parts = marked.split(_MARK)
-        if "" not in parts[1:]:
-            return [_MARK + p for p in parts[1:]]
-        out, run = [], 0
-        for p in parts[1:]:  # an empty part is a marker followed by another
-            run += 1
-            if p:
-                out.append(_MARK * run + p)
-                run = 0
-        if run:
-            out.append(_MARK * run)
-        return out
+    def _chunks(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct chunks without their first marker, the chunk at each place of all texts, and the number for each text.
+
+        A chunk is a marker, or a run of them, with the characters that follow; at the end of a text a run of markers alone.
+        """
+        parts = pc.split_pattern(pc.replace_substring(column, _MARK, " "), " ")
+        flat, offsets = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        coded = flat.dictionary_encode()
+        distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        empty = place == distinct.index("") if "" in distinct else np.zeros(len(place), bool)
+        if not empty.any():
+            return distinct, place, np.diff(offsets)
+        # an empty part is a marker that another one follows, or that ends its text; a text of one empty part is empty
+        last = np.zeros(len(place), bool)
+        last[offsets[1:] - 1] = True
+        keep = ~empty | (last & (np.repeat(np.diff(offsets), np.diff(offsets)) > 1))
+        first = np.repeat(offsets[:-1], np.diff(offsets))
+        full = np.maximum(np.maximum.accumulate(np.where(empty, -1, np.arange(len(place)))), first - 1)
+        run = np.arange(len(place)) - 1 - np.concatenate([[-1], np.maximum(full[:-1], first[1:] - 1)])  # empty parts just before
+        odd = np.nonzero(keep & ((run > 0) | empty))[0]
+        number = {c: i for i, c in enumerate(distinct)}
+        place = place.copy()
+        for i, n in zip(odd.tolist(), run[odd].tolist()):
+            place[i] = number.setdefault(_MARK * n + ("" if empty[i] else distinct[place[i]]), len(number))
+        counts = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        return list(number), place[keep], np.diff(counts)
 
     def decode(self, flat: np.ndarray, sizes: np.ndarray) -> list[str] | pa.Array:
         """Texts of id lists, as the library's decode gives them."""
@@ -166,11 +178,11 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", text_col: str =
             at = whole.schema.names.index(text_col)
             for a, b in _blocks(whole.column(at), enc.block_chars):
                 batch = whole.slice(a, b - a)
-                flat, sizes = enc.encode([t or "" for t in batch.column(at).to_pylist()])
+                flat, sizes = enc.encode(batch.column(at))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), lists], names=[*kept, to])
 
-    return docs.select(*docs.columns).mapInArrow(run, schema)
+    return docs.select(*docs.columns).mapInArrow(tidied(run, lambda: encoder(_resolve(model)).forget()), schema)
 
 
 def decode(rows: DataFrame, model: str = "piece_bpe_32k.model", ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -189,4 +201,4 @@ def decode(rows: DataFrame, model: str = "piece_bpe_32k.model", ids_col: str = "
                 texts = enc.decode(ids.flatten().to_numpy(zero_copy_only=False), sizes)
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), pa.array(texts, pa.string())], names=[*kept, to])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from curatrix.llm.common import written
+from curatrix.llm.common import tidied, written
 from curatrix.llm.language import BUCKETS, _trigrams, _words
 from curatrix.llm.pieces import _blocks
 
@@ -33,7 +33,7 @@ TOXIC_DOCS, CLEAN_DOCS = 2000, 3000
 #: Of the windows of each, all of which are scored, the worst that train; and the other windows of clean ones that do, about.
 WORST, CLEAN_WINDOWS = 3, 4000
 #: Characters of texts that a task takes at once, or one text.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def _tally(rows: DataFrame) -> np.ndarray:
         at = np.nonzero(out)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["at", "n"])
 
-    got = rows.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.mapInArrow(tidied(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(4 * BUCKETS + 3, np.int64)
     out[got.column("at").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -260,7 +260,7 @@ def _worst(rows: DataFrame, net: Network, turn: int, share: float) -> pa.Table:
                     names=["key", "toxic", "count", "looks", "windows"],
                 )
 
-    got = rows.mapInArrow(run, "key long, toxic boolean, count long, looks array<float>, windows array<array<string>>").toArrow().combine_chunks().sort_by("key").combine_chunks()
+    got = rows.mapInArrow(tidied(run), "key long, toxic boolean, count long, looks array<float>, windows array<array<string>>").toArrow().combine_chunks().sort_by("key").combine_chunks()
     sent.unpersist()
     return got
 
@@ -367,4 +367,4 @@ def score(docs: DataFrame, model: tuple[Network, np.ndarray], text_col: str = "t
                 p = _sigmoid(np.stack([top, np.log(count), np.ones(len(count))], 1) @ line)
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), pa.array(p.astype(np.float64)), pa.array((p >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
