@@ -30,12 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import written
+from curatrix.llm.common import tidied, written
+from curatrix.llm.pieces import _blocks
 from curatrix.operators.components import components
 
 #: Hashes that one task's prefix tree may hold; a cluster of more is dealt into blocks.
-TREE_HASHES = 6_000_000
+TREE_HASHES = 1_000_000
 PIVOTS = 8
+#: Characters of texts that a task takes at once, or one text.
+BLOCK_CHARS = 1_000_000
 
 
 class _WordHashes(dict):
@@ -44,7 +47,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -87,8 +90,8 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a, b in _blocks(batch.column(1), BLOCK_CHARS):
+                part = batch.slice(a, b - a)
                 made = [shingles(t.as_py(), n) for t in part.column(1)]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in made]
                 pair = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
@@ -97,17 +100,21 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 heads = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(np.concatenate([s[:t] for s, t in zip(made, take)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(pair[:, 0]), pa.array(pair[:, 1]), heads], names=["doc_id", "n", "k1", "k2", "head"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, head array<long>")
+    return docs.mapInArrow(tidied(run, _HASHES.clear), "doc_id long, n long, k1 long, k2 long, head array<long>")
 
 
 class PrefixTree:
     """Sets in one order of their members, as a tree whose nodes hold runs of members."""
 
-    def __init__(self, sets: list[np.ndarray], universe: int):
-        """sets: rising member numbers below universe, none empty, in lexicographic order."""
+    def __init__(self, sets: list[np.ndarray], universe: int, whole: np.ndarray | None = None):
+        """sets: rising member numbers below universe, none empty, in lexicographic order; equal ones side by side.
+
+        whole: the size of each set with those of its members that no other set has, which needn't be in the tree.
+        """
         self.flat = np.concatenate(sets)
         self.offset = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
         self.sizes = np.diff(self.offset)
+        self.whole = self.sizes if whole is None else whole
         self.mask = np.zeros(universe, np.int32)  # of the query that is being asked
         begin, end, parent, first, last = [], [], [], [], []  # of nodes: the run as a part of flat, and the sets below
 
@@ -136,9 +143,17 @@ class PrefixTree:
         order = np.argsort(self.parent, kind="stable")
         self.children = order
         self.child_at = np.searchsorted(self.parent[order], np.arange(-1, len(begin) + 1))
-        # the shortest and longest set below each node bound what remains
-        self.longest = np.maximum.reduceat(np.append(self.sizes, 0), np.stack([self.first, self.last], 1).ravel())[::2] if len(begin) else self.first
-        self.shortest = np.minimum.reduceat(np.append(self.sizes, 1 << 60), np.stack([self.first, self.last], 1).ravel())[::2] if len(begin) else self.first
+        # the shortest and longest set below each node, and the most members, bound what remains
+        below = np.stack([self.first, self.last], 1).ravel()
+        most = lambda x: np.maximum.reduceat(np.append(x, 0), below)[::2] if len(begin) else self.first
+        self.longest, self.deepest = most(self.whole), most(self.sizes)
+        self.shortest = np.minimum.reduceat(np.append(self.whole, 1 << 60), below)[::2] if len(begin) else self.first
+        # how many sets end at each node: equal ones lie side by side, before those that go on
+        ending = np.concatenate([[0], np.cumsum(self.sizes[self.first] == self.depth)]) if len(begin) else np.zeros(1, np.int64)
+        self.ends = np.diff(ending)
+        for i in np.nonzero(self.ends)[0]:
+            a, z = self.first[i], self.last[i]
+            self.ends[i] = np.searchsorted(self.sizes[a:z] > self.depth[i], True) if z - a > 1 else 1
 
     @staticmethod
     def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -151,12 +166,13 @@ class PrefixTree:
         n = b - a
         return self.children[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
-    def linked(self, query: np.ndarray, num: int, den: int, label: np.ndarray | None = None, own: int = -1) -> np.ndarray:
+    def linked(self, query: np.ndarray, num: int, den: int, label: np.ndarray | None = None, own: int = -1, whole: int | None = None) -> np.ndarray:
         """Numbers of the sets whose similarity with query (rising numbers) is at least num / den.
 
-        label: of each set; branches that have only the label ``own`` are left out.
+        label: of each set; branches that have only the label ``own`` are left out. whole: the size of the query with the
+        members that no set has.
         """
-        mask, q, out = self.mask, len(query), []
+        mask, q, held, out = self.mask, len(query) if whole is None else whole, len(query), []
         mask[query] = 1
         lo, hi = label if label is not None else (None, None)
         nodes = self._under(np.array([-1]))
@@ -172,13 +188,13 @@ class PrefixTree:
             at = np.repeat(self.begin[nodes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             have = have + np.add.reduceat(mask[self.flat[at]], np.cumsum(n) - n)
             # the most that can be shared yet, and the least that the smallest set below asks for
-            rest = np.minimum(self.longest[nodes] - self.depth[nodes], q - np.searchsorted(query, self.flat[self.end[nodes] - 1], "right"))
+            rest = np.minimum(self.deepest[nodes] - self.depth[nodes], held - np.searchsorted(query, self.flat[self.end[nodes] - 1], "right"))
             least = np.maximum(np.maximum(self.shortest[nodes], self.depth[nodes]), -(-num * q // den))
             keep = (have + rest) * (num + den) >= num * (q + least)
             nodes, have = nodes[keep], have[keep]
-            for i in np.nonzero(self.sizes[self.first[nodes]] == self.depth[nodes])[0]:  # sets that end here
-                if have[i] * (num + den) >= num * (q + self.depth[nodes[i]]):
-                    out.append(self.first[nodes[i]])
+            for i in np.nonzero(self.ends[nodes])[0]:  # sets that end here
+                a = self.first[nodes[i]]
+                out.extend(a + np.nonzero(have[i] * (num + den) >= num * (q + self.whole[a : a + self.ends[nodes[i]]]))[0])
             counts = self.child_at[nodes + 2] - self.child_at[nodes + 1]
             nodes, have = self._under(nodes), np.repeat(have, counts)
         mask[query] = 0
@@ -197,20 +213,20 @@ def join_sets(stored: list[np.ndarray], queries: list[np.ndarray] | None, num: i
     (stored, then queries) the component it is known to be in.
     """
     everything = stored + (queries or [])
+    total = np.array([len(s) for s in everything], np.int64)
     values, at, counts = np.unique(np.concatenate(everything), return_inverse=True, return_counts=True)
+    # what only one set holds is in no overlap; it counts in the sizes only
+    shared = counts > 1
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, -counts))] = np.arange(len(values))  # frequent first, so that near copies share their runs
-    numbered = [np.sort(x) for x in np.split(rank[at], np.cumsum([len(s) for s in everything])[:-1])]
-    order = sorted(range(len(stored)), key=lambda i: numbered[i].astype(">i8").tobytes())
-    tree_sets, place = [], []
-    edges: list[tuple[int, int]] = []
-    for i in order:
-        if tree_sets and len(tree_sets[-1]) == len(numbered[i]) and (tree_sets[-1] == numbered[i]).all():
-            edges.append((i if queries is None else -1 - i, place[-1]))
-        else:
-            tree_sets.append(numbered[i]), place.append(i)
-    tree = PrefixTree(tree_sets, len(values))
+    keep = shared[at]
+    held = np.add.reduceat(keep, np.cumsum(total) - total, dtype=np.int64)
+    numbered = [np.sort(x) for x in np.split(rank[at[keep]], np.cumsum(held)[:-1])]
+    del values, at, keep, counts
+    able = held * den >= num * total  # the least overlap with any partner
+    order = sorted((i for i in range(len(stored)) if able[i]), key=lambda i: numbered[i].astype(">i8").tobytes())
     root = list(range(len(everything)))
+    edges: list[tuple[int, int]] = []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -222,11 +238,21 @@ def join_sets(stored: list[np.ndarray], queries: list[np.ndarray] | None, num: i
         first: dict[int, int] = {}
         for i, s in enumerate(same):
             root[find(i)] = find(first.setdefault(s, i))
-    for i, j in edges:
-        root[find(i if i >= 0 else -1 - i)] = find(j)
-    asked = range(len(stored)) if queries is None else range(len(stored), len(everything))
+    place: list[int] = []  # the stored sets that the tree has; of wholly equal ones one
+    for i in order:
+        j = place[-1] if place else -1
+        if j >= 0 and held[i] == total[i] == total[j] == held[j] and (numbered[i] == numbered[j]).all():
+            edges.append((i if queries is None else -1 - i, j))
+            root[find(i)] = find(j)
+        else:
+            place.append(i)
+    base = len(stored)
+    if not place:
+        return []
+    tree = PrefixTree([numbered[i] for i in place], int(shared.sum()), total[place])
+    asked = [i for i in (range(len(stored)) if queries is None else range(base, len(everything))) if able[i]]
     # sets made of frequent members come first: they are likely to be at the centre of near copies
-    weight = {i: float(numbered[i].mean()) for i in asked}
+    weight = {i: float(numbered[i].mean()) + float(total[i] - held[i]) * len(rank) for i in asked}
     # labels of branches may lag behind: a branch that once was within the component of a root still is
     apart, unions = 2 * len(place), len(place)
     for i in sorted(asked, key=weight.__getitem__):
@@ -234,13 +260,12 @@ def join_sets(stored: list[np.ndarray], queries: list[np.ndarray] | None, num: i
             apart, unions = max(1, apart - unions), 0
             bounds = tree.labels(np.array([find(p) for p in place], np.int64))
         own = find(i)
-        for s in tree.linked(numbered[i], num, den, bounds, own):
+        for s in tree.linked(numbered[i], num, den, bounds, own, int(total[i])):
             j = place[s]
             if find(j) != find(i):
                 root[find(j)] = find(i)
                 edges.append((i, j))
                 unions += 1
-    base = len(stored)
     return [(i - base if queries is not None and i >= 0 else i, j) for i, j in edges]
 
 
@@ -353,13 +378,13 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(maybe(batch.column(0)))
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a, b in _blocks(batch.column(1), BLOCK_CHARS):
+                part = batch.slice(a, b - a)
                 made = [shingles(t.as_py(), n) for t in part.column(1)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in made])]), pa.int32()), pa.array(np.concatenate(made)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rep", "set"]).filter(pc.greater(pc.list_value_length(lists), 0))
 
-    sets = base.where("doc_id is not null").mapInArrow(whole, "rep long, set array<long>").join(clusters, "rep").select("cluster", "rep", "set")
+    sets = base.where("doc_id is not null").mapInArrow(tidied(whole, _HASHES.clear), "rep long, set array<long>").join(clusters, "rep").select("cluster", "rep", "set")
     links = _cluster_links(sets, num, den, tree_hashes)
     reached = components(links).select(F.col("node").alias("rep"), "component")
     members = classes.join(reached, "rep", "left").select("k1", "k2", "rep", F.coalesce("component", "rep").alias("component"))
