@@ -104,26 +104,57 @@ def best_match(needle: np.ndarray, haystack: np.ndarray, speeds: list[float]) ->
     return best
 
 
-def spectrogram(pcm: np.ndarray, rate: int, frame: int = 1024, hop: int = 512, bands: int = 16) -> np.ndarray:
+#: Fixed values of spectra: lowest frequency, share of the rate where the bands end, their number, seconds of a frame and of a
+#: part that is lined up on its own, and the energy that keeps a silent band finite.
+BAND_LOW, BAND_END, BANDS, FRAME_SECONDS, PART_SECONDS, SILENCE = 100.0, 0.45, 16, 0.064, 8.0, 1e-3
+
+
+def _power_of_two(n: float) -> int:
+    """The least power of two that is not under n."""
+    return 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
+
+
+def spectrogram(pcm: np.ndarray, rate: int, frame: int = 1024, hop: int = 256, bands: int = BANDS) -> np.ndarray:
     """Logarithm of the energy in bands of equal musical width, bands x frames."""
-    if len(pcm) < frame:
-        return np.zeros((bands, 0))
-    starts = np.arange(0, len(pcm) - frame + 1, hop)
-    shape = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame)
-    power = np.abs(np.fft.rfft(pcm[starts[:, None] + np.arange(frame)] * shape, axis=1)) ** 2
-    edges = np.unique(np.geomspace(100, rate / 2, bands + 1) * frame / rate).astype(int)
-    edges = np.maximum(edges, 1)
-    return np.log1p(np.array([power[:, a : max(a + 1, b)].sum(1) for a, b in zip(edges[:-1], edges[1:])]))
+    if frame < 1 or hop < 1 or bands < 1 or len(pcm) < frame:
+        return np.zeros((max(bands, 0), 0))
+    size = _power_of_two(frame)
+    edges = np.rint(np.geomspace(BAND_LOW, BAND_END * rate, bands + 1) * size / rate).astype(int)
+    edges = np.maximum.accumulate(edges - np.arange(bands + 1)) + np.arange(bands + 1)  # one bin each at least
+    frames = np.lib.stride_tricks.sliding_window_view(np.asarray(pcm, float), frame)[::hop] * np.hanning(frame)
+    power = np.abs(np.fft.rfft(frames, size, axis=1)[:, : size // 2]) ** 2
+    upto = np.concatenate([np.zeros((len(power), 1)), np.cumsum(power, axis=1)], axis=1)[:, np.minimum(edges, size // 2)]
+    return np.log(np.diff(upto, axis=1) / frame + SILENCE).T
 
 
 def spectral_score(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean over bands of the correlation of two spectrograms of the same times."""
+    """Mean over bands of the correlation of two spectrograms of the same times; bands that don't vary in either are left out."""
     n = min(a.shape[1], b.shape[1])
+    if n < 2:
+        return 0.0
     pairs = [(standardised(x[:n]), standardised(y[:n])) for x, y in zip(a, b)]
     scores = [float(x @ y) for x, y in pairs if x is not None and y is not None]
     return float(np.mean(scores)) if scores else 0.0
 
 
+def spectral_match(needle: np.ndarray, haystack: np.ndarray, rate: int, offset: int, speed: float, window: int = 200) -> float:
+    """How alike the spectra of a needle are to those of the stretch that best_match found for it (offset in windows, speed).
+
+    The needle is taken in parts, each at the place, within a window of where it should be, that suits it best; the mean.
+    """
+    frame = _power_of_two(FRAME_SECONDS * rate)
+    hop, played = frame // 4, stretched(np.asarray(needle, float), speed)
+    part = min(int(PART_SECONDS * rate), len(played))
+    if rate < 1 or window < 1 or part < 2 * frame or not len(haystack):
+        return 0.0
+    scores = []
+    for a in range(0, len(played) - part + 1, part):
+        own = spectrogram(played[a : a + part], rate, frame, hop)
+        starts = [at for at in range(offset * window + a - window, offset * window + a + window + 1, max(1, hop // 2)) if 0 <= at <= len(haystack) - part]
+        scores.append(max([0.0, *(spectral_score(own, spectrogram(haystack[at : at + part], rate, frame, hop)) for at in starts)]))
+    return float(np.mean(scores)) if scores else 0.0
+
+
 def quiet(pcm: np.ndarray, window: int = 200, share: float = 0.6, of_peak: float = 0.1) -> bool:
     """Most windows are under a tenth of the loudest."""
     n = len(pcm) // window
@@ -131,14 +162,26 @@ def quiet(pcm: np.ndarray, window: int = 200, share: float = 0.6, of_peak: float
     return not n or loud.max() == 0 or float((loud < of_peak * loud.max()).mean()) > share
 
 
-@F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("offset", T.IntegerType()), T.StructField("speed", T.DoubleType()), T.StructField("quiet", T.BooleanType())]))
-def compare_point(needle: pd.Series, haystack: pd.Series) -> pd.DataFrame:
-    """One point of two recordings, as arrays of samples: where the first is found in the second, and how well."""
+#: How much faster or slower one copy may play, and the step between the speeds tried, in percent.
+SPEED_MOST, SPEED_STEP = 3.0, 0.25
+
+
+def speeds(most: float = SPEED_MOST, step: float = SPEED_STEP) -> list[float]:
+    """The speeds that are tried, the slowest first."""
+    n = round(most / step)
+    return [1 + step * i / 100 for i in range(-n, n + 1)]
+
+
+@F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spectral", T.DoubleType()), T.StructField("offset", T.IntegerType()), T.StructField("speed", T.DoubleType()), T.StructField("quiet", T.BooleanType())]))
+def compare_point(needle: pd.Series, haystack: pd.Series, rate: pd.Series) -> pd.DataFrame:
+    """One point of two recordings, as arrays of samples of one rate: where the first is found in the second, and how alike their
+    loudness and their spectra are there."""
     out = []
-    for a, b in zip(needle, haystack):
+    for a, b, hz in zip(needle, haystack, rate):
         a, b = (np.asarray(x if x is not None else [], float) for x in (a, b))
-        out.append((*best_match(envelope(a), envelope(b), [0.92 + 0.01 * i for i in range(17)]), quiet(a)))
-    return pd.DataFrame(out, columns=["score", "offset", "speed", "quiet"]).astype({"offset": "int32"})
+        score, at, speed = best_match(envelope(a), envelope(b), speeds())
+        out.append((score, spectral_match(a, b, int(hz), at, speed) if at >= 0 else 0.0, at, speed, quiet(a)))
+    return pd.DataFrame(out, columns=["score", "spectral", "offset", "speed", "quiet"]).astype({"offset": "int32"})
 
 
 #: A point is heard at this envelope score, and found if its spectra are this alike too; medians under the last are apart.
@@ -197,29 +240,56 @@ def mp4_report(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"locked": [r[0] for r in rows], "wanted": pd.array([r[1] for r in rows], "Int64")})
 
 
-def ribbon_share(rgb: np.ndarray, low: float, high: float, colour: tuple[int, int, int], near: int = 48) -> float:
-    """Share of the diagonal band (low to high of the way from the top left corner) that is near a colour."""
+#: Fixed values of a shop's ribbon: the grid that a cover is reduced to, least red and green and most blue of its yellow, how
+#: much the red may exceed the green, where its middle may lie (0: top left corner, 2: bottom right), how wide half of it may
+#: be, how yellow it must be as a whole and in each of four parts, and how yellow what lies beside it may be.
+GRID, RED_LEAST, GREEN_LEAST, BLUE_MOST, RED_OVER = 160, 170, 160, 130, 40
+MIDDLES, HALVES, SIDE_NEAR, SIDE_FAR = np.arange(1.25, 1.8001, 0.025), np.arange(0.05, 0.1301, 0.01), 0.02, 0.12
+INSIDE_LEAST, PART_LEAST, OUTSIDE_MOST, PARTS = 0.45, 0.30, 0.25, 4
+
+
+def yellow_grid(rgb: np.ndarray) -> np.ndarray:
+    """Which cells of the grid show the ribbon's yellow."""
     h, w, _ = rgb.shape
-    y, x = np.mgrid[0:h, 0:w]
-    band = (((x / w) + (y / h)) >= low) & (((x / w) + (y / h)) < high)
-    close = (np.abs(rgb.astype(int) - np.array(colour)).max(2) <= near)[band]
-    return float(close.mean()) if close.size else 0.0
+    cells = rgb[(np.arange(GRID) * h // GRID)[:, None], np.arange(GRID) * w // GRID].astype(int)
+    r, g, b = cells[..., 0], cells[..., 1], cells[..., 2]
+    return (r >= RED_LEAST) & (g >= GREEN_LEAST) & (b <= BLUE_MOST) & (g + RED_OVER >= r)
+
+
+class _Diagonals:
+    """Yellow and all cells by diagonal and part of it, summed up, so that any band is one difference."""
+
+    def __init__(self, yellow: np.ndarray):
+        n = len(yellow)
+        y, x = np.mgrid[0:n, 0:n]
+        part = np.minimum(PARTS - 1, (x - y + n) * PARTS // (2 * n))
+        at = ((x + y) * PARTS + part).ravel()
+        table = np.stack([np.bincount(at, w, 2 * n * PARTS).reshape(2 * n, PARTS) for w in (yellow.ravel(), None)])
+        self.n, self.upto = n, np.concatenate([np.zeros((2, 1, PARTS)), np.cumsum(table, axis=1)], axis=1)
+
+    def share(self, low: float, high: float) -> tuple[float, float]:
+        """The yellow share of the band from low to under high, and of its least yellow part."""
+        a, z = (int(np.clip(np.ceil(x * self.n - 1e-9), 0, 2 * self.n)) for x in (low, high))
+        hit, every = self.upto[:, max(a, z)] - self.upto[:, a]
+        return (float(hit.sum() / every.sum()), float((hit[every > 0] / every[every > 0]).min())) if every.sum() else (0.0, 0.0)
+
+
+def ribbon(rgb: np.ndarray) -> dict[str, float] | None:
+    """The ribbon of a cover that stands out most (middle, half, inside, outside), or None."""
+    bands, best = _Diagonals(yellow_grid(rgb)), None
+    for middle in MIDDLES:
+        for half in HALVES:
+            inside, least = bands.share(middle - half, middle + half)
+            if inside < INSIDE_LEAST or least < PART_LEAST:
+                continue
+            outside = max(bands.share(middle - half - SIDE_FAR, middle - half - SIDE_NEAR)[0], bands.share(middle + half + SIDE_NEAR, min(2.0, middle + half + SIDE_FAR))[0])
+            if outside <= OUTSIDE_MOST and (best is None or inside - outside > best["inside"] - best["outside"]):
+                best = {"middle": float(middle), "half": float(half), "inside": inside, "outside": outside}
+    return best
 
 
 @F.pandas_udf(T.BooleanType())
 def has_ribbon(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-    """A shop's diagonal ribbon across a corner: one colour fills a narrow band and is rare beside it."""
-
-    def test(raw: bytes | None, w: float, h: float) -> bool:
-        if raw is None or pd.isna(w) or pd.isna(h) or len(raw) != 3 * int(w) * int(h) or not len(raw):
-            return False
-        rgb = np.frombuffer(raw, np.uint8).reshape(int(h), int(w), 3)
-        for corner in (rgb, rgb[:, ::-1], rgb[::-1], rgb[::-1, ::-1]):
-            for low in np.arange(0.2, 0.5, 0.05):
-                ys, xs = np.nonzero(np.abs(np.add.outer(np.arange(int(h)) / h, np.arange(int(w)) / w) - low - 0.04) < 0.02)
-                if len(ys) and (c := tuple(int(v) for v in np.median(corner[ys, xs], axis=0))) and ribbon_share(corner, low, low + 0.08, c) > 0.9:
-                    if ribbon_share(corner, low + 0.12, low + 0.3, c) < 0.3 and ribbon_share(corner, max(0, low - 0.15), max(0.01, low - 0.04), c) < 0.3:
-                        return True
-        return False
-
-    return pd.Series([test(r, w, h) for r, w, h in zip(pixels, width, height)])
+    """Whether pictures, given as bytes of red, green and blue, carry the ribbon; false without a whole picture."""
+    whole = lambda raw, w, h: raw is not None and not pd.isna(w) and not pd.isna(h) and len(raw) == 3 * int(w) * int(h) > 0
+    return pd.Series([whole(r, w, h) and ribbon(np.frombuffer(r, np.uint8).reshape(int(h), int(w), 3)) is not None for r, w, h in zip(pixels, width, height)])

@@ -18,10 +18,14 @@ _TRAILER = r"(?i)(\s+(disc|cd|part)\s*\d+|\s+v\d+)\s*$"
 GENERIC = ("chapter", "chapters", "ch", "chap", "track", "trk", "part", "pt", "disc", "cd", "section", "sec", "of", "and", "the", "a")
 #: Containers by extension; codecs that an extension should hold.
 CONTAINERS = {
-    ".m4b": "mp4", ".m4a": "mp4", ".mp4": "mp4", ".aac": "mp4", ".wma": "asf", ".asf": "asf", ".mp3": "mp3", ".flac": "flac",
-    ".ogg": "ogg", ".oga": "ogg", ".opus": "ogg", ".wav": "wav", ".mka": "matroska", ".webm": "matroska", ".aiff": "aiff", ".aif": "aiff",
+    ".m4a": "mp4", ".m4b": "mp4", ".mp4": "mp4", ".m4p": "mp4", ".mov": "mp4", ".aax": "mp4", ".aaxc": "mp4", ".mp3": "mp3", ".mp2": "mp3",
+    ".aac": "aac", ".flac": "flac", ".ogg": "ogg", ".oga": "ogg", ".opus": "ogg", ".wav": "wav", ".wma": "asf", ".asf": "asf",
+    ".webm": "matroska", ".mka": "matroska", ".aif": "aiff", ".aiff": "aiff", ".caf": "caf",
+}
+CODECS = {
+    ".mp3": ["mp3", "mp2", "mp1"], ".mp2": ["mp3", "mp2", "mp1"], ".flac": ["flac"], ".ogg": ["vorbis", "opus", "flac", "speex"],
+    ".oga": ["vorbis", "opus", "flac", "speex"], ".opus": ["opus"], ".aac": ["aac"],
 }
-CODECS = {".mp3": ["mp3"], ".flac": ["flac"], ".ogg": ["vorbis", "opus", "flac"], ".opus": ["opus"], ".wav": ["pcm_s16le", "pcm_s24le"]}
 #: Formats that only a shop's player opens.
 LOCKED = (".aax", ".aaxc", ".aa", ".m4p")
 SMALL_COVER, SQUARE = 500, 0.1

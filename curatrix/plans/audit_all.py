@@ -79,7 +79,7 @@ def audit_all(
         "whitespace": lambda: tally(_space(items, audio), "whitespace", "problem"),
         "paths": lambda: tally(files.path_problems(items), "paths", "problem"),
         "duplicates": lambda: flat(duplicates.groups(items).select("group").distinct(), "duplicates", "groups"),
-        "candidates": lambda: tally(duplicates.candidates(items, duplicates.groups(items)), "candidates", "why"),
+        "candidates": lambda: tally(duplicates.candidates(items, duplicates.judged(items)), "candidates", "why"),
         "placeholder_titles": lambda: flat(duplicates.placeholder_titles(items), "placeholder_titles", "title"),
     }
     if chapter_rows is not None:

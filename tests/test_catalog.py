@@ -159,7 +159,8 @@ def test_duplicates(spark, items):
     held = duplicates.incomplete(spark.createDataFrame([("a", "b")], "short_id string, long_id string"), tracks)
     assert rows(held, "short_id", "long_id", "held", "missing") == [("a", "b", 2, ["x"])]
     near = item(spark, [{"id": "a", "title": "Dune (Unabridged)", "authors": ["F H"], "duration": 1000.0}, {"id": "b", "title": "Dune: A Novel", "authors": ["F H"], "duration": 1050.0}, {"id": "c", "title": "Other", "authors": ["F H"], "duration": 1001.0}])
-    assert rows(duplicates.candidates(near, duplicates.groups(near)), "a", "b", "why") == [("a", "b", "title"), ("a", "c", "length")]
+    albums = spark.createDataFrame([("c", "Dune"), ("b", "Nothing")], "item_id string, album string")
+    assert rows(duplicates.candidates(near, duplicates.judged(near), albums), "a", "b", "why") == [("a", "b", "edition"), ("a", "c", "album")]
     files = lambda i, s: (i, 0, 100.0, None, False, None, "a.mp3", "mp3", s, None, None)
     a, b = (duplicates.content_key(spark.createDataFrame([files(i, 7)], catalog.AUDIO_FILE)) for i in ("old", "new"))
     assert rows(duplicates.relinked(a, b), "old_id", "new_id", "how", "choices") == [("old", "new", "same files", 1)]
@@ -266,7 +267,7 @@ def test_sound(spark):
     haystack = (r.standard_normal(60_000) * np.repeat(r.random(300) * 9000, 200)).astype(int)
     needle = haystack[20_000:40_000]
     df = spark.createDataFrame([(0, needle.tolist(), haystack.tolist()), (1, r.permutation(needle).tolist(), haystack.tolist()), (2, [], [])], "i int, n array<int>, h array<int>")
-    got = {x.i: x.c for x in df.select("i", media.compare_point("n", "h").alias("c")).collect()}
+    got = {x.i: x.c for x in df.select("i", media.compare_point("n", "h", F.lit(8000)).alias("c")).collect()}
     assert got[0].score > 0.99 and got[0].offset == 100 and got[1].score < 0.7 and got[2].quiet
     assert media.spectral_score(media.spectrogram(needle, 8000), media.spectrogram(needle, 8000)) > 0.999
     verdicts = spark.createDataFrame([(5, 5, 4, 0.9), (5, 1, 0, 0.4), (5, 3, 2, 0.7), (5, 4, 1, 0.9), (0, 0, 0, 0.0)], "p int, h int, f int, m double")
