@@ -158,7 +158,7 @@ def test_duplicates(spark, items):
     tracks = spark.createDataFrame([("a", 0, 10.0, "1", 5), ("a", 1, 20.0, "2", 6), ("b", 0, 10.0, "1", 5), ("b", 1, 15.0, "x", 1), ("b", 2, 20.0, "2", 6)], "item_id string, idx int, duration double, filename string, size long")
     held = duplicates.incomplete(spark.createDataFrame([("a", "b")], "short_id string, long_id string"), tracks)
     assert rows(held, "short_id", "long_id", "held", "missing") == [("a", "b", 2, ["x"])]
-    near = item(spark, [{"id": "a", "title": "Dune (Unabridged)", "authors": ["F H"], "duration": 1000.0}, {"id": "b", "title": "Dune: A Novel", "authors": ["F H"], "duration": 1050.0}, {"id": "c", "title": "Other", "authors": ["F H"], "duration": 1001.0}])
+    near = item(spark, [{"id": "a", "title": "Dune (Unabridged)", "authors": ["Frank Herbert"], "duration": 1000.0}, {"id": "b", "title": "Dune: A Novel", "authors": ["Frank Herbert"], "duration": 1050.0}, {"id": "c", "title": "Other", "authors": ["Frank Herbert"], "duration": 1001.0}])
     albums = spark.createDataFrame([("c", "Dune"), ("b", "Nothing")], "item_id string, album string")
     assert rows(duplicates.candidates(near, duplicates.judged(near), albums), "a", "b", "why") == [("a", "b", "edition"), ("a", "c", "album")]
     files = lambda i, s: (i, 0, 100.0, None, False, None, "a.mp3", "mp3", s, None, None)
