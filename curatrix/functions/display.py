@@ -31,12 +31,12 @@ def duration_text(seconds: Column) -> Column:
 
 
 def bytes_text(size: Column) -> Column:
-    """GB with one decimal, whole MB or KB, or bytes; in steps of 1024."""
+    """GB with one decimal, whole MB or KB (halves to even), or bytes; in steps of 1024."""
     n = size.cast("double")
     return (
         F.when(size >= 1 << 30, F.format_string("%.1f GB", n / (1 << 30)))
-        .when(size >= 1 << 20, F.format_string("%.0f MB", n / (1 << 20)))
-        .when(size >= 1 << 10, F.format_string("%.0f KB", n / (1 << 10)))
+        .when(size >= 1 << 20, F.format_string("%d MB", F.rint(n / (1 << 20)).cast("long")))
+        .when(size >= 1 << 10, F.format_string("%d KB", F.rint(n / (1 << 10)).cast("long")))
         .otherwise(F.format_string("%d bytes", size.cast("long")))
     )
 
