@@ -54,3 +54,25 @@ def either_key(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], l
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
+
+
+def near_hashes(left: DataFrame, right: DataFrame, hash_col: str, id_col: str, most: int, bits: int = 64) -> DataFrame:
+    """a, b, apart of all rows of left and right, other than one row with itself, whose hashes differ in at most ``most`` bits.
+
+    The bits are cut into most + 1 bands: hashes that near agree in one of them at least, so bands are joined, exactly. Null
+    hashes are near nothing.
+    """
+    edges = [bits * i // (most + 1) for i in range(most + 2)]
+    band = lambda i: F.shiftrightunsigned(hash_col, edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1)
+    cut = F.posexplode(F.array(*[band(i) for i in range(most + 1)])).alias("_band", "_value")
+    side = lambda df, name: df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias(name), F.col(hash_col).alias(f"_{name}"), cut)
+    apart = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b")))
+    agree = F.array_position(F.array(*[F.shiftrightunsigned(F.col("_a").bitwiseXOR(F.col("_b")), edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1) == 0 for i in range(most + 1)]), True) - 1
+    # a pair is told by the first band that it agrees in
+    pairs = side(left, "a").join(side(right, "b"), ["_band", "_value"]).where((F.col("a") != F.col("b")) & (apart <= most) & (agree == F.col("_band")))
+    return pairs.select("a", "b", apart.alias("apart"))
+
+
+def partners(pairs: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
+    """id, links: how many partners each row of some pairs has."""
+    return pairs.select(F.explode(F.array(a, b)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))

@@ -105,6 +105,11 @@ def top_each(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> D
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(c("rank") <= n)
 
 
+def sums(rows: DataFrame, keys: list[str], add: dict[str, str], count: dict[str, str]) -> DataFrame:
+    """keys, items, sums of columns and numbers of distinct values, by name."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("items"), *[F.sum(x).alias(n) for n, x in add.items()], *[F.countDistinct(x).alias(n) for n, x in count.items()])
+
+
 def totals(items: DataFrame) -> DataFrame:
     """Of a library: items, seconds, bytes, tracks, distinct authors and genres; one row, zeros for none."""
     nothing = lambda x: F.coalesce(F.sum(x), F.lit(0))

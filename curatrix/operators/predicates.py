@@ -36,6 +36,18 @@ def checks(prefix: str = "") -> dict[str, tuple[Column, Column]]:
     }
 
 
+def applying(conditions: dict[str, Column]) -> Column:
+    """The names of the conditions that hold, in order."""
+    return F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in conditions.items()]))
+
+
+def stale(rows: DataFrame, key: str, at: str, days: int = STALE_DAYS) -> DataFrame:
+    """key, newest of what is older than so many days before the newest of all rows."""
+    newest = rows.groupBy(key).agg(F.max(at).alias("newest"))
+    last = rows.agg(F.max(at).alias("_last"))  # one row
+    return newest.join(F.broadcast(last), c("newest") < c("_last") - F.make_interval(days=F.lit(days))).select(key, "newest")
+
+
 def findings(items: DataFrame, names: list[str] | None = None, prefix: str = "") -> DataFrame:
     """One row for each item and check that applies: id, title, author, path, check, detail."""
     table = checks(prefix)

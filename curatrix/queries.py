@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import arrays as ar
 from curatrix.functions import text as t
-from curatrix.operators import chapters, duplicates, joins, listing, predicates, series, vocabulary
+from curatrix.operators import changes, chapters, duplicates, entities, joins, listing, matching, predicates, series, vocabulary
+from curatrix.sources import catalog
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,14 +84,16 @@ def audit_all_counts(spark, sf_dir):
     return predicates.counts(read(spark, sf_dir, "documents"), {k: f() for k, (f, _) in _DOC_CHECKS.items()})
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+@query("SELECT c_custkey, c_name, 'BUILDING' AS field FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, c_name, 'balance' FROM customer WHERE c_acctbal < 0")
 def missing_field(spark, sf_dir):
-    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers whose segment or balance counts as missing, as findings of named checks."""
+    hits = predicates.applying({"BUILDING": c("c_mktsegment") == "BUILDING", "balance": c("c_acctbal") < 0})
+    return read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.explode(hits).alias("field"))
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL")
 def missing_label(spark, sf_dir):
-    return read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+    return entities.not_there(read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents"), ["doc_id"])
 
 
 @query(f"SELECT doc_id, {stub_sql('text')} AS problem FROM documents WHERE {stub_sql('text')} IS NOT NULL")
@@ -104,10 +107,10 @@ def norm_key_groups(spark, sf_dir):
     return one(read(spark, sf_dir, "part"), "part", "p_name").unionByName(one(read(spark, sf_dir, "documents"), "source", "source"))
 
 
-@query(f"SELECT doc_id, {norm_sql('substr(text, 1, 400)')} AS key FROM documents")
+@query(f"SELECT doc_id, md5({norm_sql('text')}) AS key, length({norm_sql('text')})::INT AS chars FROM documents")
 def norm_text(spark, sf_dir):
-    """The universal key of the openings of texts."""
-    return read(spark, sf_dir, "documents").select("doc_id", t.norm(F.substring("text", 1, 400)).alias("key"))
+    """The universal key of whole texts, by its digest and length."""
+    return read(spark, sf_dir, "documents").select("doc_id", t.norm(c("text")).alias("key")).select("doc_id", F.md5("key").alias("key"), F.length("key").alias("chars"))
 
 
 @query("SELECT 'priority' AS field, o_orderpriority AS value, count(*) AS items FROM orders GROUP BY 2 UNION ALL SELECT 'status', o_orderstatus, count(*) FROM orders GROUP BY 2")
@@ -133,7 +136,8 @@ def recent_merge(spark, sf_dir):
 
 @query("SELECT l_returnflag, count(*) AS items, sum(l_quantity) AS quantity, round(sum(l_extendedprice), 2) AS price, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1")
 def library_totals(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("items"), F.sum("l_quantity").alias("quantity"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.countDistinct("l_partkey").alias("parts"))
+    sums = listing.sums(read(spark, sf_dir, "lineitem"), ["l_returnflag"], {"quantity": "l_quantity", "price": "l_extendedprice"}, {"parts": "l_partkey"})
+    return sums.withColumn("price", F.round("price", 2))
 
 
 # ---- Sequences --------------------------------------------------------------------------------------
@@ -148,10 +152,12 @@ def sequence_gaps(spark, sf_dir):
     return found.where(F.size("missing") > 0).select(c("l_orderkey").alias("key"), F.array_join(F.array_sort("missing"), ",").alias("missing"))
 
 
-@query(_GAPS.format(key="conv_id", n="turn", table="conversations"))
+@query(_GAPS.format(key="conv_id % 40", n="turn * 7 + conv_id % 3", table="conversations"))
 def turn_gaps(spark, sf_dir):
-    found = series.sequences(read(spark, sf_dir, "conversations"), "conv_id", c("turn"))
-    return found.where(F.size("missing") > 0).select(c("conv_id").alias("key"), F.array_join(F.array_sort("missing"), ",").alias("missing"))
+    """Numbers that groups of conversations lack."""
+    rows = read(spark, sf_dir, "conversations").select((c("conv_id") % 40).alias("key"), (c("turn") * 7 + c("conv_id") % 3).alias("n"))
+    found = series.sequences(rows, "key", c("n"))
+    return found.where(F.size("missing") > 0).select("key", F.array_join(F.array_sort("missing"), ",").alias("missing"))
 
 
 @query("WITH w AS (SELECT l_partkey, l_orderkey, l_linenumber, CASE WHEN max(l_orderkey) OVER p >= 100 THEN 3 WHEN max(l_orderkey) OVER p >= 10 THEN 2 ELSE 1 END AS width FROM lineitem WINDOW p AS (PARTITION BY l_suppkey)) SELECT l_orderkey, l_linenumber, l_partkey, width, CASE WHEN length(l_orderkey::VARCHAR) < width THEN lpad(l_orderkey::VARCHAR, width, '0') ELSE l_orderkey::VARCHAR END || '.5' AS styled FROM w")
@@ -177,10 +183,7 @@ def order_problems(spark, sf_dir):
 
 @query("SELECT o_custkey, max(o_orderdate) AS newest FROM orders GROUP BY 1 HAVING max(o_orderdate) < (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY")
 def stale_entities(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
-    newest = o.groupBy("o_custkey").agg(F.max("o_orderdate").alias("newest"))
-    last = o.agg(F.max("o_orderdate").alias("last"))  # one row
-    return newest.join(F.broadcast(last), c("newest") < c("last") - F.expr("interval 90 days")).select("o_custkey", "newest")
+    return predicates.stale(read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
 
 
 _DEC = ", ".join(f"round({ar.decile_sql('v', i)}, 4) AS d{i}" for i in range(1, 10))
@@ -201,27 +204,42 @@ def ratio_spread(spark, sf_dir):
 # ---- Roles, values, languages, white space --------------------------------------------------------------
 
 
-@query("SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey IN (SELECT s_nationkey FROM supplier)")
+@query("SELECT lower(n_name) AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n_wrote, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_read_only FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey IN (SELECT s_nationkey FROM supplier)")
 def role_overlap(spark, sf_dir):
-    a = read(spark, sf_dir, "customer").groupBy(c("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"))
-    b = read(spark, sf_dir, "supplier").groupBy(c("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("suppliers"))
-    return a.join(b, "n_nationkey")
+    """Nations as names: customers say who wrote, suppliers who reads."""
+    n = read(spark, sf_dir, "nation").select("n_nationkey", F.array(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("who"))
+    none = F.array().cast("array<string>")
+    one = lambda name, key, num, wrote: read(spark, sf_dir, name).join(n, c(key) == c("n_nationkey")).select(F.concat(F.lit(name), num).alias("id"), (c("who") if wrote else none).alias("authors"), (none if wrote else c("who")).alias("narrators"))
+    out = vocabulary.roles(one("customer", "c_nationkey", "c_custkey", True).unionByName(one("supplier", "s_nationkey", "s_suppkey", False)))
+    return out.select(F.replace("name", F.lit(" "), F.lit("_")).alias("name"), "n_wrote", "n_read_only")
 
 
-@query("SELECT p_brand AS value, count(*) AS items FROM part GROUP BY 1 HAVING count(*) < 70")
+@query("SELECT section, value, items FROM (SELECT 'narrow' AS section, p_brand AS value, count(*) AS items FROM part GROUP BY 2 HAVING count(*) < 70)")
 def narrow_values(spark, sf_dir):
-    return read(spark, sf_dir, "part").groupBy(c("p_brand").alias("value")).agg(F.count(F.lit(1)).alias("items")).where("items < 70")
+    """Brands as genres that few parts have."""
+    return vocabulary.genre_findings(_as_genres(read(spark, sf_dir, "part"), "p_partkey", F.array("p_brand")), least=70).where("section = 'narrow'").select("section", "value", "items")
+
+
+def _as_genres(rows: DataFrame, key: str, genres, tags=None) -> DataFrame:
+    """Rows as items that have genres and tags, listed by their key."""
+    return rows.select(c(key).alias("id"), c(key).alias("added_at"), genres.alias("genres"), (tags if tags is not None else F.array().cast("array<string>")).alias("tags"))
 
 
-@query(r"SELECT c_custkey, c_mktsegment FROM customer WHERE regexp_matches(c_mktsegment, '(?i)^(audio ?books?|books?|unknown|other|general|vocal|misc(ellaneous)?|none|n/a|default|machinery)$')")
+@query(r"WITH v AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'Unknown' WHEN c_custkey % 10 = 1 THEN 'Audio Books' WHEN c_custkey % 10 = 2 THEN 'Audiobook - ' || c_mktsegment WHEN c_custkey % 10 = 3 THEN c_mktsegment || ', other' ELSE c_mktsegment END AS v FROM customer) SELECT CASE WHEN v IN ('Unknown', 'Audio Books') THEN 'placeholder' WHEN contains(v, ' - ') THEN 'prefix' ELSE 'compound' END AS section, v AS value, count(*) AS items FROM v WHERE c_custkey % 10 < 4 GROUP BY ALL")
 def placeholder_values(spark, sf_dir):
-    return read(spark, sf_dir, "customer").where(c("c_mktsegment").rlike(t.PLACEHOLDER) | (F.lower("c_mktsegment") == "machinery")).select("c_custkey", "c_mktsegment")
+    """Segments as genres, some of which say nothing, have a prefix, or are several."""
+    k = c("c_custkey") % 10
+    value = F.when(k == 0, "Unknown").when(k == 1, "Audio Books").when(k == 2, F.concat(F.lit("Audiobook - "), "c_mktsegment")).when(k == 3, F.concat("c_mktsegment", F.lit(", other"))).otherwise(c("c_mktsegment"))
+    out = vocabulary.genre_findings(_as_genres(read(spark, sf_dir, "customer"), "c_custkey", F.array(value)))
+    return out.where("section in ('placeholder', 'prefix', 'compound')").select("section", "value", "items")
 
 
-@query("SELECT p_partkey, p_name, p_type FROM part WHERE len(list_filter(string_split(lower(p_name), ' '), lambda w: list_contains(string_split(lower(p_type || ' ring'), ' '), w))) > 0")
+@query("SELECT 'redundant' AS section, w AS value, count(*) AS items, min(k) AS first FROM (SELECT p_partkey AS k, unnest(list_distinct(string_split(p_name, ' '))) AS w, upper(string_split(p_name, ' ')[1]) AS g FROM part) WHERE lower(w) = lower(g) GROUP BY w")
 def redundant_values(spark, sf_dir):
-    has = F.arrays_overlap(F.split(F.lower("p_name"), " "), F.split(F.lower(F.concat("p_type", F.lit(" ring"))), " "))
-    return read(spark, sf_dir, "part").where(has).select("p_partkey", "p_name", "p_type")
+    """Words of names as tags, of which the first is a genre in capitals as well."""
+    w = F.split("p_name", " ")
+    out = vocabulary.genre_findings(_as_genres(read(spark, sf_dir, "part"), "p_partkey", F.array(F.upper(F.get(w, F.lit(0)))), w), least=0)
+    return out.where("section = 'redundant'").select("section", "value", "items", F.get("refs", F.lit(0)).alias("first"))
 
 
 @query("SELECT CASE lower(lang) WHEN 'en' THEN 'en' WHEN 'de' THEN 'de' WHEN 'fr' THEN 'fr' WHEN 'es' THEN 'es' END AS code, count(*) AS items FROM documents GROUP BY 1")
@@ -268,10 +286,11 @@ def near_duplicate_pairs(spark, sf_dir):
     return vocabulary.near_keys(keys, "tags", t.typo_apart)
 
 
-@query("SELECT a.s_suppkey AS a_id, b.s_suppkey AS b_id FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey AND a.s_acctbal > 0 AND b.s_acctbal > 0 AND greatest(a.s_acctbal, b.s_acctbal) - least(a.s_acctbal, b.s_acctbal) <= 0.05 * greatest(a.s_acctbal, b.s_acctbal)")
+@query("WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey AND a.s_acctbal > 0 AND b.s_acctbal > 0 AND greatest(a.s_acctbal, b.s_acctbal) - least(a.s_acctbal, b.s_acctbal) <= 0.05 * greatest(a.s_acctbal, b.s_acctbal)) SELECT id, count(*) AS links FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY 1")
 def length_band_pairs(spark, sf_dir):
-    """Suppliers of one nation with balances within five percent."""
-    return joins.band_pairs(read(spark, sf_dir, "supplier"), "s_acctbal", "s_suppkey", 0.05, ["s_nationkey"]).select(c("a_s_suppkey").alias("a_id"), c("b_s_suppkey").alias("b_id"))
+    """How many suppliers of its nation have balances within five percent of each one's."""
+    pairs = joins.band_pairs(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_acctbal", "s_suppkey", 0.05, ["s_nationkey"])
+    return joins.partners(pairs, "a_s_suppkey", "b_s_suppkey")
 
 
 @query()
@@ -286,18 +305,16 @@ def ordered_subsequence(spark, sf_dir):
 def rank_candidates(spark, sf_dir):
     """The best supplier of each part."""
     rows = read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_extendedprice").alias("price"), F.sum("l_quantity").alias("quantity"))
-    best = F.min_by(F.struct("l_suppkey", "price", "quantity"), F.struct("price", (-c("quantity")).alias("q"), "l_suppkey"))
-    return rows.groupBy("l_partkey").agg(best.alias("b")).select("l_partkey", "b.l_suppkey", "b.price", "b.quantity")
+    return joins.first_source(rows, ["l_partkey"], F.struct("price", (-c("quantity")).alias("q"), "l_suppkey"))
 
 
-@query("WITH w AS (SELECT o_orderkey, o_custkey FROM orders), f AS (SELECT a.o_custkey, a.o_orderpriority AS ours, b.o_orderpriority AS theirs, a.o_orderstatus AS s1, b.o_orderstatus AS s2, a.o_orderkey AS id FROM orders a JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) m ON a.o_custkey = m.o_custkey JOIN orders b ON b.o_orderkey = m.k WHERE a.o_orderkey <> b.o_orderkey) SELECT id, 'priority' AS field, ours AS before, theirs AS after FROM f WHERE ours <> theirs UNION ALL SELECT id, 'status', s1, s2 FROM f WHERE s1 <> s2")
+@query("WITH f AS (SELECT a.o_orderkey AS id, a.o_orderpriority AS ours, b.o_orderpriority AS theirs, a.o_orderstatus AS s1, b.o_orderstatus AS s2 FROM orders a JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) m ON a.o_custkey = m.o_custkey JOIN orders b ON b.o_orderkey = m.k WHERE a.o_orderkey <> b.o_orderkey) SELECT id, 'publisher' AS field, ours, theirs FROM f WHERE ours <> theirs UNION ALL SELECT id, 'language', s1, s2 FROM f WHERE s1 <> s2")
 def field_diffs(spark, sf_dir):
-    """What a customer's later orders say otherwise than the first."""
+    """What a customer's first order says otherwise than the later ones: priority as publisher, status as language."""
     o = read(spark, sf_dir, "orders")
     first = o.groupBy("o_custkey").agg(F.min_by(F.struct("o_orderkey", "o_orderpriority", "o_orderstatus"), "o_orderkey").alias("f"))
     j = o.join(first, "o_custkey").where(c("o_orderkey") != c("f.o_orderkey"))
-    one = lambda name, col: F.when(c(col) != c(f"f.{col}"), F.struct(F.lit(name).alias("field"), c(col).alias("before"), c(f"f.{col}").alias("after")))
-    return j.select(c("o_orderkey").alias("id"), F.explode(F.array_compact(F.array(one("priority", "o_orderpriority"), one("status", "o_orderstatus")))).alias("d")).select("id", "d.*")
+    return matching.field_diffs(j.select(c("o_orderkey").alias("id"), c("o_orderpriority").alias("publisher"), c("o_orderstatus").alias("language"), c("f.o_orderpriority").alias("p_publisher"), c("f.o_orderstatus").alias("p_language")))
 
 
 @query("SELECT user_id, round(sum(value), 4) AS total, round(sum(CASE WHEN date_diff('day', ts::DATE, m) BETWEEN 0 AND 6 THEN value ELSE 0 END), 4) AS last_7_days, round(sum(CASE WHEN date_diff('day', ts::DATE, m) BETWEEN 0 AND 29 THEN value ELSE 0 END), 4) AS last_30_days FROM events, (SELECT max(ts)::DATE AS m FROM events) GROUP BY 1")
@@ -310,44 +327,41 @@ def conditional_sums_7_30(spark, sf_dir):
 
 @query("SELECT c_custkey AS id, 'c_mktsegment' AS field, c_mktsegment AS before, 'CONSTRUCTION' AS after FROM customer WHERE c_mktsegment = 'BUILDING'")
 def rename_value(spark, sf_dir):
-    from curatrix.operators import changes
-
     return changes.rename(read(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING", "CONSTRUCTION", "c_custkey")
 
 
-@query("SELECT p_partkey AS id, part, pos::INT AS pos FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS part, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part)")
+@query("SELECT p_partkey AS id, array_to_string(list_concat(['a', 'b'], string_split(p_name, ' ')[2:]), ' ') AS after FROM part WHERE starts_with(p_name, 'small ')")
 def split_value(spark, sf_dir):
-    return read(spark, sf_dir, "part").select(c("p_partkey").alias("id"), F.posexplode(F.split("p_name", " ")).alias("pos", "part"))
+    """A word of names split into two in its place, where it comes first."""
+    rows = read(spark, sf_dir, "part").where("p_name like 'small %'").select(c("p_partkey").alias("id"), F.split("p_name", " ").alias("words"))
+    return changes.split(rows, "words", "small", ["a", "b"]).select("id", F.array_join("after", " ").alias("after"))
 
 
 @query("SELECT p_partkey AS id, array_to_string(list_filter(string_split(p_name, ' '), lambda w: w <> 'ring'), ' ') AS after FROM part WHERE list_contains(string_split(p_name, ' '), 'ring')")
 def remove_value(spark, sf_dir):
-    from curatrix.operators import changes
-
     rows = read(spark, sf_dir, "part").select(c("p_partkey").alias("id"), F.split("p_name", " ").alias("words"))
     return changes.remove(rows, "words", "ring").select("id", F.array_join("after", " ").alias("after"))
 
 
-_BITS = "list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT"
+_BITS = "(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::HUGEINT - CASE WHEN embedding[64] > 0 THEN 9223372036854775808::HUGEINT ELSE 0 END)::BIGINT"
 
 
-@query(f"""WITH h AS (SELECT vec_id, label, {_BITS} AS h FROM embeddings), q AS (SELECT * FROM h WHERE vec_id % 50 = 0)
-SELECT q.vec_id AS a, h.vec_id AS b, bit_count(xor(q.h, h.h))::INT AS apart FROM q JOIN h ON q.label = h.label AND q.vec_id <> h.vec_id WHERE bit_count(xor(q.h, h.h)) <= 8""")
+@query(f"""WITH h AS (SELECT vec_id, {_BITS} AS h FROM embeddings), q AS (SELECT * FROM h WHERE vec_id % 50 = 0)
+SELECT q.vec_id AS a, h.vec_id AS b, bit_count(xor(q.h, h.h))::INT AS apart FROM q JOIN h ON q.vec_id <> h.vec_id WHERE bit_count(xor(q.h, h.h)) <= 16""")
 def hamming_pairs(spark, sf_dir):
-    """Vectors whose first 32 signs differ in at most 8 places from those of a query set, within a label."""
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.get("embedding", i) > 0, F.expr("shiftleft(1L, 0)") * F.pow(F.lit(2), i).cast("long")).otherwise(F.lit(0).cast("long")))
-    h = read(spark, sf_dir, "embeddings").select("vec_id", "label", bits.alias("h"))
-    apart = F.bit_count(c("q.h").bitwiseXOR(c("r.h")))
-    j = h.where("vec_id % 50 = 0").alias("q").join(h.alias("r"), (c("q.label") == c("r.label")) & (c("q.vec_id") != c("r.vec_id")) & (apart <= 8))
-    return j.select(c("q.vec_id").alias("a"), c("r.vec_id").alias("b"), apart.alias("apart"))
+    """Vectors whose 64 signs differ in at most 16 places from those of a query set."""
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.when(F.get("embedding", i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+    h = read(spark, sf_dir, "embeddings").select("vec_id", bits.alias("h"))
+    return joins.near_hashes(h.where("vec_id % 50 = 0"), h, "h", "vec_id", 16)
 
 
-@query("WITH k AS (SELECT l_orderkey, count(*) AS n, list_sort(list(l_partkey % 20)) AS content, round(sum(l_quantity), 2) AS seconds FROM lineitem GROUP BY 1) SELECT a.l_orderkey AS old_id, b.l_orderkey AS new_id FROM k a JOIN k b ON a.n = b.n AND a.content = b.content AND abs(a.seconds - b.seconds) <= 30 WHERE a.l_orderkey < b.l_orderkey AND a.n >= 2")
+@query("WITH k AS (SELECT l_orderkey AS id, string_agg((l_partkey % 20)::VARCHAR, ',' ORDER BY l_partkey % 20) AS content, sum(l_quantity) AS seconds FROM lineitem GROUP BY 1 HAVING count(*) >= 2) SELECT a.id AS old_id, count(*) AS choices, min(b.id) AS first FROM k a JOIN k b ON a.content = b.content AND abs(a.seconds - b.seconds) <= 30 WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY 1")
 def linkage_by_content(spark, sf_dir):
-    """Orders with the same number of lines and the same multiset of parts (by group), and near totals."""
-    k = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(c("l_partkey") % 20)).alias("content"), F.round(F.sum("l_quantity"), 2).alias("seconds")).where("n >= 2")
-    a, b = k.alias("a"), k.alias("b")
-    return a.join(b, (c("a.n") == c("b.n")) & (c("a.content") == c("b.content"))).where((c("a.l_orderkey") < c("b.l_orderkey")) & (F.abs(c("a.seconds") - c("b.seconds")) <= 30)).select(c("a.l_orderkey").alias("old_id"), c("b.l_orderkey").alias("new_id"))
+    """Even orders as records that are gone: how many odd ones hold the same groups of parts in as much, and the first of them."""
+    n = read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("item_id"), F.lit(False).alias("exclude"), c("l_quantity").alias("duration"), (c("l_partkey") % 20).cast("string").alias("filename"), F.lit(1).cast("long").alias("size"))
+    key = duplicates.content_key(n).where("n_files >= 2")
+    found = duplicates.relinked(key.where("item_id % 2 = 0"), key.where("item_id % 2 = 1"))
+    return found.groupBy("old_id").agg(F.count(F.lit(1)).alias("choices"), F.min("new_id").alias("first"))
 
 
 @query("SELECT e.event_id, s.k AS day FROM events e JOIN (SELECT range AS k, range * 86400.0 AS a, range * 86400.0 + 43200.0 AS z FROM range(0, 31)) s ON epoch(e.ts) - epoch(TIMESTAMP '2024-01-01') >= s.a AND epoch(e.ts) - epoch(TIMESTAMP '2024-01-01') < s.z")
@@ -367,11 +381,12 @@ def mode_values(spark, sf_dir):
     return series.mode(read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority", [c("o_orderpriority")]).select("o_custkey", "o_orderpriority", "n")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_offset FROM lineitem")
+@query("SELECT l_orderkey AS item_id, l_linenumber AS idx, name AS filename, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_offset FROM (SELECT *, l_partkey || '-' || l_suppkey || '-' || l_extendedprice::BIGINT AS name FROM lineitem)")
 def running_offsets(spark, sf_dir):
     """Where each line would start if an order's lines were played in order."""
-    before = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, -1)
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(F.sum("l_quantity").over(before), F.lit(0.0)).alias("start_offset"))
+    name = F.concat_ws("-", "l_partkey", "l_suppkey", F.bround("l_extendedprice").cast("long"))
+    rows = read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("item_id"), c("l_linenumber").alias("idx"), name.alias("filename"), c("l_quantity").alias("duration"), F.lit(False).alias("exclude"))
+    return catalog.play_order(rows).select("item_id", "idx", "filename", "start_offset")
 
 
 @query("SELECT DISTINCT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON (a.p_name = b.p_name OR a.p_retailprice = b.p_retailprice) WHERE a.p_size = 1 AND b.p_size = 2")
@@ -399,15 +414,15 @@ def folder_styles(spark, sf_dir):
 @query("SELECT p_name AS value, count(*) AS items, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) FILTER (r <= 3) AS refs FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part) GROUP BY 1 HAVING count(*) < 30")
 def narrow_with_refs(spark, sf_dir):
     """Values that few parts have, with the first three of them."""
-    g = read(spark, sf_dir, "part").groupBy(c("p_name").alias("value")).agg(F.count(F.lit(1)).alias("items"), F.slice(F.array_sort(F.collect_list("p_partkey")), 1, 3).alias("r")).where("items < 30")
-    return g.select("value", "items", F.array_join("r", ",").alias("refs"))
+    out = listing.refs_of(read(spark, sf_dir, "part").select(c("p_name").alias("value"), "p_partkey"), ["value"], [c("p_partkey")], c("p_partkey"), 3)
+    return out.where("items < 30").select("value", "items", F.array_join("refs", ",").alias("refs"))
 
 
 @query("SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS finished FROM customer WHERE lower(c_mktsegment) = 'building' AND c_acctbal > 0")
 def structured_filter(spark, sf_dir):
-    """Customers of a segment in any case with money, and how many of their orders are done."""
+    """Customers of a segment, as an author in any case, with money, and how many of their orders are done."""
     done = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("finished"))
-    rows = read(spark, sf_dir, "customer").where((F.lower("c_mktsegment") == "building") & (c("c_acctbal") > 0))
+    rows = read(spark, sf_dir, "customer").withColumn("authors", F.array("c_mktsegment")).where(listing.where("authors:building") & (c("c_acctbal") > 0))
     return rows.join(done, c("c_custkey") == c("o_custkey"), "left").select("c_custkey", "c_name", F.coalesce("finished", F.lit(0)).cast("long").alias("finished"))
 
 

@@ -330,3 +330,12 @@ def test_audit_all_has_every_audit(spark, items):
     assert {"spellings", "near_names", "odd_languages", "paths", "candidates", "author_records", "embedded", "locked_only", "unplayable", "covers", "matched", "stale_feeds"} <= {k for k, _ in got}
     assert got[("author_records", "no_books")] == got[("embedded", "untagged")] == got[("locked_only", "locked")] == got[("unplayable", "unread")] == got[("odd_languages", "language")] == 1
     assert got[("spellings", "authors")] == 1 and got[("matched", "not_found")] == 2 and got[("whitespace", "double_space")] == 2 and got[("stale_feeds", "feed")] == 1
+
+
+def test_near_hashes_equal_all_pairs(spark):
+    r = random.Random(4)
+    base = [r.getrandbits(64) - (1 << 63) for _ in range(6)]
+    rows_ = [(i, (base[i % 6] ^ sum(1 << r.randrange(63) for _ in range(r.randrange(7)))) if i % 11 else None) for i in range(120)]
+    df = spark.createDataFrame(rows_, "id long, h long")
+    want = sorted((a, b, ((x ^ y) & (2**64 - 1)).bit_count()) for a, x in rows_ for b, y in rows_ if a != b and x is not None and y is not None and ((x ^ y) & (2**64 - 1)).bit_count() <= 9)
+    assert rows(joins.near_hashes(df, df, "h", "id", 9), "a", "b", "apart") == want
