@@ -333,6 +333,8 @@ def test_audit_all_has_every_audit(spark, items):
 
 
 def test_near_hashes_equal_all_pairs(spark):
+    import random
+
     r = random.Random(4)
     base = [r.getrandbits(64) - (1 << 63) for _ in range(6)]
     rows_ = [(i, (base[i % 6] ^ sum(1 << r.randrange(63) for _ in range(r.randrange(7)))) if i % 11 else None) for i in range(120)]
