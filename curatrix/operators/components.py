@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.sources.storage import written
+from curatrix.sources.storage import dropped, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,6 +23,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         jump = labels.select(F.col("node").alias("at"), F.col("l").alias("far"))
         now = written(step.join(jump, F.col("l") == F.col("at"), "left").select("node", "old", F.least("l", F.coalesce("far", "l")).alias("l")), "labels")
+        dropped(labels)
         if now.where("l != old").isEmpty():
+            dropped(both)
             return now.select("node", F.col("l").alias("component"))
         labels = now.select("node", "l")
+        labels._written = now._written

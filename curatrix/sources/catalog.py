@@ -67,9 +67,32 @@ def from_epoch_ms(column: str):
 
 
 def headers(spark: SparkSession, path: str, block: int = 8192) -> DataFrame:
-    """path, size and the first bytes of files, for container checks: contents are cut on the executors."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("size"), F.substring("content", 1, block).alias("head"))
+    """path, size and the first bytes of files, for container checks.
+
+    Files are listed without their contents; tasks then open each and read no more than the block. An unreadable file has null.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            heads = []
+            for name in batch.column(0).to_pylist():
+                try:
+                    where, inside = fs.FileSystem.from_uri(name)
+                    with where.open_input_file(inside) as f:
+                        heads.append(f.read(block))
+                except OSError:
+                    heads.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads, pa.binary())], names=["path", "size", "head"])
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # Spark gives spaces and other signs in names as they are
+    uri = F.replace(F.replace("path", F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20"))
+    return listed.select(uri.alias("path"), F.col("length").alias("size")).mapInArrow(run, "path string, size long, head binary")
 
 
 def whole(full: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

@@ -88,3 +88,24 @@ def test_player_values(spark):
     df = spark.createDataFrame(list(asked.items()), "e string, k string").select("e", files.needs_probe(F.col("e"), F.col("k")).alias("n"))
     got = {r.e: r.n for r in df.collect()}
     assert not got[".mp2"] and not got[".oga"] and not got[".aac"] and got[".opus"] and got[".m4p"] and files.CONTAINERS[".aac"] == "aac"
+
+
+def test_headers_read_only_the_start(spark, tmp_path):
+    from curatrix.sources import catalog
+
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "x.m4b").write_bytes(b"0123456789" * 5000)
+    (tmp_path / "short.mp3").write_bytes(b"abc")
+    got = sorted((r.size, bytes(r.head)) for r in catalog.headers(spark, str(tmp_path), 16).collect())
+    assert got == [(3, b"abc"), (50_000, b"0123456789012345")]
+
+
+def test_written_tables_go(spark):
+    import os
+
+    from curatrix.sources import storage
+
+    table = storage.written(spark.range(5), "test")
+    assert table.count() == 5 and os.path.exists(table._written)
+    storage.dropped(table)
+    assert not os.path.exists(table._written)
