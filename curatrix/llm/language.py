@@ -145,7 +145,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     """docs with lang_pred, score and proportions (map<string,double>).
 
     A null text, a text without letters, and every text if nothing was learned, is ``und`` with score 0 and no
-    proportions. Whole texts are read. Columns of docs with these names are replaced.
+    proportions. Whole texts are read. Columns of docs with these names are replaced. Of languages with one proportion the
+    first by name is told. A row that is repeated gets the same answer each time; an empty table gives an empty result. A
+    very long text is a block of its own.
     """
     from curatrix.llm.pieces import _blocks
 

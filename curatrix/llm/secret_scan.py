@@ -105,6 +105,19 @@ def _ratio(ratios: list[float], token: Column) -> Column:
     return F.aggregate(codes, state, step)["sum"] / (F.length(token) - 1)
 
 
+def held_out(samples: DataFrame) -> DataFrame:
+    """samples with ``held``: a fifth of the tokens, by hash, to judge by what the others teach."""
+    return samples.withColumn("held", F.pmod(F.xxhash64("token"), F.lit(5)) == 0)
+
+
+def quality(samples: DataFrame, ratios: list[float], threshold: float = RATIO) -> DataFrame:
+    """recall and precision of the threshold over labelled tokens that could be added spans; null where there are none."""
+    fit = samples.where(F.col("token").rlike(rf"^(?=.*[0-9])(?=.*[A-Za-z])[{TOKEN_CHARS}]{{{TOKEN_LEAST},}}$"))
+    said = fit.select("label", (_ratio(ratios, F.col("token")) >= threshold).alias("said"))
+    hits, random, called = F.count_if(F.col("said") & (F.col("label") == 1)), F.count_if(F.col("label") == 1), F.count_if("said")
+    return said.agg(F.try_divide(hits, random).alias("recall"), F.try_divide(hits, called).alias("precision"))
+
+
 def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", to: str = "spans", threshold: float = RATIO) -> DataFrame:
     """docs with ``to``: array<struct<start, rank, end, kind>>, sorted by start, then kind as listed.
 
@@ -141,10 +154,6 @@ def redacted(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
-def is_secret_free(spans: Column) -> Column:
-    return F.size(spans) == 0
-
-
 def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 

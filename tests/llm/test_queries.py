@@ -119,12 +119,18 @@ def test_op7(ask, rows):
         assert r.base_sha256 == sha(",".join(told)) and set(told) <= set(r.spans.split(","))
 
 
-def test_op10(ask, rows):
-    got = ask("op10_toxicity")
-    toxic = dict(duckdb.connect().execute(f"SELECT doc_id, toxic FROM '{SF}/labels.parquet'").fetchall())
-    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in rows)
-    learned = [(got[i].predicted, x) for i, x in toxic.items() if not got[i].held_out]
-    assert sum(a == b for a, b in learned) >= 0.95 * len(learned)
+def test_op10(spark):
+    """On labels of documents that taught nothing, at a size that has some."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{sf}/labels.parquet"):
+        pytest.skip("needs the supplied tables")
+    got = {r.doc_id: r for r in __spark_entry__.queries()["op10_toxicity"](spark, sf).collect()}
+    toxic = dict(duckdb.connect().execute(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").fetchall())
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
+    held = [(got[i].predicted, x) for i, x in toxic.items() if got[i].held_out]
+    # about 330 labels teach here; at sf0.1, with ten times as many, see the README
+    assert len(held) > 50 and sum(a == b for a, b in held) >= 0.9 * len(held)
 
 
 def test_pipeline(spark, rows):
@@ -132,3 +138,23 @@ def test_pipeline(spark, rows):
     got = {d for r in out for d in r.doc_ids}
     assert got <= {i for i, _, _ in rows} and len(got) > 0.6 * len(rows)
     assert all(len(r.ids) == r.n_tokens <= r.bin_length for r in out)
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Nulls in any column, repeated rows, empty and long texts, an extra column with a clashing name, no labels, no documents."""
+    import corpus_pipeline
+
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, same, "en", "s", len(same), "x"), (2, same.replace(" ", "  "), None, None, None, None), (3, same + " more", "en", "s", 1, "y"), (3, same + " more", "en", "s", 1, "y"), (4, None, None, None, None, None), (5, "", "en", "s", 0, ""), (None, "alone here " * 3, "en", "s", 1, "z"), (6, "token = 'ab12cd34ef56' end", "en", "s", 26, "t"), (7, "long " * 30_000, "en", "s", 150_000, "l")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, spans string"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "best_fit_packing" or out.columns == docs.columns
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    packed = [d for r in corpus_pipeline.run(spark, str(tmp_path)).collect() for d in r.doc_ids]
+    assert set(packed) == {1, 6, 7, None}  # 2 is a copy, 3 a near copy, 4 and 5 have no tokens
+    clean = corpus_pipeline.redact_secrets(spark, docs, str(tmp_path)).where("doc_id = 6").first()
+    assert "ab12cd34ef56" not in clean.text and clean.n_chars == len(clean.text)
