@@ -35,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import tidied, written
+from curatrix.llm.pieces import _blocks
 
 #: Bits of the slot numbers of each spelling context's table.
 TABLE_BITS = (16, 18, 19, 20, 20)
 #: Bytes of texts in a block, about, and entries of a bucket.
-BLOCK_BYTES, BUCKET_ENTRIES = 6_000_000, 4_000_000
+BLOCK_BYTES, BUCKET_ENTRIES = 4_000_000, 4_000_000
 #: Words whose spelling is learned, or scored, at once.
-WORDS_AT_ONCE, LEARN_AT_ONCE = 20_000, 2048
+WORDS_AT_ONCE = 2048
 _K = len(TABLE_BITS)
 _OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])]).astype(np.int64)
 _SLOTS = int(_OFFSET[-1])
@@ -50,6 +51,7 @@ _BASE = 0x100000001B3
 #: Within a document: words between two updates, the step of the logarithms of the wordwise weights for each word, the share
 #: that the document's own words start with, the least share that a weight can sink to, and the step of the biases.
 STEP, RATE, OWN_SHARE, LEAST_SHARE, BIAS_RATE = 32, 0.15, 0.03, 0.003, 0.04
+_CHUNKS = 2048  # parts in which the spelling tables are added up
 _MAP = 24  # steps of the adaptive probability maps on each side of even odds
 #: Least log2 probability of a word that is mixed as it is; what goes below is added.
 LEAST_LOG2 = -900
@@ -119,17 +121,18 @@ def _contexts(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 
 def _slots(context: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
-    h = (context ^ (node * np.uint64(0xD6E8FEB86659FD93))) * _MULT
-    return (h >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64) + _OFFSET[k]
+    """Places of contexts in the k-th table. node: hashed by _bits."""
+    return (((context ^ node) * _MULT) >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64)
 
 
-def _bits(flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The eight steps of all bytes: node (the bits so far, after a one) and bit."""
-    node = np.ones(len(flat), np.uint64)
+def _bits(flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The eight steps of all bytes: node (the bits so far, after a one), its hash, and the bit."""
+    node = np.ones(len(flat), np.int64)
+    hashes = np.arange(256, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for j in range(7, -1, -1):
         bit = (flat >> np.uint8(j)) & np.uint8(1)
-        yield node, bit
-        node = node * np.uint64(2) + bit
+        yield node, hashes[node], bit
+        node = node * 2 + bit
 
 
 def count_slots(words: list[bytes], seen: np.ndarray) -> None:
@@ -137,18 +140,22 @@ def count_slots(words: list[bytes], seen: np.ndarray) -> None:
     flat, starts = _spelt(words)
     both = seen.reshape(-1)
     contexts = _contexts(flat, starts)
-    for node, bit in _bits(flat):
+    for _, node, bit in _bits(flat):
         side = bit.astype(np.int64) * _SLOTS
         for k in range(_K):
-            np.add.at(both, _slots(contexts[k], node, k) + side, 1)
+            np.add.at(both, _slots(contexts[k], node, k) + _OFFSET[k] + side, 1)
 
 
-def _stretch(n0: np.ndarray, n1: np.ndarray, prior: float = 0.05) -> np.ndarray:
-    return np.log((n1 + np.float32(prior)) / (n0 + np.float32(prior)))
+def _packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Both counts in 16 bits: as they are up to 255, larger ones in proportion, what was seen staying at least 1."""
+    scale = np.maximum(np.maximum(n0, n1), 255) / 255
+    low, high = (np.minimum(np.where(n > 0, np.maximum(1, np.round(n / scale)), 0), 255).astype(np.uint16) for n in (n0, n1))
+    return low | high << np.uint16(8)
 
 
-def _trust(n: np.ndarray) -> np.ndarray:
-    return np.minimum(7, np.log2(n + np.float32(1)) * np.float32(0.7)).astype(np.uint8)
+#: Of each pair of packed counts the logarithm of the odds, and how far it is trusted, in eight steps.
+_STRETCH = np.log(((np.arange(65536) >> 8) + 0.05) / ((np.arange(65536) & 255) + 0.05)).astype(np.float32)
+_TRUST = np.minimum(7, np.log2((np.arange(65536) >> 8) + (np.arange(65536) & 255) + 1) * 0.85).astype(np.uint8)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -159,7 +166,7 @@ def _place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where a stretched probability falls in a map: the step below, and how far it is to the next."""
     step = np.clip(x, -11.99, 11.99) * (_MAP / 12) + _MAP
     low = step.astype(np.int64)
-    return low, step - low
+    return low, step - low.astype(step.dtype)
 
 
 _STEPS = _squash((np.arange(2 * _MAP + 2) - _MAP) * (12 / _MAP))
@@ -170,18 +177,17 @@ class Mixer:
 
     def __init__(self, gates: int, inputs: int, cells: int, weight: float):
         self.inputs = inputs
-        self.weights = np.full((gates, inputs + 1), weight)
-        self.weights[:, inputs] = 0
-        self.map = np.tile(_STEPS, (cells, 1))
+        self.weights = np.full((inputs + 1, gates), weight, np.float32)
+        self.weights[inputs] = 0
+        self.map = np.tile(_STEPS, (cells, 1)).astype(np.float32)
         self.used = np.zeros(gates)  # predictions that taught each gate, and each place of the map
         self.map_used = np.zeros_like(self.map)
 
     def mix(self, stretched: list[np.ndarray], gate: np.ndarray, cell: np.ndarray):
         """The refined probability; what learn() needs."""
-        w = self.weights[gate]
-        x = w[:, self.inputs].copy()
+        x = self.weights[self.inputs][gate]
         for k in range(self.inputs):
-            x += w[:, k] * stretched[k]
+            x += self.weights[k][gate] * stretched[k]
         low, part = _place(x)
         at = cell * (2 * _MAP + 2) + low
         flat = self.map.ravel()
@@ -192,24 +198,24 @@ class Mixer:
     def learn(self, saved, target: np.ndarray, weight: np.ndarray | None = None, rate: float = 0.5) -> None:
         """One step towards target (0 to 1) for all that a gate, or a place of the map, got."""
         mixed, at, part, gate, stretched = saved
-        one = np.ones(len(gate)) if weight is None else weight
-        error, gates = (target - mixed) * one, len(self.weights)
+        one = np.ones(len(gate), np.float32) if weight is None else weight
+        error, gates = (target - mixed) * one, self.weights.shape[1]
         n = np.bincount(gate, one, gates)
         pace = rate / (n + 50) / np.sqrt(1 + self.used / 200_000)
         for k in range(self.inputs):
-            self.weights[:, k] += np.clip(pace * np.bincount(gate, error * stretched[k], gates), -0.2, 0.2)
-        self.weights[:, self.inputs] += np.clip(pace * np.bincount(gate, error, gates), -0.2, 0.2)
+            self.weights[k] += np.clip(pace * np.bincount(gate, error * stretched[k], gates), -0.2, 0.2)
+        self.weights[self.inputs] += np.clip(pace * np.bincount(gate, error, gates), -0.2, 0.2)
         self.used += n
         table, places = self.map.ravel(), self.map.size
-        cells, share = np.concatenate([at, at + 1]), np.concatenate([(1 - part) * one, part * one])
-        off = np.bincount(cells, share * (np.concatenate([target, target]) - table[cells]), places)
-        got = np.bincount(cells, share, places)
+        near = at + (part > 0.5)  # the nearer place learns
+        off = np.bincount(near, one * (target - table[near]), places)
+        got = np.bincount(near, one, places)
         table += off / (got + self.map_used.ravel() + 20)
         self.map_used += got.reshape(self.map.shape)
 
     def taught(self) -> np.ndarray:
         """What a task has learned, as whole numbers that add up over tasks."""
-        told = [self.weights * self.used[:, None], self.used, self.map * self.map_used, self.map_used]
+        told = [self.weights * self.used, self.used, self.map * self.map_used, self.map_used]
         return np.concatenate([np.round(x.ravel() * _FIXED).astype(np.int64) for x in told])
 
     def adopt(self, total: np.ndarray) -> None:
@@ -218,15 +224,15 @@ class Mixer:
         weights, used, table, table_used = (x / _FIXED for x in np.split(total, cut))
         weights, table, table_used = weights.reshape(self.weights.shape), table.reshape(self.map.shape), table_used.reshape(self.map.shape)
         self.used, self.map_used = used, table_used
-        self.weights = np.where(used[:, None] > 0, weights / np.maximum(used, 1e-9)[:, None], self.weights)
-        self.map = (table + 20 * np.tile(_STEPS, (len(table), 1))) / (table_used + 20)
+        self.weights = np.where(used > 0, weights / np.maximum(used, 1e-9), self.weights).astype(np.float32)
+        self.map = ((table + 20 * np.tile(_STEPS, (len(table), 1))) / (table_used + 20)).astype(np.float32)
 
 
 class Spelling:
-    """The spelling model: counts of slots (as 32-bit numbers), and a mixer."""
+    """The spelling model: packed counts of slots, and a mixer."""
 
     def __init__(self):
-        self.n0, self.n1 = np.zeros((2, _SLOTS), np.float32)
+        self.seen = np.zeros(_SLOTS, np.uint16)
         self.mixer = Mixer(64, _K, 256, 0.3)
 
     def log2(self, words: list[bytes], own: np.ndarray, learn: bool = False) -> np.ndarray:
@@ -234,19 +240,18 @@ class Spelling:
         if not words:
             return np.zeros(0)
         flat, starts = _spelt(words)
-        contexts, total = _contexts(flat, starts), np.zeros(len(flat))
-        own = np.repeat(own.astype(np.float32), np.diff(np.append(starts, len(flat))))
-        for node, bit in _bits(flat):
-            one = own * bit
-            slots = [_slots(contexts[k], node, k) for k in range(_K)]
-            c0 = [np.maximum(self.n0[s] - (own - one), 0) for s in slots]
-            c1 = [np.maximum(self.n1[s] - one, 0) for s in slots]
-            gate = (_trust(c0[4] + c1[4]).astype(np.int64) << 3) | _trust(c0[2] + c1[2])
-            p, saved = self.mixer.mix([_stretch(a, z) for a, z in zip(c0, c1)], gate, node.astype(np.int64))
+        contexts, p_byte = _contexts(flat, starts), np.ones(len(flat))
+        own = np.repeat(own.astype(np.uint16), np.diff(np.append(starts, len(flat))))
+        tables = [self.seen[a:z] for a, z in zip(_OFFSET[:-1], _OFFSET[1:])]
+        for node, hashed, bit in _bits(flat):
+            less = own << (bit.astype(np.uint16) << np.uint16(3))  # one zero, or one one
+            seen = [table[_slots(contexts[k], hashed, k)] - less for k, table in enumerate(tables)]
+            gate = (_TRUST[seen[4]].astype(np.int64) << 3) | _TRUST[seen[2]]
+            p, saved = self.mixer.mix([_STRETCH[x] for x in seen], gate, node)
             if learn:
-                self.mixer.learn(saved, bit.astype(float))
-            total += np.log2(np.where(bit == 1, p, 1 - p))
-        return np.add.reduceat(total, starts)
+                self.mixer.learn(saved, bit.astype(np.float32))
+            p_byte *= np.where(bit == 1, p, 1 - p)
+        return np.add.reduceat(np.log(p_byte), starts) / np.log(2)
 
 
 # ---- Which context knows the word -----------------------------------------------------------------
@@ -287,15 +292,16 @@ class Contexts:
         run = np.maximum(run, 0)
         place = np.minimum(15, np.log2(at - first + 1).astype(np.int64))
         out = []
-        for k, seen in ((0, n3), (1, n2)):
+        for k, seen in ((0, n3), (1, n2)):  # places of the first and of the second context lie side by side in each table
             cells = [k * 64 + n3 * 8 + n2, _FROM[1] + (k * 27 + past[0] * 9 + past[1] * 3 + past[2]) * 8 + seen, _FROM[2] + (k * 256 + before) * 8 + seen, _FROM[3] + (k * 8 + run) * 16 + place]
             out.append((seen > 0, cells, k * 8 + run, k * 8 + seen))
         return out
 
     def predict(self, given) -> tuple[np.ndarray, tuple]:
         seen, cells, gate, cell = given
-        p, saved = self.mixer.mix([_stretch(self.n0[c], self.n1[c]) for c in cells], gate, cell)
-        return np.where(seen, p, 0.0), saved
+        table = np.log((self.n1 + 0.05) / (self.n0 + 0.05)).astype(np.float32)
+        p, saved = self.mixer.mix([table[c] for c in cells], gate, cell)
+        return np.where(seen, p, np.float32(0)), saved
 
     @staticmethod
     def weigh(g3, g2, p3, p2, rest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,8 +319,9 @@ class Contexts:
             w = w * seen
             self.mixer.learn(saved, r, w)
             for c in cells:
-                self.n1 += np.bincount(c, r * w, len(self.n1))
-                self.n0 += np.bincount(c, (1 - r) * w, len(self.n0))
+                hits = np.bincount(c, r * w, len(self.n1))
+                self.n1 += hits
+                self.n0 += np.bincount(c, w, len(self.n0)) - hits
 
     def taught(self) -> np.ndarray:
         return np.concatenate([np.round((x - start) * _FIXED).astype(np.int64) for x, start in ((self.n0, 0.7), (self.n1, 0.3))] + [self.mixer.taught()])
@@ -330,7 +337,7 @@ class Contexts:
         odds = []
         for x in given:
             p, _ = self.predict(x)
-            odds.append(np.where(x[0], np.log(np.maximum(p, 1e-9) / (1 - p)), -700.0))
+            odds.append(np.where(x[0], np.log(np.maximum(p, 1e-9) / (1 - p)), -700.0).astype(float))
         out = np.zeros(len(sizes))
         by_size = np.argsort(-sizes, kind="stable")
         size, first = sizes[by_size], (np.cumsum(sizes) - sizes)[by_size]
@@ -341,11 +348,11 @@ class Contexts:
             i = np.where(valid, first[:k, None] + a + lane, 0)
             g3, g2 = (1 / (1 + np.exp(-np.clip(o[i] + b[:k, None], -700, 30))) for o, b in zip(odds, bias))
             p, r3, r2 = self.weigh(g3, g2, p3[i], p2[i], rest[i])
-            total[:k] += (np.log2(p) * valid).sum(1)
+            total[:k] += (np.log(p) * valid).sum(1)
             bias[0, :k] += BIAS_RATE * ((r3 - g3) * valid).sum(1)
             bias[1, :k] += BIAS_RATE * ((1 - r3) * (r2 - g2) * valid).sum(1)
             np.clip(bias, -3, 3, out=bias)
-        out[by_size] = total
+        out[by_size] = total / np.log(2)
         return out
 
 
@@ -371,7 +378,7 @@ def wordwise_log2(spelt: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes:
     before = _times(doc, ids, int(ids.max()) + 1 if n else 1)[1]
     at = np.arange(n) - starts[doc]
     with np.errstate(divide="ignore"):
-        logs = np.stack([spelt, np.log2(counts / max(1.0, of)), np.log2(before / np.maximum(at, 1))], 1).astype(np.float32)
+        logs = np.stack([(spelt * np.log(2)).astype(np.float32), np.log((counts / max(1.0, of)).astype(np.float32)), np.log((before / np.maximum(at, 1)).astype(np.float32))])
     logs = np.maximum(logs, np.float32(-1e6))
     start = np.array([spelling_share * (1 - OWN_SHARE), (1 - spelling_share) * (1 - OWN_SHARE), OWN_SHARE], np.float32)
     by_size = np.argsort(-sizes, kind="stable")
@@ -382,25 +389,32 @@ def wordwise_log2(spelt: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes:
         k = int(np.searchsorted(-size, -a, "left"))  # documents of more than a words
         valid = a + lane < size[:k, None]
         i = np.where(valid, first[:k, None] + a + lane, 0)
-        x = logs[i] + np.log2(weights[:k])[:, None, :]
-        top = x.max(2)
-        e = np.exp2(x - top[:, :, None])
-        z = e.sum(2)
-        out[i[valid]] = (top + np.log2(z))[valid]
-        credit = (e * (valid / z)[:, :, None]).sum(1)
+        x = [own[i] + w[:, None] for own, w in zip(logs, np.log(weights[:k]).T)]
+        top = np.maximum(np.maximum(x[0], x[1]), x[2])
+        e = [np.exp(y - top) for y in x]
+        z = e[0] + e[1] + e[2]
+        out[i[valid]] = (top + np.log(z))[valid]
+        part = valid / z
+        credit = np.stack([(y * part).sum(1) for y in e], 1)
         moved = weights[:k] * np.exp(RATE * (credit - valid.sum(1)[:, None] * weights[:k]))
         weights[:k] = np.maximum(moved / moved.sum(1, keepdims=True), LEAST_SHARE)
         weights[:k] /= weights[:k].sum(1, keepdims=True)
-    return out
+    return out / np.float32(np.log(2))
 
 
 def _times(doc: np.ndarray, ids: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
     """How often each token's document has it, and how often before this place."""
     n = len(ids)
     pair = doc.astype(np.int64) * n_ids + ids
-    order = np.argsort(pair, kind="stable")
+    room = max(1, n - 1).bit_length()
+    if n and int(pair[-1] if len(pair) == 1 else pair.max()).bit_length() + room < 63:  # the place rides along, which sorts faster
+        sorted_ = np.sort(pair << room | np.arange(n))
+        order, pair = sorted_ & ((1 << room) - 1), sorted_ >> room
+    else:
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
     new = np.ones(n, bool)
-    new[1:] = np.diff(pair[order]) != 0
+    new[1:] = pair[1:] != pair[:-1]
     firsts = np.nonzero(new)[0]
     size = np.diff(np.append(firsts, n))
     times, before = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -416,19 +430,37 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _START = np.uint64(0x51ED270B35A0F21D)  # stands for the word before the first
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, in order, and how many each text has."""
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in small letters, where each word starts and stops, and how many each text has."""
     flat = np.frombuffer(b"\n".join(t.lower() for t in texts) + b"\n", np.uint8)
     gap = _SPACE[flat]
     starts = np.nonzero(~gap & np.concatenate([[True], gap[:-1]]))[0]
     stops = np.nonzero(gap & np.concatenate([[False], ~gap[:-1]]))[0]
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    sizes = np.diff(np.concatenate([[0], np.searchsorted(starts, ends, "left")]))
+    return flat, starts, stops, np.diff(np.concatenate([[0], np.searchsorted(starts, ends, "left")]))
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, in order, and how many each text has."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    flat, starts, stops, sizes = _spans(texts)
     return _mixed_up(_Polynomial(flat).of(starts, stops)), sizes
 
 
+def tallied(texts: list[bytes], train: np.ndarray) -> tuple[list[bytes], list[int], np.ndarray]:
+    """Distinct words of some texts, how often those that train have each, and the number of words of each text."""
+    flat, starts, stops, sizes = _spans(texts)
+    if not len(starts):
+        return [], [], sizes
+    h = _Polynomial(flat).of(starts, stops)
+    order = np.argsort(h)
+    first = np.nonzero(np.concatenate([[True], np.diff(h[order]) != 0]))[0]
+    counts = np.add.reduceat(np.repeat(train, sizes)[order], first, dtype=np.int64)
+    raw, one = flat.tobytes(), order[first]
+    return [raw[a:z] for a, z in zip(starts[one].tolist(), stops[one].tolist())], counts.tolist(), sizes
+
+
 def grams(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of each word with the one and the two before it, and of the word before (a start stands before the first two)."""
     n = len(words)
@@ -444,18 +476,58 @@ def _key(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
-def _by_bucket(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words by bucket, then by hash, and where each bucket starts."""
-    u = np.unique(words)
-    b = ((u >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    return u[np.argsort(b, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(b, minlength=buckets))])
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct numbers, rising (by sorting, which is faster here than a table)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _numbered(x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers (all under top), rising, and which of them stands at each place."""
+    room = max(1, len(x) - 1).bit_length()
+    if top.bit_length() + room > 63:
+        return np.unique(x, return_inverse=True)
+    both = np.sort(x.astype(np.uint64) << np.uint64(room) | np.arange(len(x), dtype=np.uint64))  # the place rides along, which sorts faster
+    value = both >> np.uint64(room)
+    new = np.concatenate([[True], value[1:] != value[:-1]])[: len(x)]
+    number = np.empty(len(x), np.int64)
+    number[(both & np.uint64((1 << room) - 1)).astype(np.int64)] = np.cumsum(new) - 1
+    return value[new], number
+
+
+def _by_bucket(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct words by bucket, then by hash, and where each bucket starts."""
+    b = ((distinct >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    return np.argsort(b, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(b, minlength=buckets))])
+
+
+def _squeezed(x: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers as bytes: rising ones by their steps, then byte by byte of each, compressed."""
+    if rising and len(x):
+        x = np.concatenate([x[:1], np.diff(x)])
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(x).to_bytes(4, "little") + bytes(pa.compress(raw, "zstd", asbytes=True)) if len(x) else b""
+
+
+def _spread(raw: bytes, dtype, rising: bool = False) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, dtype)
+    n, size = int.from_bytes(raw[:4], "little"), np.dtype(dtype).itemsize
+    flat = np.frombuffer(pa.decompress(raw[4:], n * size, "zstd", asbytes=True), np.uint8)
+    x = np.ascontiguousarray(flat.reshape(size, n).T).view(dtype).ravel()
+    return np.cumsum(x, dtype=dtype) if rising else x
+
+
+def _stretches(x: np.ndarray, at: np.ndarray, rising: bool = False) -> pa.Array:
+    """Stretches of x between places, each squeezed."""
+    return pa.array([_squeezed(x[a:z], rising) for a, z in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
 
 
 def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
 
 
-def _word_counts(docs: DataFrame, held: int = 300_000) -> DataFrame:
+def _word_counts(docs: DataFrame, held: int = 600_000) -> DataFrame:
     """word, c for every word of docs (text, train), c over rows with train. Words with a leading space tell of totals:
     ``" e"`` + b, documents whose number of words has b bits, ``" w"`` + b, words that have such a number before them, ``" b"``
     bytes and ``" t"`` words of all."""
@@ -468,22 +540,20 @@ def _word_counts(docs: DataFrame, held: int = 300_000) -> DataFrame:
             seen.clear()
             return out
 
-        for batch in batches:
-            for text, train in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()):
-                raw = text.as_py()
-                words = words_of(raw)
-                n = len(words)
-                seen[b" b"] += len(raw)
-                seen[b" t"] += n
-                if train:
-                    seen.update(words)
+        for whole in batches:
+            for a, z in _blocks(whole.column(0), BLOCK_BYTES):
+                batch = whole.slice(a, z - a)
+                raws, train = batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                words, counts, sizes = tallied(raws, train)
+                for w, n in zip(words, counts):
+                    seen[w] += n
+                seen[b" b"] += sum(map(len, raws))
+                seen[b" t"] += int(sizes.sum())
+                for n in sizes[train].tolist():
                     seen[b" e%d" % n.bit_length()] += 1
                     for b in range(n.bit_length() + 1):
                         upto = (1 << b) >> 1
                         seen[b" w%d" % b] += max(0, min(n, 1 << b) - upto) if b else min(n, 1)
-                else:
-                    for w in words:
-                        seen[w] += 0
                 if len(seen) > held:
                     yield flush()
         if seen:
@@ -525,20 +595,28 @@ def train_words(docs: DataFrame) -> tuple[Totals, Spelling, DataFrame]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, _SLOTS), np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, WORDS_AT_ONCE):
-                count_slots(batch.column(0).slice(a, WORDS_AT_ONCE).to_pylist(), seen)
-        yield from _told(seen.reshape(-1))
+            for a in range(0, batch.num_rows, 10 * WORDS_AT_ONCE):
+                count_slots(batch.column(0).slice(a, 10 * WORDS_AT_ONCE).to_pylist(), seen)
+        cut = np.array_split(seen.reshape(-1), _CHUNKS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_CHUNKS, dtype=np.int32)), pa.array([_squeezed(x) for x in cut], pa.binary())], names=["chunk", "data"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = _squeezed(sum(_spread(x, np.int64) for x in group.column("data").to_pylist()))
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "data": pa.array([total], pa.binary())})
 
     spelling = Spelling()
-    spelling.n0, spelling.n1 = _filled(_summed(known.select("word").mapInArrow(tidied(count), "at long, n long")), 2 * _SLOTS).reshape(2, _SLOTS).astype(np.float32)
+    # tables of fixed size, one from each task that reads words, are added up in parts
+    parts = known.select("word").mapInArrow(tidied(count), "chunk int, data binary").groupBy("chunk").applyInArrow(add, "chunk int, data binary").toArrow().sort_by("chunk")
+    if parts.num_rows:
+        spelling.seen = _packed(*_joined(parts.column("data"), np.int64).reshape(2, _SLOTS))
     sent = docs.sparkSession.sparkContext.broadcast(spelling)  # of fixed size
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Spelling()
-        own.n0, own.n1 = sent.value.n0, sent.value.n1
+        own.seen = sent.value.seen
         for batch in batches:
-            for a in range(0, batch.num_rows, LEARN_AT_ONCE):
-                part = batch.column(0).slice(a, LEARN_AT_ONCE).to_pylist()
+            for a in range(0, batch.num_rows, WORDS_AT_ONCE):
+                part = batch.column(0).slice(a, WORDS_AT_ONCE).to_pylist()
                 own.log2(part, np.ones(len(part)), learn=True)
         yield from _told(own.mixer.taught())
 
@@ -557,18 +635,13 @@ def _spelt_words(words: DataFrame, spelling: Spelling, buckets: int) -> DataFram
                 said = part.column(0).to_pylist()
                 h = word_hashes(said)
                 lp = sent.value.log2(said, part.column(1).to_numpy() > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)), pa.array(h.view(np.int64)), part.column(1), pa.array(lp.astype(np.float32))], names=["bucket", "h", "c", "lp"])
+                yield pa.RecordBatch.from_arrays([pa.array(((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)), pa.array(h.view(np.int64)), part.column(1), pa.array(np.maximum(lp, -60_000).astype(np.float32))], names=["bucket", "h", "c", "lp"])
 
     return words.mapInArrow(tidied(run), "bucket int, h long, c long, lp float")
 
 
-def _as_bytes(x: np.ndarray, at: np.ndarray) -> pa.Array:
-    """Stretches of x between places, as bytes."""
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * x.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
-
-
-def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, dtype) for x in column.to_pylist()]) if len(column) else np.zeros(0, dtype)
+def _joined(column: pa.ChunkedArray | pa.Array, dtype, rising: bool = False) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(_spread(x, dtype, rising) for x in column.to_pylist())])
 
 
 def _texts(table: pa.Table) -> list[bytes]:
@@ -579,19 +652,19 @@ def _asks(dealt: DataFrame, buckets: int) -> DataFrame:
     """For each block and bucket: the block's distinct words (w), and the keys and training counts of its pairs and triples."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         words, sizes = tokens(_texts(group))
         taught = np.repeat(group.column("train").to_numpy(zero_copy_only=False).astype(bool), sizes)
-        w, at = _by_bucket(words, buckets)
-        out = [pa.array(np.full(buckets, group.column("block")[0].as_py(), np.int32)), pa.array(np.arange(buckets, dtype=np.int32)), _as_bytes(w, at)]
+        w = _distinct(words)
+        order, at = _by_bucket(w, buckets)
+        out = [pa.array(np.full(buckets, group.column("block")[0].as_py(), np.int32)), pa.array(np.arange(buckets, dtype=np.int32)), _stretches(w[order], at, True)]
         for h in grams(words, sizes)[:2]:
             key = _key(h, buckets)
-            u = np.unique(key)
+            u = _distinct(key)
             known, times = np.unique(key[taught], return_counts=True)
             n = np.zeros(len(u), np.uint32)
             n[np.searchsorted(u, known)] = times
             at = _edges(u, buckets)
-            out += [_as_bytes((u & np.uint64(0xFFFFFFFF)).astype(np.uint32), at), _as_bytes(n, at)]
+            out += [_stretches((u & np.uint64(0xFFFFFFFF)).astype(np.uint32), at, True), _stretches(n, at)]
         return pa.Table.from_arrays(out, names=["block", "bucket", "w", "k2", "n2", "k3", "n3"])
 
     return dealt.groupBy("block").applyInArrow(run, "block int, bucket int, w binary, k2 binary, n2 binary, k3 binary, n3 binary")
@@ -602,59 +675,62 @@ def _answers(asks: DataFrame, spelt: DataFrame) -> DataFrame:
 
     def run(asked: pa.Table, words: pa.Table) -> pa.Table:
         order = np.argsort(h := words.column("h").to_numpy().view(np.uint64))
-        h, c, lp = h[order], words.column("c").to_numpy()[order], words.column("lp").to_numpy()[order]
+        h, c, lp = h[order], words.column("c").to_numpy()[order], words.column("lp").to_numpy()[order].astype(np.float16)
         out = {"block": asked.column("block"), "bucket": asked.column("bucket"), "c": [], "lp": []}
-        for raw in asked.column("w"):
-            i = np.searchsorted(h, np.frombuffer(raw.as_py(), np.uint64))
-            out["c"].append(c[i].tobytes()), out["lp"].append(lp[i].tobytes())
+        for raw in asked.column("w").to_pylist():
+            i = np.searchsorted(h, _spread(raw, np.uint64, True))
+            out["c"].append(_squeezed(c[i])), out["lp"].append(_squeezed(lp[i]))
         for k, n, name in (("k2", "n2", "t2"), ("k3", "n3", "t3")):
-            both = np.sort((_joined(asked.column(k), np.uint32).astype(np.uint64) << np.uint64(32)) | _joined(asked.column(n), np.uint32))
+            keys = [_spread(x, np.uint32, True) for x in asked.column(k).to_pylist()]
+            flat = np.concatenate([np.zeros(0, np.uint32), *keys]).astype(np.uint64)
+            both = np.sort((flat << np.uint64(32)) | _joined(asked.column(n), np.uint32))
             key = (both >> np.uint64(32)).astype(np.uint32)
             first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
             total = np.minimum(np.add.reduceat((both & np.uint64(0xFFFFFFFF)).astype(np.int64), first), 0xFFFFFFFF).astype(np.uint32) if len(first) else np.zeros(0, np.uint32)
             key = key[first]
-            out[name] = [total[np.searchsorted(key, np.frombuffer(x.as_py(), np.uint32))].tobytes() for x in asked.column(k)]
+            out[name] = [_squeezed(total[np.searchsorted(key, x)]) for x in keys]
         kinds = {"block": pa.int32(), "bucket": pa.int32()}
         return pa.table({x: pa.chunked_array([pa.array(y, pa.binary())]) if x not in kinds else y for x, y in out.items()})
 
     return asks.groupBy("bucket").cogroup(spelt.groupBy("bucket")).applyInArrow(run, "block int, bucket int, c binary, lp binary, t2 binary, t3 binary")
 
 
-_CODED = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, fixed double, bytes long, code binary, rest binary, p3 binary, p2 binary"
+_CODED = "doc_id array<bigint>, train array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base_score array<double>, fixed array<double>, bytes array<bigint>, code binary, rest binary, p3 binary, p2 binary"
 
 
 def _code(dealt: DataFrame, answers: DataFrame, totals: Totals, buckets: int) -> DataFrame:
-    """Documents as what the mixing needs of their tokens: codes, and log2 probabilities by no, the longer and the shorter context
+    """Each block as what the mixing needs of its documents' tokens: codes, and log2 probabilities by no, the longer and the shorter context
     (half precision; of a context only for words that it knows); and what needs no mixing: base score and log2 of the ends."""
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.Table.from_pylist([], schema=_coded_schema())
-        texts, told = texts.sort_by([("doc_id", "ascending"), ("text", "ascending")]), told.sort_by("bucket")
+        told = told.sort_by("bucket")
         raws = _texts(texts)
         words, sizes = tokens(raws)
         n, train = len(words), texts.column("train").to_numpy(zero_copy_only=False).astype(bool)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         taught = train[doc]
         h2, h3, one = grams(words, sizes)
-        w, _ = _by_bucket(words, buckets)
-        order = np.argsort(w)
-        ids = order[np.searchsorted(w, words, sorter=order)] if n else np.zeros(0, np.int64)
-        count, spelt = _joined(told.column("c"), np.int64)[ids], _joined(told.column("lp"), np.float32)[ids]
+        w, ids = np.unique(words, return_inverse=True)
+        back = np.empty(len(w), np.int64)
+        back[_by_bucket(w, buckets)[0]] = np.arange(len(w))  # answers come by bucket
+        at_word = back[ids] if n else ids
+        count, spelt = _joined(told.column("c"), np.int64)[at_word], _joined(told.column("lp"), np.float16).astype(np.float32)[at_word]
 
         def less_own(key: np.ndarray, total: np.ndarray) -> np.ndarray:
             """Counts of tokens without those of the document itself, if it taught."""
             out = total - taught
             more = np.nonzero(taught & (total > 1))[0]  # of a single one nothing is left
             if len(more):
-                u, inverse = np.unique(key[more], return_inverse=True)
+                u, inverse = _numbered(key[more], n)
                 out[more] = total[more] - _times(doc[more], inverse, len(u))[0]
             return np.maximum(out, 0)
 
         found = []
         for h, name in ((h2, "t2"), (h3, "t3")):
             key = _key(h, buckets)
-            u, inverse = np.unique(key, return_inverse=True)
+            u, inverse = _numbered(key, buckets << 32)
             found.append(less_own(inverse, _joined(told.column(name), np.uint32).astype(np.int64)[inverse] if n else np.zeros(0, np.int64)))
         c1, (c2, c3) = less_own(ids, count), found
         at = np.arange(n) - (np.cumsum(sizes) - sizes)[doc]
@@ -673,37 +749,32 @@ def _code(dealt: DataFrame, answers: DataFrame, totals: Totals, buckets: int) ->
         summed = lambda x: np.bincount(doc, x, len(sizes)) if n else np.zeros(len(sizes))
         log_end, log_on = np.log2(totals.end_rate), np.log2(1 - totals.end_rate)
         fixed = [sum(log_on[b] * (min(m, 1 << b) - ((1 << b) >> 1) if b else 1) for b in range(m.bit_length() + 1) if min(m, 1 << b) > (1 << b) >> 1) + log_end[m.bit_length()] for m in sizes.tolist()]
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        part = lambda x, keep: _as_bytes(x[keep], np.concatenate([[0], np.cumsum(keep)])[edges])
-        return pa.Table.from_arrays(
-            [
-                texts.column("doc_id"), texts.column("train"), pa.array(sizes + 1), pa.array(summed(count > 0).astype(np.int64) + (totals.ends > 0)), pa.array(summed(base) + end_base),
-                pa.array(fixed + summed(deep)), pa.array([len(t) for t in raws], pa.int64()), _as_bytes(code, edges), _as_bytes(rest.astype(np.float16), edges), part(p3, c3 > 0), part(p2, c2 > 0),
-            ],
-            schema=_coded_schema(),
-        )
+        one_list = lambda x: pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else pa.array(x))
+        lists = [one_list(x) for x in (texts.column("doc_id"), texts.column("train"), sizes + 1, summed(count > 0).astype(np.int64) + (totals.ends > 0), summed(base) + end_base, fixed + summed(deep), np.array([len(x) for x in raws], np.int64))]
+        return pa.Table.from_arrays([*lists, *(pa.array([_squeezed(x)], pa.binary()) for x in (code, rest.astype(np.float16), p3[c3 > 0], p2[c2 > 0]))], schema=_coded_schema())
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _CODED)
 
 
 def _coded_schema() -> pa.Schema:
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+    kinds = {"array<bigint>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64()), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _CODED.split(", "))])
 
 
-def _tokens_of(batch: pa.RecordBatch, at_once: int = 500_000) -> Iterator[tuple[int, int, tuple]]:
-    """Some documents of a batch at a time: from, to, and code, sizes, p3, p2, rest of their tokens."""
-    n = (batch.column(batch.schema.names.index("n_tokens")).to_numpy() - 1).astype(np.int64)
-    col = lambda name, a, b, dtype: np.frombuffer(b"".join(batch.column(batch.schema.names.index(name)).slice(a, b - a).to_pylist()), dtype)
-    a, ends = 0, np.cumsum(n)
+def _tokens_of(row: dict, at_once: int) -> Iterator[tuple[slice, tuple]]:
+    """Some documents of a block at a time: which, and code, sizes, p3, p2, rest of their tokens."""
+    n = np.array(row["n_tokens"], np.int64) - 1
+    code = _spread(row["code"], np.uint16)
+    p3, p2 = np.zeros(len(code), np.float32), np.zeros(len(code), np.float32)
+    p3[code >> 6 & 1 == 1] = np.exp(_spread(row["p3"], np.float16).astype(np.float32) * np.float32(np.log(2)))
+    p2[code >> 7 & 1 == 1] = np.exp(_spread(row["p2"], np.float16).astype(np.float32) * np.float32(np.log(2)))
+    rest = np.exp(_spread(row["rest"], np.float16).astype(float) * np.log(2))
+    ends = np.concatenate([[0], np.cumsum(n)])
+    a = 0
     while a < len(n):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + at_once, "right")))
-        code = col("code", a, b, np.uint16)
-        p3, p2 = np.zeros(len(code)), np.zeros(len(code))
-        p3[code >> 6 & 1 == 1] = np.exp2(col("p3", a, b, np.float16).astype(np.float64))
-        p2[code >> 7 & 1 == 1] = np.exp2(col("p2", a, b, np.float16).astype(np.float64))
-        rest = np.exp2(col("rest", a, b, np.float16).astype(np.float64))
-        yield a, b, (code, n[a:b], p3, p2, rest)
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + at_once, "right")) - 1)
+        here = slice(ends[a], ends[b])
+        yield slice(a, b), (code[here], n[a:b], p3[here], p2[here], rest[here])
         a = b
 
 
@@ -713,13 +784,17 @@ def train_contexts(rows: DataFrame) -> Contexts:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Contexts()
         for batch in batches:
-            for _, _, part in _tokens_of(batch, 20_000):
-                if len(part[0]):
-                    own.learn(*part)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                teaches = np.array(row["train"], bool)
+                for docs, (code, sizes, *parts) in _tokens_of(row, 20_000):
+                    keep = np.repeat(teaches[docs], sizes)
+                    if keep.any():
+                        own.learn(code[keep], sizes[teaches[docs]], *(x[keep] for x in parts))
         yield from _told(own.taught())
 
     out = Contexts()
-    taught = rows.where("train").select("n_tokens", "code", "rest", "p3", "p2").mapInArrow(tidied(run), "at long, n long")
+    taught = rows.select("train", "n_tokens", "code", "rest", "p3", "p2").mapInArrow(tidied(run), "at long, n long")
     out.adopt(_filled(_summed(taught), len(out.taught())))
     return out
 
@@ -746,12 +821,13 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_entries: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, part in _tokens_of(batch):
-                own = batch.slice(a, b - a)
-                col = lambda name: own.column(own.schema.names.index(name))  # noqa: B023, E731
-                bits = -(sent.value.log2(*part) + col("fixed").to_numpy())
+            for i in range(batch.num_rows):
+                own = batch.slice(i, 1)
+                bits = np.concatenate([np.zeros(0), *(sent.value.log2(*part) for _, part in _tokens_of(own.to_pylist()[0], 300_000))])
+                col = lambda name: own.column(own.schema.names.index(name)).flatten()  # noqa: B023, E731
+                bits = -(bits + col("fixed").to_numpy())
                 size = col("bytes").to_numpy()
                 per_byte = pa.array(bits / np.maximum(size, 1), pa.float64(), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([col("doc_id"), col("train"), col("n_tokens"), col("n_known"), pa.array(np.full(b - a, train_tokens)), col("base_score"), pa.array(-bits * np.log10(2)), per_byte], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays([col("doc_id"), col("train"), col("n_tokens"), col("n_known"), pa.array(np.full(len(bits), train_tokens)), col("base_score"), pa.array(-bits * np.log10(2)), per_byte], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
-    return rows.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return rows.mapInArrow(tidied(run), "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

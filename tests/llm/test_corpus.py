@@ -258,7 +258,10 @@ def test_context_counts_equal_plain_ones(spark):
     totals, spelling, words = mixing.train_words(table)
     dealt = table.withColumn("block", F.pmod("doc_id", F.lit(3)).cast("int"))
     told = mixing._answers(mixing._asks(dealt, 5), mixing._spelt_words(words, spelling, 5))
-    got = {r.doc_id: np.frombuffer(r.code, np.uint16) for r in mixing._code(dealt, told, totals, 5).collect()}
+    got = {}
+    for r in mixing._code(dealt, told, totals, 5).collect():
+        sizes = np.array(r.n_tokens) - 1
+        got |= dict(zip(r.doc_id, np.split(mixing._spread(r.code, np.uint16), np.cumsum(sizes)[:-1])))
     said = {i: (t or "").encode().lower().split() for i, t, _ in rows}
     lists = lambda ws: (Counter(ws), Counter(zip(["<", *ws], ws)), Counter(zip(["<", "<", *ws], ["<", *ws], ws)))
     own, total = {i: lists(ws) for i, ws in said.items()}, [Counter(), Counter(), Counter()]
@@ -305,7 +308,7 @@ def test_mixing_equals_a_plain_loop():
                     g.append(0.0)
                     continue
                 cells = [k * 64 + q(n3[i]) * 8 + q(n2[i]), 128 + (k * 27 + past[0] * 9 + past[1] * 3 + past[2]) * 8 + seen, 560 + (k * 256 + (int(code[i]) >> 8)) * 8 + seen, 4656 + (k * 8 + run) * 16 + min(15, int(math.log2(at + 1)))]
-                w = m.mixer.weights[k * 8 + run]
+                w = m.mixer.weights[:, k * 8 + run]
                 x = w[4] + sum(w[j] * math.log((m.n1[c] + 0.05) / (m.n0[c] + 0.05)) for j, c in enumerate(cells))
                 place = min(11.99, max(-11.99, x)) * 2 + 24
                 row = m.mixer.map[k * 8 + seen]
@@ -317,21 +320,19 @@ def test_mixing_equals_a_plain_loop():
             r3, r2 = g[0] * p3[i] / p, g[1] * p2[i] / lower
             step = [step[0] + r3 - g[0], step[1] + (1 - r3) * (r2 - g[1])]
             past, run = [2 if k3[i] else int(k2[i]), *past[:2]], min(7, run + 1) if k3[i] else 0
-        assert abs(total - got[d]) < 1e-6 * max(1, abs(total))
+        assert abs(total - got[d]) < 1e-4 * max(1, abs(total))
 
 
 def test_spelling_is_a_distribution():
     m = mixing.Spelling()
     r = np.random.default_rng(1)
-    m.n0, m.n1 = r.integers(0, 50, (2, mixing._SLOTS)).astype(np.float32)
+    m.seen = mixing._packed(*r.integers(0, 400, (2, mixing._SLOTS)))
     every = [bytes([b]) for b in range(256) if b not in (32, 9, 10, 11, 12, 13)]
     flat, starts = mixing._spelt(every)
     ctx, total = mixing._contexts(flat, starts), np.zeros(len(flat))
-    for node, bit in mixing._bits(flat):
-        slots = [mixing._slots(ctx[k], node, k) for k in range(5)]
-        n0, n1 = ([c[s] for s in slots] for c in (m.n0, m.n1))
-        gate = (mixing._trust(n0[4] + n1[4]).astype(np.int64) << 3) | mixing._trust(n0[2] + n1[2])
-        p = m.mixer.mix([mixing._stretch(a, z) for a, z in zip(n0, n1)], gate, node.astype(np.int64))[0]
+    for node, hashed, bit in mixing._bits(flat):
+        slots = [mixing._slots(ctx[k], hashed, k) + mixing._OFFSET[k] for k in range(5)]
+        p = m.mixer.mix([mixing._STRETCH[m.seen[s]] for s in slots], (mixing._TRUST[m.seen[slots[4]]].astype(np.int64) << 3) | mixing._TRUST[m.seen[slots[2]]], node)[0]
         total += np.log2(np.where(bit == 1, p, 1 - p))
     first = np.exp2(total[starts])
     assert 0.9 < first.sum() <= 1 + 1e-6  # with the six bytes of white space it is 1
@@ -358,6 +359,27 @@ def test_wordwise_weights_equal_a_plain_loop():
             credit = credit + p / p.sum()
 
 
+def test_packed_counts():
+    got = mixing._packed(np.array([0, 3, 1, 1000]), np.array([0, 200, 5100, 1000]))
+    assert [(int(x) & 255, int(x) >> 8) for x in got] == [(0, 0), (3, 200), (1, 255), (255, 255)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=40))
+def test_numbered(x):
+    u, at = mixing._numbered(np.array(x, np.int64), 41)
+    assert u[at].tolist() == x and u.tolist() == sorted(set(x))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, (1 << 32) - 1), max_size=50))
+def test_squeezed_numbers_come_back(x):
+    for dtype in (np.uint32, np.uint64):
+        a = np.array(x, dtype)
+        assert (mixing._spread(mixing._squeezed(a), dtype) == a).all()
+        assert (mixing._spread(mixing._squeezed(np.sort(a), True), dtype, True) == np.sort(a)).all()
+
+
 def test_tokens_equal_words():
     texts = [b"", b" a  b\x0b", b"One two one\tTWO", b"\x1f\xc2\xa0x", b"\n"]
     h, sizes = mixing.tokens(texts)
@@ -609,3 +631,32 @@ def test_fold_is_crc32_of_the_id_as_text(spark):
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 7 for r in got)
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256).alias("h")).first().h
     assert pa.__version__
+
+
+def test_random_spans_are_told_from_ordinary_ones(spark):
+    """The threshold over tokens that taught nothing."""
+    samples = secret_scan.held_out(secret_scan.labelled_samples(spark)).cache()
+    got = secret_scan.quality(samples.where("held"), secret_scan.train(samples.where("not held"))).first()
+    assert got.recall > 0.9 and got.precision > 0.9, got
+    assert secret_scan.quality(samples.where("false"), [0.0] * 6400).first() == (None, None)
+
+
+def test_language_edge_cases(spark):
+    """Ties go to the first language by name; repeated rows get the same answer; a very long text is one among others."""
+    rows = [(i, "lorem ipsum", lang) for i, lang in enumerate(["b", "a"] * 5)]
+    found = language.train(docs(spark, rows, "doc_id long, text string, lang string"))
+    asked = [(1, "lorem ipsum", "x"), (1, "lorem ipsum", "x"), (2, "lorem " * 200_000, "x")]
+    got = language.predict(docs(spark, asked, "doc_id long, text string, lang_pred string"), found).collect()
+    assert [r.lang_pred for r in got] == ["a"] * 3
+    assert language.predict(docs(spark, asked, "doc_id long, text string, lang_pred string").where("false"), found).count() == 0
+
+
+def test_fingerprints_follow_changes(spark):
+    base = " ".join(f"w{i * i % 997}" for i in range(800))
+    changed = base.replace("w4 ", "zzz ", 1)
+    a, b, c = fingerprints.fingerprint(base), fingerprints.fingerprint(changed), fingerprints.fingerprint(base[::-1])
+    near = fingerprints.likeness([a, a, a], [a, b, c])
+    assert near[0] == 1 and near[1] > 0.8 > near[2]
+    df = docs(spark, ODD).withColumn("fingerprint", F.lit("clash"))
+    got = {(r.doc_id, r.text): r.fingerprint for r in fingerprints.with_fingerprint(df).collect()}
+    assert got[(1, None)] == got[(2, "")] == "3::" and len({v for k, v in got.items() if k[1] == "a b c"}) == 1
