@@ -14,8 +14,10 @@ returns the connected components of all links, exactly.
     walks the tree from the root, all branches at once; the overlap with a run is counted once for all sets below
     it. A branch ends when what remains of it or of the query can't reach the overlap that the bound on lengths asks for,
     or when all below it are in the query's component.
-5.  A cluster too large for one task is dealt into blocks. Blocks are joined within themselves and with a few pivots; only
-    sets that this leaves outside the cluster's main component are then sent, in blocks, to all blocks.
+5.  A cluster too large for one task is first refined: hashes that only one of its sets has are in no overlap, sets that can't
+    link without them go, and the rest is clustered anew by its rarest hashes, now of whole sets. What is too large still
+    is dealt into blocks. Blocks are joined within themselves and with a few pivots; only sets that this leaves outside the
+    cluster's main component are then sent, in blocks, to all blocks.
 
 No pair of classes is ever a row; what is a row grows with the number of n-grams.
 """
@@ -34,8 +36,8 @@ from curatrix.llm.common import tidied, written
 from curatrix.llm.pieces import _blocks
 from curatrix.operators.components import components
 
-#: Hashes that one task's prefix tree may hold; a cluster of more is dealt into blocks.
-TREE_HASHES = 1_000_000
+#: Hashes that one task's prefix tree may hold (about 300 MB of it); a cluster of more is refined, and dealt into blocks.
+TREE_HASHES = 4_000_000
 PIVOTS = 8
 #: Characters of texts that a task takes at once, or one text.
 BLOCK_CHARS = 1_000_000
@@ -295,9 +297,38 @@ def _join_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.groupBy("_group", "_block", "_asked").applyInArrow(run, "a long, b long")
 
 
+def _alive(posted: DataFrame, num: int, den: int) -> DataFrame:
+    """rep of the sets that could still reach the least overlap without the hashes that no other set of their cluster has.
+    posted: rep, n (size of the set), key (of the cluster and a hash in it), a row for each hash."""
+    lone = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+    left = F.col("n") - F.coalesce("lone", F.lit(0))
+    return posted.select("rep", "n").distinct().join(lone, "rep", "left").where(left * den >= F.col("n") * num).select("rep")
+
+
+def _refined(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """rep, cluster: the parts that clusters fall into by whole sets rather than heads. sets: cluster, rep, set.
+
+    Sets that can't link for want of shared hashes go. What is left is ordered by frequency, rarest first: of a set with m
+    shared hashes the first m - need + 1 have one in common with any set that it links to. So this is exact, and parts are
+    little more than what is really linked.
+    """
+    posted = sets.select("rep", F.size("set").cast("long").alias("n"), F.explode("set").alias("h"), "cluster").select("rep", "n", F.xxhash64("cluster", "h").alias("key"))
+    posted = posted.join(written(_alive(posted, num, den), "alive"), "rep", "left_semi")
+    common = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    lists = posted.join(common, "key").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("common"))
+    take = F.size("common") - F.floor((F.col("n") * num + den - 1) / den).cast("int") + 1
+    keys = written(lists.where(take > 0).select("rep", F.explode(F.slice("common", 1, take)).alias("x")).select("rep", "x.key"), "refined-keys")
+    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "hub")
+    return components(keys.join(hubs, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+
+
 def _cluster_links(sets: DataFrame, num: int, den: int, tree_hashes: int) -> DataFrame:
     """Edges a, b of all links within clusters, up to connection. sets: cluster, rep, set."""
     sets = written(sets, "cluster-sets")
+    wide = written(sets.groupBy("cluster").agg(F.sum(F.size("set")).alias("hashes")).where(F.col("hashes") > tree_hashes).select("cluster"), "wide")
+    if not wide.isEmpty():
+        part = sets.join(wide, "cluster", "left_semi")
+        sets = written(sets.join(wide, "cluster", "left_anti").unionByName(part.drop("cluster").join(_refined(part, num, den), "rep").select(sets.columns)), "cluster-sets")
     sizes = sets.groupBy("cluster").agg(F.sum(F.size("set")).alias("hashes"), F.count(F.lit(1)).alias("members")).where("members > 1")
     plain = sets.join(sizes.where(F.col("hashes") <= tree_hashes).select("cluster"), "cluster", "left_semi")
     zero = F.lit(0).cast("long")

@@ -84,3 +84,19 @@ def test_edge_cases(spark):
     assert got == [(-1, 2, None), (3, 0, 3), (4, 0, 4), (5, 2, 5), (6, 2, 5), (6, 2, 5)]
     assert jaccard.link_components(docs.where("false")).count() == 0
     assert sorted((r.doc_id or -1) for r in jaccard.one_of_each(docs).collect()) == [-1, 3, 4, 5]
+
+
+def test_a_third_of_all_documents_in_one_family(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    base = r.choices(words, k=90)
+    texts = {}
+    for i in range(150):
+        w = list(base) if i % 3 == 0 else r.choices(words, k=60)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3, 5]) if i % 3 == 0 else 0):
+            w[r.randrange(len(w))] = f"new{i}x{r.randrange(99)}"
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for n, num in ((3, 90), (5, 80)):
+        got = {r.doc_id: r.component_id for r in jaccard.link_components(docs, n, num, 100, tree_hashes=1500).collect()}
+        assert got == brute_components(texts, n, num, 100)
