@@ -124,11 +124,12 @@ def sequences(docs: DataFrame, ids_col: str = "ids", id_col: str = "doc_id", len
     """One row for each bin: shard, bin, bin_length, n_tokens, ids (its token ids, without padding), doc_ids and starts (of the
     pieces in it: whose they are, and where in ids each begins).
 
-    docs: an id and an array of token ids. Documents without tokens (null or empty arrays) are in no bin. Null ids and
-    repeated rows are packed like others. An empty table gives an empty result.
+    docs: an id and an array of token ids. A document without tokens (null or empty array) is in no bin: it has a row of its
+    own, with a null shard, bin and bin_length. Null ids and repeated rows are packed like others. An empty table gives an
+    empty result.
     """
     largest = max(lengths)
-    base = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"), F.size(F.col(ids_col)).cast("long").alias("n")).where("n > 0"), "token-ids")
+    base = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"), F.greatest(F.coalesce(F.size(F.col(ids_col)), F.lit(0)), F.lit(0)).cast("long").alias("n")), "token-ids")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("n", "ascending"), ("doc_id", "ascending")]).combine_chunks()
@@ -151,4 +152,6 @@ def sequences(docs: DataFrame, ids_col: str = "ids", id_col: str = "doc_id", len
             }
         )
 
-    return _dealt(base, "n", shard_tokens).groupBy("shard").applyInArrow(run, "shard long, bin long, bin_length long, n_tokens long, ids array<int>, doc_ids array<long>, starts array<long>")
+    packed = _dealt(base.where("n > 0"), "n", shard_tokens).groupBy("shard").applyInArrow(run, "shard long, bin long, bin_length long, n_tokens long, ids array<int>, doc_ids array<long>, starts array<long>")
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    return packed.unionByName(base.where("n = 0").select(none.alias("shard"), none.alias("bin"), none.alias("bin_length"), zero.alias("n_tokens"), F.array().cast("array<int>").alias("ids"), F.array("doc_id").alias("doc_ids"), F.array(zero).alias("starts")))
