@@ -57,8 +57,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of the permitted lengths: the token ids of all documents, and whose they are. Documents without tokens are in
-    none; null ids and repeated rows are packed like others."""
+    """Sequences of the permitted lengths: the token ids of all documents, and whose they are. A document without tokens
+    has a row of its own, in no bin; null ids and repeated rows are packed like others."""
     return packing.sequences(pieces.encode(docs.select("doc_id", "text")))
 
 
