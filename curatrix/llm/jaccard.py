@@ -36,7 +36,7 @@ from curatrix.llm.common import tidied, written
 from curatrix.llm.pieces import _blocks
 from curatrix.operators.components import components
 
-#: Hashes that one task's prefix tree may hold (about 300 MB of it); a cluster of more is refined, and dealt into blocks.
+#: Hashes that one task's prefix tree may hold; a cluster of more is refined, and dealt into blocks.
 TREE_HASHES = 4_000_000
 PIVOTS = 8
 #: Characters of texts that a task takes at once, or one text.
