@@ -317,8 +317,10 @@ def test_ordered_subsequence_of_large_groups(spark, tmp_path):
 
 def test_audit_all_has_every_audit(spark, items):
     table = lambda name, *said: catalog.settled(spark.createDataFrame([tuple(r.get(f.name) for f in catalog.schema(name)) for r in said], catalog.schema(name)))
+    # candidates are told by titles and authors, not by length alone
+    pair = item(spark, [{"id": f"e{k}", "title": title, "authors": ["Orson Scott Card"], "duration": 40_000.0 + k} for k, title in enumerate(("Ender's Game", "Ender's Game: A Novel"))])
     got = {(r.check, r.field): r.found for r in audit_all(
-        items, prefix="zz-provider:",
+        items.unionByName(pair), prefix="zz-provider:",
         authors=table("author", {"id": "a", "name": "Nobody"}),
         audio=table("audio_file", {"item_id": "d1", "idx": 1, "filename": "a  b.mp3", "ext": ".mp3", "duration": 8 * H}),
         library_files=table("library_file", {"item_id": "x1", "file_type": "ebook", "filename": "b.aax"}),
