@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.sources.storage import shared_dir, written
+from curatrix.sources.storage import dropped, shared_dir, written
 
-__all__ = ["crc_mod", "shared_dir", "table", "text_of", "tidied", "written"]
+__all__ = ["crc_mod", "dropped", "shared_dir", "table", "text_of", "tidied", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
