@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +55,14 @@ def decile(ordered: Column, i: int) -> Column:
     return F.when(n >= 2, (F.get(ordered, j - 1) * (10 - delta) + F.get(ordered, j) * delta) / 10)
 
 
+def decile_of(ordered: list[float], i: int) -> float:
+    """decile() of a list in Python."""
+    n = len(ordered)
+    j = max(1, min(i * (n + 1) // 10, n - 1))
+    delta = i * (n + 1) - j * 10
+    return (ordered[j - 1] * (10 - delta) + ordered[j] * delta) / 10
+
+
 def decile_sql(ordered: str, i: int) -> str:
     j = f"greatest(1, least(({i} * (len({ordered}) + 1)) // 10, len({ordered}) - 1))"
     return f"(CASE WHEN len({ordered}) >= 2 THEN ({ordered}[{j}] * (10 - ({i} * (len({ordered}) + 1) - {j} * 10)) + {ordered}[{j} + 1] * ({i} * (len({ordered}) + 1) - {j} * 10)) / 10 END)"
@@ -80,6 +90,11 @@ def spread_over(spread: Column, limit: float) -> Column:
     return F.coalesce(*[F.when(F.floor(spread * 10**p) / 10**p > limit, F.floor(spread * 10**p) / 10**p) for p in range(2, 7)], spread)
 
 
+def spread_shown(spread: float, limit: float) -> float:
+    """spread_over() of a number in Python."""
+    return next((x for p in range(2, 7) if (x := math.floor(spread * 10**p) / 10**p) > limit), spread)
+
+
 #: Tracks are the same within this many seconds; so few tracks, or so small a share, ask for a name or size as well; and
 #: a track that is as long as all others within this share is the whole book once more.
 TRACK_SECONDS, FEW_TRACKS, SMALL_SHARE, WHOLE_SHARE = 1.0, 2, 4, 0.02
