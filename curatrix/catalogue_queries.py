@@ -256,15 +256,6 @@ def match_scores(spark, sf_dir):
     return matching.score(pairs).select("id", "title_level", "author_ok", "length", "confidence")
 
 
-@query(_with("SELECT field, action, count(*) AS n FROM (SELECT 'publisher' AS field, CASE WHEN publisher = '' THEN 'filled' WHEN k % 2 = 0 THEN 'review' ELSE 'kept' END AS action FROM item UNION ALL SELECT 'language', CASE WHEN language = '' THEN 'filled' ELSE 'kept' END FROM item) GROUP BY ALL"))
-def decision_counts(spark, sf_dir):
-    """What filling items from records would do to two fields."""
-    i = items(spark, sf_dir)
-    even = F.substring("id", 2, 20).cast("long") % 2 == 0
-    rows = i.select("id", "publisher", "language", F.when((c("publisher") == "") | even, "Other House").otherwise(F.upper("publisher")).alias("p_publisher"), F.lit("ENGLISH").alias("p_language"))
-    return entities.decision_tally(matching.decisions(rows, ["publisher", "language"]))
-
-
 @query(_with("SELECT id, 'publisher' AS field, publisher AS ours, 'Other House' AS theirs FROM item WHERE k % 2 = 0 UNION ALL SELECT id, 'authors', array_to_string(authors, ', '), 'Somebody' FROM item WHERE k % 3 = 0"))
 def record_diffs(spark, sf_dir):
     """What records say otherwise than items."""

@@ -101,19 +101,13 @@ def field_diffs(rows: DataFrame) -> DataFrame:
     """id, field, ours, theirs where a record says otherwise; a record's blank says nothing. Record columns are p_<field>."""
     text = lambda f: F.when((t.trim(c(f"p_{f}")) != "") & (t.norm(c(f)) != t.norm(c(f"p_{f}"))), F.struct(F.lit(f).alias("field"), t.trim(c(f)).alias("ours"), t.trim(c(f"p_{f}")).alias("theirs")))
     listed = lambda f: F.when((F.size(f"p_{f}") > 0) & ~t.same_names(c(f), c(f"p_{f}")), F.struct(F.lit(f).alias("field"), F.array_join(f, ", ").alias("ours"), F.array_join(f"p_{f}", ", ").alias("theirs")))
-    about = F.when((F.octet_length(t.trim(c("description"))) < t.STUB_BYTES) & (F.octet_length(t.trim(c("p_description"))) > F.octet_length(t.trim(c("description")))), F.struct(F.lit("description").alias("field"), t.trim(c("description")).alias("ours"), F.concat(F.length("p_description").cast("string"), F.lit(" characters")).alias("theirs")))
+    about = F.when((F.octet_length(t.trim(c("description"))) < t.STUB_BYTES) & (F.octet_length(t.trim(c("p_description"))) > F.octet_length(t.trim(c("description")))), F.struct(F.lit("description").alias("field"), t.trim(c("description")).alias("ours"), F.concat(F.octet_length("p_description").cast("string"), F.lit(" characters")).alias("theirs")))
     made = [text(f) for f in ("title", "subtitle", "publisher", "published_year", "language") if f in rows.columns] + [listed(f) for f in ("authors", "narrators", "series_names", "genres") if f in rows.columns]
     if "description" in rows.columns:
         made.append(about)
     return rows.select("id", F.explode(F.array_compact(F.array(*made))).alias("d")).select("id", "d.*")
 
 
-def decisions(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """id, field, action, value: filled (ours was empty), kept (the same, or theirs is), review (they differ)."""
-    one = lambda f: F.struct(F.lit(f).alias("field"), F.when((t.trim(c(f)) == "") & (t.trim(c(f"p_{f}")) != ""), "filled").when((t.trim(c(f"p_{f}")) == "") | (t.norm(c(f)) == t.norm(c(f"p_{f}"))), "kept").otherwise("review").alias("action"), F.when(t.trim(c(f)) == "", t.trim(c(f"p_{f}"))).otherwise(t.trim(c(f))).alias("value"))
-    return rows.select("id", F.explode(F.array(*map(one, fields))).alias("d")).select("id", "d.*")
-
-
 def check_matched(items: DataFrame, records: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Matched items whose record is gone or disagrees: id, problem (not_found, title_differs, duration_off, narrator_differs)."""
     mine = items.where("asin != ''").select("id", "title", "authors", "narrators", "duration", F.upper(t.trim(c("asin"))).alias("k"))

@@ -186,7 +186,6 @@ def test_matching(spark, items):
     assert rows(matching.editions(items, whole), "id", "problem") == [("m3", "abridged_length")]
     pairs = spark.createDataFrame([("a", "Dune", "", ["X Y"], "dune", "A Publisher", ["y x"])], "id string, title string, publisher string, authors array<string>, p_title string, p_publisher string, p_authors array<string>")
     assert rows(matching.field_diffs(pairs), "field", "theirs") == [("authors", "y x"), ("publisher", "A Publisher")]
-    assert rows(matching.decisions(pairs, ["title", "publisher"]), "field", "action") == [("publisher", "filled"), ("title", "kept")]
     assert rows(matching.check_matched(items, records.withColumn("asin", F.lit("B1"))), "id", "problem") == [("m3", "duration_off")]
 
 
