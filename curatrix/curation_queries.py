@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.catalogue_queries import _ITEM, _read, items
+from curatrix.catalogue_queries import _CHECKS, _ITEM, _read, items
 from curatrix.operators import entities, smart
+from curatrix.plans.audit_all import audit_all, postings
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,41 @@ def smart_updates(spark, sf_dir):
     new = smart.updates(_matched(spark, sf_dir))
     told = F.when(c("new_description").isNotNull(), F.concat(F.octet_length("new_description").cast("string"), F.lit(" characters")))
     return new.select("id", c("new_title").alias("title"), F.array_join("new_narrators", ", ").alias("narrators"), F.array_join("new_genres", ", ").alias("genres"), c("new_publisher").alias("publisher"), c("new_published_year").alias("year"), c("new_language").alias("language"), told.alias("description"))
+
+
+# ---- Audits ---------------------------------------------------------------------------------------
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with names that audits have something to say about: spaces, capitals, slips, placeholders, odd languages."""
+    k = F.substring("id", 2, 20).cast("long")
+    return items(spark, sf_dir).withColumns({
+        "title": F.when(k % 23 == 0, F.concat(F.lit(" "), "title")).when(k % 29 == 0, F.lit("Unknown")).otherwise(c("title")),
+        "publisher": F.when(k % 31 == 0, F.upper("publisher")).otherwise(c("publisher")), "language": F.when(k % 37 == 0, "Klingon").otherwise(c("language")),
+        "genres": F.when(k % 41 == 0, F.array(F.lit("Audiobook"))).otherwise(c("genres")),
+    })
+
+
+_AUDITED = """, i AS (SELECT item.* REPLACE (CASE WHEN k % 23 = 0 THEN ' ' || title WHEN k % 29 = 0 THEN 'Unknown' ELSE title END AS title, CASE WHEN k % 31 = 0 THEN upper(publisher) ELSE publisher END AS publisher,
+  CASE WHEN k % 37 = 0 THEN 'Klingon' ELSE language END AS language, CASE WHEN k % 41 = 0 THEN ['Audiobook'] ELSE genres END AS genres) FROM item)"""
+_CHECKED = _CHECKS | {"genres": "len(genres) = 0", "year": "media_type = 'book' AND published_year = ''", "author_as_title": "false"}
+
+
+@query(
+    "WITH " + _ITEM + _AUDITED + ", p AS (" + " UNION ALL ".join(f"SELECT 'check' AS kind, '{n}' AS field, '' AS part, '' AS value FROM i WHERE {w}" for n, w in _CHECKED.items())
+    + " UNION ALL SELECT DISTINCT 'value', f, '', v || '' FROM (SELECT NULL AS f, NULL AS v) WHERE false"
+    + "".join(f" UNION ALL SELECT 'value', '{f}', '', unnest(list_distinct({x})) FROM i" for f, x in {"authors": "authors", "narrators": "narrators", "series": "CASE WHEN series IS NULL THEN [] ELSE [series] END", "publishers": "[publisher]", "genres": "genres", "tags": "tags", "languages": "[language]"}.items())
+    + " UNION ALL SELECT 'genre', 'genres', 'placeholder', unnest(list_filter(genres, lambda g: g = 'Audiobook')) FROM i UNION ALL SELECT 'genre', 'tags', 'redundant', unnest(list_distinct(list_filter(tags, lambda g: list_contains(list_transform(genres, lambda x: lower(x)), lower(g))))) FROM i"
+    + " UNION ALL SELECT 'title', '', '', lower(trim(title)) || '|' || lower(coalesce(authors[1], '')) FROM i WHERE media_type = 'book'"
+    + ") SELECT kind, field, part, value, count(*) AS items FROM p GROUP BY ALL"
+)
+def audit_postings(spark, sf_dir):
+    """What items say by themselves, from one reading: checks, values, sections of genres, titles."""
+    return postings(_audited(spark, sf_dir), skip=("paths",)).where("kind in ('check', 'value', 'genre', 'title')")
+
+
+@query()
+def audit_all_parts(spark, sf_dir):
+    """All audits of items and their chapters in one result."""
+    ch = _read(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("item_id"), c("l_linenumber").alias("pos"), F.concat(F.lit("The "), "l_returnflag", F.lit(" of "), "l_linestatus").alias("title"), c("l_quantity").alias("start"), (c("l_quantity") + c("l_extendedprice") / 100).alias("end"))
+    return audit_all(_audited(spark, sf_dir), ch)

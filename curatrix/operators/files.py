@@ -93,7 +93,12 @@ def year_clash(folder: Column, title: Column, subtitle: Column, year: Column) ->
 def path_problems(items: DataFrame) -> DataFrame:
     """id, problem: title (the folder names another book), author (no parent names author, series, genre or tag), year, series
     (an item with a place in a series whose folder doesn't say so). Podcasts, single files and items without title have none."""
-    rows = items.where((c("media_type") != "podcast") & ~c("is_file") & (c("rel_path") != "") & (t.trim(c("title")) != ""))
+    return with_path_problem(items).select("id", c("path_problem").alias("problem")).where("problem is not null")
+
+
+def with_path_problem(rows: DataFrame) -> DataFrame:
+    """rows with path_problem, as path_problems() names them; null for none."""
+    has_folder = (c("media_type") != "podcast") & ~c("is_file") & (c("rel_path") != "") & (t.trim(c("title")) != "")
     rel = F.regexp_replace("rel_path", "^/+|/+$", "")
     rows = rows.withColumn("_parts", F.split(rel, "/+")).withColumn("_base", F.element_at("_parts", -1)).withColumn("_parents", F.slice("_parts", 1, F.size("_parts") - 1))
     known = F.transform(F.concat("authors", F.transform("series", lambda s: s["name"]), "genres", "tags"), t.path_words)
@@ -110,7 +115,7 @@ def path_problems(items: DataFrame) -> DataFrame:
     says |= F.exists("_parents", lambda p: (p != F.lower(p)) & F.exists(parent_names(p), lambda n: F.startswith(F.concat(article(whole), F.lit(" ")), F.concat(article(n), F.lit(" "))) | F.exists(in_series, lambda s: (s != "") & (t.contains_words(article(n), s) | t.contains_words(s, article(n))))))
     year = year_clash(c("_base"), c("title"), c("subtitle"), c("published_year"))
     problem = F.when(~title_ok & ~author_ok, "title and author").when(~title_ok, "title").when(~author_ok, "author").when(year.isNotNull(), "year").when((F.size(placed) > 0) & ~says, "series")
-    return rows.select("id", problem.alias("problem")).where("problem is not null")
+    return rows.withColumn("path_problem", F.when(has_folder, problem)).drop("_parts", "_base", "_parents")
 
 
 def _key_words(words: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as t
@@ -114,20 +116,36 @@ def odd_languages(values: DataFrame) -> DataFrame:
     return values.where(t.language_code(c("value")).isNull() & (t.trim(c("value")) != "")).orderBy("value")
 
 
-def genre_findings(items: DataFrame, least: int = 5, prefix: str = "") -> DataFrame:
-    """section, field, value, items, refs (three ids in listing order): placeholder, prefix, compound, redundant, narrow."""
-    each = lambda f: items.select("id", "added_at", F.lit(f).alias("field"), F.explode(F.array_distinct(f)).alias("value"), c("genres").alias("g"))
-    rows = each("genres").unionByName(each("tags")).where("value != ''").where((c("field") == "genres") | ~t.marker_tag(c("value"), prefix))
+#: A genre that fewer items have is narrow.
+GENRE_LEAST = 5
+
+
+def genre_sections(field: str, prefix: str = "") -> dict[str, Callable[[Column], Column]]:
+    """For values of genres or tags of an item: the sections that one can be in, and when it is. Marks of tools are in none."""
+    fine = lambda v: (v != "") & (F.lit(True) if field == "genres" else ~t.marker_tag(v, prefix))
     marks = {
-        "placeholder": c("value").rlike(t.PLACEHOLDER),
-        "prefix": c("value").rlike(t.PLACEHOLDER_PREFIX),
-        "compound": F.size(F.filter(F.split("value", t.VALUE_JOIN), lambda p: p != "")) > 1,
-        "redundant": (c("field") == "tags") & F.exists("g", lambda g: F.lower(g) == F.lower("value")),
+        "placeholder": lambda v: v.rlike(t.PLACEHOLDER),
+        "prefix": lambda v: v.rlike(t.PLACEHOLDER_PREFIX),
+        "compound": lambda v: F.size(F.filter(F.split(v, t.VALUE_JOIN), lambda p: p != "")) > 1,
     }
-    hits = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in marks.items()]))
-    named = refs_of(rows.withColumn("section", F.explode(hits)), ["section", "field", "value"], [c("added_at"), c("id")], c("id"), 3)
-    few = rows.where("field = 'genres'").groupBy("value").count().where(c("count") < least).select("value")
-    narrow = rows.where("field = 'genres'").join(few, "value", "left_semi").withColumn("section", F.lit("narrow"))
+    if field == "tags":
+        marks["redundant"] = lambda v: F.exists("genres", lambda g: F.lower(g) == F.lower(v))
+    both = lambda f: lambda v: fine(v) & f(v)
+    return {k: both(f) for k, f in marks.items()}
+
+
+def genre_findings(items: DataFrame, least: int = GENRE_LEAST, prefix: str = "") -> DataFrame:
+    """section, field, value, items, refs (three ids in listing order): placeholder, prefix, compound, redundant, narrow."""
+
+    def each(f: str) -> DataFrame:
+        rows = items.select("id", "added_at", "genres", F.lit(f).alias("field"), F.explode(F.array_distinct(f)).alias("value"))
+        hits = F.array_compact(F.array(*[F.when(holds(c("value")), F.lit(k)) for k, holds in genre_sections(f, prefix).items()]))
+        return rows.withColumn("section", F.explode(hits)).drop("genres")
+
+    named = refs_of(each("genres").unionByName(each("tags")), ["section", "field", "value"], [c("added_at"), c("id")], c("id"), 3)
+    rows = items.select("id", "added_at", F.lit("genres").alias("field"), F.explode(F.array_distinct("genres")).alias("value")).where("value != ''")
+    few = rows.groupBy("value").count().where(c("count") < least).select("value")
+    narrow = rows.join(few, "value", "left_semi").withColumn("section", F.lit("narrow"))
     return named.unionByName(refs_of(narrow, ["section", "field", "value"], [c("added_at"), c("id")], c("id"), 3)).select("section", "field", "value", "items", "refs")
 
 
@@ -149,7 +167,11 @@ def author_records(authors: DataFrame) -> DataFrame:
 
 def space_findings(names: DataFrame, file: bool = False) -> DataFrame:
     """where, problem, name, fixed, items for names with bad white space. names: where, name; a shared name comes once."""
-    rows = names.groupBy("where", "name").agg(F.count(F.lit(1)).alias("items"))
+    return space_problems_of(names.groupBy("where", "name").agg(F.count(F.lit(1)).alias("items")), file)
+
+
+def space_problems_of(rows: DataFrame, file: bool = False) -> DataFrame:
+    """space_findings() of names that are counted already: where, name, items."""
     return rows.select("where", F.explode(t.space_problems(c("name"), file)).alias("problem"), "name", t.space_fixed(c("name"), file).alias("fixed"), "items")
 
 
