@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.catalogue_queries import _CHECKS, _ITEM, _read, items
-from curatrix.operators import entities, smart
+from curatrix.operators import duplicates, entities, merging, providers, readings, smart
 from curatrix.plans.audit_all import audit_all, postings
+from curatrix.sources import catalog
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +132,79 @@ def audit_all_parts(spark, sf_dir):
     """All audits of items and their chapters in one result."""
     ch = _read(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("item_id"), c("l_linenumber").alias("pos"), F.concat(F.lit("The "), "l_returnflag", F.lit(" of "), "l_linestatus").alias("title"), c("l_quantity").alias("start"), (c("l_quantity") + c("l_extendedprice") / 100).alias("end"))
     return audit_all(_audited(spark, sf_dir), ch)
+
+
+# ---- Copies, readings, providers, records that moved ----------------------------------------------
+
+
+def _records(rows: DataFrame, kind: str, **columns: str) -> DataFrame:
+    """A record table from expressions over rows; what isn't named is missing."""
+    made = [F.expr(columns[f.name]).cast(f.dataType).alias(f.name) if f.name in columns else F.lit(None).cast(f.dataType).alias(f.name) for f in catalog.schema(kind)]
+    return catalog.settled(rows.select(*made))
+
+
+_COPY = "title_k AS (SELECT p_partkey AS k, p_name || ' ' || p_partkey AS title, p_brand AS brand FROM part)"
+
+
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in up to four copies: two of one length, one much longer (with the first one's asin, of some), one by another reader."""
+    rows = _read(spark, sf_dir, "part").selectExpr("p_partkey AS k", "concat(p_name, ' ', p_partkey) AS t", "p_brand AS brand", "explode(array(0, 1, 2, 3)) AS j").where("j < 2 or (j = 2 and k % 3 = 0) or (j = 3 and k % 4 = 0)")
+    return _records(rows, "item", id="concat('p', k, '-', j)", media_type="'book'", title="t", authors="array(brand)", narrators="if(j = 3, array('Bo Lind'), array('Ann Lee'))", rel_path="concat(brand, '/', t)", duration="(10000 + k % 500) * element_at(array(1.0D, 1.01D, 1.4D, 1.0D), j + 1)", num_tracks="5", asin="if(k % 5 = 0 and j in (0, 2), concat('B', k), '')", added_at="timestamp_seconds(1700000000 + j)")
+
+
+@query(f"WITH {_COPY} SELECT 'p' || k || '-' || j AS id, 'p' || k || '-0' AS \"group\" FROM title_k, (SELECT unnest([0, 1, 2]) AS j) WHERE j = 0 OR j = CASE WHEN k % 15 = 0 THEN 2 ELSE 1 END")
+def copy_groups(spark, sf_dir):
+    """Copies of one recording among those that share a title, in the face of other lengths, readers and asins."""
+    return duplicates.groups(_copies(spark, sf_dir)).select("id", "group")
+
+
+@query(f"WITH {_COPY} SELECT 'title:' || lower(title) || '|' || lower(brand) AS key, (2 + (k % 3 = 0)::INT + (k % 4 = 0)::INT)::BIGINT AS copies, (CASE WHEN k % 15 = 0 THEN 2 ELSE 1 + (k % 3 = 0)::INT END + (k % 4 = 0)::INT)::BIGINT AS parts, concat_ws(',', CASE WHEN k % 3 = 0 THEN 'length 29%' END, CASE WHEN k % 4 = 0 THEN 'field' END) AS why FROM title_k WHERE k % 3 = 0 OR k % 4 = 0")
+def split_titles(spark, sf_dir):
+    """Titles whose copies are in several parts, and why."""
+    made = _copies(spark, sf_dir)
+    return duplicates.splits(made, duplicates.groups(made))[0].select("key", "copies", "parts", F.array_join("why", ",").alias("why"))
+
+
+@query("SELECT 'p' || p_partkey || '-1' AS id, 'p' || p_partkey || '-0' AS long_id, 2.0 AS spread, 10 AS chapters FROM part WHERE p_partkey % 3 = 0")
+def uneven_readings(spark, sf_dir):
+    """Of two readings of each part the shorter one, where some of its chapters are cut by half; others are read faster, or nearly as long."""
+    base = _read(spark, sf_dir, "part").selectExpr("p_partkey AS k", "concat(p_name, ' ', p_partkey) AS t", "p_brand AS brand", "explode(array(0, 1)) AS j")
+    words = ("rain", "wind", "moon", "field", "crow", "frost", "leaf", "fire", "gate", "snow")
+    length = "if(j = 0, 600.0D, case k % 3 when 0 then if(i in (2, 5, 8), 300.0D, 600.0D) when 1 then 480.0D else 580.0D end)"
+    ch = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("len", F.expr(length)).withColumn("name", F.concat(F.col("i") + 1, F.lit(". The "), F.element_at(F.array(*map(F.lit, words)), c("i") + 1)))
+    listed = _records(base, "item", id="concat('p', k, '-', j)", media_type="'book'", title="if(j = 1, concat(t, ' (Bo Lind)'), t)", authors="array(brand)", num_chapters="10", duration="if(j = 0, 6000.0D, case k % 3 when 0 then 5100.0D when 1 then 4800.0D else 5800.0D end)", added_at="timestamp_seconds(1700000000 + j)")
+    rows = ch.select(F.concat(F.lit("p"), "k", F.lit("-"), "j").alias("item_id"), c("i").alias("pos"), c("name").alias("title"), (c("i") * 600.0).alias("start"), (c("i") * 600.0 + c("len")).alias("end"))
+    return readings.sweep(listed, rows)[0].select("id", "long_id", "spread", "chapters")
+
+
+@query("""WITH b AS (SELECT p_partkey AS k FROM part WHERE p_size % 10 <> 0), s AS (SELECT k, k % 3 <> 0 AS near, k % 4 = 0 AS off, k % 5 <> 0 AS far, k % 6 = 0 AS parted FROM b)
+SELECT 'p' || k AS id, CASE WHEN near AND NOT off THEN 'near' WHEN far THEN 'far' WHEN near THEN 'near' END AS provider, CASE WHEN near AND NOT off THEN 'N' || k WHEN far THEN 'F' || k WHEN near THEN 'N' || k END AS asin,
+  CASE WHEN near AND NOT off THEN 'exact' WHEN far THEN CASE WHEN parted THEN 'likely' ELSE 'exact' END WHEN near THEN 'edition' ELSE 'none' END AS confidence FROM s""")
+def provider_cascade(spark, sf_dir):
+    """Books asked for at two providers in turn: the near one lacks some and has others in another length; some titles are found by their main part alone."""
+    p = _read(spark, sf_dir, "part")
+    rows = p.selectExpr("p_partkey AS k", "concat(p_name, ' ', p_partkey) AS t", "p_size AS size")
+    books = _records(rows, "item", id="concat('p', k)", media_type="if(size % 10 = 0, 'podcast', 'book')", title="if(k % 6 = 0, concat(t, ': a long tale'), t)", authors="array(concat('Writer ', k))", duration="36000.0D")
+    has = rows.withColumn("far", F.explode(F.array(F.lit(0), F.lit(1)))).where("(far = 0 and k % 3 != 0) or (far = 1 and k % 5 != 0)")
+    records = _records(has, "provider_record", provider="if(far = 1, 'far', 'near')", provider_rank="far", title="t", author="concat('Writer ', k)", asin="concat(if(far = 1, 'F', 'N'), k)", duration_min="if(far = 0 and k % 4 = 0, 500.0D, 600.0D)")
+    return providers.cascade(books, providers.answers(records), ["near", "far"])[0].select("id", "provider", "asin", "confidence")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS u, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders WHERE o_orderkey % 4 = 0)
+SELECT 'm' || k AS old_id, CASE WHEN n > 0 AND k % 3 = 0 AND k % 5 <> 0 THEN 'a' || k END AS new_id, CASE WHEN n > 0 AND k % 3 = 0 AND k % 5 <> 0 THEN 'merge' ELSE 'leave' END AS action,
+  CASE WHEN n = 0 THEN 'no_audio' WHEN k % 3 < 2 AND k % 5 = 0 THEN 'standing' WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN 'several' ELSE 'none' END AS why, CASE WHEN n > 0 AND k % 3 = 0 AND k % 5 <> 0 THEN concat_ws(',', 'title', CASE WHEN k % 7 = 0 THEN 'genres' END) ELSE '' END AS details,
+  CASE WHEN n > 0 AND k % 3 = 0 AND k % 5 <> 0 AND k % 8 <> 0 THEN 'u' || u ELSE '' END AS progress, CASE WHEN n > 0 AND k % 3 = 0 AND k % 5 <> 0 THEN (u % 10)::VARCHAR ELSE '' END AS lists FROM o""")
+def merge_plan(spark, sf_dir):
+    """Orders whose record is gone beside one, two or no records with the same lines, some of which were there before; what goes across."""
+    o = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey AS u").where("k % 4 = 0")
+    lines = _read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("k"), F.concat("l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_extendedprice").alias("filename"), c("l_suppkey").alias("size"), c("l_quantity").alias("duration"), c("l_linenumber").alias("idx"))
+    rows = o.withColumn("w", F.explode(F.array(F.lit("m"), F.lit("a"), F.lit("b")))).where("w = 'm' or (w = 'a' and k % 3 < 2) or (w = 'b' and k % 3 = 1)")
+    count = lines.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("d"))
+    rows = rows.join(count, "k", "left")
+    records = _records(rows, "item", id="concat(w, k)", media_type="'book'", is_missing="w = 'm'", num_audio_files="coalesce(n, 0)", duration="coalesce(d, 0.0D)", title="if(w = 'm', 'Old', 'New')", genres="if(k % 7 = 0 and w = 'm', array('g'), array())", updated_at="timestamp_seconds(1700000000)", added_at="timestamp_seconds(1700000000 + if(w = 'm' or k % 5 = 0, -100000, 60))")
+    files = _records(rows.select("w", "k").join(lines, "k"), "audio_file", item_id="concat(w, k)", idx="idx", filename="filename", size="size", duration="duration", exclude="false")
+    read = rows.where("w = 'm' or (w = 'a' and k % 8 = 0)").selectExpr("concat('u', u) AS user_id", "concat(w, k) AS item_id", "'' AS episode_id", "1.0D AS current_time")
+    lists = rows.where("w = 'm'").selectExpr("cast(u % 10 as string) AS list_id", "concat(w, k) AS item_id")
+    marks = read.where("false").selectExpr("user_id", "item_id", "0.0D AS position")
+    plan = merging.merge_plan(records, files, read, marks, lists)
+    return plan.select("old_id", F.when(c("action") == "merge", c("new_id")).alias("new_id"), "action", "why", *[F.array_join(x, ",").alias(x) for x in ("details", "progress", "lists")])
