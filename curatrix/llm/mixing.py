@@ -518,9 +518,9 @@ def _spread(raw: bytes, dtype, rising: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=dtype) if rising else x
 
 
-def _stretches(x: np.ndarray, at: np.ndarray, rising: bool = False) -> pa.Array:
-    """Stretches of x between places, each squeezed."""
-    return pa.array([_squeezed(x[a:z], rising) for a, z in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+def _stretches(x: np.ndarray, at: np.ndarray, which: np.ndarray, rising: bool = False) -> pa.Array:
+    """Those stretches of x between places that are asked for, each squeezed."""
+    return pa.array([_squeezed(x[a:z], rising) for a, z in zip(at[which].tolist(), at[which + 1].tolist())], pa.binary())
 
 
 def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -649,22 +649,30 @@ def _texts(table: pa.Table) -> list[bytes]:
 
 
 def _asks(dealt: DataFrame, buckets: int) -> DataFrame:
-    """For each block and bucket: the block's distinct words (w), and the keys and training counts of its pairs and triples."""
+    """For each block and bucket: the block's distinct words (w), and the keys and training counts of its pairs and triples.
+
+    A block has rows for the buckets that it asks for something only, so there are never more rows than words, pairs and triples.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         words, sizes = tokens(_texts(group))
         taught = np.repeat(group.column("train").to_numpy(zero_copy_only=False).astype(bool), sizes)
         w = _distinct(words)
         order, at = _by_bucket(w, buckets)
-        out = [pa.array(np.full(buckets, group.column("block")[0].as_py(), np.int32)), pa.array(np.arange(buckets, dtype=np.int32)), _stretches(w[order], at, True)]
-        for h in grams(words, sizes)[:2]:
-            key = _key(h, buckets)
+        keys = [_key(h, buckets) for h in grams(words, sizes)[:2]]
+        asked = np.zeros(buckets, bool)
+        asked[np.nonzero(np.diff(at))[0]] = True
+        for key in keys:
+            asked[(key >> np.uint64(32)).astype(np.int64)] = True
+        which = np.nonzero(asked)[0]
+        out = [pa.array(np.full(len(which), group.column("block")[0].as_py(), np.int32)), pa.array(which.astype(np.int32)), _stretches(w[order], at, which, True)]
+        for key in keys:
             u = _distinct(key)
             known, times = np.unique(key[taught], return_counts=True)
             n = np.zeros(len(u), np.uint32)
             n[np.searchsorted(u, known)] = times
             at = _edges(u, buckets)
-            out += [_stretches((u & np.uint64(0xFFFFFFFF)).astype(np.uint32), at, True), _stretches(n, at)]
+            out += [_stretches((u & np.uint64(0xFFFFFFFF)).astype(np.uint32), at, which, True), _stretches(n, at, which)]
         return pa.Table.from_arrays(out, names=["block", "bucket", "w", "k2", "n2", "k3", "n3"])
 
     return dealt.groupBy("block").applyInArrow(run, "block int, bucket int, w binary, k2 binary, n2 binary, k3 binary, n3 binary")

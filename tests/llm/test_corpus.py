@@ -255,6 +255,24 @@ def test_context_mixing(spark):
     assert all(x.base_score == 0 and x.n_known == 0 and x.train_tokens == 0 and x.score < 0 for x in untrained if x.doc_id != 900)
 
 
+def test_blocks_ask_only_where_they_have_something(spark):
+    """With very many buckets rows are no more than words, pairs and triples, whatever the number of blocks, and answers are the same."""
+    rows = [(i, t or "", bool(train)) for i, t, train in mixing_rows() if i not in (None, 903)]
+    table = docs(spark, rows, "doc_id long, text string, train boolean")
+    totals, spelling, words = mixing.train_words(table)
+    n = sum(len(t.split()) for _, t, _ in rows)
+    for blocks, buckets in ((3, 5), (3, 50_000), (12, 50_000)):
+        dealt = table.withColumn("block", F.pmod("doc_id", F.lit(blocks)).cast("int"))
+        asks = mixing._asks(dealt, buckets)
+        assert 0 < asks.count() <= min(3 * n, blocks * buckets)
+        told = mixing._code(dealt, mixing._answers(asks, mixing._spelt_words(words, spelling, buckets)), totals, buckets).collect()
+        assert sum(sum(r.n_tokens) - len(r.n_tokens) for r in told) == n
+        known = {d: k for r in told for d, k in zip(r.doc_id, r.n_known)}
+        codes = {d: bytes(c) for r in told for d, c in zip(r.doc_id, np.split(mixing._spread(r.code, np.uint16), np.cumsum(np.array(r.n_tokens) - 1)[:-1]))}
+        first = first if (blocks, buckets) != (3, 5) else (known, codes)
+        assert (known, codes) == first
+
+
 def test_context_counts_equal_plain_ones(spark):
     """What blocks are told of words, pairs and triples, less what a training document has itself."""
     rows = [(i, t, bool(train)) for i, t, train in mixing_rows() if i not in (None, 903)]
