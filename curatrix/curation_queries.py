@@ -197,7 +197,7 @@ SELECT 'm' || k AS old_id, CASE WHEN n > 0 AND k % 3 = 0 AND k % 5 <> 0 THEN 'a'
 def merge_plan(spark, sf_dir):
     """Orders whose record is gone beside one, two or no records with the same lines, some of which were there before; what goes across."""
     o = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey AS u").where("k % 4 = 0")
-    lines = _read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("k"), F.concat("l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_extendedprice").alias("filename"), c("l_suppkey").alias("size"), c("l_quantity").alias("duration"), c("l_linenumber").alias("idx"))
+    lines = _read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("k"), F.concat("l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_extendedprice").alias("filename"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("size"), c("l_quantity").alias("duration"), c("l_linenumber").alias("idx"))
     rows = o.withColumn("w", F.explode(F.array(F.lit("m"), F.lit("a"), F.lit("b")))).where("w = 'm' or (w = 'a' and k % 3 < 2) or (w = 'b' and k % 3 = 1)")
     count = lines.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("d"))
     rows = rows.join(count, "k", "left")
