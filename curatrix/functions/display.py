@@ -52,8 +52,9 @@ def timestamp_text(at: Column) -> Column:
 
 
 def clip(text: Column, most: int) -> Column:
-    """A text of at most so many characters; a longer one is cut at its last space, if that is past the middle, and ends in dots."""
-    v = F.trim(t.blank(text))
+    """A text, without white space around it, of at most so many characters (not bytes, so that none is cut in two); a longer one is
+    cut at its last space, if that is past the middle, and ends in dots."""
+    v = t.trim(text)
     head = F.substring(v, 1, most)
     space = F.length(head) - F.locate(" ", F.reverse(head))
     cut = F.when((F.locate(" ", F.reverse(head)) > 0) & (space >= most // 2), F.substr(head, F.lit(1), space)).otherwise(head)

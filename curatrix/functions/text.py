@@ -19,13 +19,25 @@ FOLDS = {
     "i": "ìíîïīıį", "l": "łļľ", "n": "ñńňņ", "o": "òóôõöøōőœ", "r": "řŗ", "s": "šşśș", "ss": "ß",
     "t": "ťţț", "th": "þ", "u": "ùúûüūůűų", "y": "ýÿ", "z": "žźż",
 }
-#: Codes and names of languages by the code that stands for them.
+#: Codes and names of languages, each with the code that stands for it.
 LANGUAGES = {
-    "en": "en eng english", "de": "de ger deu german deutsch", "fr": "fr fra fre french francais",
-    "es": "es spa spanish espanol", "it": "it ita italian italiano", "nl": "nl dut nld dutch nederlands",
-    "pt": "pt por portuguese", "ru": "ru rus russian", "ja": "ja jpn japanese", "zh": "zh chi zho chinese mandarin",
-    "sv": "sv swe swedish", "no": "no nor norwegian", "da": "da dan danish", "fi": "fi fin finnish",
-    "pl": "pl pol polish", "cs": "cs cze ces czech", "la": "la lat latin",
+    "en": "en", "eng": "en", "english": "en",
+    "de": "de", "ger": "de", "deu": "de", "german": "de", "deutsch": "de",
+    "fr": "fr", "fra": "fr", "fre": "fr", "french": "fr", "francais": "fr",
+    "es": "es", "spa": "es", "spanish": "es", "espanol": "es",
+    "it": "it", "ita": "it", "italian": "it", "italiano": "it",
+    "nl": "nl", "dut": "nl", "nld": "nl", "dutch": "nl", "nederlands": "nl",
+    "pt": "pt", "por": "pt", "portuguese": "pt",
+    "ru": "ru", "rus": "ru", "russian": "ru",
+    "ja": "ja", "jpn": "ja", "japanese": "ja",
+    "zh": "zh", "chi": "zh", "zho": "zh", "chinese": "zh", "mandarin": "zh",
+    "sv": "sv", "swe": "sv", "swedish": "sv",
+    "no": "no", "nor": "no", "norwegian": "no",
+    "da": "da", "dan": "da", "danish": "da",
+    "fi": "fi", "fin": "fi", "finnish": "fi",
+    "pl": "pl", "pol": "pl", "polish": "pl",
+    "cs": "cs", "cze": "cs", "ces": "cs", "czech": "cs",
+    "la": "la", "lat": "la", "latin": "la",
 }
 #: Phrases in front of a person's name that aren't part of it.
 NAME_PHRASES = (
@@ -109,7 +121,7 @@ def language_base(c: Column) -> Column:
 def language_code(c: Column) -> Column:
     """The code of a known language, else null."""
     key = norm(language_base(c))
-    return F.coalesce(*[F.when(key.isin(*names.split()), F.lit(code)) for code, names in LANGUAGES.items()])
+    return F.coalesce(*[F.when(key.isin(*[name for name, of in LANGUAGES.items() if of == code]), F.lit(code)) for code in dict.fromkeys(LANGUAGES.values())])
 
 
 def vocab_key(field: str, c: Column) -> Column:

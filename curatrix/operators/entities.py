@@ -295,14 +295,26 @@ def decision_tally(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("field", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_open(items: DataFrame, feeds: DataFrame | None = None, shares: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """items with feed_open, share_open (whether one is there) and supplementary_ebooks (files of that kind beside an item's own
+    e-book), as the filters of these names ask for. feeds, shares: item_id; files: item_id, file_type, is_supplementary."""
+    flag = lambda df, name: df.select(c("item_id").alias("id"), F.lit(True).alias(name)).distinct()
+    for table, name in ((feeds, "feed_open"), (shares, "share_open")):
+        items = items.withColumn(name, F.lit(False)) if table is None else items.join(flag(table, name), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    if files is None:
+        return items.withColumn("supplementary_ebooks", F.lit(0).cast("long"))
+    held = files.where((c("file_type") == "ebook") & c("is_supplementary")).groupBy(c("item_id").alias("id")).agg(F.count(F.lit(1)).alias("supplementary_ebooks"))
+    return items.join(held, "id", "left").withColumn("supplementary_ebooks", F.coalesce("supplementary_ebooks", F.lit(0)))
+
+
 def confidence_tally(best: DataFrame) -> DataFrame:
     """confidence, n of best matches."""
     return best.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_finding(findings: DataFrame, spread: str = "spread", key: str = "id") -> DataFrame:
-    """Of several findings for one id that with the widest spread."""
-    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(spread))
+    """Of several findings for one id that with the widest spread; of equal ones the first by its other columns, in their order."""
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(spread), *[x for x in findings.columns if x not in (key, spread)])
     return findings.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

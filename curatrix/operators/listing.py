@@ -22,7 +22,10 @@ def _missing() -> dict[str, Column]:
 
 
 def where(expression: str, podcast: bool = False, now: Column | None = None) -> Column:
-    """A condition from ``group`` or ``group:value``; groups in any case. Unknown groups and values raise ValueError."""
+    """A condition from ``group`` or ``group:value``; groups in any case. Unknown groups and values raise ValueError.
+
+    feed-open, share-open and ebooks:supplementary ask for what entities.with_open() adds, progress for entities.with_progress().
+    """
     group, _, value = expression.partition(":")
     g, value = group.strip().lower(), value.strip()
     if podcast and g not in PODCAST_GROUPS:
@@ -39,7 +42,7 @@ def where(expression: str, podcast: bool = False, now: Column | None = None) ->
         return F.concat(F.substring("published_year", 1, 3), F.lit("0")) == value
     fixed = {
         "tracks": {"none": c("num_tracks") == 0, "single": c("num_tracks") == 1, "multi": c("num_tracks") > 1},
-        "ebooks": {"ebook": c("ebook_format") != "", "no-ebook": c("ebook_format") == ""},
+        "ebooks": {"ebook": c("ebook_format") != "", "no-ebook": c("ebook_format") == "", "supplementary": c("supplementary_ebooks") > 0, "no-supplementary": c("supplementary_ebooks") == 0},
         "missing": _missing(),
         "progress": {
             "finished": F.coalesce("is_finished", F.lit(False)),
@@ -53,7 +56,7 @@ def where(expression: str, podcast: bool = False, now: Column | None = None) ->
             raise ValueError(f"{group} knows {', '.join(fixed[g])}")
         return fixed[g][value]
     bare = {
-        "abridged": c("abridged"), "explicit": c("explicit"), "issues": c("is_missing") | c("is_invalid"),
+        "abridged": c("abridged"), "explicit": c("explicit"), "issues": c("is_missing") | c("is_invalid"), "feed-open": c("feed_open"), "share-open": c("share_open"),
         "recent": c("added_at") >= (now if now is not None else F.current_timestamp()) - F.expr(f"interval {RECENT_DAYS} days"),
     }
     if g not in bare:
