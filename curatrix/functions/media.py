@@ -66,10 +66,14 @@ def same_picture(p1: Column, d1: Column, p2: Column, d2: Column) -> Column:
 # ---- Sound ----------------------------------------------------------------------------------------
 
 
+#: Added to the mean square of a window. Fixed value.
+LOUDNESS_FLOOR = 1e-6
+
+
 def envelope(pcm: np.ndarray, window: int = 200) -> np.ndarray:
-    """Loudness of each whole window: the logarithm of one and its root mean square."""
+    """Loudness of each whole window: the logarithm of its root mean square, with a floor that keeps silence finite."""
     n = len(pcm) // window
-    return np.log1p(np.sqrt((pcm[: n * window].astype(float).reshape(n, window) ** 2).mean(1))) if n else np.zeros(0)
+    return np.log(np.sqrt((pcm[: n * window].astype(float).reshape(n, window) ** 2).mean(1) + LOUDNESS_FLOOR)) if n else np.zeros(0)
 
 
 def standardised(x: np.ndarray) -> np.ndarray | None:
