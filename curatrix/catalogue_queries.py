@@ -123,10 +123,12 @@ def catalogue_totals(spark, sf_dir):
 
 @query(_with("""SELECT id, title, CASE WHEN len(authors) > 0 THEN authors[1] ELSE '' END AS author, CASE WHEN series IS NULL THEN '' WHEN sequence = '' THEN series ELSE series || ' #' || sequence END AS series, round(duration)::BIGINT AS duration_s,
   CASE WHEN round(duration) >= 3600 THEN (round(duration)::BIGINT // 3600) || 'h ' || (round(duration)::BIGINT // 60 % 60) || 'm' WHEN round(duration) >= 60 THEN (round(duration)::BIGINT // 60) || 'm ' || (round(duration)::BIGINT % 60) || 's' ELSE round(duration)::BIGINT || 's' END AS length,
-  CASE WHEN size >= 1024 THEN round_even(size / 1024, 0)::BIGINT || ' KB' ELSE size || ' bytes' END AS bytes FROM item WHERE size < 1048576"""))
+  CASE WHEN big >= 1073741824 THEN printf('%.1f GB', big / 1073741824) WHEN big >= 1048576 THEN round_even(big / 1048576, 0)::BIGINT || ' MB' WHEN big >= 1024 THEN round_even(big / 1024, 0)::BIGINT || ' KB' ELSE big || ' bytes' END AS bytes
+  FROM (SELECT *, CASE k % 4 WHEN 0 THEN k WHEN 1 THEN size WHEN 2 THEN size * 1000 ELSE size * 100000 END AS big FROM item)"""))
 def item_rows(spark, sf_dir):
-    """Items as a listing shows them."""
-    rows = items(spark, sf_dir).where("size < 1048576")
+    """Items as a listing shows them, from some bytes to many gigabytes."""
+    k = F.substring("id", 2, 20).cast("long")
+    rows = items(spark, sf_dir).withColumn("size", F.when(k % 4 == 0, k).when(k % 4 == 1, c("size")).when(k % 4 == 2, c("size") * 1000).otherwise(c("size") * 100_000))
     told = listing.summary(rows).join(rows.select("id", d.duration_text(c("duration")).alias("length"), d.bytes_text(c("size")).alias("bytes")), "id")
     return told.select("id", "title", "author", F.coalesce(F.get("series", F.lit(0)), F.lit("")).alias("series"), "duration_s", "length", "bytes")
 
@@ -205,18 +207,16 @@ def _files(spark, sf_dir) -> DataFrame:
     return made
 
 
-@query(f"WITH {_FILE} SELECT * EXCLUDE n FROM (SELECT item_id, idx, filename, size, duration, coalesce(sum(duration) OVER (PARTITION BY item_id ORDER BY idx, filename, size, duration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_offset, count(*) OVER (PARTITION BY item_id, idx, filename) AS n FROM file) WHERE n = 1")
+@query(f"WITH {_FILE} SELECT item_id, idx, filename, size, duration, coalesce(sum(duration) OVER (PARTITION BY item_id ORDER BY idx, filename, size, duration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_offset FROM file")
 def play_order(spark, sf_dir):
-    """Where each file starts, of files that their place and name tell apart."""
-    f = _files(spark, sf_dir)
-    alone = f.groupBy("item_id", "idx", "filename").count().where("count = 1").drop("count")
-    return catalog.play_order(f).join(alone, ["item_id", "idx", "filename"]).select("item_id", "idx", "filename", "size", "duration", "start_offset")
+    """Where each file starts."""
+    return catalog.play_order(_files(spark, sf_dir)).select("item_id", "idx", "filename", "size", "duration", "start_offset")
 
 
-@query(f"WITH {_FILE}, k AS (SELECT item_id, count(*) AS n, sum(duration) AS s, list_sort(list(filename || ':' || size)) AS content FROM file WHERE idx <= 2 GROUP BY 1), a AS (SELECT * FROM k WHERE item_id::INT % 2 = 0), b AS (SELECT * FROM k WHERE item_id::INT % 2 = 1) SELECT a.item_id AS old_id, b.item_id AS new_id, 'same files' AS how FROM a JOIN b ON a.content = b.content AND abs(a.s - b.s) <= 30 UNION ALL SELECT a.item_id, b.item_id, 'renamed' FROM a JOIN b ON a.n = 1 AND b.n = 1 AND string_split(a.content[1], ':')[2] = string_split(b.content[1], ':')[2] AND abs(a.s - b.s) <= 1 AND a.content <> b.content")
+@query(f"WITH {_FILE}, k AS (SELECT item_id, count(*) AS n, sum(duration) AS s, list_sort(list(filename || ':' || size)) AS content FROM file GROUP BY 1), a AS (SELECT * FROM k WHERE item_id::INT % 2 = 0), b AS (SELECT * FROM k WHERE item_id::INT % 2 = 1) SELECT a.item_id AS old_id, b.item_id AS new_id, 'same files' AS how FROM a JOIN b ON a.content = b.content AND abs(a.s - b.s) <= 30 UNION ALL SELECT a.item_id, b.item_id, 'renamed' FROM a JOIN b ON a.n = 1 AND b.n = 1 AND string_split(a.content[1], ':')[2] = string_split(b.content[1], ':')[2] AND abs(a.s - b.s) <= 1 AND a.content <> b.content")
 def relinked_records(spark, sf_dir):
     """Orders with an even number as records that are gone, those with an odd one as what may hold the same files."""
-    key = duplicates.content_key(_files(spark, sf_dir).where("idx <= 2"))
+    key = duplicates.content_key(_files(spark, sf_dir))
     even = c("item_id").cast("int") % 2 == 0
     return duplicates.relinked(key.where(even), key.where(~even)).select("old_id", "new_id", "how")
 
@@ -264,11 +264,10 @@ def record_diffs(spark, sf_dir):
     return matching.field_diffs(rows)
 
 
-@query(_with("SELECT id, array_to_string(list_concat(list_filter(tags, lambda x: x <> 'ring'), ['band', 'loop']), ' ') AS after FROM item WHERE list_contains(tags, 'ring') AND len(list_filter(tags, lambda x: x = 'ring')) = 1 AND tags[-1] = 'ring'"))
+@query(_with("SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS after FROM (SELECT id, flatten(list_transform(tags, lambda x: CASE WHEN x = 'ring' THEN ['band', 'loop'] ELSE [x] END)) AS l FROM item WHERE list_contains(tags, 'ring'))"))
 def split_tags(spark, sf_dir):
-    """One tag split into two in its place, of items that it ends."""
-    rows = items(spark, sf_dir).where((F.element_at("tags", -1) == "ring") & (F.size(F.filter("tags", lambda x: x == "ring")) == 1))
-    return changes.split(rows, "tags", "ring", ["band", "loop"]).select("id", F.array_join("after", " ").alias("after"))
+    """One tag split into two in its place, wherever it stands and however often."""
+    return changes.split(items(spark, sf_dir), "tags", "ring", ["band", "loop"]).select("id", F.array_join("after", " ").alias("after"))
 
 
 @query(_with("SELECT id, array_to_string(list_filter(tags, lambda x: x <> 'ring'), ' ') AS tags, array_to_string(list_concat(genres, CASE WHEN list_contains(genres, 'ring') THEN [] ELSE ['ring'] END), ' ') AS genres FROM item WHERE list_contains(tags, 'ring')"))

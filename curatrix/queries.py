@@ -293,12 +293,15 @@ def length_band_pairs(spark, sf_dir):
     return joins.partners(pairs, "a_s_suppkey", "b_s_suppkey")
 
 
-@query()
+@query("SELECT 'c' || conv_id AS short_id, conv_id::VARCHAR AS long_id, (count(*) - 1)::INT AS held, 1 AS missing FROM conversations WHERE conv_id % 4 = 0 GROUP BY conv_id HAVING count(*) > 3")
 def ordered_subsequence(spark, sf_dir):
-    """Conversations whose turns' lengths a longer one has in the same order, among those that open alike."""
-    t_ = read(spark, sf_dir, "conversations").select(c("conv_id").cast("string").alias("item_id"), c("turn").cast("int").alias("idx"), F.length(F.coalesce("text", F.lit(""))).cast("double").alias("duration"), F.md5("text").alias("filename"), F.lit(0).cast("long").alias("size"))
-    opening = t_.where("idx = 0").select("item_id", c("filename").alias("shared"))
-    return duplicates.incomplete_among(opening, t_).select("short_id", "long_id", "held", F.size("missing").alias("missing"))
+    """Conversations whose turns' lengths a longer one has in the same order, among those that open alike: each fourth is there a second time, without its last turn."""
+    turns = read(spark, sf_dir, "conversations").select(c("conv_id").cast("string").alias("item_id"), "conv_id", c("turn").cast("int").alias("idx"), F.length(F.coalesce("text", F.lit(""))).cast("double").alias("duration"), F.md5("text").alias("filename"), F.lit(0).cast("long").alias("size"))
+    last = turns.groupBy("conv_id").agg(F.max("idx").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 3 and conv_id % 4 = 0")
+    cut = turns.join(last, "conv_id").where("idx < last").withColumn("item_id", F.concat(F.lit("c"), "item_id"))
+    both = turns.unionByName(cut.select(*turns.columns)).drop("conv_id")
+    opening = both.where("idx = 0").select("item_id", c("filename").alias("shared"))
+    return duplicates.incomplete_among(opening, both).select("short_id", "long_id", "held", F.size("missing").alias("missing"))
 
 
 @query("SELECT l_partkey, l_suppkey, price, quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY price, quantity DESC, l_suppkey) AS r FROM (SELECT l_partkey, l_suppkey, min(l_extendedprice) AS price, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL)) WHERE r = 1")
@@ -346,13 +349,14 @@ def remove_value(spark, sf_dir):
 _BITS = "(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::HUGEINT - CASE WHEN embedding[64] > 0 THEN 9223372036854775808::HUGEINT ELSE 0 END)::BIGINT"
 
 
-@query(f"""WITH h AS (SELECT vec_id, {_BITS} AS h FROM embeddings), q AS (SELECT * FROM h WHERE vec_id % 50 = 0)
+@query(f"""WITH e AS (SELECT vec_id, {_BITS} AS h FROM embeddings), h AS (SELECT * FROM e UNION ALL SELECT -1 - vec_id, xor(h, vec_id * 40503 % 65536) FROM e), q AS (SELECT * FROM e WHERE vec_id % 50 = 0)
 SELECT q.vec_id AS a, h.vec_id AS b, bit_count(xor(q.h, h.h))::INT AS apart FROM q JOIN h ON q.vec_id <> h.vec_id WHERE bit_count(xor(q.h, h.h)) <= 16""")
 def hamming_pairs(spark, sf_dir):
-    """Vectors whose 64 signs differ in at most 16 places from those of a query set."""
+    """Vectors whose 64 signs differ in at most 16 places from those of a query set; each has a twin with some of 16 signs turned."""
     bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.when(F.get("embedding", i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
     h = read(spark, sf_dir, "embeddings").select("vec_id", bits.alias("h"))
-    return joins.near_hashes(h.where("vec_id % 50 = 0"), h, "h", "vec_id", 16)
+    twins = h.select((-1 - c("vec_id")).alias("vec_id"), c("h").bitwiseXOR(c("vec_id") * 40503 % 65536).alias("h"))
+    return joins.near_hashes(h.where("vec_id % 50 = 0"), h.unionByName(twins), "h", "vec_id", 16)
 
 
 @query("WITH k AS (SELECT l_orderkey AS id, string_agg((l_partkey % 20)::VARCHAR, ',' ORDER BY l_partkey % 20) AS content, sum(l_quantity) AS seconds FROM lineitem GROUP BY 1 HAVING count(*) >= 2) SELECT a.id AS old_id, count(*) AS choices, min(b.id) AS first FROM k a JOIN k b ON a.content = b.content AND abs(a.seconds - b.seconds) <= 30 WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY 1")
@@ -389,11 +393,11 @@ def running_offsets(spark, sf_dir):
     return catalog.play_order(rows).select("item_id", "idx", "filename", "start_offset")
 
 
-@query("SELECT DISTINCT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON (a.p_name = b.p_name OR a.p_retailprice = b.p_retailprice) WHERE a.p_size = 1 AND b.p_size = 2")
+@query("SELECT DISTINCT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON (a.p_name = b.p_name OR a.p_retailprice = b.p_retailprice) WHERE a.p_size % 2 = 1 AND b.p_size % 2 = 0")
 def either_key_pairs(spark, sf_dir):
-    """Parts of one size that share their name or price with parts of another."""
+    """Parts of odd sizes that share their name or price with parts of even ones."""
     p = read(spark, sf_dir, "part").withColumn("price", c("p_retailprice").cast("string"))
-    return joins.either_key(p.where("p_size = 1"), p.where("p_size = 2"), [("p_name", "p_name"), ("price", "price")], "p_partkey", "p_partkey")
+    return joins.either_key(p.where("p_size % 2 = 1"), p.where("p_size % 2 = 0"), [("p_name", "p_name"), ("price", "price")], "p_partkey", "p_partkey")
 
 
 @query("SELECT s_suppkey, n_name || ' ' || s_name AS turned, lower(n_name || ' ' || replace(s_name, '#', '')) AS k0 FROM supplier JOIN nation ON s_nationkey = n_nationkey")

@@ -106,8 +106,9 @@ def in_order(full: DataFrame, listed: DataFrame, key: str = "id", place: str = "
 
 
 def play_order(files: DataFrame) -> DataFrame:
-    """Files that play, with where each starts: the lengths before it in its item."""
+    """Files that play, with where each starts: the lengths before it in its item. Files of one place go by name, size and length."""
     from pyspark.sql import Window
 
-    before = Window.partitionBy("item_id").orderBy("idx", "filename").rowsBetween(Window.unboundedPreceding, -1)
+    order = [x for x in ("idx", "filename", "size", "duration") if x in files.columns]
+    before = Window.partitionBy("item_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return files.where(~F.coalesce("exclude", F.lit(False))).withColumn("start_offset", F.coalesce(F.sum("duration").over(before), F.lit(0.0)))
