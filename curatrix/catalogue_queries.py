@@ -221,12 +221,20 @@ def relinked_records(spark, sf_dir):
     return duplicates.relinked(key.where(even), key.where(~even)).select("old_id", "new_id", "how")
 
 
-@query("WITH l AS (SELECT l_orderkey::VARCHAR AS item_id, l_linenumber AS pos, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, l_quantity AS q FROM lineitem), e AS (SELECT item_id, max(q + 30.0) AS last, count(*) AS n FROM l GROUP BY 1), i AS (SELECT o_orderkey::VARCHAR AS id, 100.0 + o_orderkey % 200 AS duration FROM orders) SELECT id, 'short' AS problem FROM i JOIN e ON item_id = id WHERE duration - last > 60 AND duration - last > 0.01 * duration UNION ALL SELECT id, 'past_end' FROM i JOIN e ON item_id = id WHERE last > duration + 5")
+@query("""WITH l AS (SELECT l_orderkey AS k, l_quantity AS s, l_quantity + 30.0 AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS i FROM lineitem),
+b AS (SELECT *, s <= lag(s) OVER w OR lag(e) OVER w > s + 1 AS bad FROM l WINDOW w AS (PARTITION BY k ORDER BY i)), d AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN 8000.0 ELSE 100.0 + o_orderkey % 200 - CASE WHEN o_orderkey % 9 = 0 THEN 90 ELSE 0 END END AS whole FROM orders),
+g AS (SELECT k, whole, count(*) AS n, count(*) FILTER (s >= whole) AS past, max(e) AS last, count(*) FILTER (bad) AS bads, min(i) FILTER (bad) AS first FROM d JOIN b USING (k) WHERE whole > 0 GROUP BY ALL)
+SELECT k::VARCHAR AS id, 'past_end' AS problem, CASE WHEN past > 0 THEN past || ' of ' || n || ' chapters start at or past the end' ELSE 'the last chapter ends ' || printf('%.1f', last - whole) || 's past the end' END AS detail FROM g WHERE past > 0 OR last > whole + 5
+UNION ALL SELECT k::VARCHAR, 'out_of_order', 'chapter ' || first || ' of ' || bads || ' out of place' FROM g WHERE bads > 0
+UNION ALL SELECT k::VARCHAR, 'short', printf('%.1f', whole - last) || 's of audio after the last chapter' FROM g WHERE whole - last > 60 AND whole - last > 0.01 * whole
+UNION ALL SELECT k::VARCHAR, 'single', 'one chapter over the whole' FROM g WHERE n = 1 AND whole >= 7200""")
 def chapter_ends(spark, sf_dir):
-    """Chapters that leave much of their audio out, or run past its end."""
-    o = _read(spark, sf_dir, "orders").select(c("o_orderkey").cast("string").alias("id"), F.lit("t").alias("title"), F.lit("book").alias("media_type"), (F.lit(100.0) + c("o_orderkey") % 200).alias("duration"))
+    """All that can be wrong with chapters: past the end, out of order, much audio left out, one for a long book."""
+    k = c("o_orderkey")
+    whole = F.when(k % 10 == 0, 8000.0).otherwise(F.lit(100.0) + k % 200 - F.when(k % 9 == 0, 90).otherwise(0))
+    o = _read(spark, sf_dir, "orders").select(k.cast("string").alias("id"), F.lit("t").alias("title"), F.lit("book").alias("media_type"), whole.alias("duration"))
     ch = _read(spark, sf_dir, "lineitem").select(c("l_orderkey").cast("string").alias("item_id"), c("l_linenumber").alias("pos"), F.lit("c").alias("title"), c("l_quantity").alias("start"), (c("l_quantity") + 30.0).alias("end"))
-    return chapters.problems(o, ch).where("problem in ('short', 'past_end')").select("id", "problem")
+    return chapters.problems(o, ch).select("id", "problem", "detail")
 
 
 @query("WITH f AS (SELECT event_id, 'g' || (event_id % 500) AS guid, 'http://h/' || (event_id % 300) AS url FROM events WHERE event_type = 'click'), h AS (SELECT event_id, 'g' || (event_id % 700) AS guid, 'http://h/' || (event_id % 900) AS url FROM events WHERE event_type = 'error' AND event_id % 20 = 0) SELECT event_id AS id FROM f WHERE guid NOT IN (SELECT guid FROM h) AND url NOT IN (SELECT url FROM h) AND url NOT IN (SELECT 'http://h/' || range FROM range(0, 40))")

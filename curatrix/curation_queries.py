@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.catalogue_queries import _CHECKS, _ITEM, _read, items
-from curatrix.operators import duplicates, entities, merging, providers, readings, smart
+from curatrix.functions.pictures import picture_size
+from curatrix.operators import duplicates, entities, merging, providers, readings, recordings, smart
 from curatrix.plans.audit_all import audit_all, postings
 from curatrix.sources import catalog
+from curatrix.sources.storage import written
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +210,44 @@ def merge_plan(spark, sf_dir):
     marks = read.where("false").selectExpr("user_id", "item_id", "0.0D AS position")
     plan = merging.merge_plan(records, files, read, marks, lists)
     return plan.select("old_id", F.when(c("action") == "merge", c("new_id")).alias("new_id"), "action", "why", *[F.array_join(x, ",").alias(x) for x in ("details", "progress", "lists")])
+
+
+# ---- Pictures and sound ---------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'webp' ELSE 'jpeg' END AS kind, CASE WHEN p_partkey % 7 = 0 AND p_partkey % 4 = 3 THEN 0 ELSE 100 + p_partkey % 900 END::INT AS width, CASE WHEN p_partkey % 7 = 0 AND p_partkey % 4 = 3 THEN 0 ELSE 50 + p_size END::INT AS height FROM part")
+def picture_headers(spark, sf_dir):
+    """Sizes of parts' pictures, told from headers in four layouts; of some the header breaks off before the size."""
+    big, little = (lambda n, w: F.lpad(F.hex(n), w, "0")), (lambda n: F.concat(F.substring(F.lpad(F.hex(n), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(n), 4, "0"), 1, 2)))
+    k, w, h = c("p_partkey"), c("w").cast("long"), c("h").cast("long")
+    rows = _read(spark, sf_dir, "part").withColumns({"w": F.lit(100) + k % 900, "h": F.lit(50) + c("p_size")})
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 8), big(h, 8))
+    gif = F.concat(F.lit("474946383961"), little(w), little(h))
+    webp = F.concat(F.lit("524946460000000057454250565038580000000000000000"), little(w - 1), F.lit("00"), little(h - 1), F.lit("00"))
+    jpeg = F.concat(F.lit("FFD8FFE0000400FFFFC2001108"), big(h, 4), F.when(k % 7 == 0, F.lit("")).otherwise(big(w, 4)))
+    data = F.unhex(F.when(k % 4 == 0, png).when(k % 4 == 1, gif).when(k % 4 == 2, webp).otherwise(jpeg))
+    return rows.select(k.alias("k"), picture_size(data).alias("s")).select("k", "s.kind", *[F.coalesce(f"s.{x}", F.lit(0)).alias(x) for x in ("width", "height")])
+
+
+#: Samples of a chunk, and of a second, of the sound that lines of suppliers are taken for.
+SOUND = {"samples": 64, "rate": 400, "window": 5, "stretch": 0.2, "reach": 1.0, "n": 3}
+
+
+def supplier_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of a supplier's lines as a recording, in chunks; of each a second copy that starts later."""
+    from pyspark.sql import Window
+
+    lines = _read(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("s"), (c("l_extendedprice") - 30_000).cast("int").alias("v"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("at"))
+    both = lines.select(F.concat(F.lit("s"), "s").alias("item_id"), "v", "at").unionByName(lines.where("at.l_orderkey > 20").select(F.concat(F.lit("t"), "s").alias("item_id"), "v", "at"))
+    row = F.row_number().over(Window.partitionBy("item_id").orderBy("at")) - 1
+    placed = both.withColumn("r", row).withColumn("chunk", F.floor(c("r") / SOUND["samples"]).cast("int"))
+    return placed.groupBy("item_id", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("pcm"))
+
+
+@query()
+def recording_verdicts(spark, sf_dir):
+    """Each supplier's recording beside its copy, and beside the next supplier's."""
+    sound = written(supplier_sound(spark, sf_dir), "sound")
+    ids = sound.where("item_id like 's%'").select("item_id").distinct().withColumn("k", F.substring("item_id", 2, 20).cast("long"))
+    pairs = ids.select(c("item_id").alias("a_id"), F.concat(F.lit("t"), "k").alias("b_id")).unionByName(ids.select(c("item_id").alias("a_id"), F.concat(F.lit("s"), c("k") + 1).alias("b_id")))
+    return recordings.verdicts(recordings.compared(pairs, sound, **SOUND))

@@ -1,12 +1,16 @@
 """Recordings in chunks against whole arrays."""
 
+import os
+
 import numpy as np
 import pytest
 
+from curatrix import curation_queries
 from curatrix.functions import media
 from curatrix.operators import recordings
 
 RATE, WINDOW, STRETCH, REACH = 400, 20, 30.0, 60.0
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def voice(seed, seconds, rate=RATE):
@@ -21,22 +25,22 @@ def table(spark, sounds, samples):
     return spark.createDataFrame(rows, "item_id string, chunk int, pcm array<int>")
 
 
-def plainly(a, b, n, retries):
+def plainly(a, b, n, retries, rate=RATE, window=WINDOW, stretch=STRETCH, reach=REACH):
     """Each point with both recordings whole."""
-    out, size = [], int(STRETCH * RATE)
+    out, size = [], int(stretch * rate)
     for p in range(n):
         at = int(np.floor(len(a) * (2 * p + 1) / (2 * n)))
         for k in range(retries + 1):
             needle = a[at : at + size]
-            if k == retries or not media.quiet(needle, WINDOW) or at + 2 * size > len(a):
+            if k == retries or not media.quiet(needle, window) or at + 2 * size > len(a):
                 break
             at += size
-        wide = max(REACH * RATE, 0.05 * len(b))
+        wide = max(reach * rate, 0.05 * len(b))
         start = max(0, int(np.floor(at * len(b) / len(a) - wide)))
         hay = b[start : min(len(b), int(np.floor(start + 2 * wide)))]
-        score, off, speed = media.best_match(media.envelope(needle, WINDOW), media.envelope(hay, WINDOW), media.speeds())
-        spectral = media.spectral_match(needle, hay, RATE, off, speed, WINDOW) if off >= 0 else 0.0
-        out.append((p, at / RATE, score, spectral, speed, (start + off * WINDOW) / RATE if off >= 0 else None))
+        score, off, speed = media.best_match(media.envelope(needle, window), media.envelope(hay, window), media.speeds())
+        spectral = media.spectral_match(needle, hay, rate, off, speed, window) if off >= 0 else 0.0
+        out.append((p, at / rate, score, spectral, speed, (start + off * window) / rate if off >= 0 else None))
     return out
 
 
@@ -69,3 +73,18 @@ def test_loudness_in_pieces():
             loud.add(pcm[a : a + size])
         assert np.allclose(loud.envelope(), whole) and len(loud.left) < WINDOW
     assert len(recordings.Loudness().envelope()) == 0
+
+
+@pytest.mark.skipif(not os.path.exists(f"{SF}/lineitem.parquet"), reason="needs the supplied tables")
+def test_query_equals_whole_arrays(spark):
+    sounds = {}
+    for r in sorted(curation_queries.supplier_sound(spark, SF).collect(), key=lambda r: (r.item_id, r.chunk)):
+        sounds[r.item_id] = np.concatenate([sounds.get(r.item_id, np.zeros(0, int)), r.pcm])
+    p = curation_queries.SOUND
+    got = curation_queries.recording_verdicts(spark, SF).collect()
+    assert len(got) == sum(1 for i in sounds if i[0] == "s") + sum(f"s{int(i[1:]) + 1}" in sounds for i in sounds if i[0] == "s")
+    for r in got:
+        rows = plainly(sounds[r.a_id], sounds[r.b_id], p["n"], recordings.RETRIES, p["rate"], p["window"], p["stretch"], p["reach"])
+        heard = [x for x in rows if x[2] >= media.HEARD]
+        assert (r.points, r.heard, r.found) == (len(rows), len(heard), sum(x[3] >= media.ALIKE for x in heard))
+        assert np.isclose(r.median, np.median([x[2] for x in rows]), atol=1e-6) and np.isclose(r.spectral_median, np.median([x[3] for x in rows]), atol=1e-6)
