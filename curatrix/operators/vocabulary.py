@@ -104,6 +104,15 @@ def clusters(spelt: DataFrame, field: str) -> DataFrame:
     return g.select("cluster", "kind", F.get("s", F.lit(0))["value"].alias("keep"), F.transform("s", lambda x: F.struct(x["value"].alias("value"), (-x["less"]).alias("items"))).alias("spellings"))
 
 
+def cluster_counts(spelt: dict[str, DataFrame]) -> DataFrame:
+    """field, found: how many clusters() the spellings of each field have, with one search for components over all fields."""
+    marked = lambda f: near_keys(spelt[f].select("key"), f).select(*[F.concat(F.lit(f"{f}:"), x).alias(x) for x in ("a", "b")])
+    edges = None
+    for f in spelt:
+        edges = marked(f) if edges is None else edges.unionByName(marked(f))
+    return components(edges).groupBy(F.substring_index("component", ":", 1).alias("field")).agg(F.count_distinct("component").alias("found"))
+
+
 def fragments(spelt: DataFrame) -> DataFrame:
     """Persons' values that are no name (fragment) or several (split): key, kind, value, parts."""
     first = ranked(spelt, "authors").where("place = 1")

@@ -114,7 +114,7 @@ def audit_all(
         "genres": genres,
         "roles": lambda: flat(vocabulary.roles(narrow), "roles", "both"),
         "spellings": lambda: each("spellings", lambda f: vocabulary.spelling_groups(spelt(f), f), SPELT),
-        "near_names": lambda: each("near_names", lambda f: vocabulary.clusters(spelt(f), f), [f for f in SPELT if f != "languages"]),
+        "near_names": lambda: vocabulary.cluster_counts({f: spelt(f) for f in SPELT if f != "languages"}).select(F.lit("near_names").alias("check"), "field", "found"),
         "fragments": lambda: each("fragments", lambda f: vocabulary.fragments(spelt(f)), t.PERSON_FIELDS),
         "odd_languages": lambda: flat(vocabulary.odd_languages(values("languages")), "odd_languages", "language"),
         "whitespace": spaces,
