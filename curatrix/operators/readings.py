@@ -18,8 +18,8 @@ from curatrix.functions import text as t
 from curatrix.operators.chapters import READINGS_APART, SPLIT_WORDS, SPREAD, SPREAD_CHAPTERS, SPREAD_COVER, SPREAD_DRIFT, SPREAD_SECONDS
 from curatrix.sources.storage import written
 
-#: Classes of readings in one block.
-BLOCK = 200
+#: Classes of readings in one block, and, about, in a lot of small works.
+BLOCK, LOT = 200, 2000
 c = F.col
 
 
@@ -64,38 +64,38 @@ def spread_of(long: dict, short: dict) -> tuple[float, float, float, int] | None
     return hi / lo, lo, hi, len(ratios)
 
 
-def _told(rows: pd.DataFrame) -> list[dict]:
-    out = []
-    for r in rows.itertuples(index=False):
-        names = {x["name"]: (x["len"], frozenset(x["telling"])) for x in r.chapters}
-        out.append({"cls": r.cls, "id": r.id, "place": r.at, "seconds": r.seconds, "says": r.says, "copies": r.copies, "words": set(r.book), "names": names})
-    return sorted(out, key=lambda x: (x["seconds"], x["cls"]))
+def _told(r) -> dict:
+    names = {x["name"]: (x["len"], frozenset(x["telling"])) for x in r.chapters}
+    return {"cls": r.cls, "id": r.id, "place": r.at, "seconds": r.seconds, "says": r.says, "copies": r.copies, "words": set(r.book), "names": names}
 
 
 _WIDEST = "work string, cls string, long_cls string, long_id string, place long, n int, lo double, hi double, spread double, shown double, compared long"
 
 
 def _held(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of two blocks (side 0: short, 1: long) the widest spread of each short class, and how many pairs were compared."""
-    shorts, longs = (_told(rows[rows["side"] == k]) for k in (0, 1))
+    """Of two blocks of each work in a lot (side 0: short, 1: long) the widest spread of each short class, and how many pairs were compared."""
+    blocks: dict[tuple, tuple[list, list]] = {}
+    for r in rows.itertuples(index=False):
+        blocks.setdefault((r.work, r.i, r.j), ([], []))[r.side].append(_told(r))
     out = []
-    for s in shorts:
-        best, compared = None, 0
-        for l in longs:
-            if s["seconds"] <= 0 or s["seconds"] >= l["seconds"] * (1 - READINGS_APART):
-                continue
-            found = spread_of(l, s)
-            if found is None:
-                continue
-            compared += s["copies"] * l["copies"]
-            spread, lo, hi, n = found
-            if spread <= SPREAD or s["says"]:
-                continue
-            shown = ar.spread_shown(spread, SPREAD)
-            if best is None or (-shown, l["place"]) < (-best[9], best[4]):
-                best = (rows["work"].iloc[0], s["cls"], l["cls"], l["id"], l["place"], n, lo, hi, spread, shown)
-        if compared:
-            out.append((*(best or (rows["work"].iloc[0], s["cls"], None, None, None, 0, None, None, None, None)), compared))
+    for (work, *_), (shorts, longs) in blocks.items():
+        for s in shorts:
+            best, compared = None, 0
+            for l in longs:
+                if s["seconds"] <= 0 or s["seconds"] >= l["seconds"] * (1 - READINGS_APART):
+                    continue
+                found = spread_of(l, s)
+                if found is None:
+                    continue
+                compared += s["copies"] * l["copies"]
+                spread, lo, hi, n = found
+                if spread <= SPREAD or s["says"]:
+                    continue
+                shown = ar.spread_shown(spread, SPREAD)
+                if best is None or (-shown, l["place"]) < (-best[9], best[4]):
+                    best = (work, s["cls"], l["cls"], l["id"], l["place"], n, lo, hi, spread, shown)
+            if compared:
+                out.append((*(best or (work, s["cls"], None, None, None, 0, None, None, None, None)), compared))
     return pd.DataFrame(out, columns=[x.split()[0] for x in _WIDEST.split(", ")])
 
 
@@ -118,10 +118,14 @@ def sweep(items: DataFrame, chapters: DataFrame, block: int = BLOCK) -> tuple[Da
     blocks = reps.groupBy("work", "b").agg(F.max("r.seconds").alias("most"), F.min("r.seconds").alias("least"))
     low, high = blocks.select("work", c("b").alias("i"), "least"), blocks.select("work", c("b").alias("j"), "most")
     tasks = low.join(high, "work").where((c("i") <= c("j")) & (c("least") < c("most") * (1 - READINGS_APART)))
+    tasks = tasks.withColumn("whole", F.max("j").over(Window.partitionBy("work")) == 0)
     one = reps.select("work", "cls", "b", "at", "copies", "r.*")
-    short, long = one.join(tasks.select("work", c("i").alias("b"), "i", "j"), ["work", "b"]), one.join(tasks.select("work", c("j").alias("b"), "i", "j"), ["work", "b"])
+    short, long = one.join(tasks.select("work", c("i").alias("b"), "i", "j", "whole"), ["work", "b"]), one.join(tasks.select("work", c("j").alias("b"), "i", "j", "whole"), ["work", "b"])
     both = short.withColumn("side", F.lit(0)).unionByName(long.withColumn("side", F.lit(1)))
-    found = written(both.drop("b").groupBy("work", "i", "j").applyInPandas(_held, _WIDEST), "reading-spreads")
+    # works of one block share a lot with others, so that very many small ones are few groups
+    lots = max(1, -(-reps.count() // LOT))
+    lot = F.when(c("whole"), F.concat(F.lit("lot"), F.pmod(F.xxhash64("work"), F.lit(lots)).cast("string"))).otherwise(F.concat_ws("|", "i", "j", "work"))
+    found = written(both.withColumn("lot", lot).drop("b", "whole").groupBy("lot").applyInPandas(_held, _WIDEST), "reading-spreads")
     widest = found.where("spread is not null").groupBy("work", "cls").agg(F.min_by(F.struct("long_id", "n", "lo", "hi", "shown"), F.struct(-c("shown"), c("place"))).alias("w"))
     named = lambda p, *more: items.select(c("id").alias(f"{p}id"), *more)
     told = members.select("work", "cls", "id").join(widest, ["work", "cls"]).select("id", "w.*")
