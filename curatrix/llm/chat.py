@@ -117,7 +117,8 @@ def format_trees(turns: DataFrame, tree_conversations: int = 256) -> DataFrame:
     with that), text, nodes. turns: conv_id, turn, role, text.
 
     Null roles and texts count as empty; turns go by number, null first, rows with one number by role and text; a row with
-    a null conv_id belongs to the conversation with that id. An empty table gives an empty result.
+    a null conv_id belongs to the conversation with that id. Repeated rows are turns of their own. Other columns of turns are
+    left out, whatever they are called. An empty table gives an empty result.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     key = ["_id", "_none"]  # a null id stays apart from all others
@@ -156,7 +157,7 @@ def _arrow_schema() -> pa.Schema:
 def read_back(trees: DataFrame) -> DataFrame:
     """One row for each conversation, from the trees alone: conv_id, turns (role, text), loss_text (unescaped), formatted.
 
-    A conversation's formatted text is what its last turn attends to; its turns are parsed from that.
+    A conversation's formatted text is what its last turn attends to; its turns are parsed from that. No trees give an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

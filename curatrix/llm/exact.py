@@ -74,5 +74,5 @@ def _repeats(docs: DataFrame, id_col: str) -> bool:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their own columns."""
+    """The rows of docs that stay, with their own columns: of equal texts the one that mark() keeps. An empty table gives an empty one."""
     return mark(docs, id_col, text_col).where("kept").select(*docs.columns)

@@ -142,6 +142,8 @@ def compare_edits(docs: DataFrame, slices: int | None = None, id_col: str = "doc
 
     The next document is the one with the next id (rows that share an id go by text), after the last the first; a sole
     document follows itself. Texts cross the network once, sorted into slices of consecutive ids, and are read in a stream.
+    Null texts count as empty, long ones are read whole, repeated rows are documents of their own; other columns are left out,
+    whatever they are called. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     slices = slices or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -425,7 +425,8 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; texts without words all stay, and so do null ids."""
+    """The rows of docs whose id is the smallest of its component; texts without words all stay, and so do null ids
+    and all rows that share that id. An empty table gives an empty one."""
     found = link_components(docs, n, num, den, id_col, text_col)
     drop = found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(drop, docs[id_col] == drop["_gone"], "left_anti")

@@ -65,7 +65,10 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, cost: int = SEQUE
 
 
 def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens: how many ids the SentencePiece encoder gives each whole text; 0 for null and empty ones."""
+    """doc_id, n_tokens: how many ids the SentencePiece encoder gives each whole text; 0 for null and empty ones.
+
+    Each row counts by itself, repeated ones too; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(_resolve(model))

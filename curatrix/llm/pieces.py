@@ -166,8 +166,9 @@ def _resolve(model: str) -> str:
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", text_col: str = "text", to: str = "ids") -> DataFrame:
     """docs with the column ``to``: array<int>, the ids of the whole text, no begin or end ids.
 
-    Null and empty texts give an empty array. An existing column named ``to`` is replaced. model: a path that every
-    executor has, or the name of an installed vocabulary.
+    Null and empty texts give an empty array, long texts are encoded whole, equal rows alike; an empty table gives an empty
+    one. An existing column named ``to`` is replaced. model: a path that every executor has, or the name of an installed
+    vocabulary.
     """
     kept = [c for c in docs.columns if c != to]
     schema = docs.select(*kept).schema.add(to, ArrayType(IntegerType()))

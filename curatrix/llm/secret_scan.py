@@ -122,7 +122,8 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", to: str =
     """docs with ``to``: array<struct<start, rank, end, kind>>, sorted by start, then kind as listed.
 
     Base spans stay as they are found. A scored token is added as kind ``random`` where it overlaps no base span. Null
-    and empty texts have no spans. An existing column named ``to`` is replaced.
+    and empty texts have no spans. Each row is scanned by itself and whole, so repeated rows have equal spans; an empty table
+    gives an empty one. An existing column named ``to`` is replaced.
     """
     text = text_of(text_col)
     token = rf"(?<![{TOKEN_CHARS}])(?=[{TOKEN_CHARS}]*[0-9])(?=[{TOKEN_CHARS}]*[A-Za-z])[{TOKEN_CHARS}]{{{TOKEN_LEAST},}}"

@@ -348,7 +348,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: tuple[Network, np.ndarray], text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from 0.5 on), from all windows of each whole text.
 
-    A null text, like one without letters, has one empty window, and so a score too. Columns with these names are replaced.
+    A null text, like one without letters, has one empty window, and so a score too. Rows are judged by their text alone, so
+    repeated rows score alike; an empty table gives an empty one. Columns with these names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
