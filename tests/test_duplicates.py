@@ -1,10 +1,14 @@
 """What tells copies and books apart, grouping, and what is left out as incomplete."""
 
+import time
+from collections import namedtuple
+
 import pytest
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as t
 from curatrix.operators import book_facts, duplicates
+from curatrix.operators.rows import in_groups
 from curatrix.sources import catalog
 
 
@@ -119,3 +123,22 @@ def test_relinked_many_single_files(spark):
     present = side([files("n1", "a.mp3", 5, 110.0), files("n2", "z.mp3", 6, 50.5), files("n3", "q.mp3", 6, 90.0), files("n4", "a.mp3", 5, 200.0)])
     assert pairs(duplicates.relinked(missing, present), "old_id", "new_id", "how") == [("o1", "n1", "same files"), ("o2", "n2", "renamed")]
     assert t.trim is not None
+
+
+def test_many_copies_of_one_key():
+    """One key that very many copies share costs a step for each pool, not for each two copies; the rules are the same."""
+    row = namedtuple("Row", "id key seconds tracks asin field readers names numbers positions")
+    one = lambda i, seconds, asin: row(f"i{i:05d}", "isbn:1", seconds, 1, asin, [], [], [], [], [])
+    rows = [one(i, 1000.0 + i % 100, f"A{i % 3}" if i % 2 else "") for i in range(6000)]
+    begun = time.monotonic()
+    got = duplicates._grouped(rows + [one(6000, 500.0, "")])
+    assert time.monotonic() - begun < 20
+    grouped = {i: g for kind, g, i, _ in got if kind == "group"}
+    assert len(grouped) == 6000 and len(set(grouped.values())) == 3
+    assert [(b, why) for kind, _, b, why in got if kind == "apart"] == [("i06000", "isbn")] * 3
+
+
+def test_groups_follow_each_other_in_a_task(spark):
+    rows = spark.range(5000).selectExpr("cast(id % 1000 as string) AS k", "id AS n")
+    got = in_groups(rows, ["k"], lambda g: [(g[0].k, len(g), sum(r.n for r in g))], "k string, rows long, total long").collect()
+    assert len(got) == 1000 and all(r.rows == 5 and r.total == 5 * int(r.k) + 10_000 for r in got)
