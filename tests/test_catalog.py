@@ -342,3 +342,15 @@ def test_near_hashes_equal_all_pairs(spark):
     df = spark.createDataFrame(rows_, "id long, h long")
     want = sorted((a, b, ((x ^ y) & (2**64 - 1)).bit_count()) for a, x in rows_ for b, y in rows_ if a != b and x is not None and y is not None and ((x ^ y) & (2**64 - 1)).bit_count() <= 9)
     assert rows(joins.near_hashes(df, df, "h", "id", 9), "a", "b", "apart") == want
+
+
+def test_links_of_either_key(spark):
+    """Rows that share a name or a price are counted as listed, and a name that very many share makes no pairs."""
+    some = spark.createDataFrame([(1, "a", "5"), (2, "", "5"), (3, "b", None), (4, "c", ""), (5, None, None)], "k int, n string, p string")
+    other = spark.createDataFrame([(10, "a", "5"), (11, "a", "6"), (12, "b", "5"), (13, "", ""), (14, None, "5")], "k int, n string, p string")
+    keys = (("n", "n"), ("p", "p"))
+    listed = joins.either_key(some, other, keys, "k", "k").groupBy("left_id").count()
+    got = {r.left_id: r.links for r in joins.either_key_links(some, other, keys, "k").collect()}
+    assert got == {r["left_id"]: r["count"] for r in listed.collect()} == {1: 4, 2: 3, 3: 1}
+    many = spark.range(200_000).selectExpr("id AS k", "'x' AS n", "cast(id as string) AS p")
+    assert joins.either_key_links(many, many, keys, "k").agg({"links": "sum"}).first()[0] == 200_000**2
