@@ -160,8 +160,11 @@ def year_review(sessions: DataFrame, year: int) -> DataFrame:
 
 
 def top_listened(sessions: DataFrame, n: int = 10) -> DataFrame:
-    """Of each user the items listened to most: user_id, item_id, seconds, place."""
-    sums = sessions.groupBy("user_id", "item_id").agg(F.sum("time_listening").alias("seconds"))
+    """Of each user the items listened to most: user_id, item_id, seconds (to the millionth), place.
+
+    Sums of the same seconds in another order differ in their last bits, so only rounded ones tell equal ones: those go by item.
+    """
+    sums = sessions.groupBy("user_id", "item_id").agg(F.round(F.sum("time_listening"), 6).alias("seconds"))
     order = Window.partitionBy("user_id").orderBy(F.desc("seconds"), "item_id")
     return sums.withColumn("place", F.row_number().over(order)).where(c("place") <= n)
 

@@ -115,3 +115,9 @@ def test_users(spark, shelf):
     assert sorted((r.id, r.finished, r.in_progress) for r in entities.accounts(users, progress).collect()) == [("u", 1, 2), ("w", 0, 0)]
     mine = {r.id: r.is_finished for r in entities.with_progress(shelf, progress, "u").collect()}
     assert mine == {"1": False, "2": True, "3": False}
+
+
+def test_equal_sums_go_by_item(spark):
+    rows = [("u", "p2", 0.1), ("u", "p2", 0.2), ("u", "p1", 0.3)]
+    got = entities.top_listened(spark.createDataFrame(rows, "user_id string, item_id string, time_listening double"), 2)
+    assert [(r.item_id, r.seconds) for r in got.orderBy("place").collect()] == [("p1", 0.3), ("p2", 0.3)]
