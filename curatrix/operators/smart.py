@@ -3,7 +3,7 @@
 A row is an item beside the provider's record that it is matched to, whose columns are named p_<column of the record table>.
 A field that the record says otherwise than the item is decided: ``filled`` (the item has nothing), ``written`` (a rule says
 that the item's value is worth less), ``kept`` (a rule says that it is curated, or the difference is none) or ``review``.
-All of it is a projection of the pair: no field costs a pass or a join of its own.
+All of it is projections of the pair, each computed once: no field costs a pass or a join of its own.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import display as d
 from curatrix.functions import text as t
+from curatrix.operators.rows import once
 
 FIELDS = ("title", "subtitle", "authors", "narrators", "series", "genres", "publisher", "year", "language", "description")
 ACTIONS = ("filled", "written", "kept", "review")
@@ -62,7 +63,7 @@ def _differs(field: str, ours: Column, theirs: Column) -> Column:
     if field == "genres":
         return (theirs != "") & ~t.same_names(c("genres"), c("p_genres"))
     if field in ("authors", "narrators"):
-        return (theirs != "") & ~t.same_names(t.split_names(ours), t.split_names(theirs))
+        return (theirs != "") & ~t.same_names(c(f"_split_ours_{field}"), c(f"_split_theirs_{field}"))
     if field == "description":  # providers' mark-up differs, so texts are told by whether there is one
         return (F.octet_length(ours) < t.STUB_BYTES) & (F.octet_length(theirs) > F.octet_length(ours))
     return (theirs != "") & (t.norm(ours) != t.norm(theirs))
@@ -78,11 +79,9 @@ def _rules(field: str, ours: Column, theirs: Column) -> list[tuple[Column, str,
     if field == "subtitle":
         return [(ours.rlike(SUBTITLE_OF_SERIES) & ~theirs.rlike(SUBTITLE_OF_SERIES), "written", "only a place in a series"), (always, "review", "subtitles are taste")]
     if field == "authors":
-        mine, named = d.clean_people(t.split_names(ours)), d.clean_people(t.split_names(theirs))
-        missing = F.size(F.array_except(F.transform(mine, t.norm), F.transform(named, t.norm))) > 0
-        return [(t.same_names(mine, named), "kept", "credits or honorifics"), ((F.size(named) > 0) & ~missing, "review", "one more name, as translators and pen names are listed too"), (always, "review", "another author")]
+        return [(c("_same_people"), "kept", "credits or honorifics"), ((F.size("_clean_theirs") > 0) & ~c("_missing"), "review", "one more name, as translators and pen names are listed too"), (always, "review", "another author")]
     if field == "narrators":
-        mine, named, wrote = t.split_names(ours), t.split_names(theirs), t.split_names(F.array_join("authors", ", "))
+        mine, named, wrote = c("_split_ours_narrators"), c("_split_theirs_narrators"), c("_split_wrote")
         return [
             (F.exists(mine, lambda n: n.rlike(d.COMPANY)), "written", "a company stood for the reader"),
             (t.shares_name(mine, wrote) & ~t.shares_name(named, wrote), "written", "the author stood for the reader"),
@@ -110,8 +109,16 @@ def decided(rows: DataFrame) -> DataFrame:
     """
     for name in ("authors", "narrators", "genres", "series", "p_genres", "p_series"):
         rows = rows.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
-    made = []
-    for f, (ours, theirs) in _sides().items():
+    own = rows.columns
+    rows = once(rows, {f"_{side}_{f}": x for f, both in _sides().items() for side, x in zip(("ours", "theirs"), both)})
+    sides = {f: (c(f"_ours_{f}"), c(f"_theirs_{f}")) for f in FIELDS}
+    people = {"_split_wrote": t.split_names(F.array_join("authors", ", "))} | {f"_split_{side}_{f}": t.split_names(x) for f in ("authors", "narrators") for side, x in zip(("ours", "theirs"), sides[f])}
+    rows = once(rows, people)
+    rows = once(rows, {f"_clean_{side}": d.clean_people(c(f"_split_{side}_authors")) for side in ("ours", "theirs")})
+    added = lambda x, y: F.size(F.array_except(F.transform(x, t.norm), F.transform(y, t.norm))) > 0
+    rows = once(rows, {"_same_people": t.same_names(c("_clean_ours"), c("_clean_theirs")), "_missing": added(c("_clean_ours"), c("_clean_theirs"))})
+    made = {}
+    for f, (ours, theirs) in sides.items():
         verdict = None
         for when, action, why in reversed(_rules(f, ours, theirs)):
             one = F.struct(F.lit(action).alias("action"), (F.lit(why) if isinstance(why, str) else why).alias("rule"))
@@ -119,16 +126,17 @@ def decided(rows: DataFrame) -> DataFrame:
         verdict = F.when(ours == "", F.struct(F.lit("filled").alias("action"), F.lit("nothing was there").alias("rule"))).otherwise(verdict)
         shown = F.concat(F.octet_length("p_description").cast("string"), F.lit(" characters")) if f == "description" else theirs
         if f == "authors":
-            named = d.clean_people(t.split_names(theirs))
-            shown = F.when((ours != "") & (F.size(named) > 0) & ~t.same_names(d.clean_people(t.split_names(ours)), named) & (F.size(F.array_except(F.transform(d.clean_people(t.split_names(ours)), t.norm), F.transform(named, t.norm))) == 0), F.array_join(named, ", ")).otherwise(theirs)
+            shown = F.when((ours != "") & (F.size("_clean_theirs") > 0) & ~c("_same_people") & ~c("_missing"), F.array_join("_clean_theirs", ", ")).otherwise(theirs)
         told = F.struct(F.lit(f).alias("field"), ours.alias("ours"), shown.alias("theirs"), verdict["action"].alias("action"), verdict["rule"].alias("rule"))
-        made.append(F.when(F.coalesce(_differs(f, ours, theirs), F.lit(False)), told))
-    return rows.withColumn("fields", F.array_compact(F.array(*made)))
+        made[f"_told_{f}"] = F.when(F.coalesce(_differs(f, ours, theirs), F.lit(False)), told)
+    for f, one in made.items():
+        rows = once(rows, {f: one})
+    return once(rows.select(*own, *made), {"fields": F.array_compact(F.array(*made))}).select(*own, "fields")
 
 
 def decisions(rows: DataFrame, key: str = "id") -> DataFrame:
     """key, field, ours, theirs, action, rule: a row for each difference."""
-    return decided(rows).select(key, F.explode("fields").alias("d")).select(key, "d.*")
+    return decided(rows).select(key, F.explode_outer("fields").alias("d")).where("d is not null").select(key, "d.*")
 
 
 def _written(field: str, actions: tuple[str, ...]) -> Column:

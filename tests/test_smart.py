@@ -82,3 +82,10 @@ def test_batch(spark):
     matches = spark.createDataFrame(asked, "item string, asin string, isbn string, provider string")
     got = sorted((r.item, r.asin, r.isbn, r.provider, r.error, r.filled, r.written) for r in smart.apply_batch(items, matches, one.unionByName(two)).collect())
     assert got == sorted([("i", "B7", "", "near", "", 0, 1), ("i", "b7", "", "far", "", 1, 1), ("i", "", "978", "near", "", 0, 1), ("i", "", "", "", "no_id", 0, 0), ("gone", "B7", "", "near", "no_item", 0, 0), ("cast", "B7", "", "near", "not_book", 0, 0), ("i", "B8", "", "", "no_record", 0, 0), ("i", "", "978", "far", "no_record", 0, 0)])
+
+
+def test_rules_are_computed_once(spark):
+    """No filter or projection repeats what tells a field."""
+    items, records = pair(spark, {"title": "A"}, {"title": "B"})
+    plan = smart.decisions(smart.beside(items, records, F.lit(True)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\(uab\)") <= 2  # action and rule
