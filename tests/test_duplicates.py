@@ -142,3 +142,15 @@ def test_groups_follow_each_other_in_a_task(spark):
     rows = spark.range(5000).selectExpr("cast(id % 1000 as string) AS k", "id AS n")
     got = in_groups(rows, ["k"], lambda g: [(g[0].k, len(g), sum(r.n for r in g))], "k string, rows long, total long").collect()
     assert len(got) == 1000 and all(r.rows == 5 and r.total == 5 * int(r.k) + 10_000 for r in got)
+
+
+def test_facts_write_out_a_key_once(spark):
+    """What a row's facts share is computed once: the keys that its plan writes out (86 of them before) stay few."""
+    plan = duplicates.copy_facts(item(spark, [{"id": "a", "title": "One"}]))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("translate(") <= 30
+
+
+def test_let_computes_a_value_once(spark):
+    assert one(spark, t.let(F.rand(), lambda x: x == x))
+    assert one(spark, t.let(F.lit(None).cast("string"), lambda x: t.blank(x))) == ""
+    assert one(spark, t.let(F.lit(2), lambda x: t.let(x + 1, lambda y: x * y))) == 6
