@@ -3,7 +3,7 @@
 A row is an item beside the provider's record that it is matched to, whose columns are named p_<column of the record table>.
 A field that the record says otherwise than the item is decided: ``filled`` (the item has nothing), ``written`` (a rule says
 that the item's value is worth less), ``kept`` (a rule says that it is curated, or the difference is none) or ``review``.
-All of it is projections of the pair, each computed once: no field costs a pass or a join of its own.
+All of it is one projection of the pair, in which what rules share is computed once: no field costs a pass or a join of its own.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ def series_clash(ours: Column, theirs: Column) -> Column:
     ours: structs with name and sequence; theirs: with series and sequence.
     """
     placed = F.filter(ours, lambda s: t.blank(s["sequence"]) != "")
-    against = lambda s: F.filter(theirs, lambda p: (t.blank(p["sequence"]) != "") & (d.series_core(s["name"]) == d.series_core(p["series"])) & ~t.same_number(s["sequence"], p["sequence"]))
+    other = lambda s, core, p: (t.blank(p["sequence"]) != "") & (core == d.series_core(p["series"])) & ~t.same_number(s["sequence"], p["sequence"])
+    against = lambda s: t.let(d.series_core(s["name"]), lambda core: F.filter(theirs, lambda p: other(s, core, p)))
     found = F.flatten(F.transform(placed, lambda s: F.transform(against(s), lambda p: F.struct(s["sequence"].alias("ours"), p["sequence"].alias("theirs")))))
     return F.get(found, F.lit(0))
 
@@ -69,35 +70,58 @@ def _differs(field: str, ours: Column, theirs: Column) -> Column:
     return (theirs != "") & (t.norm(ours) != t.norm(theirs))
 
 
-def _rules(field: str, ours: Column, theirs: Column) -> list[tuple[Column, str, str | Column]]:
-    """Condition, action and reason, the first that holds counts. The last has no condition."""
-    always = F.lit(True)
+def _does(action: str, why: str | Column) -> Column:
+    return F.struct(F.lit(action).alias("action"), (F.lit(why) if isinstance(why, str) else why).alias("rule"))
+
+
+def _verdict(field: str, ours: Column, theirs: Column) -> Column:
+    """struct(action, rule): the first rule of the field that holds counts."""
     if field == "title":
-        level = t.title_level(ours, theirs)
-        own_series = F.exists("series", lambda s: t.norm(F.substring_index(d.series_text(s["name"], s["sequence"]), " #", 1)) == t.norm(ours))
-        return [(ours.rlike(TITLE_OF_FILE), "written", "a title of a file or chapter"), (own_series, "written", "a series stood for the title"), (level == 2, "kept", "the same title with other signs"), (level == 1, "written", "a form of the same title"), (always, "review", "another title")]
+        named = lambda key: F.exists("series", lambda s: t.norm(F.substring_index(d.series_text(s["name"], s["sequence"]), " #", 1)) == key)
+        by_level = lambda n: F.when(n == 2, _does("kept", "the same title with other signs")).when(n == 1, _does("written", "a form of the same title")).otherwise(_does("review", "another title"))
+        return F.when(ours.rlike(TITLE_OF_FILE), _does("written", "a title of a file or chapter")).when(t.let(t.norm(ours), named), _does("written", "a series stood for the title")).otherwise(t.let(t.title_level(ours, theirs), by_level))
     if field == "subtitle":
-        return [(ours.rlike(SUBTITLE_OF_SERIES) & ~theirs.rlike(SUBTITLE_OF_SERIES), "written", "only a place in a series"), (always, "review", "subtitles are taste")]
-    if field == "authors":
-        return [(c("_same_people"), "kept", "credits or honorifics"), ((F.size("_clean_theirs") > 0) & ~c("_missing"), "review", "one more name, as translators and pen names are listed too"), (always, "review", "another author")]
+        return F.when(ours.rlike(SUBTITLE_OF_SERIES) & ~theirs.rlike(SUBTITLE_OF_SERIES), _does("written", "only a place in a series")).otherwise(_does("review", "subtitles are taste"))
     if field == "narrators":
-        mine, named, wrote = c("_split_ours_narrators"), c("_split_theirs_narrators"), c("_split_wrote")
-        return [
-            (F.exists(mine, lambda n: n.rlike(d.COMPANY)), "written", "a company stood for the reader"),
-            (t.shares_name(mine, wrote) & ~t.shares_name(named, wrote), "written", "the author stood for the reader"),
-            (t.shares_name(mine, named), "kept", "the same reader in another spelling"),
-            (always, "review", "another reader, so perhaps another edition"),
-        ]
+        keys = lambda names: F.transform(names, t.norm)
+        by_keys = lambda mine, named, wrote: (
+            F.when(t.shares_key(mine, wrote) & ~t.shares_key(named, wrote), _does("written", "the author stood for the reader"))
+            .when(t.shares_key(mine, named), _does("kept", "the same reader in another spelling"))
+            .otherwise(_does("review", "another reader, so perhaps another edition"))
+        )
+        wrote = keys(t.split_names(F.array_join("authors", ", ")))
+        same = t.let(keys(c("_split_ours_narrators")), lambda mine: t.let(keys(c("_split_theirs_narrators")), lambda named: t.let(wrote, lambda w: by_keys(mine, named, w))))
+        return F.when(F.exists("_split_ours_narrators", lambda n: n.rlike(d.COMPANY)), _does("written", "a company stood for the reader")).otherwise(same)
     if field == "series":
-        clash = series_clash(c("series"), c("p_series"))
-        return [(clash.isNotNull(), "review", F.concat(F.lit("one series, number "), clash["ours"], F.lit(" here and "), clash["theirs"], F.lit(" there"))), (always, "kept", "series are curated")]
+        told = lambda x: F.concat(F.lit("one series, number "), x["ours"], F.lit(" here and "), x["theirs"], F.lit(" there"))
+        return t.let(series_clash(c("series"), c("p_series")), lambda x: F.when(x.isNotNull(), _does("review", told(x))).otherwise(_does("kept", "series are curated")))
     if field == "genres":
-        return [(F.exists("genres", lambda g: ~t.trim(g).rlike(PLACEHOLDER_GENRE)), "kept", "genres are curated"), (always, "written", "genres that say nothing")]
+        return F.when(F.exists("genres", lambda g: ~t.trim(g).rlike(PLACEHOLDER_GENRE)), _does("kept", "genres are curated")).otherwise(_does("written", "genres that say nothing"))
     if field == "year":
-        return [(ours.rlike(YEAR_OF_TIMESTAMP), "written", "a timestamp stood for the year"), (always, "kept", "a year is kept")]
+        return F.when(ours.rlike(YEAR_OF_TIMESTAMP), _does("written", "a timestamp stood for the year")).otherwise(_does("kept", "a year is kept"))
     if field == "description":
-        return [(F.octet_length(ours) < t.STUB_BYTES, "written", "a stub"), (always, "kept", "a text is kept")]
-    return [(always, "written", {"publisher": "the publisher goes with the recording", "language": "the provider's spelling"}[field])]
+        return F.when(F.octet_length(ours) < t.STUB_BYTES, _does("written", "a stub")).otherwise(_does("kept", "a text is kept"))
+    return _does("written", {"publisher": "the publisher goes with the recording", "language": "the provider's spelling"}[field])
+
+
+def _told(field: str, ours: Column, theirs: Column) -> Column:
+    """What is told of a field that differs."""
+    filled = lambda other: F.when(ours == "", _does("filled", "nothing was there")).otherwise(other)
+    as_told = lambda verdict, shown: t.let(verdict, lambda v: F.struct(F.lit(field).alias("field"), ours.alias("ours"), shown.alias("theirs"), v["action"].alias("action"), v["rule"].alias("rule")))
+    if field == "description":
+        return as_told(filled(_verdict(field, ours, theirs)), F.concat(F.octet_length("p_description").cast("string"), F.lit(" characters")))
+    if field != "authors":
+        return as_told(filled(_verdict(field, ours, theirs)), theirs)
+
+    def people(mine: Column, named: Column, same: Column, missing: Column) -> Column:
+        added = (F.size(named) > 0) & ~missing
+        verdict = F.when(same, _does("kept", "credits or honorifics")).when(added, _does("review", "one more name, as translators and pen names are listed too")).otherwise(_does("review", "another author"))
+        return as_told(filled(verdict), F.when((ours != "") & added & ~same, F.array_join(named, ", ")).otherwise(theirs))
+
+    same = lambda x: F.struct((F.array_sort(x["mine"]) == F.array_sort(x["named"])).alias("same"), (F.size(F.array_except(x["mine"], x["named"])) > 0).alias("missing"))
+    keys = lambda mine, named: F.struct(F.transform(mine, t.norm).alias("mine"), F.transform(named, t.norm).alias("named"))
+    both = lambda mine, named: t.let(t.let(keys(mine, named), same), lambda x: people(mine, named, x["same"], x["missing"]))
+    return t.let(d.clean_people(c("_split_ours_authors")), lambda mine: t.let(d.clean_people(c("_split_theirs_authors")), lambda named: both(mine, named)))
 
 
 def decided(rows: DataFrame) -> DataFrame:
@@ -112,26 +136,9 @@ def decided(rows: DataFrame) -> DataFrame:
     own = rows.columns
     rows = once(rows, {f"_{side}_{f}": x for f, both in _sides().items() for side, x in zip(("ours", "theirs"), both)})
     sides = {f: (c(f"_ours_{f}"), c(f"_theirs_{f}")) for f in FIELDS}
-    people = {"_split_wrote": t.split_names(F.array_join("authors", ", "))} | {f"_split_{side}_{f}": t.split_names(x) for f in ("authors", "narrators") for side, x in zip(("ours", "theirs"), sides[f])}
-    rows = once(rows, people)
-    rows = once(rows, {f"_clean_{side}": d.clean_people(c(f"_split_{side}_authors")) for side in ("ours", "theirs")})
-    added = lambda x, y: F.size(F.array_except(F.transform(x, t.norm), F.transform(y, t.norm))) > 0
-    rows = once(rows, {"_same_people": t.same_names(c("_clean_ours"), c("_clean_theirs")), "_missing": added(c("_clean_ours"), c("_clean_theirs"))})
-    made = {}
-    for f, (ours, theirs) in sides.items():
-        verdict = None
-        for when, action, why in reversed(_rules(f, ours, theirs)):
-            one = F.struct(F.lit(action).alias("action"), (F.lit(why) if isinstance(why, str) else why).alias("rule"))
-            verdict = one if verdict is None else F.when(when, one).otherwise(verdict)
-        verdict = F.when(ours == "", F.struct(F.lit("filled").alias("action"), F.lit("nothing was there").alias("rule"))).otherwise(verdict)
-        shown = F.concat(F.octet_length("p_description").cast("string"), F.lit(" characters")) if f == "description" else theirs
-        if f == "authors":
-            shown = F.when((ours != "") & (F.size("_clean_theirs") > 0) & ~c("_same_people") & ~c("_missing"), F.array_join("_clean_theirs", ", ")).otherwise(theirs)
-        told = F.struct(F.lit(f).alias("field"), ours.alias("ours"), shown.alias("theirs"), verdict["action"].alias("action"), verdict["rule"].alias("rule"))
-        made[f"_told_{f}"] = F.when(F.coalesce(_differs(f, ours, theirs), F.lit(False)), told)
-    for f, one in made.items():
-        rows = once(rows, {f: one})
-    return once(rows.select(*own, *made), {"fields": F.array_compact(F.array(*made))}).select(*own, "fields")
+    rows = once(rows, {f"_split_{side}_{f}": t.split_names(x) for f in ("authors", "narrators") for side, x in zip(("ours", "theirs"), sides[f])})
+    told = [F.when(F.coalesce(_differs(f, *both), F.lit(False)), _told(f, *both)) for f, both in sides.items()]
+    return once(rows, {"fields": F.array_compact(F.array(*told))}).select(*own, "fields")
 
 
 def decisions(rows: DataFrame, key: str = "id") -> DataFrame:

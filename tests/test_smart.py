@@ -89,3 +89,10 @@ def test_rules_are_computed_once(spark):
     items, records = pair(spark, {"title": "A"}, {"title": "B"})
     plan = smart.decisions(smart.beside(items, records, F.lit(True)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"\(uab\)") <= 2  # action and rule
+
+
+def test_all_fields_are_one_projection(spark):
+    """Rows pass few generated columns (15 before), and a key that rules share is written out once (156 keys before)."""
+    items, records = pair(spark, {"title": "One"}, {"title": "Two"})
+    plan = smart.decided(smart.beside(items, records, F.lit(True)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") <= 4 and 0 < plan.count("translate(") <= 50
