@@ -154,3 +154,17 @@ def test_let_computes_a_value_once(spark):
     assert one(spark, t.let(F.rand(), lambda x: x == x))
     assert one(spark, t.let(F.lit(None).cast("string"), lambda x: t.blank(x))) == ""
     assert one(spark, t.let(F.lit(2), lambda x: t.let(x + 1, lambda y: x * y))) == 6
+
+
+def test_choices_are_counted_without_pairs(spark):
+    """relink_choices() says of relinked() what its pairs say, and takes records without end that have one content."""
+    files = spark.range(400).selectExpr("id AS item_id", "false AS exclude", "cast(id * 7 % 5 * 0.5 + if(id % 3 = 0, 40, 0) AS double) AS duration", "concat('f', id * id % 4) AS filename", "cast(id % 3 AS bigint) AS size")
+    more = files.where("item_id % 4 = 0").withColumn("filename", F.lit("g"))
+    key = duplicates.content_key(files.unionByName(more))
+    missing, present = key.where("item_id % 8 < 3"), key.where("item_id % 8 >= 3")
+    paired = duplicates.relinked(missing, present).groupBy("old_id").agg(F.count(F.lit(1)).alias("choices"), F.min("new_id").alias("first"))
+    got = pairs(duplicates.relink_choices(missing, present), "old_id", "choices", "first")
+    assert got == pairs(paired, "old_id", "choices", "first") and len(got) > 50
+    many = duplicates.content_key(spark.range(60_000).selectExpr("id AS item_id", "false AS exclude", "10.0D AS duration", "'f' AS filename", "1L AS size"))
+    counted = duplicates.relink_choices(many.where("item_id % 2 = 0"), many.where("item_id % 2 = 1"))
+    assert counted.agg(F.count("*"), F.min("choices"), F.max("first")).first() == (30_000, 30_000, 1)
