@@ -168,3 +168,15 @@ def test_choices_are_counted_without_pairs(spark):
     many = duplicates.content_key(spark.range(60_000).selectExpr("id AS item_id", "false AS exclude", "10.0D AS duration", "'f' AS filename", "1L AS size"))
     counted = duplicates.relink_choices(many.where("item_id % 2 = 0"), many.where("item_id % 2 = 1"))
     assert counted.agg(F.count("*"), F.min("choices"), F.max("first")).first() == (30_000, 30_000, 1)
+
+
+def test_near_keys_with_a_shared_head(spark):
+    """Keys that share a long head and end are no candidates for that; those two edits apart all are, short and long."""
+    from curatrix.operators import vocabulary
+
+    keys = spark.range(600).selectExpr("concat('http www example org en ', conv(cast(id * 2654435761 % 4294967296 AS string), 10, 36), ' page html') AS key")
+    assert vocabulary._left_out(keys).count() < 600
+    ends = spark.createDataFrame([(f"{'long ' * k}title {x} of it",) for k in (0, 9, 10, 11) for x in ("abcd", "abed", "bacd", "abc", "abcdef", "xyzd")], "key string")
+    got = pairs(vocabulary.near_keys(ends, "tags", t.typo_apart), "a", "b")
+    both = ends.alias("p").join(ends.select(F.col("key").alias("q")), F.col("key") < F.col("q")).where(t.typo_apart(F.col("key"), F.col("q")))
+    assert got == pairs(both, "key", "q") and len(got) > 12
