@@ -109,3 +109,13 @@ def test_written_tables_go(spark):
     assert table.count() == 5 and os.path.exists(table._written)
     storage.dropped(table)
     assert not os.path.exists(table._written)
+
+
+def test_a_haystack_is_transformed_once(monkeypatch):
+    """All speeds share the transform of what is searched (one each before)."""
+    seen, rng = [], np.random.default_rng(5)
+    hay = rng.normal(size=1500)
+    real = np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda x, n=None: seen.append(len(x)) or real(x, n))
+    assert media.best_match(hay[700:800], hay, media.speeds())[1:] == (700, 1.0)
+    assert seen.count(len(hay)) == 1
