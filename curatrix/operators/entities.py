@@ -160,11 +160,15 @@ def year_review(sessions: DataFrame, year: int) -> DataFrame:
 
 
 def top_listened(sessions: DataFrame, n: int = 10) -> DataFrame:
-    """Of each user the items listened to most: user_id, item_id, seconds (to the millionth), place.
+    """Of each user the items listened to most: user_id, item_id, seconds, place.
 
-    Sums of the same seconds in another order differ in their last bits, so only rounded ones tell equal ones: those go by item.
+    Sums of the same doubles in another order differ in their last bits, so seconds are added as decimals, which tells equal sums:
+    those go by item. Where a decimal doesn't hold all of an item's seconds (nan, very large or small ones) they are added as they are.
     """
-    sums = sessions.groupBy("user_id", "item_id").agg(F.round(F.sum("time_listening"), 6).alias("seconds"))
+    made = c("time_listening").try_cast("decimal(38,18)")
+    exact = F.when(made.cast("double") == c("time_listening"), made)
+    told = F.when(F.count(exact) == F.count("time_listening"), F.try_sum(exact).cast("double"))
+    sums = sessions.groupBy("user_id", "item_id").agg(F.coalesce(told, F.sum("time_listening")).alias("seconds"))
     order = Window.partitionBy("user_id").orderBy(F.desc("seconds"), "item_id")
     return sums.withColumn("place", F.row_number().over(order)).where(c("place") <= n)
 

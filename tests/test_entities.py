@@ -121,3 +121,18 @@ def test_equal_sums_go_by_item(spark):
     rows = [("u", "p2", 0.1), ("u", "p2", 0.2), ("u", "p1", 0.3)]
     got = entities.top_listened(spark.createDataFrame(rows, "user_id string, item_id string, time_listening double"), 2)
     assert [(r.item_id, r.seconds) for r in got.orderBy("place").collect()] == [("p1", 0.3), ("p2", 0.3)]
+
+
+def test_sums_that_differ_little_go_by_size(spark):
+    """Before, sums were rounded to the millionth, and so were seconds, before what reads them rounds them again."""
+    rows = [("u", "p1", 1.0000001), ("u", "p2", 1.0000002), ("u", "p3", 0.9), ("v", "p1", 0.00004999995), ("w", "p1", 1e300), ("w", "p2", 1e-20), ("w", "p3", float("nan")), ("w", "p4", None)]
+    got = entities.top_listened(spark.createDataFrame(rows, "user_id string, item_id string, time_listening double"), 4).orderBy("user_id", "place").collect()
+    assert [(r.user_id, r.item_id, r.seconds) for r in got if r.user_id != "w"] == [("u", "p2", 1.0000002), ("u", "p1", 1.0000001), ("u", "p3", 0.9), ("v", "p1", 0.00004999995)]
+    assert [r.item_id for r in got if r.user_id == "w"] == ["p3", "p1", "p2", "p4"] and [r.seconds for r in got if r.user_id == "w"][1:] == [1e300, 1e-20, None]
+
+
+def test_sums_agree_in_any_order(spark):
+    seconds = [113.12, 18.33, 120.59, 234.34, 23.25, 53.18]
+    rows = [("u", "p46", x) for x in seconds] + [("u", "p39", x) for x in reversed(seconds)]
+    got = entities.top_listened(spark.createDataFrame(rows, "user_id string, item_id string, time_listening double").coalesce(1), 2)
+    assert [(r.item_id, r.seconds) for r in got.orderBy("place").collect()] == [("p39", 562.81), ("p46", 562.81)]
